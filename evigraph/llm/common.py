@@ -38,3 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
 def shards_for(total: int, per_shard: int, least: int = 1) -> int:
     """Number of shards that keeps each near ``per_shard``; grows in proportion to the data, without a cap."""
     return max(least, -(-int(total or 0) // per_shard))
+
+
+#: Rows of a dimension that may be broadcast; counted before use.
+BROADCAST_ROWS = 100_000
+SALTS = 32
+
+
+def join_dimension(rows: DataFrame, dimension: DataFrame, key: str, dimension_key: str) -> DataFrame:
+    """Null-safe inner join with a materialised dimension, whatever share of ``rows`` one key holds.
+
+    A dimension of at most ``BROADCAST_ROWS`` rows is broadcast; a larger one is repeated ``SALTS`` times under a salt, by
+    which a hot key of ``rows`` is spread."""
+    if dimension.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(dimension), F.col(key).eqNullSafe(F.col(dimension_key))).drop(dimension_key)
+    salted = dimension.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = rows.withColumn("__salt_of", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(SALTS)).cast("int"))
+    same = F.col(key).eqNullSafe(F.col(dimension_key)) & (F.col("__salt_of") == F.col("__salt"))
+    return spread.join(salted, same).drop(dimension_key, "__salt", "__salt_of")

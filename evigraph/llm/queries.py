@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import url_filter
+from evigraph.llm import decontaminate, mixing, secrets, sharding, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": sharding.query,
+    "op4_decontaminate": decontaminate.query,
+    "op5_secrets": secrets.query,
+    "op7_mixing": mixing.query,
     "op8_url_filter": url_filter.query,
+    "op9_simhash": simhash.query,
 }
 ORACLES: dict[str, str] = {
+    "op2_sharding": sharding.ORACLE_SQL,
+    "op5_secrets": secrets.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
 }
