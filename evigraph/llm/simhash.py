@@ -1,32 +1,39 @@
 """SimHash near-duplicates linked through a Golay code.
 
-Fingerprints have 64 bits.  Two of them that differ in at most 3 bits agree exactly in at least one of four 16-bit parts,
-and the other 48 bits form two halves of 24, of which one differs in at most 1 bit or else the other half not at all.
-A half's first 23 bits are decoded with the binary Golay code [23, 12, 7], whose balls of radius 3 tile the space: the
-codeword indices of the half and of its 23 neighbours at distance 1 are its keys, 1 or 6 of them.  Halves that differ in at
-most 2 bits share a key, since one or both reach the same vector between them.  So each fingerprint gets keys
+The binary Golay code [23, 12, 7] has balls of radius 3 that tile the space of 23-bit vectors.  A segment of a fingerprint
+is decoded together with its 23 neighbours at distance 1; the codeword indices found are its keys, 1 or 6 of them.
+Segments that differ in at most 2 bits share a key, since both or one of them reach a vector between them.
+
+``near_duplicates`` links 64-bit fingerprints at 3 differing bits or fewer, exactly.  Two of them agree in at least one of
+four 16-bit parts, and of the other 48 bits, two halves of 24, the first differs in at most 2 bits or else the second not
+at all.  So a fingerprint has the keys
 
 * (part, its bits, first half, codeword index), for a first half that differs in at most 2 bits, and
 * (part, its bits, second half's bits), for a first half that differs in all 3.
 
+``near_copies`` links texts whose five-word shingles are similar at 0.8 or more.  That is some 15 differing bits in 100, too
+many for a guarantee, so fingerprints have 256 bits, 11 segments, and meet if a segment shares a codeword index and 6 bits
+of another segment are equal, in any of 22 such pairs; a segment of a pair at 0.8 differs in at most 2 bits three times in
+ten.  Links are verified by the bits that differ in one half of the fingerprint, 128 bits.
+
 Fingerprints meet by key and are verified by counting the bits that differ; nothing is capped.  Equal fingerprints are one
-before keys are made.  Within a key, a breadth-first search emits the edges of a spanning forest rather than all pairs.
+before keys are made.  Of a key with many members, a search emits the edges of a spanning forest rather than all pairs.
 
 Cases: a null text has no words; texts without words have fingerprint 0 and link like any other; a text of fewer than
 ``shingle`` words is one shingle; repeated rows share a component; a null doc_id gets a fingerprint, and is never the
 smallest id of a component that holds another; an empty table gives an empty result; extra columns pass through
-``near_duplicates`` unless they carry a name that it adds.
+``drop_near_copies`` and aren't carried by the others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm.common import cut, table
@@ -43,35 +50,65 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def fingerprint(words: list[bytes], shingle: int, seed: int = SEED) -> int:
-    """Bits set in over half of the shingles' hashes, repeats counted."""
-    if not words:
-        return 0
+def bit_counts(words: np.ndarray) -> np.ndarray:
+    """How many of the rows of uint64 words have each bit, most significant first."""
+    counts = np.zeros(words.shape[1] * 64, np.int64)
+    for at in range(0, len(words), 255 * 64):
+        bits = np.unpackbits(words[at : at + 255 * 64].astype(">u8").view(np.uint8), axis=1)
+        whole = len(bits) // 255 * 255
+        # Up to 255 ones fit a byte.
+        counts += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        counts += bits[whole:].sum(axis=0, dtype=np.uint8)
+    return counts
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the space-joined shingles, repeats included."""
     digest = xxhash.xxh64_intdigest
+    if not words:
+        return np.empty(0, np.uint64)
     if len(words) <= shingle:
-        return digest(b" ".join(words), seed)
+        return np.array([digest(b" ".join(words), seed)], np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, len(starts))
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 65536):
-        block = np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += block.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes)).view(">u8")[0])
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, len(starts))
+
+
+def widened(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Hashes as rows of ``words`` independent uint64, the first as it is."""
+    columns = [hashes]
+    for i in range(1, words):
+        z = hashes + np.uint64(0x9E3779B97F4A7C15 * i & 0xFFFFFFFFFFFFFFFF)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        columns.append(z ^ (z >> np.uint64(31)))
+    return np.stack(columns, axis=1)
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp): one row for each row; texts are read in place and never shuffled."""
+def fingerprint(words: list[bytes], shingle: int, width: int = 1) -> np.ndarray:
+    """``width`` uint64 of the bits that are set in over half of the shingles' hashes; zeros without words."""
+    hashes = shingle_hashes(words, shingle)
+    counts = bit_counts(widened(hashes, width)) if len(hashes) else np.zeros(64 * width, np.int64)
+    return np.packbits(counts * 2 > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def fingerprints(docs: DataFrame, shingle: int, width: int = 1) -> DataFrame:
+    """Columns of ``docs`` but text, with fp0, fp1, ... and id, the identity of the first two of them: one row for each row;
+    texts are read in place and never shuffled."""
+    names = [*(f"fp{i}" for i in range(width)), "id"]
+    kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = (fingerprint(words_of(t.as_py()), shingle) for t in batch.column(1))
-            fps = np.fromiter(found, np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.zeros((batch.num_rows, width), np.uint64)
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+                fps[i] = fingerprint(words_of(text.as_py()), shingle, width)
+            columns = [*(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(width)), pa.array(identity(fps[:, :2]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} bigint" for n in names)])
+    return docs.select(*(f.name for f in kept), "text").mapInArrow(run, schema)
 
 
 @lru_cache(maxsize=1)
@@ -101,8 +138,18 @@ def golay_keys(half: np.ndarray) -> np.ndarray:
     return np.sort(np.stack([code[half], *(code[half ^ (1 << i)] for i in range(23))], axis=1), axis=1)
 
 
-def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of uint64 fingerprints."""
+def codes_of(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, codeword index) of 23-bit segments, each index once for a row."""
+    codes = golay_keys(segment)
+    fresh = np.ones(codes.shape, bool)
+    fresh[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    row, column = np.nonzero(fresh)
+    return row, codes[row, column].astype(np.uint64)
+
+
+def strict_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of 64-bit fingerprints, n x 1, that meet at 3 differing bits or fewer."""
+    fps = fps[:, 0]
     rows, keys = [], []
     every = np.arange(len(fps))
     for part in range(PARTS):
@@ -113,23 +160,52 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rest = low | high
         head, tail = rest & np.uint64(0x7FFFFF), rest >> np.uint64(24)
         tag = (bits << np.uint64(3)) | np.uint64(part << 1)
-        codes = golay_keys(head.astype(np.int64))
-        fresh = np.ones(codes.shape, bool)
-        fresh[:, 1:] = codes[:, 1:] != codes[:, :-1]
-        at, column = np.nonzero(fresh)
+        at, code = codes_of(head.astype(np.int64))
         rows += [at, every]
-        keys += [(codes[at, column].astype(np.uint64) << np.uint64(19)) | tag[at], (tail << np.uint64(19)) | tag | np.uint64(1)]
+        keys += [(code << np.uint64(19)) | tag[at], (tail << np.uint64(19)) | tag | np.uint64(1)]
     return np.concatenate(rows), np.concatenate(keys).view(np.int64)
 
 
-def forest(fps: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over distinct fingerprints, linked at ``most`` differing bits or fewer."""
-    edges, left = [], fps
+WIDE, SEGMENTS, MATES, MATE_BITS = 4, 11, (1, 5), 6
+
+
+def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of 256-bit fingerprints, n x 4: a segment's codeword index beside some bits of another segment."""
+    bits = np.unpackbits(fps.astype(">u8").view(np.uint8), axis=1)
+    weights = 1 << np.arange(22, -1, -1, dtype=np.int64)
+    segments = [bits[:, 23 * i : 23 * i + 23] @ weights for i in range(SEGMENTS)]
+    rows, keys = [], []
+    for i, segment in enumerate(segments):
+        at, code = codes_of(segment)
+        for j, mate in enumerate(MATES):
+            beside = (segments[(i + mate) % SEGMENTS] >> (j * MATE_BITS)) & ((1 << MATE_BITS) - 1)
+            rows.append(at)
+            keys.append(((code << np.uint64(MATE_BITS)) | beside[at].astype(np.uint64)) << np.uint64(5) | np.uint64(i * len(MATES) + j))
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64)
+
+
+def identity(payload: np.ndarray) -> np.ndarray:
+    """One bigint for n x words fingerprints: the word itself, or a 64-bit mix of several."""
+    z = payload[:, 0].copy()
+    for i in range(1, payload.shape[1]):
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + payload[:, i]
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z.view(np.int64)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges (rows) of a spanning forest over the links of at most ``most`` differing bits."""
+    edges, left = [], np.arange(len(fps))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             one = queue.pop()
-            near = np.bitwise_count(left ^ one) <= most
+            near = apart(fps[left], fps[one]) <= most
             if near.any():
                 met = left[near]
                 edges += [(one, other) for other in met]
@@ -138,54 +214,120 @@ def forest(fps: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
     return edges
 
 
-def near_pairs(distinct: DataFrame, most: int = MOST) -> DataFrame:
-    """(a, b) edges between distinct fingerprints ``fp``, whose components are those of all links."""
+#: Of keys with more members than this, a forest is emitted; of others, all links.
+SMALL = 16
+
+
+def linked(key: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows linked within equal keys; ``key`` is sorted."""
+    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    sizes = np.diff(cuts)
+    size_of_row = np.repeat(sizes, sizes)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    few = np.flatnonzero((size_of_row > 1) & (size_of_row <= SMALL))
+    for lag in range(1, SMALL):
+        few = few[few + lag < len(key)]
+        few = few[key[few] == key[few + lag]]
+        if not len(few):
+            break
+        near = few[apart(fps[few], fps[few + lag]) <= most]
+        left.append(near)
+        right.append(near + lag)
+    for a, b in zip(cuts[:-1][sizes > SMALL].tolist(), cuts[1:][sizes > SMALL].tolist()):
+        edges = np.array(forest(fps[a:b], most), np.int64).reshape(-1, 2)
+        left.append(edges[:, 0] + a)
+        right.append(edges[:, 1] + a)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], shown: int, most: int) -> DataFrame:
+    """(a, b) edges between identities of distinct fingerprints fp0..., whose components are those of all links.
+
+    ``shown`` words of a fingerprint go along with each key, by which links are verified."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fps), 20_000):
-                some = fps[at : at + 20_000]
+            fps = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns], axis=1)
+            for at in range(0, len(fps), 4_000):
+                some = fps[at : at + 4_000]
                 rows, keys = keys_of(some)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(some[rows].view(np.int64))], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(some[rows, i]).view(np.int64)) for i in range(shown))], names=["key", *(f"fp{i}" for i in range(shown))])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows of a key come one after another; what is held is one batch and the key that reaches into the next.
-        key, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+        key, fps = np.empty(0, np.int64), np.empty((0, shown), np.uint64)
 
-        def linked(key: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            edges = [e for a, b in zip(cuts[:-1][np.diff(cuts) > 1], cuts[1:][np.diff(cuts) > 1]) for e in forest(fps[a:b], most)]
-            if edges:
-                ends = np.array(edges, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+        def edges(key: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+            left, right = linked(key, fps, most)
+            if len(left):
+                ids = identity(fps)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right]))], names=["a", "b"])
 
         for batch in batches:
             key = np.concatenate((key, batch.column(0).to_numpy()))
-            fps = np.concatenate((fps, batch.column(1).to_numpy().view(np.uint64)))
+            fps = np.concatenate((fps, np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)))
             if len(key):
                 last = np.searchsorted(key, key[-1])
-                yield from linked(key[:last], fps[:last])
+                yield from edges(key[:last], fps[:last])
                 key, fps = key[last:], fps[last:]
         if len(key):
-            yield from linked(key, fps)
+            yield from edges(key, fps)
 
-    keyed = distinct.select("fp").mapInArrow(spread, "key bigint, fp bigint")
+    names = [f"fp{i}" for i in range(shown)]
+    keyed = distinct.select(*(f"fp{i}" for i in range(width))).mapInArrow(spread, "key bigint, " + ", ".join(f"{n} bigint" for n in names))
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = MOST) -> DataFrame:
-    """(doc_id, fp, component_id) for each row: the smallest doc_id reachable over links, itself included."""
-    prints = cut(fingerprints(docs, shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = near_pairs(classes, most)
-    reached = connected_components(edges)
+def components_of(prints: DataFrame, first: Column, width: int, keys_of, shown: int, most: int) -> DataFrame:
+    """(id, first) for each distinct fingerprint identity of materialised rows with id and fp0...: the smallest ``first`` (an
+    aggregate) of its component."""
+    classes = cut(prints.groupBy("id", *(f"fp{i}" for i in range(width))).agg(first.alias("first")))
+    reached = connected_components(near_pairs(classes, width, keys_of, shown, most))
+    firsts = classes.groupBy("id").agg(F.min("first").alias("first"))
     # Fingerprints that no other is near are their own component.
-    named = classes.join(reached.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "component").select("fp", "component_id")
-    # A fingerprint with a third of all rows is split by adaptive execution: both sides of the join are dealt out for it.
-    return prints.join(named.repartition(docs.sparkSession.sparkContext.defaultParallelism), "fp").select("doc_id", "fp", "component_id")
+    named = firsts.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("first"))
+    named = named.select("id", "component").join(smallest, "component").select("id", "first")
+    # Dealt out anew, so that adaptive execution may split the join of a fingerprint that a third of all rows have.
+    return named.repartition(prints.sparkSession.sparkContext.defaultParallelism)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = MOST) -> DataFrame:
+    """(doc_id, fp, component_id) for each row: the smallest doc_id reachable over links of ``most`` bits at most, 3 or fewer."""
+    prints = cut(fingerprints(docs.select("doc_id", "text"), shingle))
+    named = components_of(prints, F.min("doc_id"), 1, strict_keys, 1, most)
+    return prints.join(named, "id").select("doc_id", F.col("id").alias("fp"), F.col("first").alias("component_id"))
+
+
+#: Of 128 bits: 15 in 100 differ on average at a similarity of 0.8, 36 in 100 or more between unrelated texts.
+WIDE_MOST = 25
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> DataFrame:
+    """(doc_id, digest, first) for each row; components link texts whose shingles are similar at about 0.8 or more, and first
+    is the row (without an id?, doc_id, digest) that comes first in its component."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    prints = cut(fingerprints(keyed, shingle, WIDE))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("digest"))
+    return prints.join(components_of(prints, F.min(row), WIDE, wide_keys, 2, most), "id").select("doc_id", "digest", "first")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> DataFrame:
+    """``docs`` with one row of each group of exact and near copies, that of the smallest doc_id (null last).
+
+    Rows that go are told by id and a hash of their text; the texts are dealt out at most once, to meet them."""
+    found = cut(near_copies(docs, shingle, most))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__digest"))
+    as_key = [F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")]
+    gone = found.where(~stays).select(*as_key).distinct()
+    repeated = cut(found.where(stays).groupBy("doc_id", "digest").count().where("count > 1").select(*as_key))
+    kept = docs.join(gone, same, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    # Equal rows of the id that stays: one of them.
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(once)
 
 
 def hex_of(fp):
