@@ -1,6 +1,7 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
-Words are hashed to rows of an embedding table.  Filters of several widths slide over the words; each filter keeps its
+Words, and their beginnings and ends, are hashed to rows of an embedding table; a word's embedding is the mean of its
+pieces'.  Filters of several widths slide over the words; each filter keeps its
 largest response over the text, and a logistic layer weighs those and gives a score.  As a filter is a sum of one product
 for each of its words, every product of a table row and a filter's slot is worked out once, after training; scoring a text
 is then a gather and a sum, over the whole text in bounded blocks.
@@ -17,7 +18,7 @@ table gives an empty result; extra columns pass through ``score`` unless they ca
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,103 +28,149 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.common import table
 
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
-TRAIN_DOCS, EPOCHS, RATE, BATCH, SEED = 6000, 6, 0.02, 32, 7
+BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
+#: Pieces of a word that have embeddings: the word itself, and its first and last bytes in these numbers.
+HEADS, TAILS = (3, 4, 5, 6), (3, 5)
+TRAIN_DOCS, VISITS, RATE, DECAY, BATCH, SEED = 5000, 20_000, 0.02, 1e-4, 32, 7
 THRESHOLD = 0.3
+#: Calibrated thresholds stay between these.
+BOUNDS = (0.2, 0.8)
+#: Distinct words that a task remembers.
+REMEMBERED = 200_000
 #: Every byte but letters, digits and those of non-ASCII characters parts words; A-Z lower-cased.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def buckets_of(text: str | None, buckets: int, seen: dict[bytes, int]) -> np.ndarray:
-    """Table rows of a text's words; ``seen`` remembers words of up to a bounded number."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
-    if len(seen) > 2_000_000:
-        seen.clear()
-    out = []
-    for w in words:
-        b = seen.get(w)
-        if b is None:
-            b = seen[w] = zlib.crc32(w) % buckets
-        out.append(b)
-    return np.array(out, np.int32)
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
+
+
+def pieces_of(word: bytes) -> list[int]:
+    """Table rows of a word's pieces, always as many; a word shorter than a piece has itself in its place."""
+    crc = zlib.crc32
+    return [crc(word) % BUCKETS, *(crc(b"<" + word[:n]) % BUCKETS for n in HEADS), *(crc(word[-n:] + b">") % BUCKETS for n in TAILS)]
+
+
+class Vocabulary:
+    """Numbers for words, and the pieces of each; number 0 is no word."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {b"": 0}
+        self.pieces: list[list[int]] = [[BUCKETS] * (1 + len(HEADS) + len(TAILS))]
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        number, out = self.number, []
+        for word in words_of(text):
+            n = number.get(word)
+            if n is None:
+                n = number[word] = len(number)
+                self.pieces.append(pieces_of(word))
+            out.append(n)
+        return np.array(out, np.int32)
 
 
 @dataclass
 class Model:
-    """The fitted network: products[width][slot] is a (buckets + 1) x filters table; its last row is of no word."""
+    """The fitted network: ``products`` has, for a table row, its product with every filter's every slot; a last row is zero."""
 
-    products: list[list[np.ndarray]]
-    bias: list[np.ndarray]
+    products: np.ndarray
+    bias: np.ndarray
     out: np.ndarray
     out_bias: float
-    buckets: int = BUCKETS
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def scores(self, texts: list[np.ndarray], block: int = 200_000) -> np.ndarray:
-        """Scores of texts given as table rows, in blocks of about ``block`` words."""
-        result, held, total = [], [], 0
-        for i, t in enumerate(texts):
-            held.append(t)
-            total += len(t)
-            if total >= block or i + 1 == len(texts):
-                result.append(self._pooled(held))
+    def scorer(self, block: int = 200_000) -> Callable[[list[str | None]], np.ndarray]:
+        """A function from texts to scores that remembers the products of words; works in blocks of about ``block`` words."""
+        vocabulary, table_ = Vocabulary(), np.zeros((0, self.products.shape[1]), np.float32)
+
+        def score(texts: list[str | None]) -> np.ndarray:
+            nonlocal vocabulary, table_
+            pooled, held, total = [], [], 0
+            for i, text in enumerate(texts):
+                held.append(vocabulary.numbers(text))
+                total += len(held[-1])
+                if total < block and i + 1 < len(texts):
+                    continue
+                fresh = np.array(vocabulary.pieces, np.int64)
+                if len(fresh):
+                    table_ = np.concatenate((table_, self.products[fresh].mean(axis=1)))
+                    vocabulary.pieces = []
+                pooled.append(pool(held, table_) + self.bias)
                 held, total = [], 0
-        if not result:
-            return np.zeros(0)
-        logit = np.concatenate(result) @ self.out + self.out_bias
-        return 1 / (1 + np.exp(-logit.astype(np.float64)))
-
-    def _pooled(self, texts: list[np.ndarray]) -> np.ndarray:
-        widest = len(self.products)
-        apart = np.full(max(WIDTHS), self.buckets, np.int32)
-        rows = np.concatenate([x for t in texts for x in (t, apart)])
-        starts = np.cumsum([0, *(len(t) + len(apart) for t in texts[:-1])])
-        pooled = []
-        for width in range(widest):
-            slots = self.products[width]
-            response = slots[0][rows]
-            for slot in range(1, len(slots)):
-                response[:-slot] += slots[slot][rows[slot:]]
-            pooled.append(np.maximum.reduceat(response, starts, axis=0) + self.bias[width])
-        return np.maximum(np.concatenate(pooled, axis=1), 0)
-
-
-def fit(texts: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """Adam on the logistic loss; the gradient of a maximum goes to the words that gave it."""
+                if len(table_) > REMEMBERED:
+                    vocabulary, table_ = Vocabulary(), table_[:0]
+            if not pooled:
+                return np.zeros(0)
+            logit = np.maximum(np.concatenate(pooled), 0) @ self.out + self.out_bias
+            return 1 / (1 + np.exp(-logit.astype(np.float64)))
+
+        return score
+
+
+def layout(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after another, each followed by no words, as many as the widest filter has; and where each begins."""
+    between = np.zeros(max(WIDTHS), np.int32)
+    rows = np.concatenate([x for t in texts for x in (t, between)])
+    return rows, np.cumsum([0, *(len(t) + len(between) for t in texts[:-1])])
+
+
+def pool(texts: list[np.ndarray], products: np.ndarray) -> np.ndarray:
+    """The largest response of each filter in each text; ``products`` by word number."""
+    rows, starts = layout(texts)
+    ends = np.append(starts[1:], len(rows))
+    pooled, column = [], 0
+    for width in WIDTHS:
+        response = products[rows, column : column + FILTERS]
+        for slot in range(1, width):
+            column += FILTERS
+            response[:-slot] += products[rows[slot:], column : column + FILTERS]
+            response[ends - slot] = -np.inf  # it would reach into the next text
+        column += FILTERS
+        pooled.append(np.maximum.reduceat(response, starts, axis=0))
+    return np.concatenate(pooled, axis=1)
+
+
+def fit(texts: list[np.ndarray], pieces: np.ndarray, labels: np.ndarray, visits: int = VISITS, rate: float = RATE, seed: int = SEED) -> Model:
+    """Adam on the logistic loss, until texts have been visited ``visits`` times in all; the gradient of a maximum goes to
+    the words that gave it.
+
+    ``texts`` are word numbers, ``pieces`` has the table rows of each number."""
     rng = np.random.default_rng(seed)
-    table_ = rng.normal(0, 0.1, (buckets + 1, DIM)).astype(np.float32)
-    table_[buckets] = 0
-    filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-    out, out_bias = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), np.float32(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)) if len(labels) else 0)
-    parameters = [table_, *filters, *bias, out]
-    first = [np.zeros_like(p) for p in parameters]
-    second = [np.zeros_like(p) for p in parameters]
-    apart, step = np.full(max(WIDTHS), buckets, np.int32), 0
+    table_ = rng.normal(0, 0.1, (BUCKETS + 1, DIM)).astype(np.float32)
+    table_[BUCKETS] = 0
+    filters = [rng.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    bias = np.zeros(FILTERS * len(WIDTHS), np.float32)
+    out = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
+    share = float(labels.mean()) if len(labels) else 0.5
+    out_bias = np.array([np.log((share + 1e-3) / (1 - share + 1e-3))], np.float32)
+    parameters = [table_, *filters, bias, out, out_bias]
+    first, second = ([np.zeros_like(p) for p in parameters] for _ in range(2))
+    step, epochs = 0, -(-visits // max(1, len(texts)))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            rows = np.concatenate([x for i in some for x in (texts[i], apart)])
-            starts = np.cumsum([0, *(len(texts[i]) + len(apart) for i in some[:-1])])
-            embedded, pooled, winners = table_[rows], [], []
-            owner = np.repeat(np.arange(len(some)), np.diff([*starts, len(rows)]))
+            rows, starts = layout([texts[i] for i in some])
+            ends = np.append(starts[1:], len(rows))
+            present, local = np.unique(rows, return_inverse=True)
+            vectors = table_[pieces[present]].mean(axis=1)
+            embedded = vectors[local]
+            tops, winners = [], []
             for w, width in enumerate(WIDTHS):
-                response = embedded @ filters[w][0]
+                parts = [vectors @ filters[w][slot] for slot in range(width)]
+                response = parts[0][local]
                 for slot in range(1, width):
-                    response[:-slot] += embedded[slot:] @ filters[w][slot]
-                top = np.maximum.reduceat(response, starts, axis=0)
-                # The first place of each maximum.
-                place = np.where(response == top[owner], np.arange(len(rows))[:, None], len(rows))
-                winners.append(np.minimum.reduceat(place, starts, axis=0))
-                pooled.append(top + bias[w])
-            hidden = np.concatenate(pooled, axis=1)
+                    response[:-slot] += parts[slot][local[slot:]]
+                    response[ends - slot] = -np.inf
+                winner = np.stack([response[a:b].argmax(axis=0) + a for a, b in zip(starts, ends)])
+                tops.append(np.take_along_axis(response, winner, axis=0))
+                winners.append(winner)
+            hidden = np.concatenate(tops, axis=1) + bias
             active = np.maximum(hidden, 0)
             score = 1 / (1 + np.exp(-(active @ out + out_bias)))
             gap = (score - labels[some]).astype(np.float32) / len(some)
             back = (gap[:, None] * out) * (hidden > 0)
-            grads = [np.zeros((0,), np.float32)] * len(parameters)
-            words, pulls = [], []
+            grads, words, pulls = [], [], []
             for w, width in enumerate(WIDTHS):
                 g = back[:, w * FILTERS : (w + 1) * FILTERS]
                 grad = np.zeros_like(filters[w])
@@ -132,20 +179,23 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, epo
                     grad[slot] = np.einsum("nfd,nf->df", embedded[place], g)
                     words.append(rows[place].ravel())
                     pulls.append((g[:, :, None] * filters[w][slot].T[None]).reshape(-1, DIM))
-                grads[1 + w], grads[1 + len(WIDTHS) + w] = grad, g.sum(axis=0)
-            grads[-1] = active.T @ gap
+                grads.append(grad + DECAY * filters[w])
+            grads += [back.sum(axis=0), active.T @ gap + DECAY * out, gap.sum(keepdims=True)]
             step += 1
-            touched, inverse = np.unique(np.concatenate(words), return_inverse=True)
-            pulled = np.zeros((len(touched), DIM), np.float32)
-            np.add.at(pulled, inverse, np.concatenate(pulls))
-            pulled[touched == buckets] = 0
+            # Each piece of a word gets its share of the word's gradient.
+            of_word = pieces[np.concatenate(words)]
+            touched, inverse = np.unique(of_word, return_inverse=True)
+            pulled = DECAY * table_[touched]
+            np.add.at(pulled, inverse.ravel(), np.repeat(np.concatenate(pulls) / of_word.shape[1], of_word.shape[1], axis=0))
+            pulled[touched == BUCKETS] = 0
             fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for p, m, v, g, where in [(table_, first[0], second[0], pulled, touched), *((p, m, v, g, slice(None)) for p, m, v, g in zip(parameters[1:], first[1:], second[1:], grads[1:]))]:
+            pace = rate * (1 - epoch / epochs) * fix
+            for p, m, v, g, where in [(table_, first[0], second[0], pulled, touched), *((p, m, v, g, slice(None)) for p, m, v, g in zip(parameters[1:], first[1:], second[1:], grads))]:
                 m[where] = 0.9 * m[where] + 0.1 * g
                 v[where] = 0.999 * v[where] + 0.001 * g * g
-                p[where] -= rate * (1 - epoch / epochs) * fix * m[where] / (np.sqrt(v[where]) + 1e-7)
-            out_bias -= np.float32(rate * gap.sum())
-    return Model([[table_ @ filters[w][s] for s in range(width)] for w, width in enumerate(WIDTHS)], bias, out, float(out_bias), buckets)
+                p[where] -= pace * m[where] / (np.sqrt(v[where]) + 1e-7)
+    products = np.concatenate([table_ @ filters[w][s] for w, width in enumerate(WIDTHS) for s in range(width)], axis=1)
+    return Model(products, bias, out, float(out_bias[0]))
 
 
 def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str], least: int = 5) -> dict[str, float]:
@@ -156,7 +206,7 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str], least: i
         hits = np.cumsum(y[order])
         f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
         i = int(np.argmax(f1))
-        return float((s[order][i] + (s[order][i + 1] if i + 1 < len(s) else 0)) / 2)
+        return float(np.clip((s[order][i] + (s[order][i + 1] if i + 1 < len(s) else 0)) / 2, *BOUNDS))
 
     found = {"": best(scores, labels) if labels.sum() >= least else THRESHOLD}
     of = np.array(langs, object)
@@ -180,17 +230,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     sample = docs.select("doc_id", "text", lang.cast("string").alias("__lang")).join(F.broadcast(chosen), "doc_id")
     rows = sample.select("doc_id", "text", "__lang", "__toxic").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     if not len(rows):
-        return Model([[np.zeros((BUCKETS + 1, FILTERS), np.float32)] * w for w in WIDTHS], [np.zeros(FILTERS, np.float32)] * len(WIDTHS), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0)
-    seen: dict[bytes, int] = {}
-    texts = [buckets_of(t, BUCKETS, seen) for t in rows["text"]]
+        columns = FILTERS * sum(WIDTHS)
+        return Model(np.zeros((BUCKETS + 1, columns), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0)
+    vocabulary = Vocabulary()
+    texts = [vocabulary.numbers(t) for t in rows["text"]]
+    pieces = np.array(vocabulary.pieces, np.int32)
     marks = (rows["__toxic"].to_numpy() > 0).astype(np.float32)
     fold = np.array([zlib.crc32(b"fold" + str(i).encode()) % 5 == 0 for i in rows["doc_id"]])
     if fold.all() or not fold.any():
         fold[:] = False
     learn = np.flatnonzero(~fold)
-    model = fit([texts[i] for i in learn], marks[learn])
+    model = fit([texts[i] for i in learn], pieces, marks[learn])
     proof = np.flatnonzero(fold) if fold.any() else learn
-    model.thresholds = calibrate(model.scores([texts[i] for i in proof]), marks[proof], [rows["__lang"].iloc[i] for i in proof])
+    model.thresholds = calibrate(model.scorer()([rows["text"].iloc[i] for i in proof]), marks[proof], [rows["__lang"].iloc[i] for i in proof])
     return model
 
 
@@ -200,10 +252,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     wanted = [c for c in (docs.columns if keep is None else keep) if c.lower() != "toxicity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+        scores = sent.value.scorer()
         for batch in batches:
-            texts = [buckets_of(t.as_py(), sent.value.buckets, seen) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sent.value.scores(texts), pa.float64())], names=[*wanted, "toxicity"])
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores(texts), pa.float64())], names=[*wanted, "toxicity"])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in wanted), "toxicity double"])

@@ -66,7 +66,7 @@ def _strength(rate_gap: Column, parent_rate: Column, n: Column) -> Column:
     total, children = F.sum(n), F.count_if(n > 0)
     spread = F.sum(n * rate_gap * rate_gap)
     noise = F.max(parent_rate * (1 - parent_rate))
-    room = total - F.sum(n * n) / total
+    room = total - F.sum(n * n) / F.nullif(total, F.lit(0.0))
     between = F.when(room > 0, (spread - noise * (children - 1)) / room)
     fitted = F.when(between > 0, noise / between - 1).otherwise(F.lit(STRONGEST))
     return F.coalesce(F.least(F.greatest(fitted, F.lit(WEAKEST)), F.lit(STRONGEST)), F.lit(STRONGEST))
