@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evigraph-"))
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     found by an aggregate that is combined before the shuffle, so hubs don't gather in one task.  Each round is cut to the
     checkpoint folder."""
     start = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    current = _cut(start.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    current = cut(start.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
     before = None
     while True:
         both = current.union(current.select(F.col("y").alias("x"), F.col("x").alias("y")))
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         met = large.join(least, "x")
         small = met.select(F.col("y").alias("x"), F.col("m").alias("y")).union(least.select("x", F.col("m").alias("y"))).where("x <> y").distinct()
-        current = _cut(small)
+        current = cut(small)
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if now == before:
             break
