@@ -112,10 +112,28 @@ def rebuilt_abstract(index: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spots), lambda s: s["word"]), " ")
 
 
-@F.pandas_udf(DoubleType())
-def match_ratio(new: pd.Series, existing: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio; not symmetric, the new string comes first."""
-    return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(new, existing)], dtype="float64")
+def match_above(new: Column, existing: Column, least: float) -> Column:
+    """The Ratcliff-Obershelp ratio where it passes ``least``, else 0; not symmetric, the new string comes first.
+
+    Cheap upper bounds, by length and by letters, come before the ratio itself."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(new: pd.Series, existing: pd.Series) -> pd.Series:
+        matcher, last, out = SequenceMatcher(), None, []
+        for a, b in zip(new, existing):
+            if a is None or b is None:
+                out.append(0.0)
+                continue
+            if b != last:
+                matcher.set_seq2(b)
+                last = b
+            matcher.set_seq1(a)
+            likely = matcher.real_quick_ratio() > least and matcher.quick_ratio() > least
+            found = matcher.ratio() if likely else 0.0
+            out.append(found if found > least else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return ratio(new, existing)
 
 
 def may_match(a: Column, b: Column, ratio: float) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import constants as C
 from evigraph.functions import text as T
-from evigraph.operators.components import connected_components
+from evigraph.operators.components import connected_components, cut
 from evigraph.operators.vectors import similar_pairs
 
 
@@ -87,7 +87,7 @@ def resolve_entities(nodes: DataFrame, ratio: float = C.NAME_RATIO) -> DataFrame
     left = x.withColumn("band", band(F.col("nx")))
     right = y.withColumn("band", F.explode(F.array(band(F.col("ny")) - 1, band(F.col("ny")), band(F.col("ny")) + 1)))
     near = left.join(right, ["node_type", "band"]).where((F.col("early") < F.col("late")) & T.may_match(F.col("x"), F.col("y"), ratio))
-    pairs = near.withColumn("r", T.match_ratio("x", "y")).where(F.col("r") > ratio).select("late", "early")
+    pairs = cut(near.where(T.match_above(F.col("x"), F.col("y"), ratio) > 0).select("late", "early"))
     grouped = connected_components(pairs.select(F.col("late").alias("a"), F.col("early").alias("b"))).select(F.col("node").alias("late"), "component")
 
     def lead(group: pd.DataFrame) -> pd.DataFrame:

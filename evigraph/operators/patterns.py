@@ -113,7 +113,7 @@ def capped_bridges(candidates: DataFrame, hub: int = 2, top: int = C.TOP) -> Dat
     def take(group: pd.DataFrame) -> pd.DataFrame:
         used: dict[str, int] = {}
         kept = []
-        for i, row in enumerate(group.sort_values(["score", "u", "v"], ascending=[False, True, True]).itertuples(index=False)):
+        for row in group.sort_values(["score", "u", "v"], ascending=[False, True, True])[names].itertuples(index=False):
             if len(kept) < top and all(used.get(x, 0) < hub for x in (row.name_u, row.name_v)):
                 kept.append(row)
                 for x in (row.name_u, row.name_v):
@@ -122,7 +122,7 @@ def capped_bridges(candidates: DataFrame, hub: int = 2, top: int = C.TOP) -> Dat
 
     # Of what is left, the first rows by score suffice: each taken bridge can block at most the candidates of two names.
     few = few.orderBy(F.desc("score"), "u", "v").limit(top * (1 + 2 * reach)).select(*names)
-    return few.groupBy(F.lit(1)).applyInPandas(take, few.schema)
+    return few.withColumn("list", F.lit(0)).groupBy("list").applyInPandas(take, few.schema)
 
 
 def dedup_contradictions(candidates: DataFrame, assertions: DataFrame, least: float = C.DUPLICATE_COSINE, order: str = "id") -> DataFrame:

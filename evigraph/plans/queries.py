@@ -121,7 +121,7 @@ _LINE = lambda n: _STRIP.format(f"split_part(abstract, chr(10), {n})").replace("
 _WORD = lambda n: f"regexp_replace(split_part(abstract, ' ', {n}), '[^A-Za-z]', '', 'g')"
 _NODES = f"""{V.SRC_DOCUMENTS},
 ids AS (SELECT *, chr(1) AS z FROM src),
-nodes AS (SELECT doc_ord, 0 AS kind, 0 AS at, sha256(doc_ord::VARCHAR || z || 'doc' || z || '0') AS id, 'source_document' AS node_type, title AS name, substr(abstract, 1, 500) AS description FROM ids
+nodes AS (SELECT doc_ord, 0 AS kind, 0 AS "at", sha256(doc_ord::VARCHAR || z || 'doc' || z || '0') AS id, 'source_document' AS node_type, title AS name, substr(abstract, 1, 500) AS description FROM ids
   {''.join(f" UNION ALL SELECT doc_ord, 1, {n - 1}, sha256(doc_ord::VARCHAR || z || 'assertion' || z || '{n - 1}'), 'assertion', substr({_LINE(n)}, 1, 100), {_LINE(n)} FROM ids WHERE {_LINE(n)} <> ''" for n in (1, 2))}
   {''.join(f" UNION ALL SELECT doc_ord, 2, {n - 1}, sha256(doc_ord::VARCHAR || z || 'entity' || z || '{n - 1}'), CASE (doc_ord + {n}) % 4 WHEN 0 THEN 'concept' WHEN 1 THEN 'artifact' WHEN 2 THEN 'actor' ELSE 'concept' END, {_WORD(n)}, '' FROM ids WHERE {_WORD(n)} <> ''" for n in (1, 2, 3))})"""
 
@@ -136,11 +136,11 @@ _PHRASES = ("the and", "of the", "de la")
 
 @register("extract_edges", f"""WITH {_NODES},
 d AS (SELECT doc_ord, id AS src FROM nodes WHERE kind = 0),
-named AS (SELECT doc_ord, name, max_by(id, kind * 1000 + at) AS id FROM nodes WHERE kind > 0 GROUP BY 1, 2)
-SELECT n.doc_ord, n.kind, n.at, d.src, n.id AS dst, CASE n.kind WHEN 1 THEN 'asserts' ELSE 'associated_with' END AS edge_type FROM nodes n JOIN d USING (doc_ord) WHERE n.kind > 0
+named AS (SELECT doc_ord, name, max_by(id, kind * 1000 + "at") AS id FROM nodes WHERE kind > 0 GROUP BY 1, 2)
+SELECT n.doc_ord, n.kind, n."at", d.src, n.id AS dst, CASE n.kind WHEN 1 THEN 'asserts' ELSE 'associated_with' END AS edge_type FROM nodes n JOIN d USING (doc_ord) WHERE n.kind > 0
 UNION ALL SELECT i.doc_ord, 3, 0, s.id, t.id, CASE WHEN i.doc_ord % 2 = 0 THEN 'extends' ELSE 'co_occurs' END FROM ids i JOIN named s ON s.doc_ord = i.doc_ord AND s.name = {_WORD(1)}
   JOIN named t ON t.doc_ord = i.doc_ord AND t.name = {_WORD(2)}
-UNION ALL SELECT a.doc_ord, 4, a.at * 1000 + e.at, a.id, e.id, 'recommends' FROM nodes a JOIN nodes e ON a.doc_ord = e.doc_ord AND a.kind = 1 AND e.kind = 2 AND length(e.name) >= 4
+UNION ALL SELECT a.doc_ord, 4, a."at" * 1000 + e."at", a.id, e.id, 'recommends' FROM nodes a JOIN nodes e ON a.doc_ord = e.doc_ord AND a.kind = 1 AND e.kind = 2 AND length(e.name) >= 4
   WHERE regexp_matches(lower(a.description), '{'|'.join(_PHRASES)}') AND contains(lower(a.description), lower(e.name))""")
 def _(spark, sf):
     found = answers(spark, sf)
