@@ -31,7 +31,7 @@ from evigraph.llm.common import table
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 #: Pieces of a word that have embeddings: the word itself, and its first and last bytes in these numbers.
 HEADS, TAILS = (3, 4, 5, 6), (3, 5)
-TRAIN_DOCS, VISITS, RATE, DECAY, BATCH, SEED = 5000, 20_000, 0.02, 1e-4, 32, 7
+TRAIN_DOCS, VISITS, EPOCHS, RATE, DECAY, DROPOUT, BATCH, SEED = 5000, 20_000, 40, 0.02, 3e-4, 0.1, 32, 7
 THRESHOLD = 0.3
 #: Calibrated thresholds stay between these.
 BOUNDS = (0.2, 0.8)
@@ -131,7 +131,7 @@ def pool(texts: list[np.ndarray], products: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[np.ndarray], pieces: np.ndarray, labels: np.ndarray, visits: int = VISITS, rate: float = RATE, seed: int = SEED) -> Model:
-    """Adam on the logistic loss, until texts have been visited ``visits`` times in all; the gradient of a maximum goes to
+    """Adam on the logistic loss, until texts have been visited ``visits`` times in all or ``EPOCHS`` times each; the gradient of a maximum goes to
     the words that gave it.
 
     ``texts`` are word numbers, ``pieces`` has the table rows of each number."""
@@ -145,12 +145,13 @@ def fit(texts: list[np.ndarray], pieces: np.ndarray, labels: np.ndarray, visits:
     out_bias = np.array([np.log((share + 1e-3) / (1 - share + 1e-3))], np.float32)
     parameters = [table_, *filters, bias, out, out_bias]
     first, second = ([np.zeros_like(p) for p in parameters] for _ in range(2))
-    step, epochs = 0, -(-visits // max(1, len(texts)))
+    step, epochs = 0, min(EPOCHS, -(-visits // max(1, len(texts))))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            rows, starts = layout([texts[i] for i in some])
+            # Some words are left out at random, so that no text is known by a word that only it has.
+            rows, starts = layout([np.where(rng.random(len(texts[i])) < DROPOUT, 0, texts[i]) for i in some])
             ends = np.append(starts[1:], len(rows))
             present, local = np.unique(rows, return_inverse=True)
             vectors = table_[pieces[present]].mean(axis=1)
