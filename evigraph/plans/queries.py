@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
 from evigraph.operators import community, corpus, extract, graph, patterns, report, vectors, verify
+from evigraph.operators.components import cut
 from evigraph.plans import views as V
 from evigraph.sources import connectors
 from evigraph.streaming import events as S
@@ -113,7 +114,8 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     rel = F.struct(word(1).alias("source_name"), word(2).alias("target_name"), F.when(F.col("doc_ord") % 2 == 0, "builds_on").otherwise("whatever").alias("relationship_type"))
     body = F.to_json(F.struct(F.array(said(1), said(2)).alias("assertions"), F.array(named(1), named(2), named(3)).alias("entities"), F.array(rel).alias("relationships")))
     raw = F.when(F.col("doc_ord") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    return extract.parsed(docs.select("doc_ord", "title", "abstract", raw.alias("raw")))
+    # A stage: answers are parsed once, whatever is made of them.
+    return cut(extract.parsed(docs.select("doc_ord", "title", "abstract", raw.alias("raw"))).drop("raw"))
 
 
 _STRIP = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
@@ -144,7 +146,7 @@ UNION ALL SELECT a.doc_ord, 4, a."at" * 1000 + e."at", a.id, e.id, 'recommends'
   WHERE regexp_matches(lower(a.description), '{'|'.join(_PHRASES)}') AND contains(lower(a.description), lower(e.name))""")
 def _(spark, sf):
     found = answers(spark, sf)
-    return extract.edges_of(found, extract.nodes_of(found), _PHRASES)
+    return extract.edges_of(found, cut(extract.nodes_of(found)), _PHRASES)
 
 
 # Sources
