@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import shards_for, table
+from evigraph.llm.common import SALTS, shards_for, table
 
 LENGTH, GRAM = 50, 20
 GROUP_BYTES = 4_000_000
@@ -41,6 +41,8 @@ GROUP_BYTES = 4_000_000
 SHARD_BYTES = 16_000_000
 LAST = np.iinfo(np.int64).max
 LOW40 = np.uint64((1 << 40) - 1)
+#: Minimizers are compared by their hash's upper half, the same for all groups; the lower half gives way to the position.
+PLACE = np.uint64((1 << 32) - 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -93,9 +95,8 @@ class Group:
         if len(data) < LENGTH:
             return (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
         hashes = gram_hashes(data)
-        mask = np.uint64((1 << len(hashes).bit_length()) - 1)
-        packed = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
-        place = (window_minima(packed, LENGTH - GRAM + 1) & mask).astype(np.int64)
+        packed = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
+        place = (window_minima(packed, LENGTH - GRAM + 1) & PLACE).astype(np.int64)
         del packed
         # Windows that reach into the next document aren't any.
         whole = np.zeros(len(place) + 1, np.int8)
@@ -178,18 +179,39 @@ def _split(pointers: np.ndarray, spots: np.ndarray, later: np.ndarray) -> tuple[
     return spots[order], np.cumsum(fresh) - 1
 
 
-def repeated_windows(stretches: list[bytes], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of distinct stretches: its stretch and the smallest document that any equal window is from."""
+def crowded_buckets(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which stretches share their bucket, the minimizer that all their windows have, with another stretch."""
+    hashes = gram_hashes(data)
+    packed = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
+    # Grams that reach over a stretch's end don't count.
+    bounds = np.stack((begins, begins + sizes - GRAM + 1), axis=1).ravel()
+    place = (np.minimum.reduceat(packed, bounds)[::2] & PLACE).astype(np.int64)
+    _, inverse, counts = np.unique(hashes[place], return_inverse=True, return_counts=True)
+    return counts[inverse] > 1
+
+
+def repeated_windows(stretches: list[bytes], firsts: np.ndarray) -> np.ndarray:
+    """For each window of distinct stretches: the smallest document that any equal window is from.
+
+    The windows of a stretch that is alone in its bucket equal no others, and aren't sorted."""
     sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+    smallest = np.repeat(firsts, sizes - LENGTH + 1)
     data = np.frombuffer(b"".join(stretches) + bytes(72), np.uint8)
-    begins = np.cumsum(sizes) - sizes
+    crowded = crowded_buckets(data, np.cumsum(sizes) - sizes, sizes)
+    if not crowded.any():
+        return smallest
+    into = np.repeat(crowded, sizes - LENGTH + 1)
+    some = [x for x, c in zip(stretches, crowded.tolist()) if c]
+    sizes, firsts = sizes[crowded], firsts[crowded]
+    data = np.frombuffer(b"".join(some) + bytes(72), np.uint8)
     counts = sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(stretches)), counts)
-    spots = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + begins[owner]
+    owner = np.repeat(np.arange(len(some)), counts)
+    spots = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + (np.cumsum(sizes) - sizes)[owner]
     pointers = refine(data, spots)
     least = np.full(int(pointers.max()) + 1, LAST)
     np.minimum.at(least, pointers, firsts[owner])
-    return owner, least[pointers]
+    smallest[into] = least[pointers]
+    return smallest
 
 
 def _batch(names: list[str], rows: list[tuple], types: list[pa.DataType]) -> pa.Table:
@@ -203,7 +225,9 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     narrow = docs.where((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull()).select("doc_id", digest.alias("digest"))
     known = narrow.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = narrow.join(known.repartition(docs.sparkSession.sparkContext.defaultParallelism), "digest").where("doc_id > first").select("doc_id", "digest").distinct()
+    # A text that a third of all rows have is spread over salts.
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = narrow.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).where("doc_id > first").select("doc_id", "digest").distinct()
     # Dealt by id and text, so that neither an id nor a text that many rows have gathers all of them.
     group = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(groups)).cast("int").alias("grp")
     whole = docs.select("doc_id", "text", digest.alias("digest")).select(group, F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(0).alias("kind"))
@@ -281,7 +305,7 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
             entries.append(np.array(mine, np.int64))
         counts = np.fromiter(map(len, known), np.int64, len(known)) - LENGTH + 1
         ends = np.cumsum(counts)
-        _, smallest = repeated_windows(list(known), np.array(least, np.int64))
+        smallest = repeated_windows(list(known), np.array(least, np.int64))
         out = []
         for r, mine in zip(held, entries):
             firsts = np.frombuffer(r["firsts"], np.int64)
