@@ -18,6 +18,7 @@ table gives an empty result; extra columns pass through ``score`` unless they ca
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +32,7 @@ from evigraph.llm.common import table
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 #: Pieces of a word that have embeddings: the word itself, and its first and last bytes in these numbers.
 HEADS, TAILS = (3, 4, 5, 6), (3, 5)
+PIECES = 1 + len(HEADS) + len(TAILS)
 TRAIN_DOCS, VISITS, EPOCHS, RATE, DECAY, DROPOUT, BATCH, SEED = 5000, 20_000, 40, 0.02, 3e-4, 0.1, 32, 7
 THRESHOLD = 0.3
 #: Calibrated thresholds stay between these.
@@ -56,7 +58,7 @@ class Vocabulary:
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {b"": 0}
-        self.pieces: list[list[int]] = [[BUCKETS] * (1 + len(HEADS) + len(TAILS))]
+        self.pieces = array("i", [BUCKETS] * PIECES)
 
     def numbers(self, text: str | None) -> np.ndarray:
         number, out = self.number, []
@@ -64,10 +66,15 @@ class Vocabulary:
             n = number.get(word)
             if n is None:
                 n = number[word] = len(number)
-                self.pieces.append(pieces_of(word))
+                self.pieces.extend(pieces_of(word))
             out.append(n)
         return np.array(out, np.int32)
 
+    def taken(self) -> np.ndarray:
+        """The pieces of the words numbered since the last call."""
+        pieces, self.pieces = self.pieces, array("i")
+        return np.frombuffer(pieces, np.int32).reshape(-1, PIECES) if pieces else np.zeros((0, PIECES), np.int32)
+
 
 @dataclass
 class Model:
@@ -91,10 +98,9 @@ class Model:
                 total += len(held[-1])
                 if total < block and i + 1 < len(texts):
                     continue
-                fresh = np.array(vocabulary.pieces, np.int64)
+                fresh = vocabulary.taken()
                 if len(fresh):
-                    table_ = np.concatenate((table_, self.products[fresh].mean(axis=1)))
-                    vocabulary.pieces = []
+                    table_ = np.concatenate((table_, *(self.products[fresh[at : at + 20_000]].mean(axis=1) for at in range(0, len(fresh), 20_000))))
                 pooled.append(pool(held, table_) + self.bias)
                 held, total = [], 0
                 if len(table_) > REMEMBERED:
@@ -235,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
         return Model(np.zeros((BUCKETS + 1, columns), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0)
     vocabulary = Vocabulary()
     texts = [vocabulary.numbers(t) for t in rows["text"]]
-    pieces = np.array(vocabulary.pieces, np.int32)
+    pieces = vocabulary.taken()
     marks = (rows["__toxic"].to_numpy() > 0).astype(np.float32)
     fold = np.array([zlib.crc32(b"fold" + str(i).encode()) % 5 == 0 for i in rows["doc_id"]])
     if fold.all() or not fold.any():
