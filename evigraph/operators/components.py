@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = current.union(current.select(F.col("y").alias("x"), F.col("x").alias("y")))
         # Large star: larger neighbours of x hang on the smallest of x and its neighbours.
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
         # Small star: x and its smaller neighbours hang on the smallest of them.
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         met = large.join(least, "x")

@@ -11,7 +11,7 @@ from evigraph.functions import text as T
 from evigraph.operators import community, corpus, extract, graph, patterns, report, vectors, verify
 from evigraph.operators.components import cut
 from evigraph.plans import views as V
-from evigraph.sources import connectors
+from evigraph.sources import connectors, schemas
 from evigraph.streaming import events as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +166,54 @@ def _(spark, sf):
     return connectors.parse_web(connectors.pages_to_web(V.table(spark, sf, "pages"))).select("source_id", "source_family", "title", "abstract", "source_tier")
 
 
+def service_rows(docs: DataFrame, schema: str, **fields) -> DataFrame:
+    """Documents as a service's JSON, read with its schema."""
+    body = F.to_json(F.struct(*(c.alias(name) for name, c in fields.items())))
+    return docs.select(F.from_json(body, schema).alias("r")).select("r.*")
+
+
+_FIRST = "split_part(text, ' ', 1)"
+
+
+@register("openalex_parse", f"""SELECT 'W' || doc_id AS source_id, {_FIRST} AS title, array_to_string(string_split(text, ' ')[1:3], ' ') AS abstract, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS source_tier,
+  CASE WHEN doc_id % 3 = 0 THEN 'https://doi.org/10.1/' || doc_id ELSE 'https://openalex.org/W' || doc_id END AS source_url, doc_id % 7 AS cited_by_count FROM documents WHERE {_FIRST} <> ''""")
+def _(spark, sf):
+    word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
+    docs = V.table(spark, sf, "documents").withColumn("words", F.slice(F.split("text", " ", -1), 1, 3))
+    spots = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("key"), F.filter(F.transform("words", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("value")))
+    rows = service_rows(
+        docs, schemas.OPENALEX,
+        id=F.concat(F.lit("https://openalex.org/W"), F.col("doc_id").cast("string")), title=word(1), abstract_inverted_index=F.map_from_entries(spots), cited_by_count=F.col("doc_id") % 7,
+        doi=F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), F.col("doc_id").cast("string"))),
+        primary_location=F.struct(F.struct(F.when(F.col("doc_id") % 2 == 0, "journal").otherwise("repository").alias("type")).alias("source")),
+    )
+    return connectors.parse_openalex(rows).select("source_id", "title", "abstract", "source_tier", "source_url", "cited_by_count")
+
+
+@register("semantic_scholar_parse", f"""SELECT 'p' || doc_id AS source_id, {_FIRST} AS title, CASE WHEN doc_id % 2 = 0 THEN 'short' ELSE substr(text, 1, 20) END AS abstract,
+  CASE WHEN doc_id % 3 = 0 THEN 'https://doi.org/10.1/' || doc_id ELSE 'https://www.semanticscholar.org/paper/p' || doc_id END AS source_url,
+  CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi, (2000 + doc_id % 20)::VARCHAR AS publication_date FROM documents WHERE {_FIRST} <> ''""")
+def _(spark, sf):
+    number = F.col("doc_id").cast("string")
+    rows = service_rows(
+        V.table(spark, sf, "documents"), schemas.SEMANTIC_SCHOLAR,
+        paperId=F.concat(F.lit("p"), number), title=F.split_part("text", F.lit(" "), F.lit(1)), abstract=F.when(F.col("doc_id") % 2 == 1, F.substring("text", 1, 20)), year=2000 + F.col("doc_id") % 20,
+        tldr=F.struct(F.lit("short").alias("text")), externalIds=F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("DOI"), F.concat(F.lit("10.1/"), number))),
+    )
+    return connectors.parse_semantic_scholar(rows).select("source_id", "title", "abstract", "source_url", "doi", "publication_date")
+
+
+@register("github_parse", """SELECT 'o/r' || part.p_partkey AS source_id, 'code' AS source_family, 'https://h/' || part.p_partkey AS source_url, p_partkey % 11 AS cited_by_count, '2020-01-02' AS publication_date FROM part""")
+def _(spark, sf):
+    number = F.col("p_partkey").cast("string")
+    rows = service_rows(
+        V.table(spark, sf, "part"), schemas.GITHUB,
+        full_name=F.concat(F.lit("o/r"), number), html_url=F.concat(F.lit("https://h/"), number), stargazers_count=F.col("p_partkey") % 11, pushed_at=F.lit("2020-01-02T03:04:05Z"),
+        owner=F.struct(F.lit("o").alias("login")),
+    )
+    return connectors.parse_github(rows).select("source_id", "source_family", "source_url", "cited_by_count", "publication_date")
+
+
 # Vectors and graph
 
 
