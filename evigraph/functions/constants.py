@@ -48,4 +48,4 @@ DROPPED_VERDICTS = ("apparent", "apparent_only", "not_contradiction", "no_contra
 
 TITLE_RATIO, NAME_RATIO, MERGE_COSINE, RELEVANCE = 0.9, 0.75, 0.85, 0.25
 PAIR_COSINE, CONTRADICTION_P, PAIR_LIMIT, DUPLICATE_COSINE = 0.4, 0.7, 2000, 0.8
-BRIDGE_BAND, TOP = (0.4, 0.8), 10
+BRIDGE_BAND, BRIDGE_NEAR, TOP = (0.4, 0.8), 0.7, 10

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,32 +97,39 @@ def bridge_candidates(pairs: DataFrame, nodes: DataFrame, community: DataFrame,
     met = met.where(~T.shares_words(F.col("name_u"), F.col("name_v")) & (F.size("embedding_u") == F.size("embedding_v")))
     near = met.withColumn("similarity", T.cosine(F.col("embedding_u"), F.col("embedding_v"))).where(F.col("similarity").between(*band))
     top = F.greatest("centrality_u", "centrality_v")
-    return near.select(F.col("a").alias("u"), F.col("b").alias("v"), "name_u", "name_v", "similarity", top.alias("centrality"), (0.6 * F.col("similarity") + 0.4 * top).alias("score"))
+    return near.select(F.col("a").alias("u"), F.col("b").alias("v"), "name_u", "name_v", "embedding_u", "embedding_v", "similarity", top.alias("centrality"), (0.6 * F.col("similarity") + 0.4 * top).alias("score"))
 
 
-def capped_bridges(candidates: DataFrame, hub: int = 2, top: int = C.TOP) -> DataFrame:
-    """The best candidates with each name in at most ``hub`` of those taken.
+def _cosine(a, b) -> float:
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    norms = float(np.linalg.norm(x) * np.linalg.norm(y)) if x.shape == y.shape else 0.0
+    return float(x @ y) / norms if norms else 0.0
 
-    Taking is greedy, so it is replayed in order; only candidates that can matter are replayed.  A name's candidates
-    below its first 2 * ``top`` * ``hub`` ones can't be reached before the list is full."""
-    reach = 2 * top * hub
-    rank = lambda e: F.row_number().over(Window.partitionBy(f"name_{e}").orderBy(F.desc("score"), "u", "v"))
-    few = candidates.withColumn("ru", rank("u")).withColumn("rv", rank("v")).where((F.col("ru") <= reach) & (F.col("rv") <= reach))
-    names = ["u", "v", "name_u", "name_v", "similarity", "centrality", "score"]
 
-    def take(group: pd.DataFrame) -> pd.DataFrame:
+def capped_bridges(candidates: DataFrame, hub: int = 2, top: int = C.TOP, near: float = C.BRIDGE_NEAR, at_once: int = 1000) -> DataFrame:
+    """The best candidates, with each name in at most ``hub`` and no pair of ends near to that of a better one.
+
+    Taking is greedy, so it is replayed in order of score: first the hub cap, then nearness to those that stay, straight or
+    crossed.  Only the best ``at_once`` rows are read, and twice as many as before while too few of them stay."""
+    shown = [c for c in candidates.columns if not c.startswith("embedding_")]
+    known = len(shown) < len(candidates.columns)
+    while True:
+        rows = candidates.orderBy(F.desc("score"), "u", "v").limit(at_once).collect()
         used: dict[str, int] = {}
-        kept = []
-        for row in group.sort_values(["score", "u", "v"], ascending=[False, True, True])[names].itertuples(index=False):
-            if len(kept) < top and all(used.get(x, 0) < hub for x in (row.name_u, row.name_v)):
+        kept: list = []
+        for row in rows:
+            if len(kept) == top:
+                break
+            if max(used.get(row.name_u, 0), used.get(row.name_v, 0)) >= hub:
+                continue
+            for name in (row.name_u, row.name_v):
+                used[name] = used.get(name, 0) + 1
+            ends = [(row.embedding_u, row.embedding_v), (row.embedding_v, row.embedding_u)] if known else []
+            if not any(_cosine(x, k.embedding_u) > near and _cosine(y, k.embedding_v) > near for k in kept for x, y in ends):
                 kept.append(row)
-                for x in (row.name_u, row.name_v):
-                    used[x] = used.get(x, 0) + 1
-        return pd.DataFrame(kept, columns=names)
-
-    # Of what is left, the first rows by score suffice: each taken bridge can block at most the candidates of two names.
-    few = few.orderBy(F.desc("score"), "u", "v").limit(top * (1 + 2 * reach)).select(*names)
-    return few.withColumn("list", F.lit(0)).groupBy("list").applyInPandas(take, few.schema)
+        if len(kept) == top or len(rows) < at_once:
+            return candidates.sparkSession.createDataFrame([tuple(r[c] for c in shown) for r in kept], candidates.select(*shown).schema)
+        at_once *= 2
 
 
 def dedup_contradictions(candidates: DataFrame, assertions: DataFrame, least: float = C.DUPLICATE_COSINE, order: str = "id") -> DataFrame:

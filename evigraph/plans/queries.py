@@ -152,11 +152,16 @@ def _(spark, sf):
 # Sources
 
 
-@register("inverted_abstract", """SELECT doc_id, array_to_string(string_split(text, ' ')[1:50], ' ') AS abstract FROM documents""")
+def inverted(docs: DataFrame) -> DataFrame:
+    """(doc_id, index): the positions of each word of whole texts."""
+    spots = docs.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("at", "word"))
+    entries = spots.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("at")).alias("spots"))
+    return entries.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "spots"))).alias("index"))
+
+
+@register("inverted_abstract", """SELECT doc_id, text AS abstract FROM documents""")
 def _(spark, sf):
-    docs = V.table(spark, sf, "documents").select("doc_id", F.slice(F.split("text", " ", -1), 1, 50).alias("words"))
-    spots = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("key"), F.filter(F.transform("words", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("value")))
-    return docs.select("doc_id", T.rebuilt_abstract(F.map_from_entries(spots)).alias("abstract"))
+    return inverted(V.table(spark, sf, "documents")).select("doc_id", T.rebuilt_abstract(F.col("index")).alias("abstract"))
 
 
 @register("web_pages_to_docs", """WITH t AS (SELECT url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
@@ -175,29 +180,29 @@ def service_rows(docs: DataFrame, schema: str, **fields) -> DataFrame:
 _FIRST = "split_part(text, ' ', 1)"
 
 
-@register("openalex_parse", f"""SELECT 'W' || doc_id AS source_id, {_FIRST} AS title, array_to_string(string_split(text, ' ')[1:3], ' ') AS abstract, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS source_tier,
+@register("openalex_parse", f"""SELECT 'W' || doc_id AS source_id, {_FIRST} AS title, text AS abstract, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS source_tier,
   CASE WHEN doc_id % 3 = 0 THEN 'https://doi.org/10.1/' || doc_id ELSE 'https://openalex.org/W' || doc_id END AS source_url, doc_id % 7 AS cited_by_count FROM documents WHERE {_FIRST} <> ''""")
 def _(spark, sf):
     word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
-    docs = V.table(spark, sf, "documents").withColumn("words", F.slice(F.split("text", " ", -1), 1, 3))
-    spots = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("key"), F.filter(F.transform("words", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("value")))
+    documents = V.table(spark, sf, "documents")
+    docs = documents.join(inverted(documents), "doc_id")
     rows = service_rows(
         docs, schemas.OPENALEX,
-        id=F.concat(F.lit("https://openalex.org/W"), F.col("doc_id").cast("string")), title=word(1), abstract_inverted_index=F.map_from_entries(spots), cited_by_count=F.col("doc_id") % 7,
+        id=F.concat(F.lit("https://openalex.org/W"), F.col("doc_id").cast("string")), title=word(1), abstract_inverted_index=F.col("index"), cited_by_count=F.col("doc_id") % 7,
         doi=F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), F.col("doc_id").cast("string"))),
         primary_location=F.struct(F.struct(F.when(F.col("doc_id") % 2 == 0, "journal").otherwise("repository").alias("type")).alias("source")),
     )
     return connectors.parse_openalex(rows).select("source_id", "title", "abstract", "source_tier", "source_url", "cited_by_count")
 
 
-@register("semantic_scholar_parse", f"""SELECT 'p' || doc_id AS source_id, {_FIRST} AS title, CASE WHEN doc_id % 2 = 0 THEN 'short' ELSE substr(text, 1, 20) END AS abstract,
+@register("semantic_scholar_parse", f"""SELECT 'p' || doc_id AS source_id, {_FIRST} AS title, CASE WHEN doc_id % 2 = 0 THEN 'short' ELSE text END AS abstract,
   CASE WHEN doc_id % 3 = 0 THEN 'https://doi.org/10.1/' || doc_id ELSE 'https://www.semanticscholar.org/paper/p' || doc_id END AS source_url,
   CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id END AS doi, (2000 + doc_id % 20)::VARCHAR AS publication_date FROM documents WHERE {_FIRST} <> ''""")
 def _(spark, sf):
     number = F.col("doc_id").cast("string")
     rows = service_rows(
         V.table(spark, sf, "documents"), schemas.SEMANTIC_SCHOLAR,
-        paperId=F.concat(F.lit("p"), number), title=F.split_part("text", F.lit(" "), F.lit(1)), abstract=F.when(F.col("doc_id") % 2 == 1, F.substring("text", 1, 20)), year=2000 + F.col("doc_id") % 20,
+        paperId=F.concat(F.lit("p"), number), title=F.split_part("text", F.lit(" "), F.lit(1)), abstract=F.when(F.col("doc_id") % 2 == 1, F.col("text")), year=2000 + F.col("doc_id") % 20,
         tldr=F.struct(F.lit("short").alias("text")), externalIds=F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("DOI"), F.concat(F.lit("10.1/"), number))),
     )
     return connectors.parse_semantic_scholar(rows).select("source_id", "title", "abstract", "source_url", "doi", "publication_date")

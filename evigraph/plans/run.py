@@ -111,9 +111,16 @@ class Run:
         said = nodes.where("node_type = 'assertion'")
         found = patterns.scored_pairs(said, self.scorer, self.thresholds["pair"])
         found = patterns.refine(found, self.verdict() if self.verdict else None)
-        met = found.join(self._items(said, "a"), "a").join(self._items(said, "b", "counters"), "b")
+        found = write_stage(found, self.folder, "contradictions_found")
+        # Up to three assertions on either side follow the two that contradict each other.
+        more = patterns.corroborators(found, said).join(self._items(said, "k", length=200), "k")
+        side = lambda s: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct((-F.col("similarity")).alias("s"), "k", "k_item")))), lambda x: x["k_item"])
+        more = more.groupBy("a", "b").agg(side("a").alias("with_a"), side("b").alias("with_b"))
+        met = found.join(self._items(said, "a"), "a").join(self._items(said, "b", "counters"), "b").join(more, ["a", "b"], "left")
+        none = F.array().cast(f"array<{patterns.EVIDENCE}>")
+        met = met.withColumns({"a_items": F.concat(F.array("a_item"), F.coalesce("with_a", none)), "b_items": F.concat(F.array("b_item"), F.coalesce("with_b", none))})
         key = F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string"))
-        return self._pattern(met, "contradiction", key, F.concat(F.lit("Contradiction "), key), F.array("a_item"), F.array("b_item"), F.col("confidence"))
+        return self._pattern(met, "contradiction", key, F.concat(F.lit("Contradiction "), key), F.col("a_items"), F.col("b_items"), F.col("confidence"))
 
     def drift(self, nodes: DataFrame) -> DataFrame:
         dated = nodes.where("node_type = 'assertion'").withColumn("year", T.year_of(F.col("publication_date"))).where("year is not null")

@@ -22,7 +22,7 @@ def src_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
         family.alias("source_family"),
         F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
-        F.substring("text", 1, 2000).alias("abstract"),
+        F.col("text").alias("abstract"),
         date.alias("publication_date"),
         F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.md5("text")).alias("doi"),
         F.lit(None).cast("string").alias("openalex_id"),
@@ -34,7 +34,7 @@ def src_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SRC_DOCUMENTS = """src AS (SELECT d.doc_id AS doc_ord, 'd' || d.doc_id::VARCHAR AS id,
   CASE substr(d.source, 4)::INTEGER % 4 WHEN 0 THEN 'scholarly' WHEN 1 THEN 'code' WHEN 2 THEN 'web' ELSE 'social' END AS source_family,
-  substr(split_part(d.text, chr(10), 1), 1, 80) AS title, substr(d.text, 1, 2000) AS abstract,
+  substr(split_part(d.text, chr(10), 1), 1, 80) AS title, d.text AS abstract,
   (DATE '2018-01-01' + ((d.doc_id * 7) % 2555)::INTEGER)::VARCHAR AS publication_date,
   CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE md5(d.text) END AS doi, (d.doc_id * 31) % 997 AS cited_by_count,
   coalesce(l.quality, 0) = 1 AND coalesce(l.toxic, 0) = 0 AS is_peer_reviewed
