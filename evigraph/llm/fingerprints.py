@@ -31,83 +31,71 @@ SAMPLES, SEED = 64, 42
 RANGE_CHARS = 16_000_000
 CELLS = 65_536
 FIRST_KEY = -(1 << 63)
+#: Texts whose terms are drawn together.
+TOGETHER = 128
+
+
+def _quantiles() -> tuple[np.ndarray, np.ndarray]:
+    """Gamma(2, 1) at the middles of 2**16 equal shares, and its logarithm, by bisection of 1 - (1 + x) exp(-x)."""
+    share = (np.arange(1 << 16) + 0.5) / (1 << 16)
+    low, high = np.zeros(1 << 16), np.full(1 << 16, 40.0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        under = 1 - (1 + middle) * np.exp(-middle) < share
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return low.astype(np.float32), np.log(low).astype(np.float32)
+
+
+GAMMA, LOG_GAMMA = _quantiles()
 
 
 class Sampler:
-    """Draws of terms, remembered for a bounded number of them."""
-
-    def __init__(self, samples: int = SAMPLES, most: int = 100_000) -> None:
-        self.samples, self.most = samples, most
-        self.number: dict[bytes, int] = {}
-        self.grown = 0
-        self.tables = [np.empty((0, samples), np.float32) for _ in range(4)]
-        self.tokens = np.empty((0, samples), np.uint16)
-        rng = np.random.default_rng(SEED)
-        self.salts = rng.integers(1, 1 << 63, (5, samples), np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def _uniform(self, hashes: np.ndarray, which: int) -> np.ndarray:
-        """Numbers in (0, 1), terms x samples."""
-        z = hashes[:, None] * self.salts[which]
+    """Signatures of texts; terms that several texts of one call share are drawn once."""
+
+    def __init__(self, samples: int = SAMPLES) -> None:
+        self.samples = samples
+        self.salts = np.random.default_rng(SEED).integers(1, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def draws(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """r, b, ln c and a 16-bit name, terms x samples, from 64 bits for each."""
+        z = hashes[:, None] * self.salts
         z ^= z >> np.uint64(31)
         z *= np.uint64(0xBF58476D1CE4E5B9)
         z ^= z >> np.uint64(29)
         z *= np.uint64(0x94D049BB133111EB)
-        return ((z >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
-
-    def grow(self) -> None:
-        """Draws of the terms numbered since the last call."""
-        fresh = list(self.number)[self.grown :]
-        if not fresh:
-            return
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in fresh), np.uint64, len(fresh))
-        r = -np.log(self._uniform(hashes, 0) * self._uniform(hashes, 1))
-        log_c = np.log(-np.log(self._uniform(hashes, 2) * self._uniform(hashes, 3)))
-        b = self._uniform(hashes, 4)
-        made = [r, b, log_c, log_c - r * (1 - b)]
-        tokens = (hashes[:, None] * self.salts[0] >> np.uint64(48)).astype(np.uint16)
-        have = len(self.tables[0])
-        if have < len(self.number):  # room for twice as many
-            grown = max(2 * len(self.number), 4096)
-            self.tables = [np.concatenate((t[: self.grown], np.empty((grown - self.grown, self.samples), np.float32))) for t in self.tables]
-            self.tokens = np.concatenate((self.tokens[: self.grown], np.empty((grown - self.grown, self.samples), np.uint16)))
-        span = slice(self.grown, len(self.number))
-        for t, m in zip(self.tables, made):
-            t[span] = m
-        self.tokens[span] = tokens
-        self.grown = len(self.number)
+        z ^= z >> np.uint64(32)
+        parts = z.view(np.uint16).reshape(*z.shape, 4)
+        return GAMMA[parts[..., 0]], (parts[..., 1] + np.float32(0.5)) / np.float32(1 << 16), LOG_GAMMA[parts[..., 2]], parts[..., 3]
 
     def signatures(self, texts: list[bytes]) -> np.ndarray:
         """texts x samples of 16-bit samples."""
         out = np.zeros((len(texts), self.samples), np.uint16)
-        for i, text in enumerate(texts):
-            if len(self.number) > self.most:
-                self.number.clear()
-                self.grown = 0
-                self.tables = [t[:0] for t in self.tables]
-                self.tokens = self.tokens[:0]
-            number = self.number
-            terms = [number.setdefault(w, len(number)) for w in text.lower().split()]
-            if not terms:
+        number: dict[bytes, int] = {}
+        terms = [np.array([number.setdefault(w, len(number)) for w in text.lower().split()], np.int64) for text in texts]
+        if not number:
+            return out
+        r, b, log_c, names = self.draws(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in number), np.uint64, len(number)))
+        single = log_c - r * (1 - b)
+        every = np.arange(self.samples)
+        for i, mine in enumerate(terms):
+            if not len(mine):
                 continue
-            self.grow()
-            rows, weights = np.unique(np.array(terms, np.int64), return_counts=True)
-            once = rows[weights == 1]
-            r, b, log_c, single = self.tables
+            counts = np.bincount(mine)
+            rows = np.flatnonzero(counts)
+            counts = counts[rows]
+            once, often = rows[counts == 1], rows[counts > 1]
             best = np.full(self.samples, np.inf, np.float32)
             if len(once):
                 values = single[once]
-                at = np.argmin(values, axis=0)
-                best = values[at, np.arange(self.samples)]
-                out[i] = self.tokens[once[at], np.arange(self.samples)]
-            often = rows[weights > 1]
+                at = values.argmin(axis=0)
+                best, out[i] = values[at, every], names[once[at], every]
             if len(often):
-                log_w = np.log(weights[weights > 1]).astype(np.float32)[:, None]
-                step = np.floor(log_w / r[often] + b[often])
-                values = log_c[often] - r[often] * (step - b[often] + 1)
-                at = np.argmin(values, axis=0)
-                low = values[at, np.arange(self.samples)]
-                token = self.tokens[often[at], np.arange(self.samples)] + (step[at, np.arange(self.samples)].astype(np.int64) * 40503).astype(np.uint16)
-                out[i] = np.where(low < best, token, out[i])
+                of_r, of_b = r[often], b[often]
+                step = np.floor(np.log(counts[counts > 1]).astype(np.float32)[:, None] / of_r + of_b)
+                values = log_c[often] - of_r * (step - of_b + 1)
+                at = values.argmin(axis=0)
+                name = names[often[at], every] + (step[at, every].astype(np.int64) * 40503).astype(np.uint16)
+                out[i] = np.where(values[at, every] < best, name, out[i])
         return out
 
 
@@ -130,7 +118,8 @@ def fingerprint_texts(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         sampler = Sampler(samples)
         for batch in batches:
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(to_hex(sampler.signatures(texts)), pa.string())], names=[*kept, "fingerprint"])
+            signed = [h for at in range(0, len(texts), TOGETHER) for h in to_hex(sampler.signatures(texts[at : at + TOGETHER]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(signed, pa.string())], names=[*kept, "fingerprint"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "fingerprint string"])
     return docs.select(*(F.col(f"`{c}`") for c in kept), F.col("text").alias("__text")).mapInArrow(run, schema)
@@ -182,32 +171,36 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, per_range: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(samples)
-        held = None
+        held, before = None, None
         for batch in batches:
-            parts, guests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = batch.column(4).to_pylist()
-            signatures = sampler.signatures([t.encode("utf-8", "surrogatepass") for t in texts])
-            edits, rows = [], []
-            for i, (part, text) in enumerate(zip(parts, texts)):
-                now = (part, guests[i], batch.column(3)[i].as_py(), text, signatures[i])
-                if held is not None and held[0] == part and not held[1]:
-                    n = len(held[3])
-                    edits.append((held[3][: n - n // 2] + text[: n // 2]).encode("utf-8", "surrogatepass"))
-                    rows.append((held, signatures[i]))
-                held = now
-            edited = sampler.signatures(edits)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([h[2] for h, _ in rows], batch.schema.field(3).type),
-                    pa.array([len(h[3]) for h, _ in rows], pa.int64()),
-                    pa.array([hashlib.sha256(e).hexdigest() for e in edits], pa.string()),
-                    pa.array([h[4].astype(">u2").tobytes().hex() for h, _ in rows], pa.string()),
-                    pa.array(to_hex(edited), pa.string()),
-                    pa.array([float((h[4] == e).mean()) for (h, _), e in zip(rows, edited)], pa.float64()),
-                    pa.array([float((h[4] == n).mean()) for h, n in rows], pa.float64()),
-                ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                rows = list(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(3).to_pylist(), some.column(4).to_pylist()))
+                done, edits, follows = [], [], []
+                for i, (part, guest, doc_id, text) in enumerate(rows):
+                    if held is not None and held[0] == part and not held[1]:
+                        n = len(held[3])
+                        done.append(held)
+                        edits.append((held[3][: n - n // 2] + text[: n // 2]).encode("utf-8", "surrogatepass"))
+                        follows.append(i)
+                    held = (part, guest, doc_id, text)
+                signatures = sampler.signatures([t.encode("utf-8", "surrogatepass") for *_, t in rows] + edits)
+                own, edited = signatures[: len(rows)], signatures[len(rows) :]
+                # The row before the first of a slice was signed with the slice before.
+                of_row = [own[i - 1] if i else before for i in follows]
+                before = own[-1]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([h[2] for h in done], batch.schema.field(3).type),
+                        pa.array([len(h[3]) for h in done], pa.int64()),
+                        pa.array([hashlib.sha256(e).hexdigest() for e in edits], pa.string()),
+                        pa.array([s.astype(">u2").tobytes().hex() for s in of_row], pa.string()),
+                        pa.array(to_hex(edited), pa.string()),
+                        pa.array([float((s == e).mean()) for s, e in zip(of_row, edited)], pa.float64()),
+                        pa.array([float((s == own[i]).mean()) for s, i in zip(of_row, follows)], pa.float64()),
+                    ],
+                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                )
 
     schema = f"doc_id {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs.select("doc_id", "text"), per_range).mapInArrow(run, schema)
