@@ -128,8 +128,11 @@ def golay_table() -> np.ndarray:
     errors += [a | b | c for i, a in enumerate(singles) for j, b in enumerate(singles[:i]) for c in singles[:j]]
     errors = np.array(errors, np.int64)
     leaders[remainder(errors)] = errors
-    vectors = np.arange(1 << 23, dtype=np.int64)
-    return ((vectors ^ leaders[remainder(vectors)]) >> 11).astype(np.uint16)
+    found = np.empty(1 << 23, np.uint16)
+    for at in range(0, 1 << 23, 1 << 17):
+        vectors = np.arange(at, at + (1 << 17), dtype=np.int64)
+        found[at : at + (1 << 17)] = (vectors ^ leaders[remainder(vectors)]) >> 11
+    return found
 
 
 def golay_keys(half: np.ndarray) -> np.ndarray:
@@ -248,8 +251,8 @@ def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray],
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns], axis=1)
-            for at in range(0, len(fps), 4_000):
-                some = fps[at : at + 4_000]
+            for at in range(0, len(fps), 1_000):
+                some = fps[at : at + 1_000]
                 rows, keys = keys_of(some)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(some[rows, i]).view(np.int64)) for i in range(shown))], names=["key", *(f"fp{i}" for i in range(shown))])
 

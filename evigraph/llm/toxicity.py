@@ -29,16 +29,18 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.common import table
 
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
+BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 16
 #: Pieces of a word that have embeddings: the word itself, and its first and last bytes in these numbers.
 HEADS, TAILS = (3, 4, 5, 6), (3, 5)
 PIECES = 1 + len(HEADS) + len(TAILS)
-TRAIN_DOCS, VISITS, EPOCHS, RATE, DECAY, DROPOUT, BATCH, SEED = 5000, 20_000, 40, 0.02, 3e-4, 0.1, 32, 7
+TRAIN_DOCS, VISITS, EPOCHS, RATE, DECAY, BATCH, SEED = 5000, 20_000, 40, 0.01, 3e-4, 32, 7
 THRESHOLD = 0.3
 #: Calibrated thresholds stay between these.
 BOUNDS = (0.2, 0.8)
 #: Distinct words that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
+#: Texts that are scored in one call.
+TOGETHER = 256
 #: Every byte but letters, digits and those of non-ASCII characters parts words; A-Z lower-cased.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -86,7 +88,7 @@ class Model:
     out_bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def scorer(self, block: int = 200_000) -> Callable[[list[str | None]], np.ndarray]:
+    def scorer(self, block: int = 20_000) -> Callable[[list[str | None]], np.ndarray]:
         """A function from texts to scores that remembers the products of words; works in blocks of about ``block`` words."""
         vocabulary, table_ = Vocabulary(), np.zeros((0, self.products.shape[1]), np.float32)
 
@@ -100,7 +102,7 @@ class Model:
                     continue
                 fresh = vocabulary.taken()
                 if len(fresh):
-                    table_ = np.concatenate((table_, *(self.products[fresh[at : at + 20_000]].mean(axis=1) for at in range(0, len(fresh), 20_000))))
+                    table_ = np.concatenate((table_, *(self.products[fresh[at : at + 2_000]].mean(axis=1) for at in range(0, len(fresh), 2_000))))
                 pooled.append(pool(held, table_) + self.bias)
                 held, total = [], 0
                 if len(table_) > REMEMBERED:
@@ -156,8 +158,7 @@ def fit(texts: list[np.ndarray], pieces: np.ndarray, labels: np.ndarray, visits:
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            # Some words are left out at random, so that no text is known by a word that only it has.
-            rows, starts = layout([np.where(rng.random(len(texts[i])) < DROPOUT, 0, texts[i]) for i in some])
+            rows, starts = layout([texts[i] for i in some])
             ends = np.append(starts[1:], len(rows))
             present, local = np.unique(rows, return_inverse=True)
             vectors = table_[pieces[present]].mean(axis=1)
@@ -261,8 +262,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = sent.value.scorer()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores(texts), pa.float64())], names=[*wanted, "toxicity"])
+            # A few texts at a time are Python objects.
+            texts = batch.column(batch.num_columns - 1)
+            found = [scores(texts.slice(at, TOGETHER).to_pylist()) for at in range(0, batch.num_rows, TOGETHER)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())], names=[*wanted, "toxicity"])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in wanted), "toxicity double"])
