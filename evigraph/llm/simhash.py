@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import cut, table
+from evigraph.llm.common import cut, shards_for, table
 from evigraph.operators.components import connected_components
 
 BITS, PARTS, PART_BITS, MOST = 64, 4, 16, 3
@@ -202,12 +202,14 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges (rows) of a spanning forest over the links of at most ``most`` differing bits."""
-    edges, left = [], np.arange(len(fps))
+    """Edges (rows) of a spanning forest over the links of at most ``most`` differing bits.
+
+    Smaller fingerprints come first, so that keys with the same members give the same edges."""
+    edges, left = [], np.lexsort(fps.T[::-1])
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
-            one = queue.pop()
+            one = queue.pop(0)
             near = apart(fps[left], fps[one]) <= most
             if near.any():
                 met = left[near]
@@ -281,11 +283,44 @@ def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray],
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
+#: Edges that one task thins out.
+THINNED = 200_000
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges with the same components, fewer of them: a spanning forest of each ``THINNED`` or so.
+
+    Keys that share members give many edges between the same few fingerprints."""
+    edges = cut(edges)
+    parts = shards_for(edges.count(), THINNED)
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(a), root(b)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    kept.append((a, b))
+            ends = np.array(kept, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+    return edges.repartition(parts).mapInArrow(span, "a bigint, b bigint")
+
+
 def components_of(prints: DataFrame, first: Column, width: int, keys_of, shown: int, most: int) -> DataFrame:
     """(id, first) for each distinct fingerprint identity of materialised rows with id and fp0...: the smallest ``first`` (an
     aggregate) of its component."""
     classes = cut(prints.groupBy("id", *(f"fp{i}" for i in range(width))).agg(first.alias("first")))
-    reached = connected_components(near_pairs(classes, width, keys_of, shown, most))
+    reached = connected_components(thinned(near_pairs(classes, width, keys_of, shown, most)))
     firsts = classes.groupBy("id").agg(F.min("first").alias("first"))
     # Fingerprints that no other is near are their own component.
     named = firsts.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
