@@ -14,7 +14,9 @@ at all.  So a fingerprint has the keys
 ``near_copies`` links texts whose five-word shingles are similar at 0.8 or more.  That is some 15 differing bits in 100, too
 many for a guarantee, so fingerprints have 256 bits, 11 segments, and meet if a segment shares a codeword index and 6 bits
 of another segment are equal, in any of 22 such pairs; a segment of a pair at 0.8 differs in at most 2 bits three times in
-ten.  Links are verified by the bits that differ in one half of the fingerprint, 128 bits.
+ten.  The bits that differ in one half of the fingerprint, 128 bits, tell which may be linked.  Components of those are then
+gone through by the exact Jaccard similarity of their sets of shingles, every pair of a component, and only links at 0.8 or
+more stay; a large component is dealt out as pairs of blocks of its members.
 
 Fingerprints meet by key and are verified by counting the bits that differ; nothing is capped.  Equal fingerprints are one
 before keys are made.  Of a key with many members, a search emits the edges of a spanning forest rather than all pairs.
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import cut, shards_for, table
+from evigraph.llm.common import BROADCAST_ROWS, cut, shards_for, table
 from evigraph.operators.components import connected_components
 
 BITS, PARTS, PART_BITS, MOST = 64, 4, 16, 3
@@ -88,23 +90,32 @@ def widened(hashes: np.ndarray, words: int) -> np.ndarray:
 
 def fingerprint(words: list[bytes], shingle: int, width: int = 1) -> np.ndarray:
     """``width`` uint64 of the bits that are set in over half of the shingles' hashes; zeros without words."""
-    hashes = shingle_hashes(words, shingle)
+    return fingerprint_of(shingle_hashes(words, shingle), width)
+
+
+def fingerprint_of(hashes: np.ndarray, width: int = 1) -> np.ndarray:
+    """``fingerprint`` of shingle hashes."""
     counts = bit_counts(widened(hashes, width)) if len(hashes) else np.zeros(64 * width, np.int64)
     return np.packbits(counts * 2 > len(hashes)).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int, width: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, width: int = 1, sets: bool = False) -> DataFrame:
     """Columns of ``docs`` but text, with fp0, fp1, ... and id, the identity of the first two of them: one row for each row;
-    texts are read in place and never shuffled."""
-    names = [*(f"fp{i}" for i in range(width)), "id"]
+    texts are read in place and never shuffled.  ``sets`` adds set_id, a hash of the set of shingles, and n, its size."""
+    names = [*(f"fp{i}" for i in range(width)), "id", *(["set_id", "n"] if sets else [])]
     kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.zeros((batch.num_rows, width), np.uint64)
+            fps, told = np.zeros((batch.num_rows, width), np.uint64), np.zeros((batch.num_rows, 2), np.uint64)
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                fps[i] = fingerprint(words_of(text.as_py()), shingle, width)
+                hashes = shingle_hashes(words_of(text.as_py()), shingle)
+                fps[i] = fingerprint_of(hashes, width)
+                if sets:
+                    known = np.unique(hashes)
+                    told[i] = xxhash.xxh64_intdigest(known.tobytes(), SEED), len(known)
             columns = [*(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(width)), pa.array(identity(fps[:, :2]))]
+            columns += [pa.array(np.ascontiguousarray(told[:, i]).view(np.int64)) for i in range(2 * sets)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} bigint" for n in names)])
@@ -339,15 +350,115 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = MOST) -> Data
 
 #: Of 128 bits: 15 in 100 differ on average at a similarity of 0.8, 36 in 100 or more between unrelated texts.
 WIDE_MOST = 25
+#: Least similarity of a link, in tenths.
+TENTHS = 8
+#: Sets and shingles that a block of a component holds at most, about.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """Columns of ``docs`` but text, with the text's sorted distinct shingle hashes as bytes."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(shingle_hashes(words_of(text.as_py()), shingle)).tobytes() for text in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "shingles binary"])
+    return docs.select(*(f.name for f in kept), "text").mapInArrow(run, schema)
+
+
+def similar_forest(sets: list[np.ndarray], tenths: int = TENTHS) -> list[tuple[int, int]]:
+    """Edges (rows) of a spanning forest over the pairs of sets whose Jaccard similarity is ``tenths`` / 10 or more, exactly."""
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, np.int64)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    own = [codes[b - n : b] for n, b in zip(sizes.tolist(), ends.tolist())]
+    marked = np.zeros(int(codes.max(initial=-1)) + 1, np.int64)
+    edges, left = [], np.flatnonzero(sizes > 0)
+
+    def laid(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([own[r] for r in rows]), np.cumsum(sizes[rows]) - sizes[rows]
+
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        flat, begins = laid(left)
+        while queue and len(left):
+            one = queue.pop(0)
+            marked[own[one]] = 1
+            shared = np.add.reduceat(marked[flat], begins)
+            marked[own[one]] = 0
+            # shared / (a + b - shared) >= tenths / 10
+            near = (10 + tenths) * shared >= tenths * (sizes[left] + sizes[one])
+            if near.any():
+                met = left[near]
+                edges += [(one, other) for other in met]
+                queue.extend(met)
+                left = left[~near]
+                if len(left):
+                    flat, begins = laid(left)
+    return edges
+
+
+def similar_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) edges between sets (component, set_id, n, shingles) of a component, whose components are those of all its pairs
+    similar at ``TENTHS`` / 10 or more."""
+    totals = sets.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    dealt = sets.join(totals.select("component", blocks.alias("blocks")), "component").withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    # Each pair of blocks meets once, and within it the members of each.
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("mine"))))
+    dealt = dealt.withColumn("other", other).select("component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "set_id", "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, sets = None, [], []
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            found = similar_forest(sets)
+            if found:
+                ends = [sorted((ids[x], ids[y])) for x, y in found]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), pa.array([y for _, y in ends], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for *now, set_id, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != group:
+                    yield from edges()
+                    group, ids, sets = now, [], []
+                ids.append(set_id)
+                sets.append(np.frombuffer(shingles, np.uint64))
+        yield from edges()
+
+    keys = ["component", "low", "high"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "a bigint, b bigint").distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> DataFrame:
-    """(doc_id, digest, first) for each row; components link texts whose shingles are similar at about 0.8 or more, and first
-    is the row (without an id?, doc_id, digest) that comes first in its component."""
+    """(doc_id, digest, first) for each row; components link texts whose sets of shingles are similar at 0.8 or more, and
+    first is the row (without an id?, doc_id, digest) that comes first in its component.
+
+    Texts with equal sets are one set.  ``most`` bits bound the search; what it finds is verified by the sets themselves."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    prints = cut(fingerprints(keyed, shingle, WIDE))
+    prints = cut(fingerprints(keyed, shingle, WIDE, sets=True))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("digest"))
-    return prints.join(components_of(prints, F.min(row), WIDE, wide_keys, 2, most), "id").select("doc_id", "digest", "first")
+    names = [f"fp{i}" for i in range(WIDE)]
+    classes = cut(prints.groupBy("set_id", "n", "id", *names).agg(F.min(row).alias("first")))
+    reached = connected_components(thinned(near_pairs(classes.select(*names).distinct(), WIDE, wide_keys, 2, most)))
+    # Sets with company: in a component of fingerprints, or with the same fingerprint.
+    grouped = classes.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    crowded = grouped.groupBy("component").count().where("count > 1").select("component")
+    members = cut(grouped.join(crowded, "component").where("n > 0").select("component", "set_id", "n", F.col("first.digest").alias("of_digest"), F.col("first.doc_id").alias("of_id")))
+    # One text of each set, found in place where its id and digest are few enough to be sent along.
+    few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    texts = keyed.join(few, (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+    sets = cut(shingle_sets(texts.select("component", "set_id", "n", "text"), shingle).dropDuplicates(["component", "set_id"]))
+    linked_sets = connected_components(thinned(similar_pairs(sets))).select(F.col("node").alias("set_id"), "component")
+    named = classes.groupBy("set_id").agg(F.min("first").alias("first")).join(linked_sets, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("first"))
+    named = named.select("set_id", "component").join(smallest, "component").select("set_id", "first")
+    # Dealt out anew, as in ``components_of``.
+    named = named.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    return prints.join(named, "set_id").select("doc_id", "digest", "first")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> DataFrame:

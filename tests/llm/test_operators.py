@@ -419,6 +419,38 @@ def test_one_of_each_group_stays(spark, rows, awkward):
     assert sorted((r.doc_id is None, r.doc_id, r.text is None) for r in kept) == [(False, 3, True), (False, 7, False)]
 
 
+def planted_pairs(least, most, each, seed=5):
+    """Pairs of texts, (doc_id, text), whose five-word shingles are similar at ``least`` to ``most``."""
+    rng = random.Random(seed)
+    fresh = lambda k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(k)]
+    out = []
+    while len(out) < 2 * each:
+        words = fresh(rng.choice([40, 120, 400]))
+        other, wanted = list(words), rng.uniform(least, most)
+        while brute_jaccard(words, other) > wanted:
+            other[rng.randrange(len(other))] = fresh(1)[0]
+        if least <= brute_jaccard(words, other) <= most:
+            out += [(len(out), " ".join(words)), (len(out) + 1, " ".join(other))]
+    return out
+
+
+def brute_jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("most", [512, 3])
+def test_texts_below_the_similarity_stay(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BLOCK_SETS", most)
+    apart = planted_pairs(0.6, 0.79, 60)
+    # A long group of near copies besides: each differs from the first in one word.
+    words = apart[0][1].split() * 1 + [f"more{i}" for i in range(200)]
+    group = [(1000 + i, " ".join([*words[: 5 * i], f"other{i}", *words[5 * i + 1 :]])) for i in range(20)]
+    data = spark.createDataFrame([(i, t, None, None, 0) for i, t in apart + group], DOCS)
+    kept = {r.doc_id for r in simhash.drop_near_copies(data).collect()}
+    assert kept == {i for i, _ in apart} | {1000}
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
     got = simhash.near_duplicates(awkward).collect()
