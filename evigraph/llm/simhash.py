@@ -11,12 +11,13 @@ at all.  So a fingerprint has the keys
 * (part, its bits, first half, codeword index), for a first half that differs in at most 2 bits, and
 * (part, its bits, second half's bits), for a first half that differs in all 3.
 
-``near_copies`` links texts whose five-word shingles are similar at 0.8 or more.  That is some 15 differing bits in 100, too
-many for a guarantee, so fingerprints have 256 bits, 11 segments, and meet if a segment shares a codeword index and 6 bits
-of another segment are equal, in any of 22 such pairs; a segment of a pair at 0.8 differs in at most 2 bits three times in
-ten.  The bits that differ in one half of the fingerprint, 128 bits, tell which may be linked.  Components of those are then
-gone through by the exact Jaccard similarity of their sets of shingles, every pair of a component, and only links at 0.8 or
-more stay; a large component is dealt out as pairs of blocks of its members.
+``near_copies`` links texts whose sets of five-word shingles are similar at 0.8 or more.  That is some 15 differing bits in
+100, too many for a guarantee, so the sets' fingerprints have 256 bits, 11 segments, and meet if a segment shares a codeword
+index and 6 bits of another segment are equal, in any of 22 such pairs; a segment of a pair at 0.8 differs in at most 2 bits
+three times in ten.  They meet as well if the smallest hashes of three ranges of hashes are equal, in any of 12 such triples;
+at 0.8 a triple is equal half the time.  ``WIDE_MOST`` of all 256 bits, six deviations above the mean at 0.8, may differ in what is
+gone through.  Components of those are then gone through by the exact Jaccard similarity of their sets, every pair of a
+component, and only links at 0.8 or more stay; a large component is dealt out as pairs of blocks of its members.
 
 Fingerprints meet by key and are verified by counting the bits that differ; nothing is capped.  Equal fingerprints are one
 before keys are made.  Of a key with many members, a search emits the edges of a spanning forest rather than all pairs.
@@ -100,25 +101,27 @@ def fingerprint_of(hashes: np.ndarray, width: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int, width: int = 1, sets: bool = False) -> DataFrame:
-    """Columns of ``docs`` but text, with fp0, fp1, ... and id, the identity of the first two of them: one row for each row;
-    texts are read in place and never shuffled.  ``sets`` adds set_id, a hash of the set of shingles, and n, its size."""
-    names = [*(f"fp{i}" for i in range(width)), "id", *(["set_id", "n"] if sets else [])]
+    """Columns of ``docs`` but text, with fp0, fp1, ... and id, their identity: one row for each row; texts are read in place and
+    never shuffled.  ``sets`` counts repeated shingles once, and adds set_id, a hash of their set, n, its size, and bands."""
+    names = [*(f"fp{i}" for i in range(width)), "id", *(["set_id", "n", "bands"] if sets else [])]
     kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, told = np.zeros((batch.num_rows, width), np.uint64), np.zeros((batch.num_rows, 2), np.uint64)
+            fps, told, bands = np.zeros((batch.num_rows, width), np.uint64), np.zeros((batch.num_rows, 2), np.uint64), []
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
                 hashes = shingle_hashes(words_of(text.as_py()), shingle)
-                fps[i] = fingerprint_of(hashes, width)
                 if sets:
-                    known = np.unique(hashes)
-                    told[i] = xxhash.xxh64_intdigest(known.tobytes(), SEED), len(known)
-            columns = [*(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(width)), pa.array(identity(fps[:, :2]))]
+                    hashes = np.unique(hashes)
+                    told[i] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED), len(hashes)
+                    bands.append(band_keys(hashes))
+                fps[i] = fingerprint_of(hashes, width)
+            columns = [*(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(width)), pa.array(identity(fps))]
             columns += [pa.array(np.ascontiguousarray(told[:, i]).view(np.int64)) for i in range(2 * sets)]
+            columns += [pa.array(bands, pa.list_(pa.int64()))] * sets
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} bigint" for n in names)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} array<bigint>" if n == "bands" else f"{n} bigint" for n in names)])
     return docs.select(*(f.name for f in kept), "text").mapInArrow(run, schema)
 
 
@@ -207,6 +210,21 @@ def identity(payload: np.ndarray) -> np.ndarray:
     return z.view(np.int64)
 
 
+BANDS, BAND_ROWS = 12, 3
+RANGES = np.array([(i << 64) // (BANDS * BAND_ROWS) for i in range(BANDS * BAND_ROWS)], np.uint64)
+
+
+def band_keys(known: np.ndarray) -> np.ndarray:
+    """Keys of a set of sorted hashes: the smallest hashes of each three ranges, but of three empty ones."""
+    begins = np.searchsorted(known, RANGES)
+    some = np.diff(begins, append=len(known)) > 0
+    smallest = np.zeros(len(RANGES), np.uint64)
+    smallest[some] = known[begins[some]]
+    triples = smallest.reshape(BANDS, BAND_ROWS)
+    # The five low bits tell them from ``wide_keys``.
+    return identity(triples[triples.any(axis=1)]) | np.int64(31)
+
+
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of rows."""
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
@@ -259,14 +277,20 @@ def linked(key: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.
 def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], shown: int, most: int) -> DataFrame:
     """(a, b) edges between identities of distinct fingerprints fp0..., whose components are those of all links.
 
-    ``shown`` words of a fingerprint go along with each key, by which links are verified."""
+    ``shown`` words of a fingerprint go along with each key, by which links are verified.  Further keys may come as an array
+    beside the fingerprints, bands."""
+    further = ["bands"] if "bands" in distinct.columns else []
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns], axis=1)
+            fps = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[:width]], axis=1)
             for at in range(0, len(fps), 1_000):
                 some = fps[at : at + 1_000]
                 rows, keys = keys_of(some)
+                for bands in batch.columns[width:]:
+                    bands = bands.slice(at, 1_000)
+                    rows = np.concatenate((rows, np.repeat(np.arange(len(some)), bands.value_lengths().to_numpy())))
+                    keys = np.concatenate((keys, bands.flatten().to_numpy()))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(some[rows, i]).view(np.int64)) for i in range(shown))], names=["key", *(f"fp{i}" for i in range(shown))])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +314,7 @@ def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray],
             yield from edges(key, fps)
 
     names = [f"fp{i}" for i in range(shown)]
-    keyed = distinct.select(*(f"fp{i}" for i in range(width))).mapInArrow(spread, "key bigint, " + ", ".join(f"{n} bigint" for n in names))
+    keyed = distinct.select(*(f"fp{i}" for i in range(width)), *further).mapInArrow(spread, "key bigint, " + ", ".join(f"{n} bigint" for n in names))
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
@@ -348,8 +372,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = MOST) -> Data
     return prints.join(named, "id").select("doc_id", F.col("id").alias("fp"), F.col("first").alias("component_id"))
 
 
-#: Of 128 bits: 15 in 100 differ on average at a similarity of 0.8, 36 in 100 or more between unrelated texts.
-WIDE_MOST = 25
+#: Of 256 bits: 39 differ on average at a similarity of 0.8, half of them between unrelated texts.
+WIDE_MOST = 72
 #: Least similarity of a link, in tenths.
 TENTHS = 8
 #: Sets and shingles that a block of a component holds at most, about.
@@ -442,8 +466,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> Dat
     prints = cut(fingerprints(keyed, shingle, WIDE, sets=True))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("digest"))
     names = [f"fp{i}" for i in range(WIDE)]
-    classes = cut(prints.groupBy("set_id", "n", "id", *names).agg(F.min(row).alias("first")))
-    reached = connected_components(thinned(near_pairs(classes.select(*names).distinct(), WIDE, wide_keys, 2, most)))
+    classes = cut(prints.groupBy("set_id", "n", "id", "bands", *names).agg(F.min(row).alias("first")))
+    reached = connected_components(thinned(near_pairs(classes.select(*names, "bands").distinct(), WIDE, wide_keys, WIDE, most)))
     # Sets with company: in a component of fingerprints, or with the same fingerprint.
     grouped = classes.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     crowded = grouped.groupBy("component").count().where("count > 1").select("component")

@@ -451,6 +451,12 @@ def test_texts_below_the_similarity_stay(spark, monkeypatch, most):
     assert kept == {i for i, _ in apart} | {1000}
 
 
+def test_texts_just_above_the_similarity_are_found(spark):
+    near = planted_pairs(0.8, 0.85, 300)
+    data = spark.createDataFrame([(i, t, None, None, 0) for i, t in near], DOCS)
+    assert {r.doc_id for r in simhash.drop_near_copies(data).collect()} == {i for i, _ in near[::2]}
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
     got = simhash.near_duplicates(awkward).collect()
