@@ -6,6 +6,9 @@ can't match and is left out of the sort.  Every test suffix is binary-searched i
 its occurrences and the length of its longest verbatim match.  Windows of ``WINDOW`` words that occur make the document's
 words hit; a test item of fewer words is one window.  Nothing is shuffled: a document's result is complete in its shard.
 
+``decontaminate`` removes a document of any length that holds a window of ``WINDOW`` words; items of fewer words, which may
+be found by chance, only count by the share of words that are hit, ``contaminated``.
+
 The test words are sent to the executors in blocks of at most ``BLOCK_WORDS`` words; a larger benchmark takes several
 passes whose results are merged by document position.
 
@@ -93,8 +96,8 @@ def search(keys: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(keys, as_keys(low), "left"), np.searchsorted(keys, as_keys(high), "right")
 
 
-def scan_shard(texts: list[list[bytes]], tests: Tests) -> list[tuple[int, int, list[int], list[tuple[int, int, int]]]]:
-    """Per document: words, hit words, items, and maximal verbatim runs (item, first word, words)."""
+def scan_shard(texts: list[list[bytes]], tests: Tests) -> list[tuple[int, int, list[int], list[tuple[int, int, int, int]]]]:
+    """Per document: words, hit words, items, and maximal verbatim runs (item, first word, words, words of its longest window)."""
     get = tests.vocabulary.get
     apart = [-2] * tests.window
     flat: list[int] = []
@@ -124,17 +127,17 @@ def scan_shard(texts: list[list[bytes]], tests: Tests) -> list[tuple[int, int, l
     out = []
     for d, words in enumerate(texts):
         mine = slice(bounds[d], bounds[d + 1])
-        runs: list[tuple[int, int, int]] = []
+        runs: list[tuple[int, int, int, int]] = []
         for i, a, n in zip(item[mine].tolist(), (at[mine] - begins[d]).tolist(), length[mine].tolist()):
             if runs and runs[-1][0] == i and a <= runs[-1][1] + runs[-1][2] - n + 1:
-                runs[-1] = (i, runs[-1][1], max(runs[-1][2], a + n - runs[-1][1]))
-            elif not runs or runs[-1] != (i, a, n):
-                runs.append((i, a, n))
+                runs[-1] = (i, runs[-1][1], max(runs[-1][2], a + n - runs[-1][1]), max(runs[-1][3], n))
+            elif not runs or runs[-1][:3] != (i, a, n):
+                runs.append((i, a, n, n))
         out.append((len(words), int(covered[begins[d] + len(words)] - covered[begins[d]]), sorted({r[0] for r in runs}), runs))
     return out
 
 
-MATCHES = "array<struct<item_id:string,first_word:bigint,n_words:bigint>>"
+MATCHES = "array<struct<item_id:string,first_word:bigint,n_words:bigint,window:bigint>>"
 
 
 def blocks_of(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -166,10 +169,10 @@ def _find(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int, sh
                     {
                         "n_words": [f[0] for f in found],
                         "n_hit": [f[1] for f in found],
-                        "matches": [[{"item_id": ids[i], "first_word": a, "n_words": n} for i, a, n in f[3]] for f in found],
+                        "matches": [[{"item_id": ids[i], "first_word": a, "n_words": n, "window": w} for i, a, n, w in f[3]] for f in found],
                     }
                 )
-                kind = pa.struct([("item_id", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())])
+                kind = pa.struct([("item_id", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("window", pa.int64())])
                 made = [pa.array(hits["n_words"], pa.int64()), pa.array(hits["n_hit"], pa.int64()), pa.array(hits["matches"].tolist(), pa.list_(kind))]
                 columns = [batch.column(i).slice(begun, len(texts)) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, *made], names=[*batch.schema.names[:-1], "__n_words", "__n_hit", "__matches"])
@@ -218,8 +221,9 @@ def contaminated():
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated rows."""
-    return find_matches(docs, benchmark).where(~contaminated()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` without rows that hold ``WINDOW`` words of the benchmark in a row, or that are contaminated."""
+    leaks = F.exists("__matches", lambda m: m["window"] >= WINDOW)
+    return find_matches(docs, benchmark).where(~leaks & ~contaminated()).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,6 +187,21 @@ def test_decontamination_matches_brute_force(spark, docs, rows, monkeypatch, mos
     assert clean == {i for i, r in got.items() if not (r["__n_hit"] > 0 and 20 * r["__n_hit"] >= r["__n_words"])}
 
 
+@pytest.mark.parametrize("most", [10**6, 40])
+def test_leaks_of_long_documents_go(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "blocks_of", lambda b, f=decontaminate.blocks_of: f(b, most))
+    rng = random.Random(4)
+    make = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    item = make(60)
+    words = item.split()
+    inside = lambda part: f"{make(1500)} {part} {make(1500)}"
+    # A whole item, a window, one word less, a repeated short item whose occurrences make a long run, and nothing.
+    texts = [inside(item), inside(" ".join(words[20:33])), inside(" ".join(words[20:32])), inside("ha " * 30), inside("")]
+    data = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(1, make(50)), (2, "ha ha"), (3, item)], "item_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(data, bench).collect()) == [2, 3, 4]
+
+
 def test_decontamination_of_awkward_rows(spark, awkward, empty):
     bench = spark.createDataFrame([(1, " ".join(WORDS)), (1, " ".join(WORDS)), (None, "alpha")], "item_id long, text string")
     assert decontaminate.find_matches(empty, bench).count() == 0
