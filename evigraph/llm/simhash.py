@@ -31,7 +31,7 @@ smallest id of a component that holds another; an empty table gives an empty res
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -322,6 +322,13 @@ def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray],
 THINNED = 200_000
 
 
+def root_of(above: dict[int, int], x: int) -> int:
+    while (up := above.get(x, x)) != x:
+        above[x] = above.get(up, up)
+        x = up
+    return x
+
+
 def thinned(edges: DataFrame) -> DataFrame:
     """Edges with the same components, fewer of them: a spanning forest of each ``THINNED`` or so.
 
@@ -331,13 +338,7 @@ def thinned(edges: DataFrame) -> DataFrame:
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := above.get(x, x)) != x:
-                above[x] = above.get(up, up)
-                x = up
-            return x
-
+        root = partial(root_of, above)
         for batch in batches:
             kept = []
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -351,6 +352,32 @@ def thinned(edges: DataFrame) -> DataFrame:
     return edges.repartition(parts).mapInArrow(span, "a bigint, b bigint")
 
 
+def components_by_thinning(edges: DataFrame) -> DataFrame:
+    """``connected_components`` of edges that are thinned as long as that leaves half of them at most; those that one task
+    then holds are followed there, without rounds."""
+    edges = cut(edges)
+    count = edges.count()
+    while count > THINNED:
+        edges, before = cut(thinned(edges)), count
+        count = edges.count()
+        if 2 * count > before:
+            return connected_components(edges)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root_of(above, a), root_of(above, b)
+                low, high = min(x, y), max(x, y)
+                above[low], above[high] = low, low
+        nodes = list(above)
+        for at in range(0, len(nodes), 10_000):
+            some = nodes[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root_of(above, x) for x in some], pa.int64())], names=["node", "component"])
+
+    return cut(edges.coalesce(1).mapInArrow(follow, "node bigint, component bigint"))
+
+
 def components_of(prints: DataFrame, first: Column, width: int, keys_of, shown: int, most: int) -> DataFrame:
     """(id, first) for each distinct fingerprint identity of materialised rows with id and fp0...: the smallest ``first`` (an
     aggregate) of its component."""
@@ -467,7 +494,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> Dat
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("digest"))
     names = [f"fp{i}" for i in range(WIDE)]
     classes = cut(prints.groupBy("set_id", "n", "id", "bands", *names).agg(F.min(row).alias("first")))
-    reached = connected_components(thinned(near_pairs(classes.select(*names, "bands").distinct(), WIDE, wide_keys, WIDE, most)))
+    reached = components_by_thinning(near_pairs(classes.select(*names, "bands").distinct(), WIDE, wide_keys, WIDE, most))
     # Sets with company: in a component of fingerprints, or with the same fingerprint.
     grouped = classes.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     crowded = grouped.groupBy("component").count().where("count > 1").select("component")
@@ -476,7 +503,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> Dat
     few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     texts = keyed.join(few, (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
     sets = cut(shingle_sets(texts.select("component", "set_id", "n", "text"), shingle).dropDuplicates(["component", "set_id"]))
-    linked_sets = connected_components(thinned(similar_pairs(sets))).select(F.col("node").alias("set_id"), "component")
+    linked_sets = components_by_thinning(similar_pairs(sets)).select(F.col("node").alias("set_id"), "component")
     named = classes.groupBy("set_id").agg(F.min("first").alias("first")).join(linked_sets, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = named.groupBy("component").agg(F.min("first").alias("first"))
     named = named.select("set_id", "component").join(smallest, "component").select("set_id", "first")

@@ -472,6 +472,17 @@ def test_texts_just_above_the_similarity_are_found(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(data).collect()} == {i for i, _ in near[::2]}
 
 
+@pytest.mark.parametrize("most", [10**6, 40, 1])
+def test_components_by_thinning_match_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "THINNED", most)
+    rng = random.Random(6)
+    # Groups with many edges each, then a long path that no thinning shortens.
+    edges = [(10 * g + rng.randrange(10), 10 * g + rng.randrange(10)) for g in range(20) for _ in range(60)] + [(-i, -i - 1) for i in range(30)]
+    data = spark.createDataFrame([(min(e), max(e)) for e in edges if e[0] != e[1]], "a long, b long").distinct().repartition(3)
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(simhash.components_by_thinning(data)) == rows(simhash.connected_components(data))
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
     got = simhash.near_duplicates(awkward).collect()
