@@ -60,7 +60,7 @@ def _(spark, sf):
 
 @register("title_fuzzy_dedup")
 def _(spark, sf):
-    return corpus.fuzzy_dedup(V.src_documents(spark, sf)).select("id", "title")
+    return corpus.fuzzy_dedup(V.src_documents(spark, sf, whole_titles=True)).select("id", "title")
 
 
 @register("round_robin_cap", f"""WITH {V.SRC_DOCUMENTS},
@@ -292,8 +292,8 @@ def _(spark, sf):
 
 @register("entity_resolution")
 def _(spark, sf):
-    words = V.src_documents(spark, sf).select("doc_ord", F.posexplode(F.slice(F.split("title", " "), 1, 3)).alias("at", "name")).where("name <> ''")
-    nodes = words.select((F.col("doc_ord") * 10 + F.col("at")).alias("node_ord"), F.lit("concept").alias("node_type"), "name")
+    words = V.src_documents(spark, sf, whole_titles=True).select("doc_ord", F.posexplode(F.split("title", " ")).alias("at", "name")).where("name <> ''")
+    nodes = words.select((F.col("doc_ord") * 2**31 + F.col("at")).alias("node_ord"), F.lit("concept").alias("node_type"), "name")
     return graph.resolve_entities(nodes)
 
 

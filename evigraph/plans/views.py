@@ -12,16 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def src_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src_documents(spark: SparkSession, sf_dir: str, whole_titles: bool = False) -> DataFrame:
+    """Documents as sources.  Titles are first lines, cut to 80 characters as in the SQL unless they are to be whole."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     family = F.element_at(F.array(*map(F.lit, ("scholarly", "code", "web", "social"))), F.substring("source", 4, 10).cast("int") % 4 + 1)
     date = F.date_add(F.lit("2018-01-01").cast("date"), ((F.col("doc_id") * 7) % 2555).cast("int")).cast("string")
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
     peer = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("doc_ord"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
         family.alias("source_family"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+        (line if whole_titles else F.substring(line, 1, 80)).alias("title"),
         F.col("text").alias("abstract"),
         date.alias("publication_date"),
         F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.md5("text")).alias("doi"),

@@ -415,3 +415,14 @@ def test_library_stands_without_the_training_operators(tmp_path):
     code = "import sys; sys.modules['evigraph.llm'] = None; import importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith('evigraph.llm') else f(n, *a); import __spark_entry__ as e; q = e.queries(); assert 'verify_gate' in q and not any(k.startswith('op') and k[2].isdigit() for k in q); assert 'pipeline' not in q"
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_titles_are_whole_lines(spark, tmp_path):
+    line = "one " * 25
+    # Ids without a key; the lines differ after 80 characters, by far.
+    texts = [(0, line + "alpha " * 30 + "\nx"), (3, line + "omega " * 30 + "\ny")]
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert entry_points.queries()["title_fuzzy_dedup"](spark, str(tmp_path)).count() == 2
+    leaders = [r.leader for r in entry_points.queries()["entity_resolution"](spark, str(tmp_path)).collect()]
+    assert len(leaders) == 110 and set(leaders) == {0, 25, 3 * 2**31 + 25}
