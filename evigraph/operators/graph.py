@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import constants as C
 from evigraph.functions import text as T
-from evigraph.operators.components import connected_components, cut
+from evigraph.operators.components import connected_components
+from evigraph.sources.stages import cut
 from evigraph.operators.vectors import similar_pairs
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
 from evigraph.operators import community, corpus, extract, graph, patterns, report, vectors, verify
-from evigraph.operators.components import cut
+from evigraph.sources.stages import cut
 from evigraph.plans import views as V
 from evigraph.sources import connectors, schemas
 from evigraph.streaming import events as S

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from evigraph.functions import planning
 from evigraph.functions import text as T
-from evigraph.operators import community, corpus, extract, graph, patterns, report, vectors, verify
+from evigraph.operators import community, components, corpus, extract, graph, patterns, report, vectors, verify
 from evigraph.operators.components import connected_components
 from evigraph.plans.queries import ORACLES, QUERIES
 from evigraph.sources import connectors, schemas, stages
@@ -138,6 +138,20 @@ def test_components_match_brute_force(spark):
     assert got == {n: c for n, c in label.items() if n not in loops} and all(all(n not in e or e[0] == e[1] for e in edges) for n in loops)
 
 
+@pytest.mark.parametrize("most", [10**6, 40, 1])
+def test_components_by_thinning_match_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "THINNED", most)
+    rng = random.Random(6)
+    # Groups with many edges each, then a long path that no thinning shortens.
+    edges = [(10 * g + rng.randrange(10), 10 * g + rng.randrange(10)) for g in range(20) for _ in range(60)] + [(-i, -i - 1) for i in range(30)]
+    data = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    ordered = data.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
+    assert rows(connected_components(data)) == rows(components.components_by_rounds(ordered))
+    named = data.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    assert connected_components(named).schema["component"].dataType.simpleString() == "string" and connected_components(named).count() == connected_components(data).count()
+
+
 @pytest.mark.parametrize("blocks", [7, 4096])
 def test_vector_join_matches_expressions(spark, blocks):
     rng = np.random.default_rng(1)
