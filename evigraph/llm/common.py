@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ASCII_LOWER = ASCII_UPPER.lower()
+from evigraph.sources.stages import checkpoint_dir, cut, drop_folder, read_table as table
 
+__all__ = ["BROADCAST_ROWS", "SALTS", "ascii_lower", "beside_text", "checkpoint_dir", "cut", "drop_folder", "join_dimension", "named", "others", "packed", "shards_for", "table", "text_beside", "unpacked"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, read by Spark's own reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ASCII_LOWER = ASCII_UPPER.lower()
 
 
 def ascii_lower(col: Column | str) -> Column:
@@ -21,18 +20,36 @@ def ascii_lower(col: Column | str) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where the setting is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evigraph-"))
-    return context.getCheckpointDir()
+def named(column: str) -> Column:
+    """A column of exactly this name, dots, spaces and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def others(frame: DataFrame, added: Iterable[str]) -> list[str]:
+    """The columns of ``frame`` but those that an operator adds itself, whatever their case."""
+    own = {c.lower() for c in added}
+    return [c for c in frame.columns if c.lower() not in own]
+
+
+def packed(frame: DataFrame, **own: Column) -> DataFrame:
+    """All columns of ``frame`` as one struct, row, beside columns of the operator's own, whose names nothing can then clash with."""
+    return frame.select(F.struct(*map(named, frame.columns)).alias("row"), *(c.alias(n) for n, c in own.items()))
+
+
+def unpacked(frame: DataFrame, columns: Iterable[str], **added: Column) -> DataFrame:
+    """The named columns out of row, then what the operator adds."""
+    return frame.select(*(F.col("row").getField(c).alias(c) for c in columns), *(c.alias(n) for n, c in added.items()))
+
+
+def text_beside(frame: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The named columns but text as one struct, row, beside text: for functions in Python, to which a text should go once."""
+    spare = F.lit(0).alias("_" * (1 + max(map(len, frame.columns))))
+    return frame.select(F.struct(*(named(c) for c in columns if c.lower() != "text"), spare).alias("row"), F.col("text"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder, so that lost executors don't replay what is above."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def beside_text(columns: Iterable[str]) -> list[Column]:
+    """The named columns, out of what ``text_beside`` makes."""
+    return [(F.col("text") if c.lower() == "text" else F.col("row").getField(c)).alias(c) for c in columns]
 
 
 def shards_for(total: int, per_shard: int, least: int = 1) -> int:
@@ -53,6 +70,6 @@ def join_dimension(rows: DataFrame, dimension: DataFrame, key: str, dimension_ke
     if dimension.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(dimension), F.col(key).eqNullSafe(F.col(dimension_key))).drop(dimension_key)
     salted = dimension.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = rows.withColumn("__salt_of", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(SALTS)).cast("int"))
+    spread = rows.withColumn("__salt_of", F.pmod(F.xxhash64(*(named(c) for c in rows.columns)), F.lit(SALTS)).cast("int"))
     same = F.col(key).eqNullSafe(F.col(dimension_key)) & (F.col("__salt_of") == F.col("__salt"))
     return spread.join(salted, same).drop(dimension_key, "__salt", "__salt_of")
