@@ -10,8 +10,8 @@ and level; reruns agree.
 
 Cases: a null text has size 0, and such documents are taken 0 times.  A null source is a source of its own, last in
 order.  Rows that repeat (doc_id, source, size) form one entry whose copies are dealt to its rows as evenly as can be.
-An empty table gives an empty result.  Extra columns pass through ``take_copies`` unless they carry one of the names
-that it adds.
+An empty table gives an empty result.  Extra columns pass through ``mix`` whatever their names, and through ``take_copies``
+unless they carry one of the names that it adds.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import cut, join_dimension, table
+from evigraph.llm.common import cut, join_dimension, others, packed, table, unpacked
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -141,27 +141,33 @@ def allot(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     return due.join(decided, same, "left").select("doc_id", "source", "size", "n", "source_size", "target", copies.alias("copies"))
 
 
-def take_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """``docs`` with size, source_size, target and copies (0 to ``most``) for each row."""
-    added = ("size", "source_size", "target", "copies")
-    kept = [c for c in docs.columns if c.lower() not in added]
-    base = docs.select(*(F.col(f"`{c}`") for c in kept), size_of(F.col("text")).alias("size"))
+ADDED = ("size", "source_size", "target", "copies")
+
+
+def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, block: int) -> DataFrame:
+    """(row, size, source_size, target, copies) for each row of ``docs``; row is a struct of its columns."""
+    base = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=size_of(F.col("text")), digest=F.xxhash64("text"))
     shares = allot(base.select("doc_id", "source", "size"), weights, most, block)
-    shares = shares.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "n", "source_size", "target", F.col("copies").alias("__all"))
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z"))
+    shares = shares.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "n", "source_size", "target", F.col("copies").alias("all"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
     met = base.join(shares, same)
-    single = met.where("n = 1").withColumn("copies", F.col("__all"))
-    # Repeated rows: the first of them, in the order of their columns, take one copy more than the rest.
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text")))
-    repeated = met.where("n > 1").withColumn("copies", F.floor(F.col("__all") / F.col("n")) + F.when(place <= F.col("__all") % F.col("n"), 1).otherwise(0))
-    columns = [*(F.col(f"`{c}`") for c in kept), *map(F.col, added)]
+    columns = ["row", *ADDED]
+    single = met.where("n = 1").withColumn("copies", F.col("all"))
+    # Repeated rows: the first of them, in the order of their texts' hashes, take one copy more than the rest.
+    place = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("digest"))
+    repeated = met.where("n > 1").withColumn("copies", F.floor(F.col("all") / F.col("n")) + F.when(place <= F.col("all") % F.col("n"), 1).otherwise(0))
     return single.select(*columns).unionByName(repeated.select(*columns))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def take_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """``docs`` with size, source_size, target and copies (0 to ``most``) for each row."""
+    return unpacked(_taken(docs, weights, most, block), others(docs, ADDED), **{c: F.col(c) for c in ADDED})
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken, columns as they are."""
-    taken = take_copies(docs, **options).where("copies > 0")
-    return taken.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    taken = _taken(docs, weights, most, block).where("copies > 0")
+    return unpacked(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
