@@ -7,8 +7,9 @@ prefix that fits.  Cells that are still too large at that depth are counted agai
 
 Cases: a null text has no bytes; a null doc_id is hashed as an empty string, apart from ids by its prefix ``null``.  A
 single row over the limit can't be split: it gets a shard of its own.  Rows that share all 60 bits (rows repeated
-under one id) overflow into numbered pages of the bucket, each within the limit, as far as single rows are.  An empty
-table gives an empty result.  Extra columns pass through ``shard`` unless they carry a name that it adds.
+under one id) and are over the limit together go to a second directory, its shards marked ``+``, by a hash of all their
+columns; of rows that are equal throughout, numbered pages hold as many as fit.  Names follow from the rows' values alone.
+An empty table gives an empty result.  Extra columns pass through ``shard`` unless they carry a name that it adds.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import cut, table
+from evigraph.llm.common import cut, join_dimension, others, packed, table, unpacked
 
 BITS = 60
 #: Bytes of text in a shard.
@@ -73,41 +74,65 @@ def directory(keys: DataFrame, limit: int, step: int = STEP) -> DataFrame:
         top = bottom
 
 
+ADDED = ("n_bytes", "shard", "shard_depth", "shard_bytes")
+
+
+def placed(keys: DataFrame, limit: int, step: int) -> tuple[DataFrame, bool]:
+    """(key, n_bytes) rows to (key, depth, prefix, bytes, full), the bucket of each distinct key; and whether any is full."""
+    buckets = cut(directory(keys, limit, step))
+    # The depths in use are at most 61 numbers; a key meets the directory by its prefix at each of them.
+    depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())
+    at = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix_of(F.col("key"), d).alias("prefix")) for d in depths or [0])))
+    found = keys.select("key").distinct().select("key", at.alias("at")).select("key", "at.depth", "at.prefix").join(buckets, ["depth", "prefix"])
+    return found, not buckets.where("full").isEmpty()
+
+
+def _numbered(equal: DataFrame, limit: int) -> DataFrame:
+    """(row, n_bytes, label, depth, page, bytes): materialised rows that all their hash bits don't part, in pages within the limit.
+
+    Such rows are the same in every column, so it doesn't matter which of them is on which page, and pages of a fixed number
+    of rows come out alike whatever task holds them.  Rows are counted by task, and numbered on from the tasks before."""
+    dealt = cut(equal.withColumn("task", F.spark_partition_id()))
+    sizes = dealt.groupBy("key", "task").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("most"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = Window.partitionBy("key")
+    sizes = sizes.select("key", "task", before.alias("before"), F.sum("n").over(every).alias("total"), F.max("most").over(every).alias("each"))
+    nth = F.row_number().over(Window.partitionBy("key", "task").orderBy("n_bytes"))
+    met = dealt.withColumn("nth", nth).join(sizes, ["key", "task"])
+    held = F.greatest(F.floor(F.lit(limit) / F.greatest("each", F.lit(1))), F.lit(1))
+    met = met.withColumn("held", held).withColumn("page", F.floor((F.col("before") + F.col("nth") - 1) / F.col("held")))
+    bytes_ = F.least(F.col("held"), F.col("total") - F.col("page") * F.col("held")) * F.col("each")
+    return met.select("row", "n_bytes", "label", "depth", "page", bytes_.alias("bytes"))
+
+
 def shard(docs: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
     """``docs`` with n_bytes, shard (bits, with a page where a bucket overflows), shard_depth and shard_bytes."""
-    added = ("n_bytes", "shard", "shard_depth", "shard_bytes")
-    kept = [c for c in docs.columns if c.lower() not in added]
-    sized = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), key_of(F.col("doc_id")).alias("__key"))
-    narrow = docs.select(key_of(F.col("doc_id")).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
-    buckets = cut(directory(narrow, limit, step))
-    # The depths in use are at most 61 numbers; a row meets the directory by its prefix at each of them.
-    depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())
-    at = F.array(*(F.struct(F.lit(d).alias("depth"), prefix_of(F.col("__key"), d).alias("prefix")) for d in depths)) if depths else None
-    if at is None:
-        return sized.select(*(F.col(f"`{c}`") for c in kept), "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("shard_depth"), F.lit(0).cast("bigint").alias("shard_bytes"))
-    # The mapping is worked out on keys alone, one row for each, and then meets the rows; texts are never repeated.
-    placed = (
-        narrow.select("key").distinct()
-        .select("key", F.explode(F.transform(F.array(*(F.lit(d) for d in depths)), lambda d: F.struct(d.alias("depth"), prefix_of(F.col("key"), d).alias("prefix")))).alias("at"))
-        .select("key", "at.depth", "at.prefix")
-        .join(buckets, ["depth", "prefix"])
-        .select(F.col("key").alias("__key"), "depth", "prefix", "bytes", "full")
-    )
-    out = sized.join(placed, "__key")
+    kept = others(docs, ADDED)
+    sized = packed(docs, key=key_of(F.col("doc_id")), n_bytes=F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
     label = label_of(F.col("prefix"), F.col("depth"))
-    whole = out.where(~F.col("full")).select(*(F.col(f"`{c}`") for c in kept), "n_bytes", label.alias("shard"), F.col("depth").alias("shard_depth"), F.col("bytes").alias("shard_bytes"))
-    if buckets.where("full").isEmpty():
-        return whole
-    # Overflow: rows of one key, dealt by the task that read them, then paged by their running bytes.
-    task = Window.partitionBy("__key", "__task").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, 0)
-    paged = out.where("full").withColumn("__task", F.spark_partition_id())
-    # Rows of over half the limit get pages of their own; the rest are cut at each half, so that no page passes the limit.
-    alone = F.concat(F.lit("r"), F.row_number().over(task).cast("string"))
-    shared = F.floor((F.sum("n_bytes").over(task) - 1) / (limit / 2)).cast("string")
-    paged = paged.withColumn("__page", F.when(F.col("n_bytes") * 2 > limit, alone).otherwise(shared))
-    page = F.concat(label, F.lit("+"), F.col("__task").cast("string"), F.lit("."), F.col("__page"))
-    pages = paged.withColumn("shard", page).withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("__key", "__task", "__page")))
-    return whole.unionByName(pages.select(*(F.col(f"`{c}`") for c in kept), "n_bytes", "shard", F.col("depth").alias("shard_depth"), "shard_bytes"))
+
+    def out(frame: DataFrame, name: Column) -> DataFrame:
+        return unpacked(frame, kept, n_bytes=F.col("n_bytes"), shard=name, shard_depth=F.col("depth").cast("int"), shard_bytes=F.col("bytes").cast("bigint"))
+
+    # The mapping is worked out on keys alone, one row for each, and then meets the rows; texts are never repeated.
+    buckets, overflows = placed(sized.select("key", "n_bytes"), limit, step)
+    met = sized.join(buckets, "key")
+    found = out(met.where(~F.col("full")), label)
+    if not overflows:
+        return found
+    # What one id has over the limit: a single row is a shard, more rows go to a second directory by a hash of all they hold.
+    whole = F.conv(F.substring(F.md5(F.col("row").cast("string")), 1, BITS // 4), 16, 10).cast("bigint")
+    over = cut(met.where("full").withColumn("whole", whole))
+    counts = cut(over.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("n")))
+    over = join_dimension(over, counts, "key", "of")
+    crowd = over.where("n > 1").select("row", "n_bytes", F.col("whole").alias("key"))
+    buckets, equal = placed(crowd.select("key", "n_bytes"), limit, step)
+    inner = crowd.join(buckets, "key").withColumn("label", F.concat(F.lit("+"), label))
+    found = found.unionByName(out(over.where("n = 1"), label)).unionByName(out(inner.where(~F.col("full")), F.col("label")))
+    if not equal:
+        return found
+    pages = _numbered(inner.where("full").select("row", "n_bytes", "key", "label", "depth"), limit)
+    return found.unionByName(out(pages, F.concat(F.col("label"), F.lit("."), F.col("page").cast("string"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
