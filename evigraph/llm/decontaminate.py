@@ -13,8 +13,8 @@ The test words are sent to the executors in blocks of at most ``BLOCK_WORDS`` wo
 passes whose results are merged by document position.
 
 Cases: null texts have no words; empty texts neither; texts of any length are taken whole, a document is never split;
-repeated items and ties count once per item_id; an item with a null id has id ``null``; repeated documents are reported each;
-empty tables give an empty result or zero counts; extra columns pass through ``decontaminate``.
+repeated items and ties count once per item_id; items with a null id are one item, apart from one called ``null``; repeated
+documents are reported each; empty tables give an empty result or zero counts; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -22,16 +22,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from evigraph.llm.common import table
+from evigraph.llm.common import beside_text, table, text_beside, unpacked
 
 WINDOW = 13
 SHARD_WORDS = 2_000_000
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
 #: Every byte but 0-9, a-z and those of non-ASCII characters parts words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -43,18 +43,20 @@ def words_of(text: str | None) -> list[bytes]:
 class Tests:
     """Test windows as word numbers: row i of ``windows`` holds ``lengths[i]`` of them, then -1; ``items`` names its item."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
-        self.window, self.ids, self.vocabulary = window, sorted({i for i, w in items if w}), {}
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int) -> None:
+        self.window, self.vocabulary = window, {}
+        self.ids = sorted({i for i, w in items if w}, key=lambda i: (i is not None, i))
         number = {x: n for n, x in enumerate(self.ids)}
-        rows, owners = [], []
+        rows, owners = [np.empty((0, window), np.int32)], [np.empty(0, np.int64)]
         for item, words in items:
-            codes = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            for at in range(max(1, len(codes) - window + 1) if codes else 0):
-                part = codes[at : at + window]
-                rows.append(part + [-1] * (window - len(part)))
-                owners.append(number[item])
-        self.windows = np.array(rows, np.int32).reshape(-1, window)
-        self.items = np.array(owners, np.int64)
+            if not words:
+                continue
+            codes = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words), np.int32, len(words))
+            if len(codes) < window:
+                codes = np.concatenate((codes, np.full(window - len(codes), -1, np.int32)))
+            rows.append(np.lib.stride_tricks.sliding_window_view(codes, window))
+            owners.append(np.full(len(rows[-1]), number[item]))
+        self.windows, self.items = np.concatenate(rows), np.concatenate(owners)
         self.lengths = (self.windows >= 0).sum(axis=1)
         # Windows of one word make a word a start on its own; of longer ones, the first two words must follow each other.
         size = max(1, len(self.vocabulary))
@@ -77,29 +79,34 @@ class Tests:
 def suffix_array(codes: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions ``at`` sorted by the ``depth`` words that follow them, and those words as rows of big-endian bytes.
 
-    ``codes`` must end with ``depth`` separators (-2); a row of words is compared as one byte string."""
-    rows = np.ascontiguousarray((codes[at[:, None] + np.arange(depth)] + 2).astype(">u4"))
-    keys = rows.view(f"S{4 * depth}").ravel() if len(at) else np.empty(0, f"S{4 * depth}")
+    ``codes`` must end with ``depth`` separators (-1); a row of words is compared as one byte string."""
+    keys = as_keys(codes[at[:, None] + np.arange(depth)] + 1) if len(at) else np.empty(0, f"S{4 * depth}")
     order = np.argsort(keys, kind="stable")
     return at[order], keys[order]
 
 
+def as_keys(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
+
+
 def search(keys: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
     """First and last place (exclusive) in the array of the suffixes that begin with each window."""
-    depth = tests.window
-    wide = np.zeros((len(tests.windows), depth), ">u4")
-    wide[:] = tests.windows + 2
-    padding = tests.windows < 0
-    low, high = wide.copy(), wide.copy()
-    low[padding], high[padding] = 0, 0xFFFFFFFF
-    as_keys = lambda rows: np.ascontiguousarray(rows).view(f"S{4 * depth}").ravel()
-    return np.searchsorted(keys, as_keys(low), "left"), np.searchsorted(keys, as_keys(high), "right")
+    # -1, past the end of a short item, becomes the least word; the greatest word there bounds it from above.
+    low = as_keys(tests.windows + 1)
+    first = np.searchsorted(keys, low, "left")
+    last = np.searchsorted(keys, low, "right")
+    short = np.flatnonzero(tests.lengths < tests.window)
+    if len(short):
+        high = tests.windows[short].astype(np.int64) + 1
+        high[high == 0] = 0xFFFFFFFF
+        last[short] = np.searchsorted(keys, as_keys(high), "right")
+    return first, last
 
 
 def scan_shard(texts: list[list[bytes]], tests: Tests) -> list[tuple[int, int, list[int], list[tuple[int, int, int, int]]]]:
     """Per document: words, hit words, items, and maximal verbatim runs (item, first word, words, words of its longest window)."""
     get = tests.vocabulary.get
-    apart = [-2] * tests.window
+    apart = [-1] * tests.window
     flat: list[int] = []
     begins = []
     for words in texts:
@@ -137,13 +144,10 @@ def scan_shard(texts: list[list[bytes]], tests: Tests) -> list[tuple[int, int, l
     return out
 
 
-MATCHES = "array<struct<item_id:string,first_word:bigint,n_words:bigint,window:bigint>>"
-
-
-def blocks_of(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+def blocks_of(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Benchmark items, read through the driver a partition at a time, in blocks of bounded size."""
     held, words = [], 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         held.append((row[0], words_of(row[1])))
         words += len(held[-1][1])
         if words >= most:
@@ -152,10 +156,16 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tu
     yield held
 
 
-def _find(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int, shard_words: int, schema: str) -> DataFrame:
-    tests = docs.sparkSession.sparkContext.broadcast(Tests(items, window))
+ADDED = StructType().add("n_words", "long").add("n_hit", "long").add("matches", ArrayType(StructType().add("item_id", "string").add("first_word", "long").add("n_words", "long").add("window", "long")))
+
+
+def _find(frame: DataFrame, items: list[tuple[str | None, list[bytes]]], window: int, shard_words: int, with_text: bool) -> DataFrame:
+    """``frame``, whose last column is the text, with n_words, n_hit and matches; without the text unless it is asked for."""
+    tests = frame.sparkSession.sparkContext.broadcast(Tests(items, window))
+    passed = len(frame.columns) - (not with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run_type = pa.list_(pa.struct([("item_id", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("window", pa.int64())]))
         for batch in batches:
             texts, total, begun = [], 0, 0
             for row in range(batch.num_rows):
@@ -163,47 +173,33 @@ def _find(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int, sh
                 total += len(texts[-1])
                 if total < shard_words and row + 1 < batch.num_rows:
                     continue
-                found = scan_shard(texts, tests.value)
-                ids = tests.value.ids
-                hits = pd.DataFrame(
-                    {
-                        "n_words": [f[0] for f in found],
-                        "n_hit": [f[1] for f in found],
-                        "matches": [[{"item_id": ids[i], "first_word": a, "n_words": n, "window": w} for i, a, n, w in f[3]] for f in found],
-                    }
-                )
-                kind = pa.struct([("item_id", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("window", pa.int64())])
-                made = [pa.array(hits["n_words"], pa.int64()), pa.array(hits["n_hit"], pa.int64()), pa.array(hits["matches"].tolist(), pa.list_(kind))]
-                columns = [batch.column(i).slice(begun, len(texts)) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*batch.schema.names[:-1], "__n_words", "__n_hit", "__matches"])
+                found, ids = scan_shard(texts, tests.value), tests.value.ids
+                matches = [[{"item_id": ids[i], "first_word": a, "n_words": n, "window": w} for i, a, n, w in f[3]] for f in found]
+                made = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array(matches, run_type)]
+                columns = [batch.column(i).slice(begun, len(texts)) for i in range(passed)]
+                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*batch.schema.names[:passed], *ADDED.names])
                 texts, total, begun = [], 0, row + 1
 
-    return docs.mapInArrow(run, schema)
+    return frame.mapInArrow(run, StructType([*frame.schema.fields[:passed], *ADDED.fields]))
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Columns ``keep`` (all by default) of ``docs`` with __n_words, __n_hit and __matches, the runs of words that
-    overlapping windows of one item cover.
+    """(row, n_words, n_hit, matches): row is a struct of the columns ``keep`` (all by default) of ``docs``, matches are the
+    runs of words that overlapping windows of one item cover.
 
     With several blocks of items, the texts pass through one scan a block, and a document's hits are united from its runs."""
     blocks = blocks_of(benchmark)
     block, following = next(blocks), next(blocks, [])
     wanted = docs.columns if keep is None else keep
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    added = f"__n_words bigint, __n_hit bigint, __matches {MATCHES}"
-    found, before = docs, False
+    frame, with_text = text_beside(docs, wanted), any(c.lower() == "text" for c in wanted)
+    before = False
     while True:
-        held = [*wanted, *(["__text"] if following else [])]
-        columns = [F.col(f"`{c}`") for c in wanted] + ([F.col("__before")] if before else [])
-        text = F.col("__text") if "__text" in found.columns else F.col("text")
-        plain = found.select(*columns, *([text.alias("__text")] if following else []), text.alias("__scanned"))
-        schema = [f"`{c}` {types[c]}" for c in wanted] + ([f"__before {MATCHES}"] if before else []) + (["__text string"] if following else [])
-        found = _find(plain, block, window, shard_words, ", ".join([*schema, added]))
+        found = _find(frame, block, window, shard_words, bool(following) or with_text)
         if before:
-            found = found.withColumn("__matches", F.concat("__before", "__matches")).withColumn("__n_hit", _united(F.col("__matches")))
+            found = found.withColumn("matches", F.concat("before", "matches")).withColumn("n_hit", _united(F.col("matches")))
         if not following:
-            return found.select(*(F.col(f"`{c}`") for c in wanted), "__n_words", "__n_hit", "__matches")
-        found = found.select(*(F.col(f"`{c}`") for c in held), F.col("__matches").alias("__before"))
+            return found.select(F.struct(*beside_text(wanted)).alias("row"), "n_words", "n_hit", "matches")
+        frame = found.select("row", F.col("matches").alias("before"), "text")
         block, following, before = following, next(blocks, []), True
 
 
@@ -215,25 +211,25 @@ def _united(matches):
     return F.aggregate(ordered, zero, step, lambda s: s["n"])
 
 
-def contaminated():
+def contaminated() -> Column:
     """Over a twentieth of the words, and at least one, are hit."""
-    return (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words"))
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without rows that hold ``WINDOW`` words of the benchmark in a row, or that are contaminated."""
-    leaks = F.exists("__matches", lambda m: m["window"] >= WINDOW)
-    return find_matches(docs, benchmark).where(~leaks & ~contaminated()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    leaks = F.exists("matches", lambda m: m["window"] >= WINDOW)
+    return unpacked(find_matches(docs, benchmark).where(~leaks & ~contaminated()), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = F.array_distinct(F.transform("__matches", lambda m: m["item_id"]))
+    items = F.array_distinct(F.transform("matches", lambda m: m["item_id"]))
     return find_matches(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]).select(
-        "doc_id",
-        F.col("__n_words").alias("n_words"),
-        F.col("__n_hit").alias("n_hit"),
+        "row.doc_id",
+        "n_words",
+        "n_hit",
         F.size(items).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(F.sort_array(items), ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join(F.sort_array(items), ",", "null"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
