@@ -22,7 +22,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import ascii_lower, table
+from evigraph.llm.common import BROADCAST_ROWS, ascii_lower, cut, others, packed, table, unpacked
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,8 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
 def postings(docs: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
     """(doc_id, trigram) for every trigram of the vocabulary that a document's lower-cased text holds."""
     lower = docs.select("doc_id", ascii_lower("text").alias("lower"))
-    held = F.filter(F.array(*map(F.lit, vocabulary)), lambda t: F.contains(F.col("lower"), t))
+    # Spelled out, so that the text is lower-cased once and not for each trigram.
+    held = F.array_compact(F.array(*(F.when(F.contains("lower", F.lit(t)), F.lit(t)) for t in vocabulary)))
     return lower.select("doc_id", F.explode(held).alias("trigram"))
 
 
@@ -175,33 +176,49 @@ def rule_spans(text: Column, rule: Rule, place: int) -> Column:
     matches = F.regexp_extract_all(text, regex, F.lit(0))
     groups = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.group else matches
     lengths = F.arrays_zip(gaps.alias("gap"), F.transform(matches, F.length).alias("match"), F.transform(groups, F.length).alias("group"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    none = F.array().cast(SPAN)
+    empty = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         stop = start + F.coalesce(x["match"], F.lit(0))
         span = F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), stop.alias("stop"), F.lit(rule.base).alias("base"))
-        found = F.when(x["group"] >= rule.least, F.array(span).cast(SPAN)).otherwise(F.array().cast(SPAN))
+        found = F.when(x["group"] >= rule.least, F.array(span).cast(SPAN)).otherwise(none)
         return F.struct(stop.alias("at"), F.concat(state["spans"], found).cast(SPAN).alias("spans"))
 
-    return F.aggregate(lengths, empty, step, lambda s: s["spans"])
+    # Most texts have no match, which one search tells.
+    return F.when(F.rlike(text, regex), F.aggregate(lengths, empty, step, lambda s: s["spans"])).otherwise(none)
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``docs`` with ``found``: spans ordered by start, then by the rules' order."""
-    kept = [c for c in docs.columns if c.lower() != "found"]
-    whole = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumn("__text", F.coalesce("text", F.lit("")))
-    wanted = candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules)
-    if wanted is None:
-        wanted = docs.select("doc_id").limit(0).select("doc_id", F.array().cast("array<string>").alias("kinds"))
-    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
-    met = whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    """``docs`` with ``found``: spans ordered by start, then by the rules' order.
+
+    Candidates are few as long as secrets are; up to ``BROADCAST_ROWS``, counted first, they are sent to the texts.  More of them are
+    joined, with the texts alone that hold any posting.  Rules without a trigram query run where the text is."""
+    kept = others(docs, ["found"])
+    whole = packed(docs, doc_id=F.col("doc_id"), text=F.coalesce("text", F.lit("")))
     none = F.array().cast(SPAN)
-    spans = [
-        rule_spans(F.col("__text"), rule, i) if trigram_query(rule.regex) is None else F.when(F.array_contains("__kinds", rule.kind), rule_spans(F.col("__text"), rule, i)).otherwise(none)
-        for i, rule in enumerate(rules)
-    ]
-    return met.select(*(F.col(f"`{c}`") for c in kept), F.array_sort(F.concat(*spans)).alias("found"))
+
+    def verified(frame: DataFrame, kinds: Column | None) -> DataFrame:
+        spans = []
+        for i, rule in enumerate(rules):
+            if trigram_query(rule.regex) is None:
+                spans.append(rule_spans(F.col("text"), rule, i))
+            elif kinds is not None:
+                spans.append(F.when(F.array_contains(kinds, rule.kind), rule_spans(F.col("text"), rule, i)).otherwise(none))
+        return unpacked(frame, kept, found=F.array_sort(F.concat(*spans)) if spans else none)
+
+    wanted = candidates(whole.select("doc_id", "text"), rules)
+    if wanted is None:
+        return verified(whole, None)
+    wanted = cut(wanted.select(F.col("doc_id").alias("of"), "kinds"))
+    same = F.col("doc_id").eqNullSafe(F.col("of"))
+    if wanted.count() <= BROADCAST_ROWS:
+        return verified(whole.join(F.broadcast(wanted), same, "left"), F.col("kinds"))
+    terms = sorted({t for rule in rules for s in trigram_query(rule.regex) or () for t in s})
+    lowered = whole.withColumn("lower", ascii_lower("text"))
+    holds = F.array_contains(F.array(*(F.contains("lower", F.lit(t)) for t in terms)), True)
+    return verified(lowered.where(holds).join(wanted, same, "left"), F.col("kinds")).unionByName(verified(lowered.where(~holds), None))
 
 
 def span_text(spans: Column) -> Column:
