@@ -6,17 +6,20 @@ largest response over the text, and a logistic layer weighs those and gives a sc
 for each of its words, every product of a table row and a filter's slot is worked out once, after training; scoring a text
 is then a gather and a sum, over the whole text in bounded blocks.
 
-The model is fitted on the driver on at most ``TRAIN_DOCS`` labelled rows, those with the smallest hash of their id, so
-the bound holds at every size and reruns agree.  Training and scoring see whole texts.  A threshold for each language is
-calibrated on the calibration fold of the sample; scores themselves know nothing but the text.
+The model is fitted in one task, on a sample of at most ``TRAIN_DOCS`` labelled rows of ``TRAIN_BYTES`` in all: those with the
+smallest hash of their id, so the bounds hold at every size and reruns agree.  Training and scoring see whole texts.  A
+threshold for each language is calibrated on the calibration fold of the sample, that of best F1 within ``BOUNDS``; scores
+themselves know nothing but the text.
 
 Cases: a null or empty text has no words and gets the score of no response; labels of null are left out; a text with
-several labels counts with the largest; without any labelled row every score is 0.5; repeated rows score alike; an empty
-table gives an empty result; extra columns pass through ``score`` unless they carry a name that it adds.
+several labels counts with the largest; of rows that share an id, the one of the least text is in the sample; without any
+labelled row every score is 0.5; repeated rows score alike; an empty table gives an empty result; columns of any name pass
+through ``reject``, and through ``score`` but for one called toxicity.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -24,16 +27,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from evigraph.llm.common import table
+from evigraph.llm.common import beside_text, cut, table, text_beside
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 16
 #: Pieces of a word that have embeddings: the word itself, and its first and last bytes in these numbers.
 HEADS, TAILS = (3, 4, 5, 6), (3, 5)
 PIECES = 1 + len(HEADS) + len(TAILS)
 TRAIN_DOCS, VISITS, EPOCHS, RATE, DECAY, BATCH, SEED = 5000, 20_000, 40, 0.01, 3e-4, 32, 7
+#: Bytes of text that the sample holds; it always has a first row.
+TRAIN_BYTES = 64_000_000
 THRESHOLD = 0.3
 #: Calibrated thresholds stay between these.
 BOUNDS = (0.2, 0.8)
@@ -211,10 +217,13 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str], least: i
 
     def best(s: np.ndarray, y: np.ndarray) -> float:
         order = np.argsort(-s, kind="stable")
+        s = s[order]
         hits = np.cumsum(y[order])
         f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
-        i = int(np.argmax(f1))
-        return float(np.clip((s[order][i] + (s[order][i + 1] if i + 1 < len(s) else 0)) / 2, *BOUNDS))
+        # Tied scores fall on one side together.
+        last = np.append(s[1:] != s[:-1], True)
+        i = int(np.argmax(np.where(last, f1, -1)))
+        return float(np.clip((s[i] + (s[i + 1] if i + 1 < len(s) else 0)) / 2, *BOUNDS))
 
     found = {"": best(scores, labels) if labels.sum() >= least else THRESHOLD}
     of = np.array(langs, object)
@@ -229,54 +238,79 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """Fit on at most ``most`` labelled rows that aren't held out; a fifth of them only calibrates the thresholds."""
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    # The sample is the ids of smallest hash: a top-k that each task bounds before anything moves.
-    chosen = marked.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    sample = docs.select("doc_id", "text", lang.cast("string").alias("__lang")).join(F.broadcast(chosen), "doc_id")
-    rows = sample.select("doc_id", "text", "__lang", "__toxic").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    if not len(rows):
-        columns = FILTERS * sum(WIDTHS)
-        return Model(np.zeros((BUCKETS + 1, columns), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0)
+def learned(ids: list[int], texts: list[str | None], langs: list[str | None], toxic: list[int]) -> Model:
+    """The model of a sample; a fifth of it only calibrates the thresholds."""
     vocabulary = Vocabulary()
-    texts = [vocabulary.numbers(t) for t in rows["text"]]
+    numbers = [vocabulary.numbers(t) for t in texts]
     pieces = vocabulary.taken()
-    marks = (rows["__toxic"].to_numpy() > 0).astype(np.float32)
-    fold = np.array([zlib.crc32(b"fold" + str(i).encode()) % 5 == 0 for i in rows["doc_id"]])
+    marks = (np.array(toxic) > 0).astype(np.float32)
+    fold = np.array([zlib.crc32(b"fold" + str(i).encode()) % 5 == 0 for i in ids])
     if fold.all() or not fold.any():
         fold[:] = False
     learn = np.flatnonzero(~fold)
-    model = fit([texts[i] for i in learn], pieces, marks[learn])
+    model = fit([numbers[i] for i in learn], pieces, marks[learn])
     proof = np.flatnonzero(fold) if fold.any() else learn
-    model.thresholds = calibrate(model.scorer()([rows["text"].iloc[i] for i in proof]), marks[proof], [rows["__lang"].iloc[i] for i in proof])
+    model.thresholds = calibrate(model.scorer()([texts[i] for i in proof]), marks[proof], [langs[i] for i in proof])
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (all by default) of ``docs`` with ``toxicity``, a score from 0 to 1; texts are read in place."""
+def sample_of(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(doc_id, text, lang, toxic) of the rows to learn from."""
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("toxic"))
+    # The sample is the ids of smallest hash: a top-k that each task bounds before anything moves.
+    place = F.xxhash64("of", F.lit(SEED))
+    chosen = marked.orderBy(place, "of").limit(most)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    rows = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), lang.cast("string").alias("lang")).alias("row"))
+    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).groupBy("doc_id", "toxic").agg(F.min("row").alias("row"))
+    # At most ``most`` rows are left to order.
+    size = F.sum(F.octet_length("row.text")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))
+    return found.withColumn("size", size).where((F.col("size") <= most_bytes) | (F.col("size") == F.octet_length("row.text"))).select("doc_id", "row.text", "row.lang", "toxic")
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
+    """Fit on at most ``most`` labelled rows that aren't held out, in a task of its own; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: r[0])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learned(*map(list, zip(*rows))))], pa.binary())], names=["model"])
+
+    found = cut(sample_of(docs, labels, most)).coalesce(1).mapInArrow(run, "model binary").collect()
+    if found:
+        return pickle.loads(found[0].model)
+    columns = FILTERS * sum(WIDTHS)
+    return Model(np.zeros((BUCKETS + 1, columns), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0)
+
+
+def _scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs``, as ``text_beside`` has them, with score; texts are read in place."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    wanted = [c for c in (docs.columns if keep is None else keep) if c.lower() != "toxicity"]
+    frame = text_beside(docs, columns)
+    passed = 1 + any(c.lower() == "text" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = sent.value.scorer()
         for batch in batches:
             # A few texts at a time are Python objects.
-            texts = batch.column(batch.num_columns - 1)
-            found = [scores(texts.slice(at, TOGETHER).to_pylist()) for at in range(0, batch.num_rows, TOGETHER)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())], names=[*wanted, "toxicity"])
+            found = [scores(batch.column(1).slice(at, TOGETHER).to_pylist()) for at in range(0, batch.num_rows, TOGETHER)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:passed], pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())], names=[*batch.schema.names[:passed], "score"])
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in wanted), "toxicity double"])
-    return docs.select(*(F.col(f"`{c}`") for c in wanted), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return frame.mapInArrow(run, StructType([*frame.schema.fields[:passed], StructField("score", DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (all by default) of ``docs`` with ``toxicity``, a score from 0 to 1."""
+    wanted = [c for c in (docs.columns if keep is None else keep) if c.lower() != "toxicity"]
+    return _scored(docs, model, wanted).select(*beside_text(wanted), F.col("score").alias("toxicity"))
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows whose score reaches their language's threshold."""
     limits = F.create_map(*(F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair)) if model.thresholds else None
-    limit = F.lit(THRESHOLD) if limits is None else F.coalesce(F.try_element_at(limits, F.coalesce("lang", F.lit(""))), F.try_element_at(limits, F.lit("")))
-    return score(docs, model).where(F.col("toxicity") < limit).select(*(F.col(f"`{c}`") for c in docs.columns))
+    lang = next((F.col("row").getField(c) for c in docs.columns if c.lower() == "lang"), F.lit(""))
+    limit = F.lit(THRESHOLD) if limits is None else F.coalesce(F.try_element_at(limits, F.coalesce(lang.cast("string"), F.lit(""))), F.try_element_at(limits, F.lit("")))
+    return _scored(docs, model, docs.columns).where(F.col("score") < limit).select(*beside_text(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
