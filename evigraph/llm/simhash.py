@@ -13,14 +13,17 @@ at all.  So a fingerprint has the keys
 
 ``near_copies`` links texts whose sets of five-word shingles are similar at 0.8 or more.  That is some 15 differing bits in
 100, too many for a guarantee, so the sets' fingerprints have 256 bits, 11 segments, and meet if a segment shares a codeword
-index and 6 bits of another segment are equal, in any of 22 such pairs; a segment of a pair at 0.8 differs in at most 2 bits
-three times in ten.  They meet as well if the smallest hashes of three ranges of hashes are equal, in any of 12 such triples;
-at 0.8 a triple is equal half the time.  ``WIDE_MOST`` of all 256 bits, six deviations above the mean at 0.8, may differ in what is
-gone through.  Components of those are then gone through by the exact Jaccard similarity of their sets, every pair of a
-component, and only links at 0.8 or more stay; a large component is dealt out as pairs of blocks of its members.
+index and some bits of another segment are equal, in any of 22 such pairs; a segment of a pair at 0.8 differs in at most 2 bits
+three times in ten.  There are 6 of those bits or more: their number grows with the logarithm of the fingerprints, so that a
+key has a handful of unrelated members at any size, while the pairs that such keys find grow more alike.  Fingerprints meet as
+well if the smallest hashes of three ranges of hashes are equal, in any of 12 such triples; at 0.8 a triple is equal half the
+time, at every size.  ``WIDE_MOST`` of all 256 bits, six deviations above the mean at 0.8, may differ in what is gone through.
+Components of those are then gone through by the exact Jaccard similarity of their sets, and only links at 0.8 or more stay.
 
 Fingerprints meet by key and are verified by counting the bits that differ; nothing is capped.  Equal fingerprints are one
-before keys are made.  Of a key with many members, a search emits the edges of a spanning forest rather than all pairs.
+before keys are made.  What is emitted are edges of spanning forests rather than all pairs.  A key or component with many
+members is dealt out as blocks, each with a forest of its own; what is left to compare are the members outside its largest
+tree with all others, again block by block, so that a large group of copies costs little more than its rows.
 
 Cases: a null text has no words; texts without words have fingerprint 0 and link like any other; a text of fewer than
 ``shingle`` words is one shingle; repeated rows share a component; a null doc_id gets a fingerprint, and is never the
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import BROADCAST_ROWS, cut, shards_for, table
+from evigraph.llm.common import BROADCAST_ROWS, cut, join_dimension, packed, table, unpacked
 from evigraph.operators.components import connected_components
 
 BITS, PARTS, PART_BITS, MOST = 64, 4, 16, 3
@@ -186,18 +190,23 @@ def strict_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 WIDE, SEGMENTS, MATES, MATE_BITS = 4, 11, (1, 5), 6
 
 
-def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of 256-bit fingerprints, n x 4: a segment's codeword index beside some bits of another segment."""
+def mate_bits_for(fingerprints: int) -> int:
+    """Bits beside a codeword index that leave a key a handful of unrelated members."""
+    return max(MATE_BITS, fingerprints.bit_length() - 12)
+
+
+def wide_keys(fps: np.ndarray, mate_bits: int = MATE_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of 256-bit fingerprints, n x 4: a segment's codeword index beside some bits of other segments."""
     bits = np.unpackbits(fps.astype(">u8").view(np.uint8), axis=1)
     weights = 1 << np.arange(22, -1, -1, dtype=np.int64)
-    segments = [bits[:, 23 * i : 23 * i + 23] @ weights for i in range(SEGMENTS)]
+    places = np.arange(mate_bits)
     rows, keys = [], []
-    for i, segment in enumerate(segments):
-        at, code = codes_of(segment)
+    for i in range(SEGMENTS):
+        at, code = codes_of(bits[:, 23 * i : 23 * i + 23] @ weights)
         for j, mate in enumerate(MATES):
-            beside = (segments[(i + mate) % SEGMENTS] >> (j * MATE_BITS)) & ((1 << MATE_BITS) - 1)
+            beside = bits[:, (23 * (i + mate) + j * MATE_BITS + places) % (23 * SEGMENTS)] @ (1 << places)
             rows.append(at)
-            keys.append(((code << np.uint64(MATE_BITS)) | beside[at].astype(np.uint64)) << np.uint64(5) | np.uint64(i * len(MATES) + j))
+            keys.append(((code << np.uint64(mate_bits)) | beside[at].astype(np.uint64)) << np.uint64(5) | np.uint64(i * len(MATES) + j))
     return np.concatenate(rows), np.concatenate(keys).view(np.int64)
 
 
@@ -274,12 +283,61 @@ def linked(key: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return np.concatenate(left), np.concatenate(right)
 
 
-def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], shown: int, most: int) -> DataFrame:
+def of_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows one after another that agree in the first ``keys`` columns, without these."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for _, group in groupby(rows, key=lambda row: row[:keys]):
+        yield [row[keys:] for row in group]
+
+
+def edge_batch(ends: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(e) for e in ends], pa.int64()), pa.array([max(e) for e in ends], pa.int64())], names=["a", "b"])
+
+
+def across(members: DataFrame, key: str, edges: DataFrame, block: int, near: Callable[[list[bytes], list[bytes]], Iterator[np.ndarray]]) -> DataFrame:
+    """Further edges between the members of a key: of those outside the key's largest tree with all others, where their trees differ.
+
+    ``members`` are (key, block, id, payload), dealt to blocks whose own links are in ``edges``; ``near`` yields, for each of some
+    payloads, which of others are linked to it."""
+    trees = connected_components(edges).select(F.col("node").alias("of"), F.col("component").alias("tree"))
+    placed = cut(members.join(trees, F.col("id") == F.col("of"), "left").select(key, "block", "id", "payload", F.coalesce("tree", "id").alias("tree")))
+    sizes = placed.groupBy(F.col(key).alias("k"), "tree").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("k").agg(F.max_by("tree", F.struct("n", "tree")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest"))
+    blocks = members.groupBy(F.col(key).alias("bk")).agg((F.max("block") + 1).alias("blocks"))
+    sizes = cut(sizes.where("rest > 0").join(blocks, F.col("k") == F.col("bk")).select("k", "largest", "blocks", F.ceil(F.col("rest") / block).cast("int").alias("parts")))
+    met = join_dimension(placed, sizes, key, "k")
+    counters = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)
+    every = met.select(key, "block", F.explode(counters(F.col("parts"))).alias("part"), F.lit(False).alias("outside"), "id", "tree", "payload")
+    rest = met.where("tree <> largest").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rest = rest.select(key, F.explode(counters(F.col("blocks"))).alias("block"), "part", F.lit(True).alias("outside"), "id", "tree", "payload")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_group(batches, 3):
+            left, right = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+            if not left or not right:
+                continue
+            tree = np.array([r[2] for r in right], np.int64)
+            found = []
+            for (_, one, own, _), linked_to in zip(left, near([r[3] for r in left], [r[3] for r in right])):
+                hit = np.flatnonzero(linked_to & (tree != own))
+                found += [(one, right[hit[i]][1]) for i in np.unique(tree[hit], return_index=True)[1]]
+            if found:
+                yield edge_batch(found)
+
+    return every.unionByName(rest).repartition(key, "block", "part").sortWithinPartitions(key, "block", "part").mapInArrow(link, "a bigint, b bigint")
+
+
+#: One fingerprint in so many tells which keys have more than ``CROWD`` members; those are dealt to blocks of that many.
+SAMPLED, CROWD = 64, 8192
+
+
+def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], shown: int, most: int, sampled: int = SAMPLED, crowd: int = CROWD) -> DataFrame:
     """(a, b) edges between identities of distinct fingerprints fp0..., whose components are those of all links.
 
     ``shown`` words of a fingerprint go along with each key, by which links are verified.  Further keys may come as an array
     beside the fingerprints, bands."""
     further = ["bands"] if "bands" in distinct.columns else []
+    names = [f"fp{i}" for i in range(shown)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,98 +349,71 @@ def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray],
                     bands = bands.slice(at, 1_000)
                     rows = np.concatenate((rows, np.repeat(np.arange(len(some)), bands.value_lengths().to_numpy())))
                     keys = np.concatenate((keys, bands.flatten().to_numpy()))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(some[rows, i]).view(np.int64)) for i in range(shown))], names=["key", *(f"fp{i}" for i in range(shown))])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(some[rows, i]).view(np.int64)) for i in range(shown))], names=["key", *names])
+
+    def keyed(some: DataFrame) -> DataFrame:
+        return some.select(*(f"fp{i}" for i in range(width)), *further).mapInArrow(spread, "key bigint, " + ", ".join(f"{n} bigint" for n in names))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of a key come one after another; what is held is one batch and the key that reaches into the next.
-        key, fps = np.empty(0, np.int64), np.empty((0, shown), np.uint64)
+        # Rows of a key come one after another; what is held is the pieces of the key that reaches into the next batch.
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def edges(key: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def edges() -> Iterator[pa.RecordBatch]:
+            key, fps = (np.concatenate(parts) for parts in zip(*held))
             left, right = linked(key, fps, most)
             if len(left):
                 ids = identity(fps)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right]))], names=["a", "b"])
 
         for batch in batches:
-            key = np.concatenate((key, batch.column(0).to_numpy()))
-            fps = np.concatenate((fps, np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)))
-            if len(key):
-                last = np.searchsorted(key, key[-1])
-                yield from edges(key[:last], fps[:last])
-                key, fps = key[last:], fps[last:]
-        if len(key):
-            yield from edges(key, fps)
-
-    names = [f"fp{i}" for i in range(shown)]
-    keyed = distinct.select(*(f"fp{i}" for i in range(width)), *further).mapInArrow(spread, "key bigint, " + ", ".join(f"{n} bigint" for n in names))
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
-
-
-#: Edges that one task thins out.
-THINNED = 200_000
-
-
-def root_of(above: dict[int, int], x: int) -> int:
-    while (up := above.get(x, x)) != x:
-        above[x] = above.get(up, up)
-        x = up
-    return x
-
-
-def thinned(edges: DataFrame) -> DataFrame:
-    """Edges with the same components, fewer of them: a spanning forest of each ``THINNED`` or so.
-
-    Keys that share members give many edges between the same few fingerprints."""
-    edges = cut(edges)
-    parts = shards_for(edges.count(), THINNED)
-
-    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        above: dict[int, int] = {}
-        root = partial(root_of, above)
-        for batch in batches:
-            kept = []
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y = root(a), root(b)
-                if x != y:
-                    above[max(x, y)] = min(x, y)
-                    kept.append((a, b))
-            ends = np.array(kept, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
-
-    return edges.repartition(parts).mapInArrow(span, "a bigint, b bigint")
-
-
-def components_by_thinning(edges: DataFrame) -> DataFrame:
-    """``connected_components`` of edges that are thinned as long as that leaves half of them at most; those that one task
-    then holds are followed there, without rounds."""
-    edges = cut(edges)
-    count = edges.count()
-    while count > THINNED:
-        edges, before = cut(thinned(edges)), count
-        count = edges.count()
-        if 2 * count > before:
-            return connected_components(edges)
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        above: dict[int, int] = {}
+            key = batch.column(0).to_numpy()
+            fps = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1 : 1 + shown]], axis=1)
+            if not len(key):
+                continue
+            last = np.searchsorted(key, key[-1])
+            if last:
+                held.append((key[:last], fps[:last]))
+                yield from edges()
+                held = []
+            elif held and held[-1][0][-1] != key[0]:
+                yield from edges()
+                held = []
+            held.append((key[last:], fps[last:]))
+        if held:
+            yield from edges()
+
+    counted = keyed(distinct.where(F.pmod(F.xxhash64("fp0"), F.lit(sampled)) == 0)).groupBy(F.col("key").alias("hot")).count().where(F.col("count") * sampled > crowd)
+    hot = cut(counted.select("hot", F.ceil(F.col("count") * sampled / crowd).cast("int").alias("blocks")))
+    if hot.isEmpty():
+        return keyed(distinct).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
+    known = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    met = keyed(distinct).join(known, F.col("key") == F.col("hot"), "left")
+    quiet = met.where("hot is null").select("key", *names).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
+    loud = cut(met.where("hot is not null").select("key", *names, F.pmod(F.xxhash64("key", *names), F.col("blocks")).cast("int").alias("block")))
+    # A block of a key is a key of its own here.
+    inside = loud.select(F.xxhash64("key", "block").alias("key"), *names).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
+    edges = cut(quiet.unionByName(inside).distinct())
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y = root_of(above, a), root_of(above, b)
-                low, high = min(x, y), max(x, y)
-                above[low], above[high] = low, low
-        nodes = list(above)
-        for at in range(0, len(nodes), 10_000):
-            some = nodes[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root_of(above, x) for x in some], pa.int64())], names=["node", "component"])
+            fps = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[2:]], axis=1)
+            payload = pa.array([row.tobytes() for row in fps], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(identity(fps)), payload], names=["key", "block", "id", "payload"])
 
-    return cut(edges.coalesce(1).mapInArrow(follow, "node bigint, component bigint"))
+    def near(left: list[bytes], right: list[bytes]) -> Iterator[np.ndarray]:
+        fps = np.frombuffer(b"".join(right), np.uint64).reshape(len(right), -1)
+        for one in left:
+            yield apart(fps, np.frombuffer(one, np.uint64)) <= most
+
+    members = loud.select("key", "block", *names).mapInArrow(named, "key bigint, block int, id bigint, payload binary")
+    return edges.unionByName(across(members, "key", edges, crowd, near)).distinct()
 
 
 def components_of(prints: DataFrame, first: Column, width: int, keys_of, shown: int, most: int) -> DataFrame:
     """(id, first) for each distinct fingerprint identity of materialised rows with id and fp0...: the smallest ``first`` (an
     aggregate) of its component."""
     classes = cut(prints.groupBy("id", *(f"fp{i}" for i in range(width))).agg(first.alias("first")))
-    reached = connected_components(thinned(near_pairs(classes, width, keys_of, shown, most)))
+    reached = connected_components(near_pairs(classes, width, keys_of, shown, most))
     firsts = classes.groupBy("id").agg(F.min("first").alias("first"))
     # Fingerprints that no other is near are their own component.
     named = firsts.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -452,36 +483,52 @@ def similar_forest(sets: list[np.ndarray], tenths: int = TENTHS) -> list[tuple[i
     return edges
 
 
-def similar_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b) edges between sets (component, set_id, n, shingles) of a component, whose components are those of all its pairs
-    similar at ``TENTHS`` / 10 or more."""
-    totals = sets.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    dealt = sets.join(totals.select("component", blocks.alias("blocks")), "component").withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    # Each pair of blocks meets once, and within it the members of each.
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("mine"))))
-    dealt = dealt.withColumn("other", other).select("component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "set_id", "shingles")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, sets = None, [], []
-
-        def edges() -> Iterator[pa.RecordBatch]:
-            found = similar_forest(sets)
-            if found:
-                ends = [sorted((ids[x], ids[y])) for x, y in found]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), pa.array([y for _, y in ends], pa.int64())], names=["a", "b"])
+def similar_rows(left: list[bytes], right: list[bytes], tenths: int = TENTHS) -> Iterator[np.ndarray]:
+    """For each set of the one list, which of the other are similar at ``tenths`` / 10 or more."""
+    sets = [np.frombuffer(x, np.uint64) for x in (*right, *left)]
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    flat = codes[: begins[len(right)]]
+    marked = np.zeros(int(codes.max(initial=-1)) + 1, np.int64)
+    for i in range(len(right), len(sets)):
+        own = codes[begins[i] : begins[i] + sizes[i]]
+        marked[own] = 1
+        shared = np.add.reduceat(marked[flat], begins[: len(right)])
+        marked[own] = 0
+        yield (10 + tenths) * shared >= tenths * (sizes[: len(right)] + sizes[i])
 
-        for batch in batches:
-            for *now, set_id, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-                if now != group:
-                    yield from edges()
-                    group, ids, sets = now, [], []
-                ids.append(set_id)
-                sets.append(np.frombuffer(shingles, np.uint64))
-        yield from edges()
 
-    keys = ["component", "low", "high"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "a bigint, b bigint").distinct()
+def similar_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) edges between sets (component, set_id, n, shingles) of a component, none empty, whose components are those of all
+    its pairs similar at ``TENTHS`` / 10 or more."""
+    totals = sets.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    totals = cut(totals.select("c", blocks.alias("blocks")))
+    dealt = join_dimension(sets, totals, "component", "c").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+
+    def forests(members: DataFrame) -> DataFrame:
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in of_group(batches, 2):
+                found = similar_forest([np.frombuffer(r[1], np.uint64) for r in rows])
+                if found:
+                    yield edge_batch([(rows[x][0], rows[y][0]) for x, y in found])
+
+        dealt = members.select("component", "block", "set_id", "shingles").repartition("component", "block").sortWithinPartitions("component", "block")
+        return dealt.mapInArrow(verify, "a bigint, b bigint")
+
+    edges = cut(forests(dealt))
+    if totals.where("blocks > 1").isEmpty():
+        return edges
+    large = cut(dealt.where("blocks > 1").select("component", "block", F.col("set_id").alias("id"), F.col("shingles").alias("payload")))
+    # The trees' roots first: those of a group of copies are copies too, and make it one tree.
+    trees = connected_components(edges).select(F.col("node").alias("of"), F.col("component").alias("tree"))
+    roots = large.join(trees, F.col("id") == F.col("of"), "left").where(F.coalesce("tree", "id") == F.col("id"))
+    counts = cut(roots.groupBy(F.col("component").alias("c")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("few")))
+    roots = join_dimension(roots.select("component", "id", "payload"), counts, "component", "c")
+    roots = roots.select("component", F.pmod(F.xxhash64("id", F.lit(1)), F.col("few")).cast("int").alias("block"), F.col("id").alias("set_id"), F.col("payload").alias("shingles"))
+    edges = cut(edges.unionByName(forests(roots)).distinct())
+    return edges.unionByName(across(large, "component", edges, BLOCK_SETS, similar_rows)).distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> DataFrame:
@@ -494,7 +541,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> Dat
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("digest"))
     names = [f"fp{i}" for i in range(WIDE)]
     classes = cut(prints.groupBy("set_id", "n", "id", "bands", *names).agg(F.min(row).alias("first")))
-    reached = components_by_thinning(near_pairs(classes.select(*names, "bands").distinct(), WIDE, wide_keys, WIDE, most))
+    keys_of = partial(wide_keys, mate_bits=mate_bits_for(classes.count()))
+    reached = connected_components(near_pairs(classes.select(*names, "bands").distinct(), WIDE, keys_of, WIDE, most))
     # Sets with company: in a component of fingerprints, or with the same fingerprint.
     grouped = classes.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     crowded = grouped.groupBy("component").count().where("count > 1").select("component")
@@ -503,7 +551,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> Dat
     few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     texts = keyed.join(few, (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
     sets = cut(shingle_sets(texts.select("component", "set_id", "n", "text"), shingle).dropDuplicates(["component", "set_id"]))
-    linked_sets = components_by_thinning(similar_pairs(sets)).select(F.col("node").alias("set_id"), "component")
+    linked_sets = connected_components(similar_pairs(sets)).select(F.col("node").alias("set_id"), "component")
     named = classes.groupBy("set_id").agg(F.min("first").alias("first")).join(linked_sets, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = named.groupBy("component").agg(F.min("first").alias("first"))
     named = named.select("set_id", "component").join(smallest, "component").select("set_id", "first")
@@ -516,18 +564,19 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -
     """``docs`` with one row of each group of exact and near copies, that of the smallest doc_id (null last).
 
     Rows that go are told by id and a hash of their text; the texts are dealt out at most once, to meet them."""
-    found = cut(near_copies(docs, shingle, most))
+    found = cut(near_copies(docs.select("doc_id", "text"), shingle, most))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__digest"))
-    as_key = [F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")]
+    base = packed(docs, doc_id=F.col("doc_id"), digest=F.xxhash64("text"))
+    as_key = [F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest")]
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest"))
     gone = found.where(~stays).select(*as_key).distinct()
     repeated = cut(found.where(stays).groupBy("doc_id", "digest").count().where("count > 1").select(*as_key))
-    kept = docs.join(gone, same, "left_anti")
+    kept = base.join(gone, same, "left_anti")
     if repeated.isEmpty():
-        return kept
-    # Equal rows of the id that stays: one of them.
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, same, "left_anti").unionByName(once)
+        return unpacked(kept, docs.columns)
+    # Rows of the id and text that stay: the first of them, by all their columns.
+    once = kept.join(repeated, same, "left_semi").groupBy("doc_id", "digest").agg(F.min_by("row", F.md5(F.col("row").cast("string"))).alias("row"))
+    return unpacked(kept.join(repeated, same, "left_anti").select("row").unionByName(once.select("row")), docs.columns)
 
 
 def hex_of(fp):
