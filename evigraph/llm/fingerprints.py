@@ -5,13 +5,14 @@ weight w draws r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1) from its own hash, and f
 ln a = ln c - r (t - b + 1).  The sample is the (term, t) of the smallest a.  Two texts agree in a sample with a probability
 equal to the generalised Jaccard similarity of their weights, so the share of agreeing samples is its estimate.
 
-The thin query also needs each document's successor by descending doc_id.  Ids are cut into ranges of about ``RANGE_CHARS``
-characters, from counts on a fixed number of equal cells of id space; each range is sorted and streamed through
-Python, one batch at a time, and is given the first document of the next range as a guest at its end.
+The thin query also needs each document's successor by descending doc_id.  Rows are dealt to ranges of (doc_id, hash of the
+text) of about equal length, with bounds from a sample, and placed by the range's number; each range is sorted and streamed
+through Python, one batch at a time, and is given the first document of the next range as a guest at its end.  The sample
+is chosen by hash, so reruns agree; how ids are spread doesn't matter.
 
 Cases: a null text is empty; an empty text has the fingerprint of zeros, like only to itself; ties in doc_id are ordered by
-text; null ids come last; the last document is followed by the first, a single one by itself; an empty table gives an
-empty result; extra columns pass through ``fingerprint_texts`` unless they carry a name that it adds.
+a hash of their text; null ids come last; the last document is followed by the first, a single one by itself; an empty
+table gives an empty result; extra columns pass through ``fingerprint_texts`` unless they carry a name that it adds.
 """
 
 from __future__ import annotations
@@ -20,16 +21,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from evigraph.llm.common import cut, shards_for, table
+from evigraph.llm.common import beside_text, others, shards_for, table, text_beside
 
 SAMPLES, SEED = 64, 42
-RANGE_CHARS = 16_000_000
-CELLS = 65_536
+#: Characters of a range; how many ranges there are at most, which are then longer (they are streamed); sampled rows for each.
+RANGE_CHARS, MOST_RANGES, PER_RANGE = 4_000_000, 20_000, 32
 FIRST_KEY = -(1 << 63)
 #: Texts whose terms are drawn together.
 TOGETHER = 128
@@ -111,56 +114,69 @@ def likeness(a: str, b: str) -> float:
 
 def fingerprint_texts(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """``docs`` with ``fingerprint``; texts are read in place and nothing is shuffled."""
-    kept = [c for c in docs.columns if c.lower() != "fingerprint"]
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kept = others(docs, ["fingerprint"])
+    frame = text_beside(docs, kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(samples)
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.num_columns - 1)]
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
             signed = [h for at in range(0, len(texts), TOGETHER) for h in to_hex(sampler.signatures(texts[at : at + TOGETHER]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(signed, pa.string())], names=[*kept, "fingerprint"])
-
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "fingerprint string"])
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col("text").alias("__text")).mapInArrow(run, schema)
-
-
-def id_ranges(docs: DataFrame, per_range: int = RANGE_CHARS) -> tuple[Column, int, DataFrame]:
-    """The range of a key, their number, and (cell, range, follows): what range a cell is in and which one it is the top of.
-
-    Ranges are runs of cells, of about ``per_range`` characters where a cell does not hold more; a range of any size is
-    streamed, so this only sets how evenly work is dealt.  At most ``CELLS`` rows are read by the driver."""
-    low, high = docs.agg(F.min("key"), F.max("key")).first()
-    if low is None:
-        low = high = 0
-    # A null id's key is below all; it gets the first cell to itself.
-    least = docs.where(F.col("key") > FIRST_KEY).agg(F.min("key")).first()[0] if low == FIRST_KEY else low
-    least = high if least is None else least
-    width = max(1, -(-(high - least + 1) // (CELLS - 1)))
-    cell = F.when(F.col("key") == FIRST_KEY, F.lit(0)).otherwise(F.floor((F.col("key") - F.lit(least)) / F.lit(width)) + 1).cast("int")
-    counted = docs.groupBy(cell.alias("cell")).agg(F.sum("chars").alias("chars")).collect()
-    ranges, at, held = [], 0, 0
-    for row in sorted(counted, key=lambda r: -r.cell):
-        if held and held + row.chars > per_range:
-            at, held = at + 1, 0
-        ranges.append((row.cell, at))
-        held += row.chars
-    return cell, at + 1, docs.sparkSession.createDataFrame(ranges, "cell int, part int")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed, pa.string())], names=[*batch.schema.names, "fingerprint"])
+
+    return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField("fingerprint", StringType())])).select(*beside_text(kept), "fingerprint")
+
+
+def range_bounds(keyed: DataFrame, per_range: int = RANGE_CHARS, most: int = MOST_RANGES) -> tuple[np.ndarray, np.ndarray]:
+    """Upper bounds (key, hash), ascending, of all ranges but the last, of about equal characters; ``keyed`` has key, hash, chars."""
+    rows, chars = keyed.agg(F.count(F.lit(1)), F.sum("chars")).first()
+    parts = min(shards_for(chars, per_range), most)
+    if parts <= 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # About ``PER_RANGE`` rows a range come to the driver.
+    rate = max(1, rows // (parts * PER_RANGE))
+    sample = keyed.where(F.pmod(F.xxhash64("key", "hash", F.lit(SEED)), F.lit(rate)) == 0).groupBy("key", "hash").agg(F.sum("chars").alias("chars")).toPandas()
+    key, hash_, weight = (sample[c].to_numpy(np.int64) for c in ("key", "hash", "chars"))
+    order = np.lexsort((hash_, key))
+    reached = np.cumsum(weight[order])
+    at = np.unique(np.searchsorted(reached, reached[-1] * np.arange(1, parts) / parts)) if len(reached) else np.empty(0, np.int64)
+    return key[order][at], hash_[order][at]
+
+
+def range_of(docs: DataFrame, bounds: tuple[np.ndarray, np.ndarray]) -> Column:
+    """The number of a row's range, by its key and hash; the highest keys are in range 0."""
+    sent = docs.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def number(key: pd.Series, hash_: pd.Series) -> pd.Series:
+        keys, hashes = sent.value
+        own, beside = key.to_numpy(np.int64), hash_.to_numpy(np.int64)
+        low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        # Bounds inside a key that repeats are told by the hash.
+        for k in np.unique(own[low < high]).tolist():
+            mine = np.flatnonzero(own == k)
+            a, b = low[mine[0]], high[mine[0]]
+            low[mine] = a + np.searchsorted(hashes[a:b], beside[mine], "left")
+        return pd.Series(len(keys) - low).astype("int32")
+
+    return number(F.col("key"), F.col("hash"))
 
 
 def with_next(docs: DataFrame, per_range: int = RANGE_CHARS) -> DataFrame:
-    """(part, guest, key, doc_id, text) rows dealt by part and sorted: descending key, then text, a guest at the end."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_KEY)).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cell, parts, ranges = id_ranges(keyed.select("key", F.length("text").cast("bigint").alias("chars")), per_range)
-    placed = keyed.withColumn("cell", cell).join(F.broadcast(ranges), "cell").drop("cell")
-    tops = placed.groupBy("part").agg(F.max("key").alias("key"))
-    tops = cut(tops)
-    # The first row of each range, also sent to the range before it; the very first one to the last range.
-    guest = F.pmod(F.col("part") - 1, F.lit(parts))
-    firsts = placed.join(F.broadcast(tops), ["part", "key"]).groupBy("part", "key").agg(F.min(F.struct("text", "doc_id")).alias("row"))
-    guests = firsts.select(guest.alias("part"), F.lit(1).alias("guest"), "key", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    rows = placed.select("part", F.lit(0).alias("guest"), "key", "doc_id", "text").unionByName(guests)
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "guest", F.col("key").desc(), "text")
+    """(part, guest, key, doc_id, text) rows dealt by part and sorted: descending key, then hash and text, a guest at the end."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_KEY)).alias("key"), F.xxhash64(text).alias("hash"), "doc_id", text.alias("text"))
+    bounds = range_bounds(keyed.select("key", "hash", F.length("text").cast("bigint").alias("chars")), per_range)
+    part = range_of(docs, bounds)
+    # The first row of each range that has any is also sent to the one before; the very first to the last.  They are as few as ranges.
+    tops = keyed.select("key", "hash").withColumn("part", part).groupBy("part").agg(F.max(F.struct("key", "hash")).alias("top"))
+    filled = sorted((r.part, r.top.key, r.top.hash) for r in tops.collect())
+    guests = docs.sparkSession.createDataFrame([(filled[i - 1][0], key, hash_) for i, (_, key, hash_) in enumerate(filled)], "part int, key bigint, hash bigint")
+    firsts = keyed.join(F.broadcast(guests), ["key", "hash"]).groupBy("part", "key", "hash").agg(F.min(F.struct("text", "doc_id")).alias("row"))
+    guests = firsts.select("part", F.lit(1).alias("guest"), "key", "hash", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    rows = keyed.withColumn("part", part).select("part", F.lit(0).alias("guest"), "key", "hash", "doc_id", "text").unionByName(guests)
+    dealt = rows.repartitionById(len(bounds[0]) + 1, "part").sortWithinPartitions("part", "guest", F.col("key").desc(), F.col("hash").desc(), "text")
+    return dealt.select("part", "guest", "key", "doc_id", "text")
 
 
 def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, per_range: int = RANGE_CHARS) -> DataFrame:
