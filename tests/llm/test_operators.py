@@ -119,9 +119,57 @@ def test_shards_of_awkward_rows(awkward, empty):
     assert {r.n_bytes for r in got.collect()} >= {0}
 
 
+def test_rows_of_one_id_overflow_into_shards_by_value(spark):
+    # One id on most rows: different texts, one text many times, and a text over the limit.
+    data = [(5, f"{i:03d}" * 40) for i in range(60)] + [(5, "same" * 50)] * 23 + [(5, "long" * 400), (6, "x" * 1500), (7, "tiny")]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    names = []
+    for parts in (1, 5):
+        got = sharding.shard(frame.repartition(parts), limit=1000, step=5).collect()
+        held = defaultdict(list)
+        for r in got:
+            held[r.shard].append(r.n_bytes)
+            assert r.shard_bytes == sum(x.n_bytes for x in got if x.shard == r.shard)
+        assert len(got) == len(data) and all(sum(b) <= 1000 or len(b) == 1 for b in held.values())
+        # Equal rows fill their pages: 5 texts of 200 bytes on each.
+        assert sorted(len(held[n]) for n in {r.shard for r in got if r.text == "same" * 50}) == [3, 5, 5, 5, 5]
+        names.append(sorted((r.text, r.shard) for r in got))
+    assert names[0] == names[1]
+
+
 # 3
 
 
+@pytest.mark.parametrize("ids", [[2**60, *range(300)], [-(2**62), 2**62, 5, 5, 5, *range(100, 200)], [7] * 200 + [None] * 200])
+def test_ranges_are_even_whatever_the_ids(spark, ids):
+    data = [(i, f"text {n} " * 5) for n, i in enumerate(ids)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    sizes = Counter(r.part for r in fingerprints.with_next(frame, per_range=600).collect() if not r.guest)
+    assert sum(sizes.values()) == len(ids) and len(sizes) > len(ids) / 30 and max(sizes.values()) < len(ids) / 3
+    got = fingerprints.compare_with_edits(frame, per_range=600).collect()
+    assert len(got) == len(ids)
+    follows = Counter(r.fingerprint for r in got)
+    assert follows == Counter(r.fingerprint for r in fingerprints.fingerprint_texts(frame).collect())
+
+
+def test_samples_match_a_loop_over_terms():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 80))) for _ in range(12)]
+    sampler = fingerprints.Sampler(16)
+    got = sampler.signatures([t.encode() for t in texts])
+    for text, row in zip(texts, got):
+        counts = Counter(text.encode().lower().split())
+        for k in range(16):
+            best = None
+            for term in sorted(counts):
+                r, b, log_c, name = (float(x[0, k]) for x in sampler.draws(np.array([xxhash.xxh64_intdigest(term, fingerprints.SEED)], np.uint64)))
+                t = int(np.floor(np.log(np.float32(counts[term])) / np.float32(r) + np.float32(b)))
+                a = log_c - r * (t - b + 1)
+                if best is None or a < best[0]:
+                    best = (a, (int(name) + t * 40503) % 65536)
+            assert best[1] == row[k]
+
+
 def test_editing_and_order(docs, rows):
     got = {r.doc_id: r for r in fingerprints.compare_with_edits(docs, per_range=2000).collect()}
     ordered = sorted(rows, key=lambda r: -r[0])
@@ -176,15 +224,15 @@ def test_decontamination_matches_brute_force(spark, docs, rows, monkeypatch, mos
     monkeypatch.setattr(decontaminate, "blocks_of", lambda b, f=decontaminate.blocks_of: f(b, most))
     bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
     small = docs.where("doc_id <> 81")
-    got = {r.doc_id: r for r in decontaminate.find_matches(small, bench, shard_words=200).collect()}
+    got = {r.row.doc_id: r for r in decontaminate.find_matches(small, bench, shard_words=200).collect()}
     for i, t, *_ in rows:
         if i == 81:
             continue
         n, hit, found = brute_hits(t, items)
         r = got[i]
-        assert (r["__n_words"], r["__n_hit"], sorted({m.item_id for m in r["__matches"]})) == (n, hit, found)
+        assert (r.n_words, r.n_hit, sorted({m.item_id for m in r.matches})) == (n, hit, found)
     clean = {r.doc_id for r in decontaminate.decontaminate(small, bench).collect()}
-    assert clean == {i for i, r in got.items() if not (r["__n_hit"] > 0 and 20 * r["__n_hit"] >= r["__n_words"])}
+    assert clean == {i for i, r in got.items() if not (r.n_hit > 0 and 20 * r.n_hit >= r.n_words)}
 
 
 @pytest.mark.parametrize("most", [10**6, 40])
@@ -208,6 +256,10 @@ def test_decontamination_of_awkward_rows(spark, awkward, empty):
     assert decontaminate.decontaminate(awkward, bench).count() == 2
     assert decontaminate.decontaminate(awkward, bench.limit(0)).count() == 6
     assert decontaminate.decontaminate(awkward, bench).columns == awkward.columns
+    # Items without an id are one item, and not the one called null.
+    named = spark.createDataFrame([("null", "alpha beta"), (None, "alpha beta"), (None, "gamma delta")], "item_id string, text string")
+    (row,) = decontaminate.find_matches(awkward.where("doc_id = 7 and shard = 'y'"), named).collect()
+    assert {m.item_id for m in row.matches} == {None, "null"}
 
 
 # 5
@@ -235,6 +287,14 @@ def test_secrets_match_brute_force(spark):
     assert [s.kind for s in got[11]] == ["github", "pem"]
 
 
+def test_many_candidates_are_joined(spark, monkeypatch):
+    texts = ["token=abcdefgh1 x", "nothing", "", None, "AKIA" + "Z9" * 9, "f" * 40, "the secret of it"] * 3
+    frame = spark.createDataFrame([(i % 14, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted((r.doc_id, str(r.text), str(r.found)) for r in secrets.scan(frame).collect())
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 1)
+    assert sorted((r.doc_id, str(r.text), str(r.found)) for r in secrets.scan(frame).collect()) == want
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{32,}") is None
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
@@ -275,6 +335,42 @@ def test_classifier_on_held_out_rows(spark):
     assert np.allclose([r.toxicity for r in sorted(got)], [r.toxicity for r in sorted(again)], atol=1e-5)
 
 
+def test_scores_match_a_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    table_ = rng.normal(size=(toxicity.BUCKETS + 1, toxicity.DIM)).astype(np.float32)
+    table_[toxicity.BUCKETS] = 0
+    filters = [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    bias, out = (rng.normal(size=toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32) for _ in range(2))
+    model = toxicity.Model(np.concatenate([table_ @ f[s] for f in filters for s in range(len(f))], axis=1), bias, out, 0.25)
+    texts = ["", None, "One", "two words", "Épée and a longer line of words, with More words " * 5]
+    for text, got in zip(texts, model.scorer(block=3)(texts)):
+        vectors = [table_[toxicity.pieces_of(w)].mean(axis=0) for w in toxicity.words_of(text)]
+        nothing, hidden = np.zeros(toxicity.DIM, np.float32), []
+        for f in filters:
+            # A filter may reach over the end of a text, into no words.
+            line = [*vectors, *[nothing] * max(toxicity.WIDTHS)]
+            responses = [sum(line[p + s] @ f[s] for s in range(len(f))) for p in range(len(line) - len(f) + 1)]
+            hidden.append(np.max(responses, axis=0))
+        logit = np.maximum(np.concatenate(hidden) + bias, 0) @ out + 0.25
+        assert abs(got - 1 / (1 + np.exp(-float(logit)))) < 1e-4
+
+
+def test_thresholds_keep_ties_together():
+    scores = np.array([0.7, 0.7, 0.7, 0.3, 0.3])
+    found = toxicity.calibrate(scores, np.array([1, 0, 1, 0, 0]), ["en"] * 5, least=1)
+    assert found == {"": 0.5, "en": 0.5}
+
+
+def test_sample_is_bounded_and_told_by_values(spark):
+    frame = spark.createDataFrame([(i % 40, f"text {i}", "en", "s", 0) for i in range(80)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = lambda *a, **k: sorted(tuple(r) for r in toxicity.sample_of(*a, **k).collect())
+    want = rows(frame, labels, most=10)
+    assert len(want) == 10 and want == rows(frame.repartition(7), labels.repartition(3), most=10)
+    assert all(t == min(f"text {i}", f"text {i + 40}") for i, t, *_ in want)
+    assert len(rows(frame, labels, most=10, most_bytes=20)) == 2 and len(rows(frame, labels, most=10, most_bytes=1)) == 1
+
+
 def test_classifier_of_awkward_rows(spark, awkward, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(awkward, none)
@@ -351,6 +447,37 @@ def test_rules_and_reputation(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string, host int")).count() == 0
 
 
+def test_domains(spark):
+    hosts = ["a.b.co.nz", "www.x.com", "user:pw@h.example.org:8080", "10.0.0.1:80", "[::1]:443", "", "localhost", "com.br", "co.com", "deep.www.ck", "a.b.foo.ck"]
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in url_filter.with_domain(frame).collect()}
+    assert [got[h] for h in hosts] == [
+        ("b.co.nz", "co.nz"), ("x.com", "com"), ("example.org", "org"), ("10.0.0.1", "10.0.0.1"), ("[::1]", "[::1]"), ("", ""), ("localhost", "localhost"), ("com.br", "com.br"),
+        ("co.com", "com"), ("www.ck", "ck"), ("foo.ck", "ck"),
+    ]
+    rules = spark.createDataFrame([("com",), ("*.ck",), ("!www.ck",), ("github.io",)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in url_filter.with_domain(spark.createDataFrame([(h,) for h in (*hosts, "me.github.io")], "host string"), rules).collect()}
+    assert [got[h] for h in ("deep.www.ck", "a.b.foo.ck", "me.github.io", "www.x.com", "a.b.co.nz")] == [("www.ck", "ck"), ("b.foo.ck", "foo.ck"), ("me.github.io", "github.io"), ("x.com", "com"), ("co.nz", "nz")]
+
+
+def test_lower_bound_is_near_the_beta_quantile(spark):
+    rng = np.random.default_rng(0)
+    shapes = [(1.0, 1.0), (2.5, 0.7), (9.0, 1.5), (40.0, 60.0), (0.6, 8.0)]
+    frame = spark.createDataFrame(shapes, "a double, b double").selectExpr("a", "b", f"{url_filter._low(url_filter.Z)} as low")
+    for r in frame.collect():
+        assert abs(r.low - np.quantile(rng.beta(r.a, r.b, 200_000), 0.1)) < 0.08
+
+
+def test_urls_of_awkward_rows(spark):
+    kind = "page_id long, url string, ruled string, row int, VERDICT int, n long"
+    odd = [(1, "http://a.com/en/x", "r", 1, 2, 3), (1, "http://a.com/en/x", "r", 1, 2, 3), (None, None, None, None, None, None), (2, "", "q", 0, 0, 0)]
+    got = url_filter.judge_urls(spark.createDataFrame(odd, kind))
+    rows = got.collect()
+    assert len(rows) == 4 and got.columns == ["page_id", "url", "ruled", "row", "n", *url_filter.ADDED]
+    assert [(r.ruled, r.n, r.verdict) for r in rows if r.page_id == 1] == [("r", 3, "block")] * 2
+    assert url_filter.judge_urls(spark.createDataFrame([], kind)).count() == 0
+
+
 # 9
 
 
@@ -416,6 +543,41 @@ def test_golay_links_are_complete(spark):
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in pairs)
 
 
+@pytest.mark.parametrize("crowd", [8, 40])
+def test_hot_keys_lose_no_link(spark, crowd):
+    """Keys that are dealt to blocks give the components that they give in one piece."""
+    rng = random.Random(5)
+    center, prints = rng.getrandbits(64), set()
+    # A dense group, chains that leave it, and fingerprints that share its first bits only.
+    for _ in range(60):
+        prints.add(center ^ (1 << rng.randrange(20)))
+        far = center
+        for b in rng.sample(range(30), 7):
+            far ^= 1 << b
+            prints.add(far)
+        prints.add(center ^ rng.getrandbits(30))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(signed(p),) for p in prints], "fp0 long").repartition(3)
+    want = closure(sorted(prints), lambda a, b: (a ^ b).bit_count() <= 3)
+    edges = simhash.near_pairs(frame, 1, simhash.strict_keys, 1, 3, sampled=1, crowd=crowd)
+    label = {r.node & (1 << 64) - 1: r.component & (1 << 64) - 1 for r in simhash.connected_components(edges).collect()}
+    groups = lambda of: {frozenset(p for p in prints if of.get(p, p) == c) for c in {of.get(p, p) for p in prints}}
+    assert groups(label) == groups(want)
+
+
+def test_wide_keys_grow_with_the_fingerprints():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, (50, 4), np.uint64)
+    assert [simhash.mate_bits_for(n) for n in (0, 200_000, 10**7, 5 * 10**10)] == [6, 6, 12, 24]
+    for bits in (6, 24, 46):
+        rows, keys = simhash.wide_keys(np.concatenate((fps, fps)), bits)
+        first, second = (set(keys[rows == i].tolist()) for i in (7, 57))
+        assert first == second and len(first) > 22
+    # Unrelated fingerprints meet by chance, less so with more bits.
+    shared = [len(k) - len(np.unique(k)) for k in (simhash.wide_keys(rng.integers(0, 1 << 63, (3000, 4), np.uint64), b)[1] for b in (6, 16))]
+    assert shared[1] < shared[0] / 20
+
+
 def test_forest_of_a_hot_key():
     rng = np.random.default_rng(1)
     fps = np.full((3000, 1), 12345, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (3000, 1)).astype(np.uint64))
@@ -466,23 +628,35 @@ def test_texts_below_the_similarity_stay(spark, monkeypatch, most):
     assert kept == {i for i, _ in apart} | {1000}
 
 
+def test_blocks_of_a_large_component_lose_no_link(spark, monkeypatch):
+    """Dense groups, chains and loners in one component: blocks give the groups that all pairs give."""
+    rng = random.Random(8)
+    fresh = lambda k: [rng.getrandbits(62) for _ in range(k)]
+    sets = []
+    for _ in range(4):
+        core = fresh(60)
+        sets += [sorted({*core[:-3], *fresh(3)}) for _ in range(25)]
+        for _ in range(12):
+            core = core[5:] + fresh(5)
+            sets.append(sorted(core))
+    sets += [sorted(fresh(30)) for _ in range(40)]
+    near = lambda i, j: 10 * len(set(sets[i]) & set(sets[j])) >= 8 * len(set(sets[i]) | set(sets[j]))
+    want = closure(range(len(sets)), near)
+    rows = [(1 if i < 150 else 2, i, len(x), np.array(x, np.uint64).tobytes()) for i, x in enumerate(sets)]
+    want = closure(range(len(sets)), lambda i, j: (i < 150) == (j < 150) and near(i, j))
+    frame = spark.createDataFrame(rows, "component long, set_id long, n long, shingles binary").repartition(3)
+    for most in (512, 9):
+        monkeypatch.setattr(simhash, "BLOCK_SETS", most)
+        label = {r.node: r.component for r in simhash.connected_components(simhash.similar_pairs(frame)).collect()}
+        assert {i: label.get(i, i) for i in range(len(sets))} == want
+
+
 def test_texts_just_above_the_similarity_are_found(spark):
     near = planted_pairs(0.8, 0.85, 300)
     data = spark.createDataFrame([(i, t, None, None, 0) for i, t in near], DOCS)
     assert {r.doc_id for r in simhash.drop_near_copies(data).collect()} == {i for i, _ in near[::2]}
 
 
-@pytest.mark.parametrize("most", [10**6, 40, 1])
-def test_components_by_thinning_match_rounds(spark, monkeypatch, most):
-    monkeypatch.setattr(simhash, "THINNED", most)
-    rng = random.Random(6)
-    # Groups with many edges each, then a long path that no thinning shortens.
-    edges = [(10 * g + rng.randrange(10), 10 * g + rng.randrange(10)) for g in range(20) for _ in range(60)] + [(-i, -i - 1) for i in range(30)]
-    data = spark.createDataFrame([(min(e), max(e)) for e in edges if e[0] != e[1]], "a long, b long").distinct().repartition(3)
-    rows = lambda df: {tuple(r) for r in df.collect()}
-    assert rows(simhash.components_by_thinning(data)) == rows(simhash.connected_components(data))
-
-
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
     got = simhash.near_duplicates(awkward).collect()
@@ -519,6 +693,90 @@ def test_branches_sort_depth_first(spark):
     assert [r.turn for r in sorted(got, key=lambda r: r.reply_key)] == [0, 1, 2, 6, 4, 3, 5]
 
 
+def brute_talk(talk):
+    """(reply_to, order) of the turns of one conversation, by looking at every earlier message."""
+    norm = lambda x: " ".join(x.lower().split())
+    parts, reply = {}, {}
+    for turn, text in talk:
+        runs = []
+        for line in text.split("\n"):
+            level, rest = 0, line
+            while rest.lstrip(" \t").startswith(">"):
+                level, rest = level + 1, rest.lstrip(" \t")[1:]
+            if not runs or runs[-1][0] != level:
+                runs.append((level, []))
+            if norm(rest):
+                runs[-1][1].append(norm(rest))
+        parts[turn] = [(k, lines) for k, lines in runs if lines]
+    pieces = lambda lines: ([" ".join(lines)], lines, re.split(r"(?<=[.!?]) ", " ".join(lines)))
+    said = {turn: [set().union(*(pieces(lines)[kind] for level, lines in runs if not level)) for kind in range(3)] for turn, runs in parts.items()}
+    for turn, _ in talk:
+        answers = []
+        for place, (level, lines) in enumerate(parts[turn]):
+            for kind in range(3) if level else ():
+                found = Counter(max((t for t in said if t < turn and x in said[t][kind]), default=None) for x in pieces(lines)[kind])
+                found.pop(None, None)
+                if found:
+                    answers.append((level, place, max(found, key=lambda t: (found[t], t))))
+                    break
+        reply[turn] = min(answers)[2] if answers else turn - 1 if turn - 1 in parts else None
+    order = []
+
+    def walk(turn):
+        order.append(turn)
+        children = sorted(t for t in reply if reply[t] == turn)
+        for t in sorted(children, key=lambda t: (t != turn + 1, t)):
+            walk(t)
+
+    for turn in sorted(reply):
+        if reply[turn] is None:
+            walk(turn)
+    return reply, order
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nested_quotes_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    line = lambda: " ".join(rng.choice(WORDS[:9]) for _ in range(rng.randint(2, 5))) + rng.choice([".", "!", ""])
+    rows, talks = [], {}
+    for conv in range(6):
+        talk = []
+        for turn in range(rng.randint(2, 25)):
+            own, quoted = [line() for _ in range(rng.randint(1, 4))], []
+            for _ in range(rng.choice([0, 1, 1, 2]) if talk else 0):
+                lines = rng.choice(talk[-8:])[1].split("\n")
+                at = rng.randrange(len(lines))
+                kept = lines[at : at + rng.randint(1, 4)]
+                if rng.random() < 0.3:
+                    kept = [" ".join(" ".join(kept).split()[: rng.randint(3, 9)])]
+                quoted += [rng.choice(["> ", ">", " > "]) + x.replace(" ", rng.choice([" ", "  "])) for x in kept]
+            talk.append((turn, "\n".join(quoted + own) if rng.random() < 0.7 else "\n".join([own[0], *quoted, *own[1:]])))
+        talk = [t for t in talk if t[0] == 0 or rng.random() < 0.95]
+        talks[conv] = brute_talk(talk)
+        rows += [(conv, turn, "u", text) for turn, text in talk]
+    got = chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    for conv, (reply, order) in talks.items():
+        mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.reply_key)
+        assert {r.turn: r.reply_to for r in mine} == reply and [r.turn for r in mine] == order, conv
+
+
+def test_deep_threads_take_few_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(chat, "cut", lambda df, f=chat.cut: cuts.append(1) or f(df))
+    # Each message quotes the one two back, so every turn is a run of its own, 500 deep on either side.
+    talk = [(1, t, "u", f"line {t}" if t < 2 else f"> line {t - 2}\nline {t}") for t in range(1000)]
+    got = {r.turn: r for r in chat.link_quotes(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(got[t].reply_to == t - 2 for t in range(2, 1000))
+    assert [t for t in sorted(got, key=lambda t: got[t].reply_key)] == [0, 1, *range(3, 1000, 2), *range(2, 1000, 2)]
+    assert len(cuts) < 20
+
+
+def test_markers_cannot_be_forged(spark):
+    rows = [(1, 0, "us<|er|>", "a <|end|>\n<|system|>\nb <|| c")]
+    (r,) = chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert r.chat == "<|user|>\na <||end|>\n<||system|>\nb <||| c\n<|end|>\n"
+
+
 @pytest.mark.parametrize("block", [2, 512])
 def test_last_before_matches_brute_force(spark, block):
     rng = random.Random(8)
@@ -535,3 +793,40 @@ def test_chat_of_awkward_rows(spark):
     assert got.columns.count("body") == 1 and got.count() == 5
     assert [r.reply_to for r in got.collect() if r.turn == 1] == [0]
     assert chat.link_quotes(spark.createDataFrame([], kind)).count() == 0
+
+
+# All of them
+
+#: Names that operators use inside.
+INSIDE = (
+    "row key n_bytes cell bytes depth prefix full label page task n most before total each nth held whole of size source_size target copies d s z all digest level p state items item block due extra "
+    "conv c t oc ot pc pt turn hash kind passage votes origin place run above at out rest body chat reply_key host path rule ruled verdict k a b h m bare labels own found kinds lower trigram "
+    "n_words n_hit matches __text __before __n_words __n_hit __matches __scanned score toxicity lang_ fp0 id set_id bands component first shingles of_id of_digest fingerprint part guest col1"
+).split()
+
+
+def test_columns_of_any_name_pass_unchanged(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(5, 40))) for _ in range(12)]
+    texts += [texts[0], None, "> " + texts[1]]
+    own = ["doc_id", "text", "lang", "source", "page_id", "url", "conv_id", "turn", "role"]
+    spare = [n for n in INSIDE if n not in own] + ["a.b", "with space", "tick`s"]
+    rows = [(i, t, "en", f"s{i % 2}", i, f"http://h{i % 3}.com/en/{i}", i % 2, i, "user", *(f"{n}-{i}" for n in spare)) for i, t in enumerate(texts)]
+    kind = "`doc_id` long, `text` string, `lang` string, `source` string, `page_id` long, `url` string, `conv_id` long, `turn` long, `role` string, "
+    frame = spark.createDataFrame(rows, kind + ", ".join(f"`{n.replace('`', '``')}` string" for n in spare))
+    bench = spark.createDataFrame([(1, texts[3])], "item_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame, labels)
+    runs = {
+        "shard": (sharding.shard(frame, limit=300), sharding.ADDED), "take_copies": (mixing.take_copies(frame), mixing.ADDED), "mix": (mixing.mix(frame), ()), "scan": (secrets.scan(frame), ["found"]),
+        "judge_urls": (url_filter.judge_urls(frame), url_filter.ADDED), "link_quotes": (chat.link_quotes(frame), chat.ADDED), "decontaminate": (decontaminate.decontaminate(frame, bench), ()),
+        "score": (toxicity.score(frame, model), ["toxicity"]), "reject": (toxicity.reject(frame, model), ()), "drop_near_copies": (simhash.drop_near_copies(frame), ()),
+        "fingerprint_texts": (fingerprints.fingerprint_texts(frame), ["fingerprint"]),
+    }
+    for name, (got, added) in runs.items():
+        kept = [c for c in spare if c not in added]
+        assert [c for c in got.columns if c not in added] == [c for c in frame.columns if c not in added], name
+        for r in got.collect():
+            assert [r[c] for c in kept] == [f"{c}-{r['doc_id']}" for c in kept], name
+    (mixed,) = mixing.mix(frame.where("doc_id = 1")).select("size", "target", "copies").distinct().collect()
+    assert tuple(mixed) == ("size-1", "target-1", "copies-1")
