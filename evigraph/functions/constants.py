@@ -3,8 +3,6 @@
 # Node, edge, tier, confidence and pattern domains.
 NODE_TYPES = ("source_document", "assertion", "actor", "concept", "artifact", "metric", "event")
 EDGE_TYPES = ("asserts", "supports", "contradicts", "involves", "produces", "evaluates", "associated_with", "extends", "co_occurs", "precedes", "bridges_to", "recommends")
-TIERS = (1, 2, 3, 4)
-CONFIDENCE_LEVELS = ("high", "medium", "low", "unresolved")
 PATTERN_TYPES = ("bridge", "contradiction", "drift", "gap")
 FAMILIES = ("scholarly", "code", "web", "social")
 
@@ -44,7 +42,18 @@ RESEARCH_KEYWORDS = (
 FILLERS = ("and", "or", "the", "of", "in", "for", "with", "vs", "versus", "a", "an", "to", "on", "debate")
 CODE_WORDS = ("framework", "library", "tool", "sdk", "api", "implementation")
 # Verdicts by which refinement drops a contradiction.
-DROPPED_VERDICTS = ("apparent", "apparent_only", "not_contradiction", "no_contradiction", "false_positive")
+DROPPED_VERDICTS = ("apparent", "non_contradiction", "not_contradictory", "none", "no")
+# Kinds of work that count as peer-reviewed.
+REVIEWED_TYPES = ("journal-article", "proceedings-article")
+# Names of the one domain, the empty one included.
+DOMAIN_ALIASES = {"": "research", "technical": "research", "papers": "research", "scholarly": "research", "science": "research", "default": "research"}
+# Connectors in the order that they are asked in, each with the key that it can't do without.
+CONNECTOR_KEYS = {"openalex": None, "semantic_scholar": None, "arxiv": None, "github": "GITHUB_TOKEN", "web_search": "TAVILY_API_KEY"}
+# Documents at most by depth of a search; queries that a topic gets besides its own.
+DEPTHS = {"quick": 50, "standard": 100, "deep": 200}
+ENDINGS, ALWAYS_ASKED, DRIFT_ASKED = ("survey", "review"), ("benchmark evaluation",), ("recent advances", "emerging trends")
+# Colours of links in the graph page.
+LINK_COLOURS = {"plain": "#999", "bridge": "#EF9F27", "contradiction": "#E24B4A"}
 
 TITLE_RATIO, NAME_RATIO, MERGE_COSINE, RELEVANCE = 0.9, 0.75, 0.85, 0.25
 PAIR_COSINE, CONTRADICTION_P, PAIR_LIMIT, DUPLICATE_COSINE = 0.4, 0.7, 2000, 0.8

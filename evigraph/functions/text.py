@@ -40,6 +40,14 @@ def dedup_key(doi: Column, openalex_id: Column, s2_id: Column) -> Column:
     )
 
 
+def source_of(own_url: Column, own_id: Column, own_tier: Column, of_document: Column) -> Column:
+    """(id, url, tier) that an assertion is from: its own, or without a url the document's (a struct of the same names), or nothing."""
+    whole = lambda i, u, t: F.struct(F.coalesce(i, F.lit("")).alias("id"), F.coalesce(u, F.lit("")).alias("url"), F.coalesce(t, F.lit(2)).cast("int").alias("tier"))
+    none = whole(F.lit(""), F.lit(""), F.lit(2))
+    own = F.coalesce(own_url, F.lit("")) != ""
+    return F.when(own, whole(own_id, own_url, own_tier)).when(of_document.isNotNull(), whole(of_document["id"], of_document["url"], of_document["tier"])).otherwise(none)
+
+
 def source_tier(family: Column, peer_reviewed: Column, kind: Column | None = None) -> Column:
     journal = F.lit(False) if kind is None else F.coalesce(kind == "journal", F.lit(False))
     first = F.coalesce(peer_reviewed, F.lit(False)) | journal
@@ -142,11 +150,24 @@ def may_match(a: Column, b: Column, ratio: float) -> Column:
 
 
 def stripped_fences(raw: Column, times: int = 5) -> Column:
-    """A model's answer without its code fences."""
-    out = strip(raw)
+    """A model's answer without its code fences; answers without any are only stripped."""
+    bare = strip(raw)
+    out = bare
     for _ in range(times):
         out = strip(F.regexp_replace(F.regexp_replace(out, r"^```[A-Za-z]*", ""), r"```$", ""))
-    return out
+    return F.when(F.startswith(bare, F.lit("```")), out).otherwise(bare)
+
+
+def message_text(blocks: Column) -> Column:
+    """The text blocks of a message, (type, text) structs, as one text."""
+    texts = F.filter(blocks, lambda b: (b["type"] == "text") & (F.coalesce(b["text"], F.lit("")) != ""))
+    return strip(F.array_join(F.transform(texts, lambda b: b["text"]), ""))
+
+
+def stringified(value: Column, kind: str) -> Column:
+    """A template value as text: nested ones as JSON, null as nothing."""
+    nested = kind.startswith(("array", "map", "struct"))
+    return F.coalesce(F.to_json(value) if nested else value.cast("string"), F.lit(""))
 
 
 def filled(template: Column, values: dict[str, Column]) -> Column:
