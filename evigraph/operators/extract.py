@@ -7,14 +7,57 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import constants as C
 from evigraph.functions import text as T
-from evigraph.sources.schemas import RESPONSE
+from evigraph.sources.schemas import RESPONSE, VERDICT
+
+
+def _elements(text: Column) -> Column:
+    """The objects of a JSON array, as text; null where the array can't be read."""
+    return F.filter(F.from_json(text, "array<string>"), lambda x: F.startswith(F.ltrim(x), F.lit("{")))
+
+
+def with_payload(frame: DataFrame, raw: str = "raw") -> DataFrame:
+    """``frame`` with ``payload``, the objects (as text) of a model's answer: an array, or one object.
+
+    Fences are stripped.  Of an answer that is neither, what stands between its outermost brackets or braces is read, whichever
+    open first; null where that fails too."""
+    bare = frame.withColumn("__bare", T.stripped_fences(F.col(raw)))
+    opens = F.regexp_extract("__bare", r"[\[{]", 0)
+    inside = F.when(opens == "[", F.regexp_extract("__bare", r"(?s)(\[.*\])", 1)).when(opens == "{", F.concat(F.lit("["), F.regexp_extract("__bare", r"(?s)(\{.*\})", 1), F.lit("]")))
+    is_array, is_object = (F.startswith("__bare", F.lit(x)) for x in "[{")
+    whole = F.when(is_array, F.col("__bare")).when(is_object, F.concat(F.lit("["), "__bare", F.lit("]")))
+    first = bare.withColumn("__first", _elements(whole))
+    # The search runs for answers that couldn't be read as they are.
+    return first.withColumn("payload", F.when(F.col("__first").isNotNull(), F.col("__first")).otherwise(_elements(T.missing_as_null(inside)))).drop("__bare", "__first")
 
 
 def parsed(answers: DataFrame, raw: str = "raw") -> DataFrame:
-    """``answers`` with ``response``; fences are stripped, and what isn't an object is looked for between braces."""
-    bare = T.stripped_fences(F.col(raw))
-    body = F.when(bare.startswith("{"), bare).otherwise(F.regexp_extract(bare, r"(?s)(\{.*\})", 1))
-    return answers.withColumn("response", F.from_json(body, RESPONSE))
+    """``answers``, one for each document, with ``response``, their first object."""
+    return with_payload(answers, raw).withColumn("response", F.from_json(F.try_element_at("payload", F.lit(1)), RESPONSE)).drop("payload")
+
+
+def refinement(raw: Column) -> Column:
+    """A model's verdict on a contradiction: one object, fenced or between other words."""
+    bare = T.stripped_fences(raw)
+    body = F.when(F.startswith(bare, F.lit("{")), bare).otherwise(F.regexp_extract(bare, r"(?s)(\{.*\})", 1))
+    return F.from_json(body, VERDICT)
+
+
+def prompts(docs: DataFrame, batches: DataFrame, prefix: str = "") -> DataFrame:
+    """(batch, prompt, ords): each batch's documents, numbered, with title and abstract, after ``prefix``."""
+    block = F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\nAbstract: "), F.coalesce(T.missing_as_null(F.col("abstract")), F.lit("(no abstract)")), F.lit("\n"))
+    rows = docs.select("doc_ord", block.alias("block")).join(batches, "doc_ord").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("doc_ord", "block"))).alias("rows"))
+    numbered = F.transform("rows", lambda r, i: F.concat(F.lit("--- DOCUMENT "), (i + 1).cast("string"), F.lit(" ---\n"), r["block"]))
+    return rows.select("batch", F.concat(F.lit(prefix), F.array_join(numbered, "\n")).alias("prompt"), F.transform("rows", lambda r: r["doc_ord"]).alias("ords"))
+
+
+def answered(asked: DataFrame) -> DataFrame:
+    """(doc_ord, response) of (ords, raw) batches: the answer's objects by place; a document without one, or whose batch failed,
+    has a response without anything."""
+    read = with_payload(asked, "raw")
+    nothing = F.from_json(F.lit("{}"), RESPONSE)
+    each = read.select(F.posexplode("ords").alias("at", "doc_ord"), "payload")
+    response = F.when(F.col("payload").isNotNull(), F.from_json(F.try_element_at("payload", F.col("at") + 1), RESPONSE))
+    return each.select("doc_ord", F.coalesce(response, nothing).alias("response"), (response.isNotNull()).alias("answered"))
 
 
 def node_id(doc: Column, kind: str, place: Column) -> Column:
@@ -51,8 +94,10 @@ def edges_of(answers: DataFrame, nodes: DataFrame, phrases: tuple[str, ...] = C.
 
 def future_work(nodes: DataFrame, phrases: tuple[str, ...] = C.FUTURE_WORK, least_name: int = 4) -> DataFrame:
     marked = nodes.where("kind = 1").where(T.marks_future_work(F.col("description"), phrases)).select("doc_ord", F.col("at").alias("place"), F.col("id").alias("src"), F.lower("description").alias("text"))
-    entity = nodes.where("kind = 2").where(F.length("name") >= least_name).select("doc_ord", F.col("at").alias("entity"), F.col("id").alias("dst"), F.lower("name").alias("name"))
+    named = nodes.where("kind = 2").where(F.col("node_type").isin("concept", "artifact")).withColumn("name", T.strip(F.col("name")))
+    entity = named.where(F.length("name") >= least_name).select("doc_ord", F.col("at").alias("entity"), F.col("id").alias("dst"), F.lower("name").alias("name"))
     # A document's own assertions and entities only, as many as one answer holds.
     met = marked.join(entity, "doc_ord").where(F.contains("text", F.col("name")))
-    first = F.row_number().over(Window.partitionBy("doc_ord", "src", "dst").orderBy("place", "entity"))
-    return met.withColumn("r", first).where("r = 1").select("doc_ord", F.lit(4).alias("kind"), (F.col("place") * 1000 + F.col("entity")).alias("at"), "src", "dst", F.lit("recommends").alias("edge_type"))
+    once = met.groupBy("doc_ord", "src", "dst").agg(F.min(F.struct("place", "entity")).alias("first"))
+    at = F.row_number().over(Window.partitionBy("doc_ord").orderBy("first")) - 1
+    return once.select("doc_ord", F.lit(4).alias("kind"), at.alias("at"), "src", "dst", F.lit("recommends").alias("edge_type"))

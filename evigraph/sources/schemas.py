@@ -15,3 +15,4 @@ RESPONSE = (
     "assertions array<struct<text:string,conditions:string,polarity:string>>, entities array<struct<name:string,entity_type:string,description:string>>,"
     " relationships array<struct<source_name:string,target_name:string,relationship_type:string>>"
 )
+VERDICT = "classification string, reasoning string, conditions_for_claim_a string, conditions_for_claim_b string"
