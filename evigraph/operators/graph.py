@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,19 +9,25 @@ from pyspark.sql import functions as F
 from evigraph.functions import constants as C
 from evigraph.functions import text as T
 from evigraph.operators.components import connected_components
+from evigraph.operators.fuzzy import candidate_pairs
 from evigraph.sources.stages import cut
 from evigraph.operators.vectors import similar_pairs
 
 
+def checked(edges: DataFrame) -> DataFrame:
+    """``edges``, which fail as they are read if a tier isn't in 1 to 4 or a confidence not in 0 to 1."""
+    rules = {"source_tier": (1, 4), "confidence": (0, 1)}
+    for column, (low, high) in rules.items():
+        if column in edges.columns:
+            bad = F.raise_error(F.concat(F.lit(f"{column} out of range: "), F.col(column).cast("string")))
+            edges = edges.withColumn(column, F.when(F.col(column).isNull() | F.col(column).between(low, high), F.col(column)).otherwise(bad.cast(edges.schema[column].dataType)))
+    return edges
+
+
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends in the graph, tier in 1 to 4 and confidence in 0 to 1 where given."""
+    """Edges with both ends in the graph; their tiers and confidences are checked."""
     ids = nodes.select("id").distinct()
-    both = edges.join(ids, edges.src == ids.id, "left_semi").join(ids, edges.dst == ids.id, "left_semi")
-    if "source_tier" in edges.columns:
-        both = both.where(F.col("source_tier").isNull() | F.col("source_tier").between(1, 4))
-    if "confidence" in edges.columns:
-        both = both.where(F.col("confidence").isNull() | F.col("confidence").between(0, 1))
-    return both
+    return checked(edges).join(ids, edges.src == ids.id, "left_semi").join(ids, edges.dst == ids.id, "left_semi")
 
 
 def bundles(edges: DataFrame) -> DataFrame:
@@ -52,15 +56,23 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def contract(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after ``mapping`` (id, leader); others stay.  A leader gets the longest description, the first of
-    equally long ones; edges that become loops go."""
+    equally long ones; of ``properties``, a map, the last value of each key; and keeps its vector unless another's is longer,
+    or it has none.  Edges that become loops go."""
     led = nodes.join(mapping, "id", "left").withColumn("leader", F.coalesce("leader", "id"))
     description = F.coalesce("description", F.lit(""))
+    by_place = F.struct(F.col("id") != F.col("leader"), F.col("node_ord"))
     merged = led.groupBy("leader").agg(
         F.max_by("description", F.struct(F.length(description), -F.col("node_ord"))).alias("description"),
-        F.min_by(F.struct("node_type", "name"), F.struct(F.col("id") != F.col("leader"), F.col("node_ord"))).alias("own"),
+        F.min_by(F.struct("node_type", "name"), by_place).alias("own"),
         F.count(F.lit(1)).alias("members"),
+        *([F.min_by("embedding", F.struct(-F.coalesce(F.size("embedding"), F.lit(0)), by_place)).alias("embedding")] if "embedding" in nodes.columns else []),
     )
-    out_nodes = merged.select(F.col("leader").alias("id"), "own.node_type", "own.name", "description", "members")
+    kept = [c for c in ("embedding",) if c in nodes.columns]
+    if "properties" in nodes.columns:
+        values = led.select("leader", "node_ord", F.explode("properties").alias("key", "value")).groupBy("leader", "key").agg(F.max_by("value", "node_ord").alias("value"))
+        maps = values.groupBy("leader").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("properties"))
+        merged, kept = merged.join(maps, "leader", "left").withColumn("properties", F.coalesce("properties", F.create_map().cast(nodes.schema["properties"].dataType))), [*kept, "properties"]
+    out_nodes = merged.select(F.col("leader").alias("id"), "own.node_type", "own.name", "description", "members", *kept)
     to = lambda name: mapping.select(F.col("id").alias(name), F.col("leader").alias(f"{name}_to"))
     moved = edges.join(to("src"), "src", "left").join(to("dst"), "dst", "left")
     moved = moved.select(*(F.coalesce(f"{c}_to", c).alias(c) if c in ("src", "dst") else F.col(c) for c in edges.columns))
@@ -75,20 +87,15 @@ def embedding_mapping(nodes: DataFrame, least: float = C.MERGE_COSINE, order: st
 def resolve_entities(nodes: DataFrame, ratio: float = C.NAME_RATIO) -> DataFrame:
     """(node_ord, leader): each node's leader, the earlier node of its type that it merges into, or itself.
 
-    A node takes the leader of equal normalised name, or else the first leader whose name matches, or leads itself.
-    Leaders are found in rounds over pruned pairs of distinct names: a name with no undecided earlier neighbour is decided,
-    as the sequential rule would."""
+    A node takes the leader of equal normalised name, or else the first leader whose name matches, or leads itself.  Names that
+    may match meet by their rarest q-grams; the sequential rule is replayed inside the components of those that do match."""
     named = nodes.select("node_ord", "node_type", T.norm_name(F.col("name")).alias("norm"))
     names = named.groupBy("node_type", "norm").agg(F.min("node_ord").alias("first"))
-    x = names.select("node_type", F.col("norm").alias("x"), F.col("first").alias("late"), F.length("norm").alias("nx"))
-    y = names.select("node_type", F.col("norm").alias("y"), F.col("first").alias("early"), F.length("norm").alias("ny"))
-    # A match has lengths within a factor; names meet in bands of that width, with the band above and below.
-    factor = ratio / (2 - ratio)
-    band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(-math.log(factor)))
-    left = x.withColumn("band", band(F.col("nx")))
-    right = y.withColumn("band", F.explode(F.array(band(F.col("ny")) - 1, band(F.col("ny")), band(F.col("ny")) + 1)))
-    near = left.join(right, ["node_type", "band"]).where((F.col("early") < F.col("late")) & T.may_match(F.col("x"), F.col("y"), ratio))
-    pairs = cut(near.where(T.match_above(F.col("x"), F.col("y"), ratio) > 0).select("late", "early"))
+    number = lambda c, n: names.select("node_type", F.col("norm").alias(c), F.col("first").alias(n))
+    near = candidate_pairs(names.select("node_type", "norm"), ["node_type"], "norm", ratio).join(number("x", "nx"), ["node_type", "x"]).join(number("y", "ny"), ["node_type", "y"])
+    later = F.col("nx") > F.col("ny")
+    near = near.select(F.greatest("nx", "ny").alias("late"), F.least("nx", "ny").alias("early"), F.when(later, F.col("x")).otherwise(F.col("y")).alias("new"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("existing"))
+    pairs = cut(near.where(T.match_above(F.col("new"), F.col("existing"), ratio) > 0).select("late", "early"))
     grouped = connected_components(pairs.select(F.col("late").alias("a"), F.col("early").alias("b"))).select(F.col("node").alias("late"), "component")
 
     def lead(group: pd.DataFrame) -> pd.DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
@@ -19,13 +19,13 @@ def similar_pairs_by_expression(rows: DataFrame, least: float, order: str = "id"
     return a.join(b, F.col("a") < F.col("b")).withColumn("similarity", T.cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
-def similar_pairs(rows: DataFrame, least: float, order: str = "id", vector: str = "embedding", between: Column | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs(rows: DataFrame, least: float, order: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, similarity): pairs a < b of rows with equally long vectors and a cosine of ``least`` or more.
 
     Rows are hashed to blocks; each pair of blocks meets in one task as a matrix product, so memory is bounded by two
     blocks and no matrix is broadcast.  Null and empty vectors match nothing; a vector of norm 0 has cosine 0."""
+    n = rows.where(F.size(vector) > 0).count()
     usable = rows.select(F.col(order).cast("bigint").alias("key"), F.transform(vector, lambda v: v.cast("double")).alias("vector")).where(F.size("vector") > 0)
-    n = usable.count()
     blocks = max(1, -(-n // block_rows), min(4, n // 256))
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
     # A row of block i meets blocks j >= i as the left side, and blocks j <= i as the right.
@@ -61,5 +61,11 @@ def similar_pairs(rows: DataFrame, least: float, order: str = "id", vector: str
     return dealt.groupBy("i", "j").applyInArrow(multiply, "a bigint, b bigint, similarity double")
 
 
+def in_blocks(frame: DataFrame, number: str, rows: int, on: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """``frame`` with a block number by the hash of ``on``, so many rows to a block, and how many blocks there are."""
+    blocks = max(1, -(-frame.count() // rows))
+    return frame.withColumn(number, F.pmod(F.xxhash64(*on), F.lit(blocks)).cast("int")), blocks
+
+
 def top_pairs(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.orderBy(F.desc("similarity"), "a", "b").limit(most)
