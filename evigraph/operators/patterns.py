@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import constants as C
 from evigraph.functions import text as T
 from evigraph.operators.components import connected_components
-from evigraph.operators.vectors import similar_pairs, top_pairs
+from evigraph.operators.vectors import in_blocks, similar_pairs, top_pairs
+from evigraph.sources.stages import cut
 
+BLIND_SPOT = "struct<description:string,severity:string,missing_source_family:string>"
 EVIDENCE = "struct<assertion_node_id:string,assertion_text:string,source_document_id:string,source_url:string,source_tier:int,role:string>"
 
 
@@ -50,20 +53,50 @@ def scored_pairs(assertions: DataFrame, scorer, least: float = C.PAIR_COSINE, mo
     )
 
 
+#: Candidates and assertions that meet in one task.
+CANDIDATE_ROWS, ASSERTION_ROWS = 1024, 4096
+
+
 def corroborators(candidates: DataFrame, assertions: DataFrame, least: float = 0.6, margin: float = 0.05, most: int = 3, order: str = "id") -> DataFrame:
     """(a, b, side, k, similarity): for each side of a candidate, the assertions nearest to it that are clearly nearer to it
-    than to the other side, one for each text."""
-    ends = candidates.select(F.col("a").alias("end")).union(candidates.select("b")).distinct()
-    rows = assertions.select(F.col(order).alias("k"), T.text_of(F.col("description"), F.col("name"), 200).alias("text"), "embedding")
-    # Each end meets every assertion once; candidates are few, bounded by the pair limit.
-    ends = ends.join(rows.select(F.col("k").alias("end"), F.col("embedding").alias("of")), "end")
-    near = rows.join(F.broadcast(ends), F.col("k") != F.col("end")).select("end", "k", "text", T.cosine(F.col("embedding"), F.col("of")).alias("s"))
-    side = lambda e, s: near.select(F.col("end").alias(e), F.col("k"), F.col("text"), F.col("s").alias(s))
-    both = candidates.select("a", "b").join(side("a", "sa"), "a").join(side("b", "sb").drop("text"), ["b", "k"])
-    which = F.when((F.col("sa") > F.col("sb") + margin) & (F.col("sa") > least), "a").when((F.col("sb") > F.col("sa") + margin) & (F.col("sb") > least), "b")
-    picked = both.withColumn("side", which).where("side is not null and text <> ''").withColumn("similarity", F.greatest("sa", "sb"))
-    once = picked.withColumn("r", F.row_number().over(Window.partitionBy("a", "b", "side", "text").orderBy(F.desc("similarity"), "k"))).where("r = 1")
-    return once.withColumn("r", F.row_number().over(Window.partitionBy("a", "b", "side").orderBy(F.desc("similarity"), "k"))).where(F.col("r") <= most).select("a", "b", "side", "k", "similarity")
+    than to the other side, one for each text.
+
+    Blocks of candidates meet blocks of assertions in matrix products; only assertions that a side can use leave a task."""
+    vector = F.transform("embedding", lambda v: v.cast("double"))
+    rows = assertions.where(F.size("embedding") > 0).select(F.col(order).cast("bigint").alias("k"), T.text_of(F.col("description"), F.col("name"), 200).alias("text"), vector.alias("vector"))
+    end = lambda c: rows.select(F.col("k").alias(c), F.col("vector").alias(f"v{c}"))
+    pairs = candidates.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).distinct().join(end("a"), "a").join(end("b"), "b").where(F.size("va") == F.size("vb"))
+    pairs, pair_blocks = in_blocks(cut(pairs), "i", CANDIDATE_ROWS, ("a", "b"))
+    rows, row_blocks = in_blocks(rows.where("text <> ''"), "j", ASSERTION_ROWS, ("k",))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    pairs, rows = pairs.withColumn("j", every(row_blocks)), rows.withColumn("i", every(pair_blocks))
+
+    def unit(vectors: list[list[float]], mine: list[int]) -> np.ndarray:
+        matrix = np.array([vectors[x] for x in mine])
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return matrix / np.where(norms > 0, norms, 1)
+
+    def sides(pairs: pa.Table, rows: pa.Table) -> pa.Table:
+        a, b, va, vb = (pairs.column(c).to_pylist() for c in ("a", "b", "va", "vb"))
+        k, text, vectors = (rows.column(c).to_pylist() for c in ("k", "text", "vector"))
+        found = []
+        for size in {len(v) for v in va} & {len(v) for v in vectors}:
+            left, right = [x for x in range(len(a)) if len(va[x]) == size], [y for y in range(len(k)) if len(vectors[y]) == size]
+            matrix = unit(vectors, right).T
+            to_a, to_b = unit(va, left) @ matrix, unit(vb, left) @ matrix
+            for side, own, other in (("a", to_a, to_b), ("b", to_b, to_a)):
+                for x, y in zip(*np.nonzero((own > other + margin) & (own > least))):
+                    one, near = left[x], right[y]
+                    if k[near] not in (a[one], b[one]):
+                        found.append((a[one], b[one], side, k[near], text[near], float(own[x, y])))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64()]
+        columns = list(zip(*found)) if found else [()] * 6
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["a", "b", "side", "k", "text", "similarity"])
+
+    picked = pairs.groupBy("i", "j").cogroup(rows.groupBy("i", "j")).applyInArrow(sides, "a bigint, b bigint, side string, k bigint, text string, similarity double")
+    once = picked.groupBy("a", "b", "side", "text").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "k")).alias("best"))
+    place = F.row_number().over(Window.partitionBy("a", "b", "side").orderBy("best"))
+    return once.withColumn("place", place).where(F.col("place") <= most).select("a", "b", "side", "best.k", (-F.col("best.far")).alias("similarity"))
 
 
 def transitions(clustered: DataFrame, windows: DataFrame | None = None) -> DataFrame:
@@ -86,18 +119,21 @@ def drift_evidence(clustered: DataFrame, moves: DataFrame, each: int = 3, most:
     return met.withColumn("place", place).where(F.col("place") <= most).select("previous", "window", "at", "label", "key")
 
 
-def bridge_candidates(pairs: DataFrame, nodes: DataFrame, community: DataFrame, centrality: DataFrame, band: tuple[float, float] = C.BRIDGE_BAND, least: int = 3) -> DataFrame:
+def bridge_candidates(pairs: DataFrame, nodes: DataFrame, community: DataFrame, centrality: DataFrame, band: tuple[float, float] = C.BRIDGE_BAND, least: int = 3, least_nodes: int = 6) -> DataFrame:
     """(u, v, similarity, centrality, score): edges between concepts of different communities of ``least`` members or more
-    whose names share nothing and whose vectors are neither near nor far."""
+    whose names share nothing and whose vectors are neither near nor far; none in a graph of fewer than ``least_nodes`` nodes."""
     large = community.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     kept = community.join(large, "community", "left_semi")
+    if nodes.limit(least_nodes).count() < least_nodes:
+        pairs = pairs.limit(0)
     concept = nodes.where("node_type = 'concept'").select("id", "name", "embedding").join(kept, "id").join(centrality, "id")
     end = lambda e: concept.select(*(F.col(c).alias(f"{c}_{e}") for c in ("id", "name", "embedding", "community", "centrality")))
     met = pairs.join(end("u"), F.col("a") == F.col("id_u")).join(end("v"), F.col("b") == F.col("id_v")).where("community_u <> community_v")
     met = met.where(~T.shares_words(F.col("name_u"), F.col("name_v")) & (F.size("embedding_u") == F.size("embedding_v")))
     near = met.withColumn("similarity", T.cosine(F.col("embedding_u"), F.col("embedding_v"))).where(F.col("similarity").between(*band))
     top = F.greatest("centrality_u", "centrality_v")
-    return near.select(F.col("a").alias("u"), F.col("b").alias("v"), "name_u", "name_v", "embedding_u", "embedding_v", "similarity", top.alias("centrality"), (0.6 * F.col("similarity") + 0.4 * top).alias("score"))
+    columns = ["name_u", "name_v", "embedding_u", "embedding_v", "community_u", "community_v"]
+    return near.select(F.col("a").alias("u"), F.col("b").alias("v"), *columns, "similarity", top.alias("centrality"), (0.6 * F.col("similarity") + 0.4 * top).alias("score"))
 
 
 def _cosine(a, b) -> float:
@@ -110,13 +146,14 @@ def capped_bridges(candidates: DataFrame, hub: int = 2, top: int = C.TOP, near:
     """The best candidates, with each name in at most ``hub`` and no pair of ends near to that of a better one.
 
     Taking is greedy, so it is replayed in order of score: first the hub cap, then nearness to those that stay, straight or
-    crossed.  Only the best ``at_once`` rows are read, and twice as many as before while too few of them stay."""
+    crossed.  Rows come ``at_once`` at a time, each time those after the last, and without names that are taken up."""
     shown = [c for c in candidates.columns if not c.startswith("embedding_")]
     known = len(shown) < len(candidates.columns)
-    while True:
-        rows = candidates.orderBy(F.desc("score"), "u", "v").limit(at_once).collect()
-        used: dict[str, int] = {}
-        kept: list = []
+    used: dict[str, int] = {}
+    kept: list = []
+    left = candidates
+    while len(kept) < top:
+        rows = left.orderBy(F.desc("score"), "u", "v").limit(at_once).collect()
         for row in rows:
             if len(kept) == top:
                 break
@@ -127,14 +164,66 @@ def capped_bridges(candidates: DataFrame, hub: int = 2, top: int = C.TOP, near:
             ends = [(row.embedding_u, row.embedding_v), (row.embedding_v, row.embedding_u)] if known else []
             if not any(_cosine(x, k.embedding_u) > near and _cosine(y, k.embedding_v) > near for k in kept for x, y in ends):
                 kept.append(row)
-        if len(kept) == top or len(rows) < at_once:
-            return candidates.sparkSession.createDataFrame([tuple(r[c] for c in shown) for r in kept], candidates.select(*shown).schema)
-        at_once *= 2
+        if len(rows) < at_once:
+            break
+        last = rows[-1]
+        end = lambda c: F.lit(last[c]).cast(candidates.schema[c].dataType)  # noqa: E731, B023
+        later = (F.col("u") > end("u")) | ((F.col("u") == end("u")) & (F.col("v") > end("v")))
+        left = candidates.where((F.col("score") < last.score) | ((F.col("score") == last.score) & later))
+        # Names that are taken up, at most two of each row that was taken in.
+        full = [(name,) for name, n in used.items() if n >= hub]
+        if full:
+            taken = F.broadcast(candidates.sparkSession.createDataFrame(full, "taken string"))
+            for name in ("name_u", "name_v"):
+                left = left.join(taken, F.col(name) == F.col("taken"), "left_anti")
+    return candidates.sparkSession.createDataFrame([tuple(r[c] for c in shown) for r in kept], candidates.select(*shown).schema)
 
 
-def dedup_contradictions(candidates: DataFrame, assertions: DataFrame, least: float = C.DUPLICATE_COSINE, order: str = "id") -> DataFrame:
-    """(cand, keeper, members): candidates (cand, a, b, p) linked when any side of one is nearer than ``least`` to any side of
-    another; of each group, the one of largest p stays, the first of equals."""
+def _item(text: Column, role: str = "supports") -> Column:
+    return F.struct(F.col("id").cast("string"), text, F.col("source_document_id"), F.col("source_url"), F.col("source_tier"), F.lit(role)).cast(EVIDENCE)
+
+
+def bridge_evidence(bridges: DataFrame, nodes: DataFrame, community: DataFrame, each: int = 5, scanned: int = 10, most: int = 10) -> DataFrame:
+    """(u, v, evidence, n_assertions) of ``bridges`` (u, v, name_u, name_v, community_u, community_v).
+
+    Of the assertions of an endpoint's community, those come first that mention its name or a word of it of four letters or more,
+    then the nearest to it; of the first ``scanned``, those of a new text are taken, ``each`` at most.  Both endpoints' are united.
+    If there are none, the assertions of both communities are ranked by nearness to the mean of the endpoints.  ``nodes`` have
+    node_ord, description, name, embedding and source columns; those of an assertion may be null."""
+    said = nodes.where("node_type = 'assertion'").join(community, "id").withColumn("text", F.substring(F.coalesce(T.missing_as_null(F.col("description")), F.col("name"), F.lit("")), 1, 200))
+    vector = nodes.select(F.col("id").alias("end"), F.col("embedding").alias("of"))
+    side = lambda n, s: bridges.select("u", "v", F.lit(n).alias("side"), F.col(s).alias("end"), F.lower(F.coalesce(f"name_{s}", F.lit(""))).alias("about"), F.col(f"community_{s}").alias("community"))
+    # Bridges are few, at most as many as were asked for.
+    ends = side(0, "u").union(side(1, "v")).join(vector, "end", "left")
+    whole = F.lower(F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("name", F.lit(""))))
+    words = F.filter(F.split("about", r"(?U)\s+"), lambda w: F.length(w) > 3)
+    mention = ((F.col("about") != "") & F.contains("whole", F.col("about"))) | F.exists("words", lambda w: F.contains(F.col("whole"), w))
+    near = lambda of: F.when((F.size("embedding") > 0) & (F.size("embedding") == F.size(of)), T.cosine(F.col("embedding"), F.col(of))).otherwise(F.lit(-1.0))
+    met = ends.join(said, "community").withColumn("whole", whole).withColumn("words", words).withColumn("mention", F.coalesce(mention, F.lit(False)))
+    met = met.withColumn("far", F.when(F.col("mention") | (F.coalesce(F.size("of"), F.lit(0)) <= 0), F.lit(0.0)).otherwise(-near("of")))
+    by_place = F.row_number().over(Window.partitionBy("u", "v", "side").orderBy(F.desc("mention"), "far", "node_ord"))
+    first = met.withColumn("place", by_place).where((F.col("place") <= scanned) & (F.col("text") != ""))
+    fresh = F.row_number().over(Window.partitionBy("u", "v", "side", "text").orderBy("place"))
+    nth = F.row_number().over(Window.partitionBy("u", "v", "side").orderBy("place"))
+    taken = first.withColumn("fresh", fresh).where("fresh = 1").withColumn("nth", nth).where(F.col("nth") <= each)
+    once = taken.groupBy("u", "v", "id").agg(F.min(F.struct("side", "nth", _item(F.col("text")).alias("item"))).alias("x"))
+    listed = lambda rows, order: F.transform(F.slice(F.sort_array(F.collect_list(rows)), 1, most), lambda x: x[order]["item"] if order else x["item"])
+    merged = once.groupBy("u", "v").agg(listed(F.struct("x"), "x").alias("evidence"))
+    counted = met.groupBy("u", "v").agg(F.count_distinct("id").alias("n_assertions"))
+    out = bridges.select("u", "v").join(counted, ["u", "v"], "left").join(merged, ["u", "v"], "left")
+    mean = bridges.select("u", "v").join(vector.withColumnsRenamed({"end": "u", "of": "vu"}), "u").join(vector.withColumnsRenamed({"end": "v", "of": "vv"}), "v")
+    mean = mean.select("u", "v", F.when(F.size("vu") == F.size("vv"), F.zip_with("vu", "vv", lambda x, y: (x.cast("double") + y.cast("double")) / 2)).alias("mean"))
+    left = out.where("evidence is null").select("u", "v").join(mean, ["u", "v"])
+    back = met.dropDuplicates(["u", "v", "id"]).join(left, ["u", "v"]).withColumn("far", F.when(F.coalesce(F.size("mean"), F.lit(0)) <= 0, F.lit(0.0)).otherwise(-near("mean")))
+    ranked = back.withColumn("nth", F.row_number().over(Window.partitionBy("u", "v").orderBy("far", "node_ord"))).where(F.col("nth") <= most)
+    fallen = ranked.groupBy("u", "v").agg(listed(F.struct("nth", _item(F.col("text")).alias("item")), None).alias("fallback"))
+    out = out.join(fallen, ["u", "v"], "left")
+    return out.select("u", "v", F.coalesce("evidence", "fallback", F.array().cast(f"array<{EVIDENCE}>")).alias("evidence"), F.coalesce("n_assertions", F.lit(0)).alias("n_assertions"))
+
+
+def contradiction_groups(candidates: DataFrame, assertions: DataFrame, least: float = C.DUPLICATE_COSINE, order: str = "id") -> DataFrame:
+    """(cand, keeper, first, members): candidates (cand, a, b, p) linked when any side of one is nearer than ``least`` to any side
+    of another; of each group, the one of largest p stays, the first of equals."""
     ends = candidates.select("cand", F.explode(F.array("a", "b")).alias("k"))
     used = ends.select("k").distinct().join(assertions.select(F.col(order).alias("k"), "embedding"), "k")
     near = similar_pairs(used, least, "k").where(F.col("similarity") > least).select("a", "b")
@@ -144,11 +233,66 @@ def dedup_contradictions(candidates: DataFrame, assertions: DataFrame, least: fl
     across = near.join(first("a", "x"), "a").join(first("b", "y"), "b").select("x", "y")
     within = ends.join(first("f", "x"), F.col("k") == F.col("f")).select("x", F.col("cand").alias("y"))
     groups = connected_components(across.union(within), "x", "y").select(F.col("node").alias("cand"), "component")
-    labelled = candidates.join(groups, "cand", "left").withColumn("component", F.coalesce("component", "cand"))
-    kept = labelled.groupBy("component").agg(F.max_by("cand", F.struct("p", -F.col("cand"))).alias("keeper"), F.count(F.lit(1)).alias("members"))
-    return kept.select(F.col("keeper").alias("cand"), F.col("component").alias("first"), "members")
+    labelled = candidates.select("cand", "p").join(groups, "cand", "left").withColumn("component", F.coalesce("component", "cand"))
+    kept = labelled.groupBy(F.col("component").alias("first")).agg(F.max_by("cand", F.struct("p", -F.col("cand"))).alias("keeper"), F.count(F.lit(1)).alias("members"))
+    return labelled.join(kept, F.col("component") == F.col("first")).select("cand", "keeper", "first", "members")
+
+
+def dedup_contradictions(candidates: DataFrame, assertions: DataFrame, least: float = C.DUPLICATE_COSINE, order: str = "id") -> DataFrame:
+    """(cand, first, members): the candidates that stay, with the first of their group and its size."""
+    return contradiction_groups(candidates, assertions, least, order).where("cand = keeper").select("cand", "first", "members")
+
+
+def first_of_each_url(items: Column) -> Column:
+    """Evidence items in order, the first for each url; those without a url by their node."""
+    keys = F.transform(items, lambda e: T.url_key(e["source_url"], e["assertion_node_id"]))
+    keyed = F.arrays_zip(items.alias("item"), keys.alias("key"))
+    return F.transform(F.filter(keyed, lambda x, i: F.array_position(keys, x["key"]) == i + 1), lambda x: x["item"])
+
+
+def merged_contradictions(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """(cand, evidence, counter_evidence, merged) of the keepers of ``groups``: the items of all members in order of cand, the first
+    for each url; merged are the other members' ids.  ``found``: cand, id, evidence, counter_evidence."""
+    member = F.struct("cand", "id", "evidence", "counter_evidence")
+    told = found.join(groups.select("cand", "keeper"), "cand").groupBy("keeper").agg(F.sort_array(F.collect_list(member)).alias("members"))
+    items = lambda c: first_of_each_url(F.flatten(F.transform("members", lambda m: m[c])))
+    others = F.transform(F.filter("members", lambda m: m["cand"] != F.col("keeper")), lambda m: m["id"])
+    return told.select(F.col("keeper").alias("cand"), items("evidence").alias("evidence"), items("counter_evidence").alias("counter_evidence"), others.alias("merged"))
+
+
+def dedup_stats(groups: DataFrame) -> DataFrame:
+    """(before, after, merged, groups): candidates, those that stay, those folded into them, groups of several."""
+    kept = F.col("cand") == F.col("keeper")
+    return groups.agg(
+        F.count(F.lit(1)).alias("before"), F.count_if(kept).alias("after"), F.count_if(~kept).alias("merged"), F.count_if(kept & (F.col("members") > 1)).alias("groups")
+    )
+
+
+def blind_spot(description: Column, severity: Column) -> Column:
+    return F.struct(description, severity, F.lit(None).cast("string")).cast(BLIND_SPOT)
 
 
-def refine(candidates: DataFrame, verdict: Column | None = None) -> DataFrame:
-    """Candidates without those that a pluggable verdict calls apparent; unchanged without one."""
-    return candidates if verdict is None else candidates.where(~F.coalesce(F.lower(verdict).isin(*C.DROPPED_VERDICTS), F.lit(False)))
+def refine(found: DataFrame, verdict: Column | None = None) -> DataFrame:
+    """Contradictions after a second look: those that ``verdict`` (a struct of classification, reasoning and the conditions of
+    either claim) calls apparent go, others have it in their details, their text and a blind spot.  Where the verdict is
+    null, or without one, a contradiction stays as it is.  ``found``: measured_pattern, details, blind_spots and what verdict reads."""
+    if verdict is None:
+        return found
+    said = lambda field: T.strip(F.coalesce(F.col("__verdict").getField(field), F.lit("")))
+    looked = found.withColumn("__verdict", verdict)
+    kind, why = F.lower(said("classification")), said("reasoning")
+    there = F.col("__verdict").isNotNull()
+    looked = looked.where(~there | ~kind.isin(*C.DROPPED_VERDICTS))
+    notes = {"llm_contradiction_classification": F.coalesce(T.missing_as_null(kind), F.lit("unknown")), "llm_contradiction_reasoning": why}
+    conditions = {c: T.missing_as_null(said(c)) for c in ("conditions_for_claim_a", "conditions_for_claim_b")}
+    added = F.map_filter(F.create_map(*(x for k, v in {**notes, **conditions}.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    review = F.when(why != "", F.concat(F.lit(" Review ("), kind, F.lit("): "), why)).otherwise(F.concat(F.lit(" Review: "), kind, F.lit(".")))
+    spot = F.array(blind_spot(F.lit("Second look: apparent or real contradiction."), F.lit("minor")))
+    own = F.map_filter(F.coalesce("details", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(added, k))
+    return looked.withColumns(
+        {
+            "details": F.when(there, F.map_concat(own, added)).otherwise(F.col("details")),
+            "measured_pattern": F.when(there, F.concat(F.coalesce("measured_pattern", F.lit("")), review)).otherwise(F.col("measured_pattern")),
+            "blind_spots": F.when(there, F.concat(F.coalesce("blind_spots", F.array().cast(f"array<{BLIND_SPOT}>")), spot)).otherwise(F.col("blind_spots")),
+        }
+    ).drop("__verdict")

@@ -57,7 +57,8 @@ def confidence_level(kind: Column, evidence: Column, counter: Column, score: Col
 
 
 def verify(candidates: DataFrame, interpret=None) -> DataFrame:
-    """``candidates`` with status, withheld_reason, confidence_level and, if given, ``interpret``'s column."""
+    """``candidates`` with status, withheld_reason, promotion_reason, confidence_level and, if given, ``interpret``'s column.
+    Patterns without blind spots get a note of that."""
     kind, score = F.col("pattern_type"), F.col("confidence")
     evidence, counter = F.col("evidence"), F.col("counter_evidence")
     reasons = F.array_compact(
@@ -69,11 +70,19 @@ def verify(candidates: DataFrame, interpret=None) -> DataFrame:
     )
     judged = candidates.withColumn("__reasons", reasons)
     withheld = F.size("__reasons") > 0
-    out = judged.withColumns(
-        {
-            "status": F.when(withheld, "exploratory").otherwise("promoted"),
-            "withheld_reason": F.when(withheld, F.array_join("__reasons", "; ")),
-            "confidence_level": F.when(withheld, "low").otherwise(confidence_level(kind, evidence, counter, score)),
-        }
-    ).drop("__reasons")
+    columns = {
+        "status": F.when(withheld, "exploratory").otherwise("promoted"),
+        "withheld_reason": F.when(withheld, F.array_join("__reasons", "; ")),
+        "promotion_reason": F.when(withheld, "").otherwise("Passed all promotion checks"),
+        "confidence_level": F.when(withheld, "low").otherwise(confidence_level(kind, evidence, counter, score)),
+    }
+    if "blind_spots" in candidates.columns:
+        default = F.array(F.struct(F.lit("No blind spots identified; default note added."), F.lit("minor"), F.lit(None).cast("string"))).cast(candidates.schema["blind_spots"].dataType)
+        columns["blind_spots"] = F.when(F.size(F.coalesce("blind_spots", F.array().cast(candidates.schema["blind_spots"].dataType))) > 0, F.col("blind_spots")).otherwise(default)
+    out = judged.withColumns(columns).drop("__reasons")
     return out if interpret is None else out.withColumn("interpretation", interpret)
+
+
+def split(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Promoted and exploratory patterns."""
+    return judged.where("status = 'promoted'"), judged.where("status = 'exploratory'")
