@@ -1,13 +1,17 @@
-"""Reports: tables as DataFrames, cards as text, pages on the driver from bounded rows."""
+"""Reports: tables as DataFrames, cards as text, pages on the driver from rows that detectors bound."""
 
 from __future__ import annotations
 
-import html
 import json
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.functions import constants as C
+from evigraph.functions import text as T
+from evigraph.operators.graph import bundles
+
 
 def evidence_table(patterns: DataFrame) -> DataFrame:
     """One row for each item of evidence, then of counter-evidence, of every pattern."""
@@ -16,50 +20,135 @@ def evidence_table(patterns: DataFrame) -> DataFrame:
 
 
 def patterns_summary(patterns: DataFrame) -> DataFrame:
+    """One record a pattern, as dashboards read it."""
+    text = lambda c: (F.coalesce(F.col(c), F.lit("")) if c in patterns.columns else F.lit("")).alias(c)
+    return patterns.select(
+        "id", "pattern_type", text("title"), F.col("status").alias("promotion_status"), F.coalesce("confidence_level", F.lit("")).alias("confidence"), F.size("evidence").alias("evidence_count"),
+        F.size("counter_evidence").alias("counter_evidence_count"), text("measured_pattern"), text("interpretation"), text("withheld_reason"),
+    )
+
+
+def patterns_by_type(patterns: DataFrame) -> DataFrame:
     """(pattern_type, status, confidence_level, n)."""
     return patterns.groupBy("pattern_type", "status", "confidence_level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _lines(items: Column, most: int, mark: str) -> Column:
-    line = lambda e: F.concat(F.lit(f"- {mark}[tier "), F.coalesce(e["source_tier"].cast("string"), F.lit("?")), F.lit("] "), F.substring(F.coalesce(e["assertion_text"], F.lit("")), 1, 200))
+def _lines(items: Column, most: int) -> Column:
+    line = lambda e: F.concat(F.lit("- [tier "), F.coalesce(e["source_tier"].cast("string"), F.lit("?")), F.lit("] "), F.substring(F.coalesce(e["assertion_text"], F.lit("")), 1, 200))
     return F.array_join(F.transform(F.slice(items, 1, most), line), "\n")
 
 
 def cards(patterns: DataFrame) -> DataFrame:
-    """(id, status, card): Markdown, with at most 5 items of evidence and 3 against."""
-    heading = F.concat(F.lit("### "), F.col("title"), F.lit(" ("), F.col("confidence_level"), F.lit(")"))
-    against = F.when(F.size("counter_evidence") > 0, _lines(F.col("counter_evidence"), 3, "against "))
-    withheld = F.when(F.col("withheld_reason").isNotNull(), F.concat(F.lit("Withheld: "), F.col("withheld_reason")))
-    return patterns.select("id", "status", F.concat_ws("\n", heading, _lines(F.col("evidence"), 5, ""), against, withheld).alias("card"))
-
-
-def markdown(patterns: DataFrame, topic: str, most: int = 500) -> str:
-    """The report: promoted cards, then exploratory ones, at most ``most`` of each."""
+    """(id, status, card): Markdown with type, title, level, reason for withholding, what was measured, at most 5 items of evidence
+    and 3 against, interpretation and blind spots; sections without content are left out."""
+    here = lambda c: F.col(c) if c in patterns.columns else F.lit(None).cast("string")
+    said = lambda label, c: F.when(F.coalesce(here(c), F.lit("")) != "", F.concat(F.lit(f"**{label}:** "), here(c)))
+    listed = lambda label, items, text: F.when(F.size(items) > 0, F.concat(F.lit(f"**{label}:**\n"), text))
+    heading = F.concat(F.lit("### ["), F.initcap("pattern_type"), F.lit("]: "), F.col("title"))
+    level = F.concat(F.lit("**Confidence:** "), F.coalesce("confidence_level", F.lit("unscored")))
+    withheld = F.when(F.col("status") == "exploratory", said("Withheld", "withheld_reason"))
+    sections = [heading, level, withheld, said("Measured pattern", "measured_pattern"), listed("Supporting evidence", "evidence", _lines(F.col("evidence"), 5)), listed("Counterevidence", "counter_evidence", _lines(F.col("counter_evidence"), 3))]
+    sections.append(said("Interpretation", "interpretation"))
+    if "blind_spots" in patterns.columns:
+        sections.append(listed("Blind spots", "blind_spots", F.array_join(F.transform("blind_spots", lambda b: F.concat(F.lit("- ["), b["severity"], F.lit("] "), b["description"])), "\n")))
+    return patterns.select("id", "status", F.concat_ws("\n", *sections).alias("card"))
+
+
+def coverage(docs: DataFrame) -> DataFrame:
+    """(families_used, families_missing, total_documents, documents_per_tier) of documents with source_tier, as one row."""
+    used = F.sort_array(F.collect_set("source_family"))
+    whole = docs.agg(used.alias("families_used"), F.count(F.lit(1)).alias("total_documents"), *(F.count_if(F.col("source_tier") == t).alias(f"tier_{t}") for t in range(1, 5)))
+    per_tier = F.map_filter(F.create_map(*(x for t in range(1, 5) for x in (F.lit(t), F.col(f"tier_{t}")))), lambda k, v: v > 0)
+    missing = F.array_except(F.array(*map(F.lit, C.FAMILIES)), F.col("families_used"))
+    return whole.select("families_used", missing.alias("families_missing"), "total_documents", per_tier.alias("documents_per_tier"))
+
+
+def coverage_markdown(found: DataFrame) -> str:
+    row = found.first()
+    tiers = ", ".join(f"{t}: {n}" for t, n in sorted(row.documents_per_tier.items()))
+    lines = [f"- Documents in total: {row.total_documents}", f"- Sources used: {', '.join(row.families_used) or 'none'}", f"- Sources missing: {', '.join(row.families_missing) or 'none'}"]
+    return "\n".join(["# Coverage", *lines, *([f"- Documents by tier: {tiers}"] if tiers else [])]) + "\n"
+
+
+def markdown(patterns: DataFrame, topic: str, covered: DataFrame | None = None) -> str:
+    """The report: all promoted cards, then all exploratory ones, a row at a time; then the coverage."""
     counts = {r.status: r["count"] for r in patterns.groupBy("status").count().collect()}
     parts = [f"# {topic}", f"{counts.get('promoted', 0)} promoted, {counts.get('exploratory', 0)} exploratory"]
     listed = cards(patterns)
     for status in ("promoted", "exploratory"):
-        parts.append(f"## {status.capitalize()}")
-        parts += [r.card for r in listed.where(F.col("status") == status).orderBy("id").limit(most).collect()]
+        if counts.get(status):
+            parts.append(f"## {status.capitalize()}")
+            parts += [r.card for r in listed.where(F.col("status") == status).orderBy("id").toLocalIterator()]
+    if covered is not None:
+        parts.append(coverage_markdown(covered).replace("# ", "## ", 1).rstrip("\n"))
     return "\n\n".join(parts) + "\n"
 
 
-def coverage_markdown(stats: DataFrame) -> str:
-    """Corpus counts by level; tiers and families are closed domains, so the rows are few."""
-    return "\n".join(f"- {r.level} {r.key}: {r.n}".replace("  ", " ") for r in stats.orderBy("level", "key").collect()) + "\n"
-
-
-def run_summary(topic: str, stats: DataFrame, summary: DataFrame, errors: list[tuple[str, str]] = ()) -> str:
-    rows = lambda df: [r.asDict() for r in df.collect()]
-    return json.dumps({"topic": topic, "graph": rows(stats), "patterns": rows(summary), "errors": [{"step": s, "message": m[:4000]} for s, m in errors]}, indent=2, sort_keys=True)
-
-
-def graph_html(nodes: DataFrame, pairs: DataFrame, most_nodes: int = 500, most_links: int = 2000) -> str:
-    """A page of the first nodes and the links among them, coloured by community where there is one."""
-    kept = nodes.orderBy("node_ord").limit(most_nodes)
+def result_tables(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Promoted and exploratory patterns as result rows."""
+    row = patterns_summary(patterns).select(F.col("pattern_type").alias("type"), "title", "confidence", "evidence_count", "interpretation", "withheld_reason", "promotion_status")
+    return tuple(row.where(F.col("promotion_status") == status).drop("promotion_status") for status in ("promoted", "exploratory"))
+
+
+def result_stats(patterns: DataFrame, docs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(stat, n): what a run found and what it read."""
+    promoted = F.col("status") == "promoted"
+    counted = patterns.agg(F.count_if(promoted).alias("patterns_found"), F.count_if(~promoted).alias("exploratory_leads"), F.count_if(promoted & (F.col("confidence_level") == "high")).alias("high_confidence"))
+    found = counted.unpivot([], counted.columns, "stat", "n")
+    for stat, frame in (("documents_analyzed", docs), ("graph_nodes", nodes), ("graph_edges", bundles(edges))):
+        found = found.union(frame.agg(F.lit(stat).alias("stat"), F.count(F.lit(1)).alias("n")))
+    return found
+
+
+def run_summary(snapshot: dict, errors: Iterable[tuple[str, str]] = ()) -> str:
+    """What a run was asked, resolved and found, as JSON; DataFrames by their rows."""
+    plain = {k: [r.asDict(True) for r in v.collect()] if isinstance(v, DataFrame) else v for k, v in snapshot.items()}
+    failed = [{"step": s, "message": m[:4000]} for s, m in errors]
+    return json.dumps(plain | {"errors": failed}, indent=2, sort_keys=True, default=str)
+
+
+def graph_links(pairs: DataFrame, nodes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(a, b, edge_type, colour) of pairs: a contradiction's where an item of either side is at the ends, a bridge's where the ends
+    have the names of one.  ``patterns``: pattern_type, evidence, counter_evidence, details."""
+    colour = C.LINK_COLOURS
+    key = lambda x, y: (F.least(x, y), F.greatest(x, y))
+    detail = lambda k: F.try_element_at("details", F.lit(k))
+    low, high = key(detail("bridge_node_u"), detail("bridge_node_v"))
+    bridges = patterns.where("pattern_type = 'bridge'").select(low.alias("low_name"), high.alias("high_name"), F.lit(True).alias("is_bridge")).where("low_name <> ''").distinct()
+    sides = patterns.where("pattern_type = 'contradiction'").select(F.explode("evidence").alias("e"), "counter_evidence").select(F.col("e.assertion_node_id").alias("x"), F.explode("counter_evidence").alias("c"))
+    low, high = key(F.col("x"), F.col("c.assertion_node_id"))
+    against = sides.select(low.alias("low_id"), high.alias("high_id"), F.lit(True).alias("is_against")).distinct()
+    name = lambda c: nodes.select(F.col("id").alias(c), F.col("name").alias(f"name_{c}"))
+    low, high = key(F.col("name_a"), F.col("name_b"))
+    low_id, high_id = key(F.col("a").cast("string"), F.col("b").cast("string"))
+    met = pairs.join(name("a"), "a").join(name("b"), "b").withColumns({"low_name": low, "high_name": high, "low_id": low_id, "high_id": high_id})
+    met = met.join(bridges, ["low_name", "high_name"], "left").join(against, ["low_id", "high_id"], "left")
+    drawn = F.when(F.col("is_against"), colour["contradiction"]).when(F.col("is_bridge"), colour["bridge"]).otherwise(colour["plain"])
+    return met.select("a", "b", F.coalesce(T.missing_as_null(F.col("edge_type")), F.lit("co_occurs")).alias("edge_type"), drawn.alias("colour"))
+
+
+#: Draws nodes on rings by community, and links in their colours.
+SCRIPT = """
+const g = JSON.parse(document.getElementById("graph").textContent), svg = document.querySelector("svg"), at = {};
+const groups = [...new Set(g.nodes.map(n => n.community))], make = (k, o) => { const e = document.createElementNS(svg.namespaceURI, k); for (const x in o) e.setAttribute(x, o[x]); return svg.appendChild(e); };
+const members = {}; g.nodes.forEach(n => (members[n.community] ||= []).push(n));
+groups.forEach((c, i) => { const t = 2 * Math.PI * i / groups.length, r = groups.length > 1 ? 330 : 0;
+  members[c].forEach((n, j) => { const s = 2 * Math.PI * j / members[c].length, q = 12 + 2 * members[c].length; at[n.id] = [500 + r * Math.cos(t) + q * Math.cos(s), 500 + r * Math.sin(t) + q * Math.sin(s), i]; }); });
+g.links.forEach(l => make("line", {x1: at[l.a][0], y1: at[l.a][1], x2: at[l.b][0], y2: at[l.b][1], stroke: l.colour, "stroke-opacity": 0.5}));
+g.nodes.forEach(n => { const e = make("circle", {cx: at[n.id][0], cy: at[n.id][1], r: 5, fill: `hsl(${at[n.id][2] * 137 % 360} 60% 55%)`}), t = document.createElementNS(svg.namespaceURI, "title"); t.textContent = `${n.name} (${n.type}) ${n.description}`; e.appendChild(t); });
+"""
+
+
+def graph_html(nodes: DataFrame, links: DataFrame, most_nodes: int = 500, most_links: int = 2000) -> str:
+    """A page of the first nodes, coloured by ``community`` where they have one, and of the first ``links`` (``graph_links``) among them."""
+    optional = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in nodes.columns else F.lit(default)
+    shown = nodes.select("id", F.substring("name", 1, 40).alias("name"), optional("node_type", "").alias("type"), optional("community", 0).alias("community"), F.substring(optional("description", ""), 1, 200).alias("description"), "node_ord")
+    kept = shown.orderBy("node_ord").limit(most_nodes)
     ids = kept.select("id")
-    links = pairs.join(ids, F.col("a") == F.col("id"), "left_semi").join(ids, F.col("b") == F.col("id"), "left_semi").orderBy("a", "b").limit(most_links)
-    drawn = [{"id": str(r.id), "name": r.name, "group": r.community if "community" in kept.columns else 0} for r in kept.collect()]
-    data = json.dumps({"nodes": drawn, "links": [{"a": str(r.a), "b": str(r.b), "type": r.edge_type} for r in links.collect()]}).replace("</", "<\\/")
-    listed = "".join(f"<li>{html.escape(n['name'] or n['id'])}</li>" for n in drawn)
-    return f'<!doctype html><meta charset="utf-8"><title>Graph</title><script id="graph" type="application/json">{data}</script><ul>{listed}</ul>\n'
+    drawn = links.join(ids, F.col("a") == F.col("id"), "left_semi").join(ids, F.col("b") == F.col("id"), "left_semi").orderBy("a", "b").limit(most_links)
+    data = {
+        "nodes": [{"id": str(r.id), "name": r.name, "type": r.type, "community": str(r.community), "description": r.description} for r in kept.collect()],
+        "links": [{"a": str(r.a), "b": str(r.b), "type": r.edge_type, "colour": r.colour} for r in drawn.collect()],
+    }
+    text = json.dumps(data).replace("</", "<\\/")
+    return f'<!doctype html><meta charset="utf-8"><title>Graph</title><svg viewBox="0 0 1000 1000"></svg><script id="graph" type="application/json">{text}</script><script>{SCRIPT}</script>\n'
