@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evigraph.functions import constants as C
+from evigraph.functions import models, packs, planning
 from evigraph.functions import text as T
 from evigraph.operators import community, corpus, extract, graph, patterns, report, vectors, verify
 from evigraph.sources.stages import cut
@@ -34,7 +36,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 @register("corpus_stats", f"""WITH {V.SRC_DOCUMENTS}
 SELECT CASE WHEN grouping(source_tier) = 1 AND grouping(source_family) = 1 THEN 'total' WHEN grouping(source_tier) = 0 THEN 'tier' ELSE 'family' END AS level,
-  coalesce(source_tier::VARCHAR, source_family, '') AS key, count(*) AS n, count(*) FILTER (coalesce(abstract, '') <> '') AS with_abstract
+  coalesce(source_tier::VARCHAR, source_family, '') AS key, count(*) AS n, count(*) FILTER (coalesce(abstract, '') <> '') AS with_abstract, count(*) FILTER (len(authors) > 0) AS with_authors
 FROM tiered GROUP BY GROUPING SETS ((), (source_tier), (source_family))""")
 def _(spark, sf):
     return corpus.corpus_stats(V.src_documents(spark, sf))
@@ -60,7 +62,7 @@ def _(spark, sf):
 
 @register("title_fuzzy_dedup")
 def _(spark, sf):
-    return corpus.fuzzy_dedup(V.src_documents(spark, sf, whole_titles=True)).select("id", "title")
+    return corpus.fuzzy_dedup(V.src_documents(spark, sf)).select("id", "title")
 
 
 @register("round_robin_cap", f"""WITH {V.SRC_DOCUMENTS},
@@ -90,42 +92,66 @@ def _(spark, sf):
     return corpus.unseen(found, known)
 
 
-@register("extract_batches", f"""WITH RECURSIVE {V.SRC_DOCUMENTS},
-o AS (SELECT doc_ord, doc_ord // 1000 AS block, length(abstract) AS n, row_number() OVER (PARTITION BY doc_ord // 1000 ORDER BY doc_ord) AS rn FROM src WHERE coalesce(abstract, '') <> ''),
-w AS (SELECT block, rn, doc_ord, 0::BIGINT AS batch, 1::BIGINT AS k, n AS c FROM o WHERE rn = 1
-  UNION ALL SELECT o.block, o.rn, o.doc_ord, CASE WHEN w.k >= 3 OR w.c + o.n > 12000 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.k >= 3 OR w.c + o.n > 12000 THEN 1 ELSE w.k + 1 END,
-    CASE WHEN w.k >= 3 OR w.c + o.n > 12000 THEN o.n ELSE w.c + o.n END FROM w JOIN o ON o.block = w.block AND o.rn = w.rn + 1)
-SELECT doc_ord, block, batch FROM w""")
+_BATCHES = f"""{V.SRC_DOCUMENTS},
+o AS (SELECT doc_ord, length(abstract) AS n, row_number() OVER (ORDER BY doc_ord) AS rn FROM src WHERE coalesce(abstract, '') <> ''),
+w AS (SELECT rn, doc_ord, 0::BIGINT AS batch, 1::BIGINT AS k, n AS c FROM o WHERE rn = 1
+  UNION ALL SELECT o.rn, o.doc_ord, CASE WHEN w.k >= 3 OR w.c + o.n > 12000 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.k >= 3 OR w.c + o.n > 12000 THEN 1 ELSE w.k + 1 END,
+    CASE WHEN w.k >= 3 OR w.c + o.n > 12000 THEN o.n ELSE w.c + o.n END FROM w JOIN o ON o.rn = w.rn + 1)"""
+
+
+@register("extract_batches", f"WITH RECURSIVE {_BATCHES} SELECT doc_ord, batch FROM w")
 def _(spark, sf):
     return corpus.batches(V.src_documents(spark, sf))
 
 
-# Extraction: answers are made of the documents' own lines and words
+@register("extraction_prompts", f"""WITH RECURSIVE {_BATCHES}
+SELECT batch, md5('Read:' || string_agg('--- DOCUMENT ' || k || ' ---' || chr(10) || 'Title: ' || title || chr(10) || 'Abstract: ' || abstract || chr(10), chr(10) ORDER BY k)) AS digest, count(*) AS n
+FROM w JOIN src USING (doc_ord) GROUP BY batch""")
+def _(spark, sf):
+    docs = V.src_documents(spark, sf)
+    return extract.prompts(docs, corpus.batches(docs), "Read:").select("batch", F.md5("prompt").alias("digest"), F.size("ords").cast("bigint").alias("n"))
 
 
-def answers(spark: SparkSession, sf: str) -> DataFrame:
+@register("answers_by_place", f"""WITH RECURSIVE {_BATCHES}
+SELECT doc_ord, CASE WHEN batch % 5 < 3 OR (batch % 5 = 3 AND k = 1) THEN 'doc ' || doc_ord END AS said, batch % 5 < 3 OR (batch % 5 = 3 AND k = 1) AS answered FROM w""")
+def _(spark, sf):
+    """Answers to whole batches: plain, fenced, between words, of one document only, and unreadable."""
     docs = V.src_documents(spark, sf)
-    line = lambda n: F.split_part("abstract", F.lit("\n"), F.lit(n))
-    word = lambda n: F.regexp_replace(F.split_part("abstract", F.lit(" "), F.lit(n)), r"[^A-Za-z]", "")
+    ords = extract.prompts(docs, corpus.batches(docs)).select("batch", "ords")
+    each = F.transform("ords", lambda o: F.concat(F.lit('{"assertions": [{"text": "doc '), o.cast("string"), F.lit('"}]}')))
+    whole = F.concat(F.lit("["), F.array_join(each, ", "), F.lit("]"))
+    forms = (whole, F.concat(F.lit("```json\n"), whole, F.lit("\n```")), F.concat(F.lit("Here they are: "), whole, F.lit(" as asked.")), F.element_at(each, 1), F.lit("nothing of use"))
+    raw = F.element_at(F.array(*forms), (F.col("batch") % 5 + 1).cast("int"))
+    found = extract.answered(ords.select("ords", raw.alias("raw")))
+    return found.select("doc_ord", F.try_element_at("response.assertions", F.lit(1)).getField("text").alias("said"), "answered")
+
+
+# Extraction: answers are made of all the documents' lines, and the first words of them
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    docs = V.src_documents(spark, sf).withColumn("lines", F.split("abstract", "\n", -1))
+    docs = docs.withColumn("words", F.transform("lines", lambda x: F.regexp_replace(F.split_part(x, F.lit(" "), F.lit(1)), r"[^A-Za-z]", "")))
     kinds = F.array(*map(F.lit, ("method", "dataset", "author", "odd")))
-    kind = lambda n: F.element_at(kinds, ((F.col("doc_ord") + n) % 4 + 1).cast("int"))
-    said = lambda n: F.struct(line(n).alias("text"), F.lit("c").alias("conditions"), F.lit("neutral").alias("polarity"))
-    named = lambda n: F.struct(word(n).alias("name"), kind(n).alias("entity_type"), F.lit("").alias("description"))
-    rel = F.struct(word(1).alias("source_name"), word(2).alias("target_name"), F.when(F.col("doc_ord") % 2 == 0, "builds_on").otherwise("whatever").alias("relationship_type"))
-    body = F.to_json(F.struct(F.array(said(1), said(2)).alias("assertions"), F.array(named(1), named(2), named(3)).alias("entities"), F.array(rel).alias("relationships")))
+    said = F.transform("lines", lambda x: F.struct(x.alias("text"), F.lit("c").alias("conditions"), F.lit("neutral").alias("polarity")))
+    named = F.transform("words", lambda w, i: F.struct(w.alias("name"), F.element_at(kinds, ((F.col("doc_ord") + i) % 4 + 1).cast("int")).alias("entity_type"), F.lit("").alias("description")))
+    rest = F.size("words") - 1
+    relation = F.when(F.col("doc_ord") % 2 == 0, "builds_on").otherwise("whatever")
+    related = F.zip_with(F.slice("words", 1, rest), F.slice("words", 2, rest), lambda a, b: F.struct(a.alias("source_name"), b.alias("target_name"), relation.alias("relationship_type")))
+    body = F.to_json(F.struct(said.alias("assertions"), named.alias("entities"), related.alias("relationships")))
     raw = F.when(F.col("doc_ord") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    # A stage: answers are parsed once, whatever is made of them.
-    return cut(extract.parsed(docs.select("doc_ord", "title", "abstract", raw.alias("raw"))).drop("raw"))
+    # A stage: answers are parsed once, whatever is made of them; of abstracts, what nodes show of them is kept.
+    return cut(extract.parsed(docs.select("doc_ord", "title", F.substring("abstract", 1, 500).alias("abstract"), raw.alias("raw"))).drop("raw"))
 
 
-_STRIP = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
-_LINE = lambda n: _STRIP.format(f"split_part(abstract, chr(10), {n})").replace("{{", "{").replace("}}", "}")
-_WORD = lambda n: f"regexp_replace(split_part(abstract, ' ', {n}), '[^A-Za-z]', '', 'g')"
+_STRIPPED = "regexp_replace(line, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
 _NODES = f"""{V.SRC_DOCUMENTS},
-ids AS (SELECT *, chr(1) AS z FROM src),
+ids AS (SELECT *, chr(1) AS z, string_split(abstract, chr(10)) AS l FROM src),
+lines AS (SELECT doc_ord, z, unnest(l) AS line, unnest(range(len(l)))::INTEGER AS "at" FROM ids),
+parts AS (SELECT doc_ord, z, "at", {_STRIPPED} AS said, regexp_replace(split_part(line, ' ', 1), '[^A-Za-z]', '', 'g') AS word FROM lines),
 nodes AS (SELECT doc_ord, 0 AS kind, 0 AS "at", sha256(doc_ord::VARCHAR || z || 'doc' || z || '0') AS id, 'source_document' AS node_type, title AS name, substr(abstract, 1, 500) AS description FROM ids
-  {''.join(f" UNION ALL SELECT doc_ord, 1, {n - 1}, sha256(doc_ord::VARCHAR || z || 'assertion' || z || '{n - 1}'), 'assertion', substr({_LINE(n)}, 1, 100), {_LINE(n)} FROM ids WHERE {_LINE(n)} <> ''" for n in (1, 2))}
-  {''.join(f" UNION ALL SELECT doc_ord, 2, {n - 1}, sha256(doc_ord::VARCHAR || z || 'entity' || z || '{n - 1}'), CASE (doc_ord + {n}) % 4 WHEN 0 THEN 'concept' WHEN 1 THEN 'artifact' WHEN 2 THEN 'actor' ELSE 'concept' END, {_WORD(n)}, '' FROM ids WHERE {_WORD(n)} <> ''" for n in (1, 2, 3))})"""
+  UNION ALL SELECT doc_ord, 1, "at", sha256(doc_ord::VARCHAR || z || 'assertion' || z || "at"), 'assertion', substr(said, 1, 100), said FROM parts WHERE said <> ''
+  UNION ALL SELECT doc_ord, 2, "at", sha256(doc_ord::VARCHAR || z || 'entity' || z || "at"), CASE (doc_ord + "at") % 4 WHEN 0 THEN 'concept' WHEN 1 THEN 'artifact' WHEN 2 THEN 'actor' ELSE 'concept' END, word, '' FROM parts WHERE word <> '')"""
 
 
 @register("extract_nodes", f"WITH {_NODES} SELECT * FROM nodes")
@@ -138,17 +164,87 @@ _PHRASES = ("the and", "of the", "de la")
 
 @register("extract_edges", f"""WITH {_NODES},
 d AS (SELECT doc_ord, id AS src FROM nodes WHERE kind = 0),
-named AS (SELECT doc_ord, name, max_by(id, kind * 1000 + "at") AS id FROM nodes WHERE kind > 0 GROUP BY 1, 2)
+named AS (SELECT doc_ord, name, max_by(id, kind * 1000000 + "at") AS id FROM nodes WHERE kind > 0 GROUP BY 1, 2),
+rel AS (SELECT p.doc_ord, p."at", p.word AS s, q.word AS t FROM parts p JOIN parts q ON q.doc_ord = p.doc_ord AND q."at" = p."at" + 1)
 SELECT n.doc_ord, n.kind, n."at", d.src, n.id AS dst, CASE n.kind WHEN 1 THEN 'asserts' ELSE 'associated_with' END AS edge_type FROM nodes n JOIN d USING (doc_ord) WHERE n.kind > 0
-UNION ALL SELECT i.doc_ord, 3, 0, s.id, t.id, CASE WHEN i.doc_ord % 2 = 0 THEN 'extends' ELSE 'co_occurs' END FROM ids i JOIN named s ON s.doc_ord = i.doc_ord AND s.name = {_WORD(1)}
-  JOIN named t ON t.doc_ord = i.doc_ord AND t.name = {_WORD(2)}
-UNION ALL SELECT a.doc_ord, 4, a."at" * 1000 + e."at", a.id, e.id, 'recommends' FROM nodes a JOIN nodes e ON a.doc_ord = e.doc_ord AND a.kind = 1 AND e.kind = 2 AND length(e.name) >= 4
+UNION ALL SELECT r.doc_ord, 3, r."at", s.id, t.id, CASE WHEN r.doc_ord % 2 = 0 THEN 'extends' ELSE 'co_occurs' END FROM rel r JOIN named s ON s.doc_ord = r.doc_ord AND s.name = r.s
+  JOIN named t ON t.doc_ord = r.doc_ord AND t.name = r.t
+UNION ALL SELECT a.doc_ord, 4, row_number() OVER (PARTITION BY a.doc_ord ORDER BY a."at", e."at") - 1, a.id, e.id, 'recommends' FROM nodes a JOIN nodes e ON a.doc_ord = e.doc_ord AND a.kind = 1 AND e.kind = 2
+  AND e.node_type IN ('concept', 'artifact') AND length(e.name) >= 4
   WHERE regexp_matches(lower(a.description), '{'|'.join(_PHRASES)}') AND contains(lower(a.description), lower(e.name))""")
 def _(spark, sf):
     found = answers(spark, sf)
     return extract.edges_of(found, cut(extract.nodes_of(found)), _PHRASES)
 
 
+_MARKS = ", ".join("'" + p + "'" for p in C.FUTURE_WORK)
+
+
+@register("future_work_marks", f"""SELECT doc_id, regexp_matches(lower(text || ' It ' || coalesce([{_MARKS}][(doc_id % 40 + 1)::INTEGER], '') || '.'), '{'|'.join(C.FUTURE_WORK)}') AS marked FROM documents""")
+def _(spark, sf):
+    phrase = F.coalesce(F.try_element_at(F.array(*map(F.lit, C.FUTURE_WORK)), (F.col("doc_id") % 40 + 1).cast("int")), F.lit(""))
+    text = F.concat(F.col("text"), F.lit(" It "), phrase, F.lit("."))
+    return V.table(spark, sf, "documents").select("doc_id", T.marks_future_work(F.upper(text)).alias("marked"))
+
+
+@register("message_texts", """SELECT conv_id, regexp_replace(coalesce(string_agg(text, '' ORDER BY turn) FILTER (turn % 3 <> 2 AND text <> ''), ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS said FROM conversations GROUP BY conv_id""")
+def _(spark, sf):
+    block = F.struct(F.col("turn"), F.when(F.col("turn") % 3 == 2, "tool_use").otherwise("text").alias("type"), F.col("text"))
+    whole = V.table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
+    return whole.select("conv_id", T.message_text(F.col("blocks")).alias("said"))
+
+
+# Plans and domains
+
+
+_SPLIT = "list_filter(regexp_split_to_array(translate(lower(topic), ',', ' '), '[\\s\\p{Z}]+'), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in C.FILLERS) + "))"
+_ASKED = f"""{V.TOPICS},
+words AS (SELECT *, {_SPLIT} AS w FROM topics),
+said AS (SELECT *, [topic] || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || [topic || ' survey', topic || ' review'] AS q FROM words),
+each AS (SELECT topic_ord, regexp_replace(unnest(q), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS query, unnest(range(len(q))) AS "at" FROM said),
+once AS (SELECT topic_ord, min("at") AS "at", min_by(query, "at") AS query FROM each WHERE query <> '' GROUP BY topic_ord, lower(query)),
+asked AS (SELECT topic_ord, row_number() OVER (PARTITION BY topic_ord ORDER BY "at")::INTEGER AS place, query FROM once QUALIFY place <= 8)"""
+
+
+@register("topic_queries", f"WITH {_ASKED} SELECT topic_ord, place, query FROM asked")
+def _(spark, sf):
+    return planning.topic_queries(V.planned_topics(spark, sf))
+
+
+@register("source_plans", f"""WITH {_ASKED},
+own AS (SELECT topic_ord, list(query ORDER BY place) AS own FROM asked GROUP BY topic_ord),
+p AS (SELECT t.*, own, CASE depth WHEN 'quick' THEN 50 WHEN 'standard' THEN 100 WHEN 'deep' THEN 200 ELSE max_documents END AS documents,
+  {' OR '.join(f"contains(lower(topic), '{w}')" for w in C.CODE_WORDS)} AS code,
+  list_transform(['benchmark evaluation'] || CASE WHEN focus IN ('drift', 'all') THEN ['recent advances', 'emerging trends'] ELSE [] END, lambda e: topic || ' ' || e) AS extra FROM topics t JOIN own USING (topic_ord))
+SELECT topic_ord, documents, CASE WHEN code THEN 'openalex,semantic_scholar,arxiv,github,web_search' ELSE 'openalex,semantic_scholar,arxiv,web_search' END AS connectors,
+  array_to_string((own || list_filter(extra, lambda e: NOT list_contains(list_transform(own, lambda o: lower(o)), lower(e))))[1:10], '|') AS queries,
+  greatest(10, documents // CASE WHEN code THEN 5 ELSE 4 END)::INTEGER AS per_connector_limit, greatest(20, documents // 3)::INTEGER AS expansion_budget,
+  CASE WHEN contains(time_range, '-') THEN trim(split_part(time_range, '-', 1)) END AS first_year, CASE WHEN contains(time_range, '-') THEN trim(substr(time_range, strpos(time_range, '-') + 1)) END AS last_year,
+  {' OR '.join(f"contains(lower(topic), '{w}')" for w in C.RESEARCH_KEYWORDS)} AS is_research FROM p""")
+def _(spark, sf):
+    found = planning.source_plans(V.planned_topics(spark, sf))
+    joined = lambda c, by: F.array_join(c, by).alias(c)
+    return found.select("topic_ord", "documents", joined("connectors", ","), joined("queries", "|"), "per_connector_limit", "expansion_budget", F.col("years.first").alias("first_year"), F.col("years.last").alias("last_year"), planning.is_research(F.col("topic")).alias("is_research"))
+
+
+_DOMAINS = ("", " Technical", "PAPERS ", "my_own  domain", "default", "bio\tmedical", "Research")
+
+
+@register("domain_keys", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 8 < 7 THEN [{', '.join(f"'{d}'" for d in _DOMAINS)}][(doc_id % 8 + 1)::INTEGER] END AS raw FROM documents),
+f AS (SELECT doc_id, regexp_replace(trim(lower(coalesce(raw, '')), ' ' || chr(9)), '[\\s_]+', '-', 'g') AS k FROM d)
+SELECT doc_id, CASE WHEN k IN ({', '.join(f"'{a}'" for a in C.DOMAIN_ALIASES)}) THEN 'research' ELSE k END AS domain FROM f""")
+def _(spark, sf):
+    raw = F.try_element_at(F.array(*map(F.lit, _DOMAINS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return V.table(spark, sf, "documents").select("doc_id", packs.domain_key(raw).alias("domain"))
+
+
+@register("run_costs", """SELECT source, round((count(*) * 200 * 0.25 + count(l.doc_id) * 50 * 1.25) / 1000000, 9) AS dollars FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source""")
+def _(spark, sf):
+    labels = V.table(spark, sf, "labels").select(F.col("doc_id").alias("labelled"))
+    counted = V.table(spark, sf, "documents").join(labels, F.col("doc_id") == F.col("labelled"), "left").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("labelled").alias("nodes"))
+    return counted.select("source", F.round(models.run_cost(F.col("documents"), F.col("nodes")), 9).alias("dollars"))
+
+
 # Sources
 
 
@@ -180,7 +276,7 @@ def service_rows(docs: DataFrame, schema: str, **fields) -> DataFrame:
 _FIRST = "split_part(text, ' ', 1)"
 
 
-@register("openalex_parse", f"""SELECT 'W' || doc_id AS source_id, {_FIRST} AS title, text AS abstract, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS source_tier,
+@register("openalex_parse", f"""SELECT 'W' || doc_id AS source_id, {_FIRST} AS title, text AS abstract, CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 2 END AS source_tier,
   CASE WHEN doc_id % 3 = 0 THEN 'https://doi.org/10.1/' || doc_id ELSE 'https://openalex.org/W' || doc_id END AS source_url, doc_id % 7 AS cited_by_count FROM documents WHERE {_FIRST} <> ''""")
 def _(spark, sf):
     word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
@@ -190,7 +286,7 @@ def _(spark, sf):
         docs, schemas.OPENALEX,
         id=F.concat(F.lit("https://openalex.org/W"), F.col("doc_id").cast("string")), title=word(1), abstract_inverted_index=F.col("index"), cited_by_count=F.col("doc_id") % 7,
         doi=F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), F.col("doc_id").cast("string"))),
-        primary_location=F.struct(F.struct(F.when(F.col("doc_id") % 2 == 0, "journal").otherwise("repository").alias("type")).alias("source")),
+        type=F.element_at(F.array(*map(F.lit, ("journal-article", "proceedings-article", "preprint"))), (F.col("doc_id") % 3 + 1).cast("int")),
     )
     return connectors.parse_openalex(rows).select("source_id", "title", "abstract", "source_tier", "source_url", "cited_by_count")
 
@@ -219,6 +315,30 @@ def _(spark, sf):
     return connectors.parse_github(rows).select("source_id", "source_family", "source_url", "cited_by_count", "publication_date")
 
 
+@register("arxiv_parse", """SELECT p_partkey || 'v1' AS source_id, p_name AS title, p_name || ' summary' AS abstract, '2020-01-02' AS publication_date, 'cs.A' || (p_partkey % 3) || CASE WHEN p_partkey % 3 = 1 THEN '' ELSE ',cs.A1' END AS concepts, 2 AS source_tier FROM part WHERE p_partkey % 10 <> 0""")
+def _(spark, sf):
+    """Atom entries; those of an error are left out, and categories that repeat are one."""
+    number = F.col("p_partkey").cast("string")
+    title = F.when(F.col("p_partkey") % 10 == 0, "Error").otherwise(F.concat(F.lit("\n  "), F.replace("p_name", F.lit(" "), F.lit("\n"))))
+    kind = F.concat(F.lit('<category term="cs.A'), (F.col("p_partkey") % 3).cast("string"), F.lit('"/>'))
+    entry = F.concat(
+        F.lit("<entry><id>http://a.org/abs/"), number, F.lit("v1</id><title>"), title, F.lit("</title><summary> "), F.col("p_name"), F.lit("  summary </summary><published>2020-01-02T03:04:05Z</published><author><name>n</name></author>"),
+        F.replace(kind, F.lit("<category"), F.lit("<primary_category")), kind, F.lit('<category term="cs.A1"/></entry>'),
+    )
+    rows = V.table(spark, sf, "part").select(F.from_xml(entry, schemas.ATOM).alias("r")).select("r.*")
+    return connectors.parse_arxiv(rows).select("source_id", "title", "abstract", "publication_date", F.array_join("concepts", ",").alias("concepts"), "source_tier")
+
+
+@register("source_resolution", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN coalesce(l_suppkey::VARCHAR, '') WHEN o_orderkey IS NOT NULL THEN o_orderkey::VARCHAR ELSE '' END AS id,
+  CASE WHEN l_partkey % 3 = 0 THEN 'own' WHEN o_orderkey IS NOT NULL THEN o_orderstatus ELSE '' END AS url, CASE WHEN l_partkey % 3 = 0 THEN 4 WHEN o_orderkey IS NOT NULL THEN 1 ELSE 2 END AS tier
+FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON l_orderkey = o_orderkey""")
+def _(spark, sf):
+    orders = V.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("o"), F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("url"), F.lit(1).alias("tier")).alias("of"))
+    met = V.table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o"), "left")
+    own = F.when(F.col("l_partkey") % 3 == 0, "own").when(F.col("l_partkey") % 3 == 1, "")
+    return met.select("l_orderkey", "l_linenumber", "l_partkey", T.source_of(own, F.col("l_suppkey").cast("string"), F.lit(4), F.col("of")).alias("s")).select("l_orderkey", "l_linenumber", "l_partkey", "s.id", "s.url", "s.tier")
+
+
 # Vectors and graph
 
 
@@ -271,7 +391,7 @@ n AS (SELECT id, component, repeat('x', (id % 7)::INTEGER) AS d FROM comp)
 SELECT component AS id, CASE WHEN component % 2 = 0 THEN 'concept' ELSE 'artifact' END AS node_type, 'node ' || component::VARCHAR AS name, 'about ' || max(d) AS description, count(*) AS members FROM n GROUP BY component""")
 def _(spark, sf):
     nodes, edges = vec_graph(spark, sf, 0.4)
-    return graph.contract(nodes, edges, graph.embedding_mapping(nodes, 0.4))[0]
+    return graph.contract(nodes, edges, graph.embedding_mapping(nodes, 0.4))[0].drop("embedding")
 
 
 @register("contracted_edges", f"""WITH RECURSIVE {V.VEC_PAIRS.format(least=0.45)}, {_COMPONENTS},
@@ -292,7 +412,7 @@ def _(spark, sf):
 
 @register("entity_resolution")
 def _(spark, sf):
-    words = V.src_documents(spark, sf, whole_titles=True).select("doc_ord", F.posexplode(F.split("title", " ")).alias("at", "name")).where("name <> ''")
+    words = V.src_documents(spark, sf).select("doc_ord", F.posexplode(F.split("title", " ")).alias("at", "name")).where("name <> ''")
     nodes = words.select((F.col("doc_ord") * 2**31 + F.col("at")).alias("node_ord"), F.lit("concept").alias("node_type"), "name")
     return graph.resolve_entities(nodes)
 
@@ -328,13 +448,64 @@ def _(spark, sf):
 
 @register("label_communities")
 def _(spark, sf):
-    return community.label_communities(vectors.similar_pairs(V.vec_nodes(spark, sf), 0.3), 3)
+    return community.label_communities(vectors.similar_pairs(V.vec_nodes(spark, sf), 0.3))
+
+
+def _levels(most: int = 40) -> str:
+    """Shortest paths from every node, a level at a time: reached(source, node, level, paths)."""
+    out = ["link AS MATERIALIZED (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs)", "r0 AS MATERIALIZED (SELECT id AS s, id AS n, 0 AS d, 1.0::DOUBLE AS paths FROM v)"]
+    for d in range(1, most + 1):
+        out.append(f"r{d} AS MATERIALIZED (SELECT * FROM r{d - 1} UNION ALL SELECT s, y, {d}, sum(paths) FROM r{d - 1} JOIN link ON x = n WHERE d = {d - 1} AND NOT EXISTS (SELECT 1 FROM r{d - 1} o WHERE o.s = r{d - 1}.s AND o.n = y) GROUP BY s, y)")
+    return ",\n".join(out)
 
 
-@register("betweenness")
+@register("betweenness", f"""WITH {V.VEC_PAIRS.format(least=0.3)}, {_levels()},
+on_way AS (SELECT a.n AS id, sum(a.paths * b.paths / t.paths) AS total FROM r40 a JOIN r40 b ON a.n = b.s JOIN r40 t ON t.s = a.s AND t.n = b.n
+  WHERE a.d > 0 AND b.d > 0 AND a.s < b.n AND t.d = a.d + b.d GROUP BY 1)
+SELECT id, round(coalesce(total, 0) * 2 / ((SELECT count(*) FROM v) - 1) / ((SELECT count(*) FROM v) - 2), 9) AS centrality FROM v LEFT JOIN on_way USING (id)""")
 def _(spark, sf):
     nodes = V.vec_nodes(spark, sf)
-    return community.betweenness(vectors.similar_pairs(nodes, 0.3), nodes)
+    return community.betweenness(vectors.similar_pairs(nodes, 0.3), nodes).select("id", F.round("centrality", 9).alias("centrality"))
+
+
+@register("name_overlap", """WITH n AS (SELECT p_partkey AS id, lower(p_name) AS x, lower(replace(c_name, 'Customer', 'ring small')) AS y FROM part JOIN customer ON c_custkey = p_partkey)
+SELECT id, contains(x, y) OR contains(y, x) OR len(list_filter(regexp_split_to_array(x, '\\W+'), lambda w: length(w) >= 5 AND contains(y, w))) > 0 OR len(list_filter(regexp_split_to_array(y, '\\W+'), lambda w: length(w) >= 5 AND contains(x, w))) > 0 AS overlaps FROM n""")
+def _(spark, sf):
+    names = V.table(spark, sf, "part").join(V.table(spark, sf, "customer"), F.col("c_custkey") == F.col("p_partkey"))
+    return names.select(F.col("p_partkey").alias("id"), T.shares_words(F.col("p_name"), F.replace("c_name", F.lit("Customer"), F.lit("ring small"))).alias("overlaps"))
+
+
+_MENTIONS = """nodes AS (SELECT id, e, label, CASE WHEN id % 2 = 0 THEN 'k' || id || 'x' ELSE 'n' || id END AS name, CASE WHEN id % 2 = 1 THEN 'about k' || ((id * 7) % 400) || 'x' ELSE '' END AS text FROM v),
+best AS (SELECT p.a AS u, p.b AS v FROM pairs p JOIN v x ON x.id = p.a JOIN v y ON y.id = p.b WHERE x.label <> y.label AND p.a % 2 = 0 AND p.b % 2 = 0 ORDER BY p.similarity DESC, p.a, p.b LIMIT 10),
+ends AS (SELECT u, v, 0 AS side, u AS e FROM best UNION ALL SELECT u, v, 1, v FROM best),
+met AS (SELECT t.u, t.v, t.side, k.id AS k, k.text, contains(k.text, n.name) AS mention, list_cosine_similarity(k.e, n.e) AS near FROM ends t JOIN nodes n ON n.id = t.e JOIN nodes k ON k.label = n.label AND k.id % 2 = 1),
+ten AS (SELECT *, row_number() OVER (PARTITION BY u, v, side ORDER BY mention DESC, CASE WHEN mention THEN 0 ELSE -near END, k) AS place FROM met QUALIFY place <= 10),
+fresh AS (SELECT * FROM ten QUALIFY row_number() OVER (PARTITION BY u, v, side, text ORDER BY place) = 1),
+five AS (SELECT *, row_number() OVER (PARTITION BY u, v, side ORDER BY place) AS nth FROM fresh QUALIFY nth <= 5),
+once AS (SELECT u, v, k, min((side, nth)) AS spot FROM five GROUP BY u, v, k)"""
+
+
+@register("bridge_evidence", f"""WITH {V.VEC_PAIRS.format(least=0.3)}, {_MENTIONS},
+counted AS (SELECT u, v, count(DISTINCT k) AS n_assertions FROM met GROUP BY 1, 2)
+SELECT u, v, (row_number() OVER (PARTITION BY u, v ORDER BY spot) - 1)::INTEGER AS place, k, n_assertions FROM once JOIN counted USING (u, v) QUALIFY place < 10""")
+def _(spark, sf):
+    concept = F.col("id") % 2 == 0
+    nodes = V.vec_nodes(spark, sf).withColumns(
+        {
+            "node_type": F.when(concept, "concept").otherwise("assertion"),
+            "name": F.when(concept, F.concat(F.lit("k"), F.col("id").cast("string"), F.lit("x"))).otherwise(F.concat(F.lit("n"), F.col("id").cast("string"))),
+            "description": F.when(~concept, F.concat(F.lit("about k"), ((F.col("id") * 7) % 400).cast("string"), F.lit("x"))).otherwise(F.lit("")),
+            "source_document_id": F.lit("d"), "source_url": F.lit("u"), "source_tier": F.lit(1),
+        }
+    )
+    parts = nodes.select("id", F.col("label").alias("community"))
+    none = nodes.select("id", F.lit(0.0).alias("centrality"))
+    unlike = F.concat(F.lit("~"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("~"))
+    found = patterns.bridge_candidates(vectors.similar_pairs(nodes, 0.3), nodes.withColumn("name", unlike), parts, none, (0.3, 1.0), 1)
+    name = lambda c: F.concat(F.lit("k"), F.col(c).cast("string"), F.lit("x"))
+    best = found.orderBy(F.desc("similarity"), "u", "v").limit(10).withColumns({"name_u": name("u"), "name_v": name("v")})
+    shown = patterns.bridge_evidence(cut(best), nodes, parts)
+    return shown.select("u", "v", F.posexplode("evidence").alias("place", "item"), "n_assertions").select("u", "v", "place", F.col("item.assertion_node_id").cast("bigint").alias("k"), "n_assertions")
 
 
 # Contradictions
@@ -391,13 +562,65 @@ walk AS (SELECT cand AS i, cand AS j FROM c UNION SELECT w.i, l.j FROM walk w JO
 comp AS (SELECT i, min(j) AS component FROM walk GROUP BY i)
 SELECT (max_by(c.cand, (c.p, -c.cand)))::BIGINT AS cand, component AS first, count(*) AS members FROM c JOIN comp ON comp.i = c.cand GROUP BY component""")
 def _(spark, sf):
-    from pyspark.sql import Window
-
     # Candidates are numbered here for the comparison; there are at most as many as the pair limit.
     numbered = scored(spark, sf).select("a", "b", "p").withColumn("cand", F.row_number().over(Window.orderBy("a", "b")).cast("bigint"))
     return patterns.dedup_contradictions(numbered, assertions(spark, sf), least=0.32)
 
 
+_GROUPS = f"""{_SCORED},
+c AS (SELECT row_number() OVER (ORDER BY a, b) AS cand, a, b, p FROM cand),
+sim AS (SELECT x.id AS i, y.id AS j FROM v x JOIN v y ON list_cosine_similarity(x.e, y.e) > 0.32),
+link AS (SELECT DISTINCT x.cand AS i, y.cand AS j FROM c x JOIN sim ON sim.i IN (x.a, x.b) JOIN c y ON sim.j IN (y.a, y.b)),
+walk AS (SELECT cand AS i, cand AS j FROM c UNION SELECT w.i, l.j FROM walk w JOIN link l ON l.i = w.j),
+comp AS (SELECT i, min(j) AS component FROM walk GROUP BY i),
+kept AS (SELECT component, max_by(c.cand, (c.p, -c.cand)) AS keeper, count(*) AS members FROM c JOIN comp ON comp.i = c.cand GROUP BY component),
+member AS (SELECT c.cand, a, b, keeper, members FROM c JOIN comp ON comp.i = c.cand JOIN kept USING (component))"""
+
+
+def contradiction_members(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Contradictions of one item on each side, some without a url, and the groups that they are in."""
+    numbered = cut(scored(spark, sf).select("a", "b", "p").withColumn("cand", F.row_number().over(Window.orderBy("a", "b")).cast("bigint")))
+    url = lambda c: F.when(F.col(c) % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("u/"), (F.col(c) % 3).cast("string")))
+    item = lambda c: F.array(F.struct(F.col(c).cast("string"), F.lit("t"), F.lit("d"), url(c), F.lit(1), F.lit("supports")).cast(patterns.EVIDENCE))
+    found = numbered.select("cand", F.concat(F.lit("c"), F.col("cand").cast("string")).alias("id"), item("a").alias("evidence"), item("b").alias("counter_evidence"))
+    return found, patterns.contradiction_groups(numbered, assertions(spark, sf), least=0.32)
+
+
+@register("merged_evidence", f"""WITH RECURSIVE {_GROUPS},
+items AS (SELECT keeper, members, 'for' AS side, cand, a AS node, coalesce(nullif(trim(CASE WHEN a % 5 = 0 THEN ' ' ELSE 'u/' || (a % 3) END), ''), 'id:' || a) AS key FROM member
+  UNION ALL SELECT keeper, members, 'against', cand, b, coalesce(nullif(trim(CASE WHEN b % 5 = 0 THEN ' ' ELSE 'u/' || (b % 3) END), ''), 'id:' || b) FROM member),
+once AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY keeper, side, key ORDER BY cand) = 1)
+SELECT keeper::BIGINT AS cand, side, (row_number() OVER (PARTITION BY keeper, side ORDER BY cand) - 1)::INTEGER AS place, node::VARCHAR AS node, (members - 1)::INTEGER AS merged FROM once""")
+def _(spark, sf):
+    merged = patterns.merged_contradictions(*contradiction_members(spark, sf))
+    side = lambda name, c: merged.select("cand", F.lit(name).alias("side"), F.posexplode(c).alias("place", "item"), F.size("merged").alias("merged")).select("cand", "side", "place", F.col("item.assertion_node_id").alias("node"), "merged")
+    return side("for", "evidence").union(side("against", "counter_evidence"))
+
+
+@register("contradiction_dedup_stats", f"""WITH RECURSIVE {_GROUPS}
+SELECT count(*) AS before, count(*) FILTER (cand = keeper) AS after, count(*) FILTER (cand <> keeper) AS merged, count(*) FILTER (cand = keeper AND members > 1) AS groups FROM member""")
+def _(spark, sf):
+    return patterns.dedup_stats(contradiction_members(spark, sf)[1])
+
+
+@register("refined_contradictions", """WITH o AS (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'real' WHEN 1 THEN 'apparent' WHEN 2 THEN 'conditional' WHEN 4 THEN 'none' END AS kind FROM orders)
+SELECT k::VARCHAR AS id, 'm' || CASE WHEN kind IS NULL THEN '' WHEN kind = 'real' THEN ' Review (real): so ' || k ELSE ' Review: conditional.' END AS measured_pattern, CASE WHEN kind IS NULL THEN 1 ELSE 2 END AS spots,
+  CASE WHEN kind IS NULL THEN 'p=1' WHEN kind = 'real' THEN 'llm_contradiction_classification=real,llm_contradiction_reasoning=so ' || k || ',p=1'
+    ELSE 'conditions_for_claim_b=if ' || k || ',llm_contradiction_classification=conditional,llm_contradiction_reasoning=,p=1' END AS details FROM o WHERE kind IS NULL OR kind IN ('real', 'conditional')""")
+def _(spark, sf):
+    """Answers of all sorts: fenced, between words, dropped verdicts in either case, and unreadable ones."""
+    key = F.col("o_orderkey").cast("string")
+    forms = (
+        F.concat(F.lit('```json\n{"classification": "Real", "reasoning": " so '), key, F.lit('"}\n```')), F.lit('{"classification": "apparent"}'),
+        F.concat(F.lit('I say {"classification": "conditional", "conditions_for_claim_b": "if '), key, F.lit('"} here')), F.lit("no idea"), F.lit('{"classification": " NONE "}'), F.lit(None).cast("string"),
+    )
+    spot = F.array(patterns.blind_spot(F.lit("x"), F.lit("major")))
+    found = V.table(spark, sf, "orders").select(key.alias("id"), F.lit("m").alias("measured_pattern"), spot.alias("blind_spots"), F.create_map(F.lit("p"), F.lit("1")).alias("details"), F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("raw"))
+    refined = patterns.refine(found, extract.refinement(F.col("raw")))
+    entries = F.transform(F.sort_array(F.map_entries("details")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return refined.select("id", "measured_pattern", F.size("blind_spots").alias("spots"), F.array_join(entries, ",").alias("details"))
+
+
 # Gaps, drift, gate and reports
 
 
@@ -439,16 +662,90 @@ def _(spark, sf):
     return report.evidence_table(gap_patterns(spark, sf))
 
 
-@register("patterns_summary", f"WITH {_GATE} SELECT 'gap' AS pattern_type, status, confidence_level, count(*) AS n FROM gate GROUP BY 2, 3")
+@register("pattern_cards", f"""WITH {_GATE}
+SELECT id, status, concat_ws(chr(10), '### [Gap]: Gap: ' || id, '**Confidence:** ' || confidence_level, '**Withheld:** ' || withheld_reason,
+  '**Supporting evidence:**' || chr(10) || (SELECT string_agg('- [tier ' || source_tier || '] ' || substr('Recommends: ' || dst, 1, 200), chr(10) ORDER BY place) FROM shown WHERE dst = gate.id)) AS card FROM gate""")
 def _(spark, sf):
-    return report.patterns_summary(gap_patterns(spark, sf))
+    return report.cards(gap_patterns(spark, sf))
 
 
-@register("pattern_cards", f"""WITH {_GATE}
-SELECT id, status, concat_ws(chr(10), '### Gap: ' || id || ' (' || confidence_level || ')', (SELECT string_agg('- [tier ' || source_tier || '] ' || substr('Recommends: ' || dst, 1, 200), chr(10) ORDER BY place) FROM shown WHERE dst = gate.id),
-  'Withheld: ' || withheld_reason) AS card FROM gate""")
+def line_judged(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.verify(V.line_patterns(spark, sf), models.interpretation())
+
+
+@register("gate_of_all_types", f"WITH {V.LINE_PATTERNS} SELECT id, kind AS pattern_type, status, withheld_reason, confidence_level FROM gate")
 def _(spark, sf):
-    return report.cards(gap_patterns(spark, sf))
+    return line_judged(spark, sf).select("id", "pattern_type", "status", "withheld_reason", "confidence_level")
+
+
+@register("evidence_of_all_types", f"""WITH {V.LINE_PATTERNS}
+SELECT id, kind AS pattern_type, status, (row_number() OVER (PARTITION BY s.k ORDER BY against, place) - 1)::INTEGER AS place, node AS assertion_node_id, said AS assertion_text, doc AS source_document_id, url AS source_url, tier AS source_tier,
+  CASE WHEN against THEN 'counters' ELSE 'supports' END AS role FROM shown s JOIN gate ON gate.k = s.k""")
+def _(spark, sf):
+    return report.evidence_table(line_judged(spark, sf))
+
+
+_FILLED = """CASE kind WHEN 'bridge' THEN CASE WHEN k % 8 = 0 THEN '?' ELSE 'left' END || ' and right meet at ' || CASE WHEN k % 8 = 0 THEN 'Order ' || k ELSE 'left and right' END || '. measured ' || (k % 10)
+  WHEN 'contradiction' THEN chr(39) || coalesce(one_for, '{assertion_a}') || chr(39) || ' (' || coalesce(url_for, '{source_a}') || ') against ' || chr(39) || coalesce(one_against, two_for, '{assertion_b}') || chr(39) || ' (' || coalesce(url_against, url_two, '{source_b}') || ').'
+  WHEN 'drift' THEN 'Over 2001 to 2002, clusters changed: ' WHEN 'gap' THEN 'g' || k || ': recommended by ' || n || ' sources, carried out ? times.' END"""
+_CARDS = f"""{V.LINE_PATTERNS},
+sides AS (SELECT k, max(said) FILTER (NOT against AND nth = 1) AS one_for, max(coalesce(nullif(url, ''), 'unknown')) FILTER (NOT against AND nth = 1) AS url_for, max(said) FILTER (NOT against AND nth = 2) AS two_for,
+  max(coalesce(nullif(url, ''), 'unknown')) FILTER (NOT against AND nth = 2) AS url_two, max(said) FILTER (against AND nth = 1) AS one_against, max(coalesce(nullif(url, ''), 'unknown')) FILTER (against AND nth = 1) AS url_against,
+  string_agg('- [tier ' || tier || '] ' || said, chr(10) ORDER BY nth) FILTER (NOT against AND nth <= 5) AS list_for, string_agg('- [tier ' || tier || '] ' || said, chr(10) ORDER BY nth) FILTER (against AND nth <= 3) AS list_against
+  FROM (SELECT *, row_number() OVER (PARTITION BY k, against ORDER BY place) AS nth FROM shown) GROUP BY k),
+said AS (SELECT gate.*, list_for, list_against, {_FILLED} AS interpretation FROM gate LEFT JOIN sides USING (k))"""
+
+
+@register("cards_of_all_types", f"""WITH {_CARDS}
+SELECT id, status, concat_ws(chr(10), '### [' || upper(kind[1]) || kind[2:] || ']: Order ' || k, '**Confidence:** ' || confidence_level, '**Withheld:** ' || withheld_reason, '**Measured pattern:** measured ' || (k % 10),
+  '**Supporting evidence:**' || chr(10) || list_for, '**Counterevidence:**' || chr(10) || list_against, '**Interpretation:** ' || interpretation,
+  '**Blind spots:**' || chr(10) || '- [minor] ' || CASE WHEN k % 2 = 0 THEN 'spot ' || k ELSE 'No blind spots identified; default note added.' END) AS card FROM said""")
+def _(spark, sf):
+    return report.cards(line_judged(spark, sf))
+
+
+@register("patterns_summary", f"""WITH {_CARDS}
+SELECT id, kind AS pattern_type, 'Order ' || k AS title, status AS promotion_status, confidence_level AS confidence, n::INTEGER AS evidence_count, m::INTEGER AS counter_evidence_count, 'measured ' || (k % 10) AS measured_pattern, interpretation,
+  coalesce(withheld_reason, '') AS withheld_reason FROM said""")
+def _(spark, sf):
+    return report.patterns_summary(line_judged(spark, sf))
+
+
+@register("patterns_by_type", f"WITH {V.LINE_PATTERNS} SELECT kind AS pattern_type, status, confidence_level, count(*) AS n FROM gate GROUP BY 1, 2, 3")
+def _(spark, sf):
+    return report.patterns_by_type(line_judged(spark, sf))
+
+
+@register("result_stats", f"""WITH {V.LINE_PATTERNS}, {V.VEC_PAIRS.format(least=0.4)}, {V.VEC_EDGES}
+SELECT 'patterns_found' AS stat, count(*) FILTER (status = 'promoted') AS n FROM gate UNION ALL SELECT 'exploratory_leads', count(*) FILTER (status <> 'promoted') FROM gate
+UNION ALL SELECT 'high_confidence', count(*) FILTER (status = 'promoted' AND confidence_level = 'high') FROM gate UNION ALL SELECT 'documents_analyzed', count(*) FROM documents
+UNION ALL SELECT 'graph_nodes', count(*) FROM v UNION ALL SELECT 'graph_edges', count(*) FROM pairs""")
+def _(spark, sf):
+    return report.result_stats(line_judged(spark, sf), V.table(spark, sf, "documents"), *vec_graph(spark, sf, 0.4))
+
+
+@register("coverage", f"""WITH {V.SRC_DOCUMENTS}
+SELECT string_agg(DISTINCT source_family, ',' ORDER BY source_family) AS used, array_to_string(list_filter(['scholarly', 'code', 'web', 'social'], lambda f: NOT list_contains(list(DISTINCT source_family), f)), ',') AS missing, count(*) AS total,
+  concat_ws(',', {', '.join(f"CASE WHEN count(*) FILTER (source_tier = {t}) > 0 THEN '{t}:' || count(*) FILTER (source_tier = {t}) END" for t in range(1, 5))}) AS tiers FROM tiered WHERE source_family <> 'code'""")
+def _(spark, sf):
+    found = report.coverage(corpus.with_tiers(V.src_documents(spark, sf)).where("source_family <> 'code'"))
+    tiers = F.transform(F.sort_array(F.map_entries("documents_per_tier")), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
+    return found.select(F.array_join("families_used", ",").alias("used"), F.array_join("families_missing", ",").alias("missing"), F.col("total_documents").alias("total"), F.array_join(tiers, ",").alias("tiers"))
+
+
+@register("graph_links", f"""WITH {V.VEC_PAIRS.format(least=0.3)}, {V.VEC_EDGES},
+bundle AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min_by(edge_type, edge_ord) AS edge_type FROM edges GROUP BY 1, 2)
+SELECT a, b, edge_type, CASE WHEN (a + b) % 11 = 0 THEN '{C.LINK_COLOURS['contradiction']}' WHEN (a + b) % 7 = 0 THEN '{C.LINK_COLOURS['bridge']}' ELSE '{C.LINK_COLOURS['plain']}' END AS colour FROM bundle""")
+def _(spark, sf):
+    """Bridges and contradictions between some pairs, told in either direction."""
+    nodes, edges = vec_graph(spark, sf, 0.3)
+    pairs = cut(graph.bundles(edges))
+    item = lambda c: F.array(F.struct(F.col(c).cast("string"), F.lit("t"), F.lit("d"), F.lit("u"), F.lit(1), F.lit("supports")).cast(patterns.EVIDENCE))
+    name = lambda c: F.concat(F.lit("node "), F.col(c).cast("string"))
+    none = F.array().cast(f"array<{patterns.EVIDENCE}>")
+    bridges = pairs.where("(a + b) % 7 = 0").select(F.lit("bridge").alias("pattern_type"), none.alias("evidence"), none.alias("counter_evidence"), F.create_map(F.lit("bridge_node_u"), name("b"), F.lit("bridge_node_v"), name("a")).alias("details"))
+    against = pairs.where("(a + b) % 11 = 0").select(F.lit("contradiction").alias("pattern_type"), item("b").alias("evidence"), item("a").alias("counter_evidence"), F.create_map().cast("map<string,string>").alias("details"))
+    return report.graph_links(pairs, nodes, bridges.union(against))
 
 
 @register("drift_bins", """SELECT substr(o_orderdate::DATE::VARCHAR, 1, 4) AS bin, count(*) AS n, count(DISTINCT o_custkey % 50) AS clusters FROM orders GROUP BY 1""")
