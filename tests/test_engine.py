@@ -5,7 +5,12 @@ import os
 import random
 import subprocess
 import sys
+import threading
+import time
+import urllib.parse
+from collections import Counter
 from difflib import SequenceMatcher
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from itertools import combinations
 
 import numpy as np
@@ -13,9 +18,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from evigraph.functions import planning
+from evigraph.functions import packs, planning
 from evigraph.functions import text as T
-from evigraph.operators import community, components, corpus, extract, graph, patterns, report, vectors, verify
+from evigraph.operators import community, components, corpus, extract, fuzzy, graph, patterns, report, vectors, verify
 from evigraph.operators.components import connected_components
 from evigraph.plans.queries import ORACLES, QUERIES
 from evigraph.sources import connectors, schemas, stages
@@ -37,6 +42,44 @@ def test_same_key_keeps_the_richer(spark):
     assert got == {"doi:10.1/a": ("d2", 3), "doi:10.2/b": ("d3", 1)}
 
 
+@pytest.mark.parametrize("fold", [3, 7, 10_000])
+def test_fold_of_a_key_matches_a_replay(spark, monkeypatch, fold):
+    """Runs of ordinals that are folded apart keep what one fold over all rows keeps."""
+    monkeypatch.setattr(corpus, "FOLD", fold)
+    rng = random.Random(fold)
+    rows, want = [], {}
+    for i in range(240):
+        peer, family = rng.random() < 0.15, rng.choice(["scholarly", "web", "social"])
+        rows.append(doc(i, "t", "x" * rng.choice([0, 3, 3, 5, 8, 13, rng.randint(0, 40)]), f"10/{rng.randint(0, 5)}", family, peer))
+        tier = 1 if peer else {"scholarly": 2, "web": 3, "social": 4}[family]
+        key, new = "doi:" + rows[-1][4], (len(rows[-1][3]), tier, rows[-1][1])
+        kept = want.get(key)
+        if kept is None or new[0] > kept[0] or new[1] < kept[1]:
+            want[key] = new
+    got = {r.key: r.id for r in corpus.keyed_dedup(spark.createDataFrame(rows, DOC).repartition(4)).collect()}
+    assert got == {k: v[2] for k, v in want.items()}
+
+
+@pytest.mark.parametrize("ratio", [0.9, 0.75])
+def test_no_match_escapes_the_grams(spark, ratio):
+    rng = random.Random(int(ratio * 100))
+    texts = set()
+    for _ in range(60):
+        base = [rng.choice("abcdefgh ") for _ in range(rng.choice([2, 4, 7, 9, 12, 20, 45, 90]))]
+        for _ in range(5):
+            other = list(base)
+            for _ in range(rng.randint(0, max(1, int(len(base) * (1 - ratio) * 1.3)))):
+                at = rng.randrange(len(other) + 1)
+                other[at : at + rng.randint(0, 1)] = [rng.choice("abcdefgh ")] * rng.randint(0, 1)
+            texts.add("".join(other))
+    texts = sorted(t for t in texts if t)
+    frame = spark.createDataFrame([(t, len(t) % 2) for t in texts] + [("", 0)], "s string, k int").repartition(3)
+    got = {(r.x, r.y) for r in fuzzy.candidate_pairs(frame.select("s"), [], "s", ratio).collect()}
+    match = {(a, b) for a, b in combinations(texts, 2) if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) > ratio}
+    assert match and match <= got and len(got) < len(texts) * (len(texts) - 1) / 4
+    assert {(r.x, r.y) for r in fuzzy.candidate_pairs(frame, ["k"], "s", ratio).collect()} >= {(a, b) for a, b in match if len(a) % 2 == len(b) % 2}
+
+
 def replayed(rows):
     kept = []
     for keyed in (True, False):
@@ -85,6 +128,29 @@ def test_batches_respect_limits(spark):
     assert sorted((r.doc_ord, r.batch) for r in got) == [(0, 0), (1, 0), (2, 1), (3, 1)]
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 5])
+def test_batches_match_a_replay_over_blocks(spark, most):
+    rng = random.Random(most)
+    rows = [doc(i * rng.choice([1, 1, 3]) + 50 * i, "t", "x" * rng.choice([0, 10, 30, 60, 99, 130])) for i in range(90)]
+    want, batch, n, used = {}, -1, 0, 0
+    for r in sorted(rows):
+        size = len(r[3])
+        if not size:
+            continue
+        if batch < 0 or n >= most or used + size > 100:
+            batch, n, used = batch + 1, 0, 0
+        want[r[0]], n, used = batch, n + 1, used + size
+    for block in (most, 7, 1000):
+        got = {r.doc_ord: r.batch for r in corpus.batches(spark.createDataFrame(rows, DOC).repartition(5), most, 100, block).collect()}
+        assert got == want, block
+
+
+def test_batches_count_full_texts(spark):
+    frame = spark.createDataFrame([doc(i, "t", "x" * 40) for i in range(4)], DOC).withColumn("full_text", F.when(F.col("doc_ord") == 1, "y" * 70))
+    assert [r.batch for r in corpus.batches(frame, 3, 100).orderBy("doc_ord").collect()] == [0, 1, 2, 2]
+    assert corpus.batches(frame.limit(0)).count() == 0
+
+
 def test_seeds_and_unseen(spark):
     rows = spark.createDataFrame([doc(0, "a", cited=1), doc(1, "b", cited=5), doc(2, "c", cited=5)], DOC)
     assert [r.id for r in corpus.expansion_seeds(rows, 2).collect()] == ["d1", "d2"]
@@ -99,11 +165,24 @@ def test_failed_batches_give_nothing(spark):
     assert corpus.run_batches(spark.range(3), extract_all, "id long").count() == 0
 
 
-def test_plan_and_topics():
-    plan = planning.plan("A framework for the study of caching", "quick")
-    assert plan.max_documents == 50 and "github" in plan.connectors and plan.per_connector_limit == 10 and plan.expansion_budget == 20
+def test_plan_and_topics(spark):
+    plan = planning.plan(spark, "A framework for the study of caching", "quick")
+    assert plan.documents == 50 and "github" in plan.connectors and plan.per_connector_limit == 10 and plan.expansion_budget == 20
     assert plan.queries[0] == "A framework for the study of caching" and "framework study" in plan.queries and len(set(plan.queries)) == len(plan.queries) <= 10
-    assert planning.is_research_topic("Neural search") and not planning.is_research_topic("nlp")
+    wide = planning.plan(spark, "caching", focus="gaps", time_range="2019 - 2021")
+    assert list(wide.queries) == ["caching", "caching survey", "caching review", "caching benchmark evaluation"] and (wide.years.first, wide.years.last) == ("2019", "2021")
+    row = spark.range(1).select(planning.is_research(F.lit("Neural search")).alias("yes"), planning.is_research(F.lit("nlp")).alias("no")).first()
+    assert row.yes and not row.no
+    assert planning.connectors_for({}) == ("openalex", "semantic_scholar", "arxiv") and "github" in planning.connectors_for({"GITHUB_TOKEN": "t"})
+
+
+def test_packs(spark):
+    assert packs.resolve_pack(spark, " Technical ").domain == packs.resolve_pack(spark, "unknown").domain == packs.resolve_pack(spark).domain == "research"
+    names = {(r.kind, r.name): r.value for r in packs.PACKS["research"].schema(spark).collect()}
+    assert names["tier_rule", "forum_post"] == "4" and names["entity_type", "lab"] == "actor" and ("template", "gap") in names
+    frame = judged(spark, ("gap", [item("a")], [], 0.5)).withColumns({"measured_pattern": F.lit("m"), "details": F.create_map(F.lit("gap_node"), F.lit("n"), F.lit("execution_count"), F.lit("0"))})
+    said = frame.select(packs.PACKS["research"].interpret().alias("i"), packs.DomainPack("x", write=lambda t: F.upper(t)).interpret().alias("w"), packs.DomainPack("x", write=lambda t: F.lit(None).cast("string")).interpret().alias("f")).first()
+    assert said.i == said.f == "n: recommended by ? sources, carried out 0 times." and said.w == said.i.upper()
 
 
 # Text
@@ -191,6 +270,23 @@ def two_cliques():
     return [(a, b) for g in (range(4), range(4, 8)) for a, b in combinations(g, 2)] + [(3, 4)]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_labels_come_to_rest(spark, seed):
+    """No node would change, also where all of them changing at once goes back and forth."""
+    rng = random.Random(seed)
+    stars = [(0, i) for i in range(10, 14)] + [(1, i) for i in range(10, 14)]
+    edges = stars + [(rng.randint(20, 60), rng.randint(20, 60)) for _ in range(90)]
+    label = {r.id: r.community for r in community.label_communities(spark.createDataFrame(edges, "a long, b long")).collect()}
+    near = {}
+    for a, b in {tuple(sorted(e)) for e in edges if e[0] != e[1]}:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    assert label.keys() == near.keys()
+    for n, others in near.items():
+        counts = Counter(label[o] for o in others)
+        assert counts[label[n]] == max(counts.values())
+
+
 def test_louvain_and_labels_find_cliques(spark):
     pairs = spark.createDataFrame(two_cliques(), "a long, b long")
     for found in (community.communities(pairs), community.label_communities(pairs)):
@@ -264,6 +360,42 @@ def test_hub_cap_is_greedy(spark):
     assert sorted(r.u for r in got) == [0, 1, *range(5, 13)]
 
 
+def test_bridges_in_small_batches_are_those_of_one(spark):
+    rng = random.Random(4)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(3)]
+    rows = [(i, i + 500, f"n{rng.randint(0, 30)}", f"m{rng.randint(0, 30)}", vector(), vector(), rng.choice([0.1, 0.2, 0.3, 0.4])) for i in range(200)]
+    frame = spark.createDataFrame(rows, "u long, v long, name_u string, name_v string, embedding_u array<double>, embedding_v array<double>, score double")
+    key = lambda n: [(r.u, r.v) for r in patterns.capped_bridges(frame, at_once=n, top=12).collect()]
+    assert key(3) == key(50) == key(1000) and len(key(1000)) == 12
+
+
+def test_bridges_without_said_words_fall_back(spark):
+    """Assertions of no text give nothing for an endpoint, so both communities' are ranked by the mean of the endpoints."""
+    rows = [(1, "concept", "alpha one", "", [1.0, 0.0]), (2, "concept", "beta two", "", [0.0, 1.0])]
+    rows += [(10 + i, "assertion", "", "", v) for i, v in enumerate(([1.0, 1.0], [1.0, -1.0], None, [0.5, 0.6]))]
+    nodes = spark.createDataFrame([(i, i, k, n, d, v, "d", "u", 1) for i, k, n, d, v in rows], "id long, node_ord long, node_type string, name string, description string, embedding array<double>, source_document_id string, source_url string, source_tier int")
+    parts = spark.createDataFrame([(1, 1), (10, 1), (11, 1), (2, 2), (12, 2), (13, 2)], "id long, community long")
+    bridges = spark.createDataFrame([(1, 2, "alpha one", "beta two", 1, 2)], "u long, v long, name_u string, name_v string, community_u long, community_v long")
+    (row,) = patterns.bridge_evidence(bridges, nodes, parts).collect()
+    assert [e.assertion_node_id for e in row.evidence] == ["10", "13", "11", "12"] and row.n_assertions == 4
+    (lone,) = patterns.bridge_evidence(bridges, nodes, parts.where("id < 10")).collect()
+    assert lone.evidence == [] and lone.n_assertions == 0
+
+
+def test_edges_out_of_range_fail(spark):
+    edges = spark.createDataFrame([(0, 1, 1, "extends", 7)], "edge_ord long, src long, dst long, edge_type string, source_tier int")
+    with pytest.raises(Exception, match="source_tier out of range: 7"):
+        graph.valid_edges(edges, spark.range(3)).collect()
+
+
+def test_contraction_unites_properties(spark):
+    kind = "id long, node_ord long, node_type string, name string, description string, properties map<string,string>, embedding array<double>"
+    nodes = spark.createDataFrame([(1, 1, "concept", "a", "", {"x": "1", "y": "1"}, None), (2, 2, "concept", "b", "", {"y": "2"}, [1.0]), (3, 3, "concept", "c", "", None, [2.0])], kind)
+    edges = spark.createDataFrame([], "edge_ord long, src long, dst long, edge_type string")
+    merged, _ = graph.contract(nodes, edges, spark.createDataFrame([(2, 1)], "id long, leader long"))
+    assert {(r.id, tuple(sorted(r.properties.items())), tuple(r.embedding or ())) for r in merged.collect()} == {(1, (("x", "1"), ("y", "2")), (1.0,)), (3, (), (2.0,))}
+
+
 def test_transitions_and_evidence(spark):
     rows = [("2020", 0, 1), ("2020", 0, 2), ("2020", 1, 3), ("2021", -1, 4), ("2022", 0, 5)]
     frame = spark.createDataFrame(rows, "window string, label int, key long")
@@ -298,14 +430,18 @@ def test_gate(spark):
     assert report.evidence_table(frame).count() == sum(len(r.evidence) + len(r.counter_evidence) for r in frame.collect())
     text = report.markdown(frame, "Topic")
     assert text.startswith("# Topic") and "Withheld:" in text and "[tier 1]" in text
-    assert json.loads(report.run_summary("Topic", report.patterns_summary(frame), report.patterns_summary(frame), [("mine", "x" * 5000)]))["errors"][0]["message"] == "x" * 4000
+    found = json.loads(report.run_summary({"topic": "Topic", "patterns": report.patterns_by_type(frame)}, [("mine", "x" * 5000)]))
+    assert found["errors"][0]["message"] == "x" * 4000 and sum(r["n"] for r in found["patterns"]) == 9
+    promoted, exploratory = report.result_tables(frame)
+    assert promoted.count() == verify.split(frame)[0].count() == 4 and exploratory.count() == verify.split(frame)[1].count() == 5
 
 
 def test_graph_page(spark):
-    nodes = spark.createDataFrame([(1, 1, "</script>"), (2, 2, "b"), (3, 3, "c")], "id long, node_ord long, name string")
+    nodes = spark.createDataFrame([(1, 1, "</script>", 5), (2, 2, "b", 5), (3, 3, "c", 6)], "id long, node_ord long, name string, community long")
     pairs = spark.createDataFrame([(1, 2, "extends"), (2, 3, "extends")], "a long, b long, edge_type string")
-    page = report.graph_html(nodes, pairs, most_nodes=2)
-    assert page.count("extends") == 1 and "</script></script>" not in page
+    frame = judged(spark, ("contradiction", [item("2")], [item("1")], 0.8)).withColumn("details", F.create_map().cast("map<string,string>"))
+    page = report.graph_html(nodes, report.graph_links(pairs, nodes, frame), most_nodes=2)
+    assert page.count("extends") == 1 and "</script></script>" not in page and page.count("#E24B4A") == 1 and '"community": "5"' in page
 
 
 # Extraction and sources
@@ -326,12 +462,26 @@ def test_answers_become_a_graph(spark):
     assert nodes.where("doc_ord = 2").count() == 0
 
 
+def test_payloads(spark):
+    raws = ['[{"a": 1}, 3, {"b": 2}]', '```json\n[{"a": 1}]\n```', 'So: [{"a": 1}] done', '{"a": 1}', "[1, 2]", "none", "", None]
+    got = [r.payload for r in extract.with_payload(spark.createDataFrame(list(enumerate(raws)), "i int, raw string")).orderBy("i").collect()]
+    assert [x and [json.loads(y) for y in x] for x in got] == [[{"a": 1}, {"b": 2}], [{"a": 1}], [{"a": 1}], [{"a": 1}], [], None, None, None]
+
+
+def test_only_concepts_and_artifacts_are_recommended(spark):
+    answer = {"assertions": [{"text": "Future work on deep nets by Jane Doe"}], "entities": [{"name": "Jane Doe", "entity_type": "author"}, {"name": " deep nets ", "entity_type": "method"}]}
+    found = extract.parsed(spark.createDataFrame([(1, "t", "a", json.dumps(answer))], "doc_ord long, title string, abstract string, raw string"))
+    nodes = extract.nodes_of(found)
+    names = {r.id: r.name for r in nodes.collect()}
+    assert [names[r.dst] for r in extract.future_work(nodes).collect()] == ["deep nets"]
+
+
 def parsed_rows(spark, schema, *rows):
     return spark.createDataFrame([(json.dumps(r),) for r in rows], "j string").select(F.from_json("j", schema).alias("r")).select("r.*")
 
 
 def test_service_rows_become_documents(spark):
-    work = {"id": "https://openalex.org/W1", "title": "T", "abstract_inverted_index": {"world": [1], "hello": [0]}, "cited_by_count": 3, "authorships": [{"author": {"display_name": f"n{i}"}} for i in range(12)], "doi": "10.1/x", "primary_location": {"source": {"type": "journal"}}, "concepts": [{"display_name": str(i)} for i in range(7)]}
+    work = {"id": "https://openalex.org/W1", "title": "T", "abstract_inverted_index": {"world": [1], "hello": [0]}, "cited_by_count": 3, "authorships": [{"author": {"display_name": f"n{i}"}} for i in range(12)], "doi": "10.1/x", "type": "journal-article", "concepts": [{"display_name": str(i)} for i in range(7)]}
     row = connectors.parse_openalex(parsed_rows(spark, schemas.OPENALEX, work, {"id": "https://openalex.org/W2", "title": ""})).collect()
     assert len(row) == 1 and (row[0].source_id, row[0].abstract, row[0].source_tier, len(row[0].authors), len(row[0].concepts), row[0].source_url) == ("W1", "hello world", 1, 10, 5, "https://doi.org/10.1/x")
     paper = {"paperId": "p", "title": "T", "tldr": {"text": "short"}, "externalIds": {"DOI": "10.1/y"}, "embedding": {"vector": [0.5]}, "year": 2020}
@@ -363,11 +513,62 @@ def test_retry_gives_up_after_three():
     assert len(calls) == 3
 
 
-def test_search_source_reads_files(spark, tmp_path):
-    (tmp_path / "q1.json").write_text('{"a": 1}')
-    spark.dataSource.register(connectors.SearchSource)
-    frame = spark.read.format("evigraph-search").options(urls=json.dumps({"openalex": f"file://{tmp_path}/{{query}}.json?x={{limit}}".replace("?x={limit}", "")}), queries=json.dumps(["q1"])).load()
-    assert frame.collect() == [("openalex", "q1", '{"a": 1}')]
+class Service(BaseHTTPRequestHandler):
+    """Answers as the services do, one busy at first and one that says no."""
+
+    seen: list = []
+
+    def do_GET(self):
+        url = urllib.parse.urlparse(self.path)
+        asked = dict(urllib.parse.parse_qsl(url.query))
+        body = self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode()
+        Service.seen.append((self.command, url.path, asked, body, time.monotonic(), self.headers.get("Authorization")))
+        paper = {"paperId": "p", "title": "Paper"}
+        answers = {
+            "/oa/works": {"results": [{"id": "https://openalex.org/W1", "title": "Work", "type": "preprint"}, {"id": "https://openalex.org/W2", "title": ""}]}, "/oa/works/W3": {"id": "https://openalex.org/W3", "title": "One"},
+            "/s2/paper/search": {"data": [paper]}, "/s2/paper/p/citations": {"data": [{"citingPaper": paper}, {"citingPaper": {"paperId": "q", "title": None}}]}, "/s2/paper/batch": [paper, None], "/s2/paper/p": paper,
+            "/gh/search/repositories": {"items": [{"full_name": "o/r", "html_url": "h", "owner": {"login": "o"}}]}, "/web/search": {"results": [{"url": "http://w", "title": "Web", "content": "c"}]},
+        }
+        feed = "<feed><entry><id>http://x/abs/1</id><title>Pre</title><summary>s</summary><published>2020-01-01T</published></entry></feed>"
+        busy = url.path == "/s2/paper/search" and sum(x[1] == url.path for x in Service.seen) == 1
+        code = 503 if busy else 200 if url.path in answers or url.path == "/ar/query" else 404
+        self.send_response(code)
+        self.end_headers()
+        self.wfile.write((feed if url.path == "/ar/query" else json.dumps(answers.get(url.path, {}))).encode())
+
+    do_POST = do_GET
+
+    def log_message(self, *args):
+        pass
+
+
+def test_services_are_asked(spark):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = {c: f"http://127.0.0.1:{server.server_port}/{p}" for c, p in (("openalex", "oa"), ("semantic_scholar", "s2"), ("arxiv", "ar"), ("github", "gh"), ("web_search", "web"))}
+    R = connectors.Request
+    asked = [R("openalex", "search", "a b", 99, ("2019", "2021")), R("openalex", "expand", "W1", 5), R("openalex", "get", "W3"), R("openalex", "get", "none"), R("semantic_scholar", "search", "q"), R("semantic_scholar", "expand", "p"), R("semantic_scholar", "get", "p")]
+    asked += [*connectors.batches_of_ids([f"i{i}" for i in range(501)]), R("arxiv", "search", "x"), R("arxiv", "get", "1"), R("arxiv", "expand", "1"), R("github", "search", "x"), R("github", "get", "no/such"), R("web_search", "search", "w"), R("web_search", "get", "w")]
+    keys = {"GITHUB_TOKEN": "g", "TAVILY_API_KEY": "t"}
+    # An answer that is asked for twice would be counted twice.
+    answers = spark.createDataFrame(connectors.ask(spark, asked, keys, base=base, pauses={"arxiv": 0.5}, wait=0).collect(), "connector string, kind string, value string, body string")
+    server.shutdown()
+    found = Counter((r.connector, r.title) for r in connectors.documents_of(answers).collect())
+    assert found == {("openalex", "Work"): 2, ("openalex", "One"): 1, ("semantic_scholar", "Paper"): 5, ("arxiv", "Pre"): 2, ("github", "o/r"): 1, ("web_search", "Web"): 1}
+    calls = {(m, p): (q, b, a) for m, p, q, b, _, a in Service.seen}
+    assert any(q == {"search": "a b", "per_page": "50", "filter": "publication_year:2019-2021"} for _, _, q, *_ in Service.seen) and any(q.get("filter") == "cites:W1" for _, _, q, *_ in Service.seen)
+    assert sorted(len(json.loads(b)["ids"]) for m, p, _, b, *_ in Service.seen if p == "/s2/paper/batch") == [1, 500]
+    assert json.loads(calls["POST", "/web/search"][1])["query"] == "w" and calls["GET", "/gh/search/repositories"][2] == "Bearer g"
+    # One no is enough; a busy service is asked again; pauses hold though there are several tasks.
+    assert sum(p == "/oa/works/none" for _, p, *_ in Service.seen) == 1 and sum(p == "/s2/paper/search" for _, p, *_ in Service.seen) == 2
+    first, second = sorted(t for _, p, _, _, t, _ in Service.seen if p == "/ar/query")
+    assert second - first >= 0.45
+    assert connectors.Request("web_search", "search", "w").parts({}, {}) is None and connectors.Request("github", "expand", "w").parts({}, {}) is None
+
+
+def test_keys():
+    keys = connectors.keys_from(["# no", "A = 'x' ", "B=\"y\"", "broken", "C=1", ""], {"C": "kept"})
+    assert keys == {"A": "x", "B": "y", "C": "kept"} and connectors.missing_keys(keys, ("A", "Z")) == ["Z"]
 
 
 def test_stages_resume_all_or_nothing(spark, tmp_path):
@@ -401,14 +602,14 @@ def test_streams_equal_batches(spark, tmp_path):
 # Contract
 
 
-@pytest.mark.parametrize("name", ["corpus_stats", "dedup_key_fold", "similarity_pairs", "verify_gate"])
+@pytest.mark.parametrize("name", ["corpus_stats", "dedup_key_fold", "similarity_pairs", "verify_gate", "extract_edges", "cards_of_all_types", "bridge_evidence", "merged_evidence", "source_plans"])
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
     if not os.path.isdir(folder):
         pytest.skip("no test data")
     con = duckdb.connect()
-    for t in ("documents", "labels", "events", "embeddings"):
+    for t in ("documents", "labels", "events", "embeddings", "lineitem"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     frame = QUERIES[name](spark, folder)
     columns = sorted(frame.columns)
