@@ -194,6 +194,14 @@ def _(spark, sf):
     return whole.select("conv_id", T.message_text(F.col("blocks")).alias("said"))
 
 
+@register("template_values", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' ELSE lang END AS plain, to_json([doc_id, n_chars])::VARCHAR AS listed, to_json({'source': source, 'n': doc_id % 5})::VARCHAR AS nested FROM documents""")
+def _(spark, sf):
+    docs = V.table(spark, sf, "documents")
+    value = {"plain": F.when(F.col("doc_id") % 3 != 0, F.col("lang")), "listed": F.array("doc_id", "n_chars"), "nested": F.struct("source", (F.col("doc_id") % 5).alias("n"))}
+    kinds = dict(docs.select(*(c.alias(k) for k, c in value.items())).dtypes)
+    return docs.select("doc_id", *(T.stringified(c, kinds[k]).alias(k) for k, c in value.items()))
+
+
 # Plans and domains
 
 
