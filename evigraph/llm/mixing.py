@@ -146,7 +146,8 @@ ADDED = ("size", "source_size", "target", "copies")
 
 def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, block: int) -> DataFrame:
     """(row, size, source_size, target, copies) for each row of ``docs``; row is a struct of its columns."""
-    base = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=size_of(F.col("text")), digest=F.xxhash64("text"))
+    base = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=size_of(F.col("text")))
+    text = F.col("row").getField(next(c for c in docs.columns if c.lower() == "text"))
     shares = allot(base.select("doc_id", "source", "size"), weights, most, block)
     shares = shares.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "n", "source_size", "target", F.col("copies").alias("all"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
@@ -154,7 +155,7 @@ def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, block: int) ->
     columns = ["row", *ADDED]
     single = met.where("n = 1").withColumn("copies", F.col("all"))
     # Repeated rows: the first of them, in the order of their texts' hashes, take one copy more than the rest.
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("digest"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64(text)))
     repeated = met.where("n > 1").withColumn("copies", F.floor(F.col("all") / F.col("n")) + F.when(place <= F.col("all") % F.col("n"), 1).otherwise(0))
     return single.select(*columns).unionByName(repeated.select(*columns))
 
