@@ -24,6 +24,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -86,14 +87,24 @@ class Vocabulary:
 
 @dataclass
 class Model:
-    """The fitted network: ``products`` has, for a table row, its product with every filter's every slot; a last row is zero."""
+    """The fitted network: a table of embeddings, its last row zero, the filters of each width, and the logistic layer."""
 
-    products: np.ndarray
+    table: np.ndarray
+    filters: list[np.ndarray]
     bias: np.ndarray
     out: np.ndarray
     out_bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
 
+    @cached_property
+    def products(self) -> np.ndarray:
+        """For a table row, its product with every filter's every slot."""
+        return np.concatenate([self.table @ slot for width in self.filters for slot in width], axis=1)
+
+    def __getstate__(self) -> dict:
+        # The products are a dozen times the rest, and soon worked out again.
+        return {k: v for k, v in self.__dict__.items() if k != "products"}
+
     def scorer(self, block: int = 20_000) -> Callable[[list[str | None]], np.ndarray]:
         """A function from texts to scores that remembers the products of words; works in blocks of about ``block`` words."""
         vocabulary, table_ = Vocabulary(), np.zeros((0, self.products.shape[1]), np.float32)
@@ -208,8 +219,7 @@ def fit(texts: list[np.ndarray], pieces: np.ndarray, labels: np.ndarray, visits:
                 m[where] = 0.9 * m[where] + 0.1 * g
                 v[where] = 0.999 * v[where] + 0.001 * g * g
                 p[where] -= pace * m[where] / (np.sqrt(v[where]) + 1e-7)
-    products = np.concatenate([table_ @ filters[w][s] for w, width in enumerate(WIDTHS) for s in range(width)], axis=1)
-    return Model(products, bias, out, float(out_bias[0]))
+    return Model(table_, filters, bias, out, float(out_bias[0]))
 
 
 def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str], least: int = 5) -> dict[str, float]:
@@ -279,8 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     found = cut(sample_of(docs, labels, most)).coalesce(1).mapInArrow(run, "model binary").collect()
     if found:
         return pickle.loads(found[0].model)
-    columns = FILTERS * sum(WIDTHS)
-    return Model(np.zeros((BUCKETS + 1, columns), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0)
+    none = np.zeros(FILTERS * len(WIDTHS), np.float32)
+    return Model(np.zeros((BUCKETS + 1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], none, none, 0.0)
 
 
 def _scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
