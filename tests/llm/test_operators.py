@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with awkward rows."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -341,7 +342,7 @@ def test_scores_match_a_plain_forward_pass():
     table_[toxicity.BUCKETS] = 0
     filters = [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
     bias, out = (rng.normal(size=toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32) for _ in range(2))
-    model = toxicity.Model(np.concatenate([table_ @ f[s] for f in filters for s in range(len(f))], axis=1), bias, out, 0.25)
+    model = pickle.loads(pickle.dumps(toxicity.Model(table_, filters, bias, out, 0.25)))
     texts = ["", None, "One", "two words", "Épée and a longer line of words, with More words " * 5]
     for text, got in zip(texts, model.scorer(block=3)(texts)):
         vectors = [table_[toxicity.pieces_of(w)].mean(axis=0) for w in toxicity.words_of(text)]
