@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,26 +121,46 @@ def rebuilt_abstract(index: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spots), lambda s: s["word"]), " ")
 
 
+def _letter_counts(strings: list[str], classes: int = 64) -> np.ndarray:
+    """How often each class of letters is in each string."""
+    return np.array([np.bincount(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) % classes, minlength=classes) for s in strings], np.int32).reshape(-1, classes)
+
+
+def likely_matches(new: list[str], existing: list[str], least: float, at_once: int = 20_000) -> np.ndarray:
+    """Which pairs share enough letters, in whatever order, for their ratio to pass ``least``; none that does is left out."""
+    number: dict[str, int] = {}
+    left, right = (np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(strings)) for strings in (new, existing))
+    counts = _letter_counts(list(number))
+    sizes = counts.sum(axis=1)
+    out = np.zeros(len(left), bool)
+    for at in range(0, len(left), at_once):
+        x, y = left[at : at + at_once], right[at : at + at_once]
+        out[at : at + at_once] = 2 * np.minimum(counts[x], counts[y]).sum(axis=1) > least * (sizes[x] + sizes[y]) - 1e-9
+    return out
+
+
 def match_above(new: Column, existing: Column, least: float) -> Column:
     """The Ratcliff-Obershelp ratio where it passes ``least``, else 0; not symmetric, the new string comes first.
 
-    Cheap upper bounds, by length and by letters, come before the ratio itself."""
+    An upper bound by letters, for all pairs at once, comes before the ratio itself."""
 
     @F.pandas_udf(DoubleType())
     def ratio(new: pd.Series, existing: pd.Series) -> pd.Series:
-        matcher, last, out = SequenceMatcher(), None, []
-        for a, b in zip(new, existing):
-            if a is None or b is None:
-                out.append(0.0)
-                continue
-            if b != last:
-                matcher.set_seq2(b)
-                last = b
-            matcher.set_seq1(a)
-            likely = matcher.real_quick_ratio() > least and matcher.quick_ratio() > least
-            found = matcher.ratio() if likely else 0.0
-            out.append(found if found > least else 0.0)
-        return pd.Series(out, dtype="float64")
+        out = np.zeros(len(new))
+        both = np.flatnonzero((new.notna() & existing.notna()).to_numpy())
+        a, b = new.iloc[both].tolist(), existing.iloc[both].tolist()
+        likely = np.flatnonzero(likely_matches(a, b, least))
+        matcher, last = SequenceMatcher(), None
+        # The second string is the one that a matcher prepares.
+        for i in sorted(likely.tolist(), key=lambda i: b[i]):
+            if b[i] != last:
+                matcher.set_seq2(b[i])
+                last = b[i]
+            matcher.set_seq1(a[i])
+            found = matcher.ratio()
+            if found > least:
+                out[both[i]] = found
+        return pd.Series(out)
 
     return ratio(new, existing)
 
