@@ -100,7 +100,7 @@ BASE = {
 PAGE = {"openalex": 50, "semantic_scholar": 100, "arxiv": 50, "github": 30, "web_search": 20}
 MOST_IDS = 500
 # Fields asked of papers, and of those that cite one.
-FIELDS = "title,abstract,year,citationCount,influentialCitationCount,authors,externalIds,publicationDate,tldr,embedding"
+FIELDS = "title,abstract,year,citationCount,influentialCitationCount,tldr,authors,externalIds,publicationDate,embedding.specter_v2"
 CITING_FIELDS = "title,abstract,year,citationCount,authors,externalIds,publicationDate"
 # Seconds between requests to one service; first and longest wait before it is asked again.
 PAUSES = {"arxiv": 3.0}
