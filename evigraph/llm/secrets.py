@@ -16,8 +16,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from re import _constants as op
-from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,36 +51,133 @@ RULES = (
 MOST_STRINGS = 64
 
 
+#: Escapes that stand for one character; those that stand for a place between two.
+ESCAPES, EDGES = {"t": "\t", "n": "\n", "r": "\r", "f": "\f", "v": "\v"}, "bBAzZ"
+
+
+class Pattern:
+    """A regex as a tree: a sequence is a list of nodes, which are
+
+    ("one", characters it may be, lower-cased, or None), ("edge",), ("group", sequences to choose from) and ("repeat", node, least, most or None)."""
+
+    def __init__(self, regex: str) -> None:
+        self.regex, self.at = regex, 0
+        self.tree = self._choice()
+        if self.at < len(regex):
+            raise ValueError(f"unbalanced regex: {regex}")
+
+    def _next(self) -> str:
+        return self.regex[self.at : self.at + 1]
+
+    def _take(self) -> str:
+        self.at += 1
+        return self.regex[self.at - 1 : self.at]
+
+    def _choice(self) -> tuple:
+        choices = [self._sequence()]
+        while self._next() == "|":
+            self._take()
+            choices.append(self._sequence())
+        return "group", choices
+
+    def _sequence(self) -> list[tuple]:
+        nodes = []
+        while self._next() and self._next() not in "|)":
+            nodes.append(self._repeated(self._node()))
+        return nodes
+
+    def _node(self) -> tuple:
+        c = self._take()
+        if c == "(":
+            if self._next() == "?":
+                if self.regex[self.at : self.at + 2] != "?:":
+                    raise ValueError(f"not understood at {self.at}: {self.regex}")
+                self.at += 2
+            node = self._choice()
+            if self._take() != ")":
+                raise ValueError(f"unbalanced regex: {self.regex}")
+            return node
+        if c == "[":
+            return self._class()
+        if c == "\\":
+            return self._escape()
+        if c in "^$":
+            return ("edge",)
+        return "one", None if c == "." else frozenset(c.lower())
+
+    def _escape(self) -> tuple:
+        c = self._take()
+        if c == "x":
+            self.at += 2
+            return "one", frozenset(chr(int(self.regex[self.at - 2 : self.at], 16)).lower())
+        if c in EDGES:
+            return ("edge",)
+        return "one", frozenset(ESCAPES[c]) if c in ESCAPES else None if c.isalnum() else frozenset(c)
+
+    def _class(self) -> tuple:
+        """Characters in brackets; of ranges and classes, and of all but some, there are too many to write out."""
+        found, many = set(), self._next() == "^"
+        self.at += many
+        first = True
+        while first or self._next() != "]":
+            c = self._take()
+            if not c:
+                raise ValueError(f"unbalanced regex: {self.regex}")
+            one = self._escape()[1] if c == "\\" else frozenset(c.lower())
+            if self._next() == "-" and self.regex[self.at + 1 : self.at + 2] not in ("]", ""):
+                self.at += 1
+                if self._take() == "\\":
+                    self._escape()
+                many = True
+            many, first = many or one is None, False
+            found |= one or frozenset()
+        self._take()
+        return "one", None if many else frozenset(found)
+
+    def _repeated(self, node: tuple) -> tuple:
+        while True:
+            c = self._next()
+            count = re.match(r"\{(\d+)(,?)(\d*)\}", self.regex[self.at :])
+            if c and c in "?*+":
+                self.at += 1
+                least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
+            elif count:
+                self.at += count.end()
+                least = int(count[1])
+                most = int(count[3]) if count[3] else None if count[2] else least
+            else:
+                return node
+            # A mark that makes the repeat lazy changes which match is taken, not what is in it.
+            if self._next() == "?":
+                self._take()
+            node = "repeat", node, least, most
+
+
 def _strings(node: tuple) -> list[str] | None:
-    """All lower-cased strings that a regex node can spell, or None if there are too many."""
-    kind, value = node
-    if kind is op.LITERAL:
-        return [chr(value).lower()]
-    if kind is op.IN:
-        if any(k is not op.LITERAL for k, _ in value):
-            return None
-        return sorted({chr(v).lower() for _, v in value})
-    if kind is op.SUBPATTERN:
-        return _spelled(value[3])
-    if kind is op.BRANCH:
-        each = [_spelled(branch) for branch in value[1]]
+    """All lower-cased strings that a node can spell, or None if there are too many."""
+    kind, *value = node
+    if kind == "edge":
+        return [""]
+    if kind == "one":
+        return None if value[0] is None else sorted(value[0])
+    if kind == "group":
+        each = [_spelled(sequence) for sequence in value[0]]
         return None if any(e is None for e in each) else sorted({s for e in each for s in e})
-    if kind is op.MAX_REPEAT and value[1] is not op.MAXREPEAT and value[1] <= 5:
-        one = _spelled(value[2])
-        if one is None:
+    inner, least, most = value
+    one = _spelled([inner]) if most is not None and most <= 5 else None
+    if one is None:
+        return None
+    found, run = set(), {""}
+    for times in range(most + 1):
+        if times >= least:
+            found |= run
+        run = {a + b for a in run for b in one}
+        if len(found | run) > MOST_STRINGS:
             return None
-        found, run = set(), {""}
-        for times in range(value[1] + 1):
-            if times >= value[0]:
-                found |= run
-            run = {a + b for a in run for b in one}
-            if len(found | run) > MOST_STRINGS:
-                return None
-        return sorted(found)
-    return None
-
-
-def _spelled(sequence) -> list[str] | None:
+    return sorted(found)
+
+
+def _spelled(sequence: list[tuple]) -> list[str] | None:
     found = [""]
     for node in sequence:
         more = _strings(node)
@@ -110,7 +205,7 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
         if best is None or min(map(len, smallest)) > min(map(len, best)):
             best = smallest
 
-    def walk(sequence) -> None:
+    def walk(sequence: list[tuple]) -> None:
         nonlocal run
         for node in sequence:
             more = _strings(node)
@@ -121,14 +216,14 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
             run = [""]
             if more is not None:
                 run = more
-            elif node[0] is op.SUBPATTERN:
-                walk(node[1][3])
-            elif node[0] is op.MAX_REPEAT and node[1][0] >= 1:
-                walk(node[1][2])
+            elif node[0] == "group" and len(node[1]) == 1:
+                walk(node[1][0])
+            elif node[0] == "repeat" and node[2] >= 1:
+                walk([node[1]])
                 close()
                 run = [""]
 
-    walk(parser.parse(regex))
+    walk([Pattern(regex).tree])
     close()
     return None if best is None else sorted(best, key=sorted)
 

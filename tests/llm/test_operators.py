@@ -299,10 +299,35 @@ def test_many_candidates_are_joined(spark, monkeypatch):
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{32,}") is None
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
+    assert secrets.trigram_query("(?:ab|[cd])e{2}?f\\.x+[^a]yz") == [frozenset({"abe", "bee", "eef", "ef."}), frozenset({"cee", "eef", "ef."}), frozenset({"dee", "eef", "ef."})]
+    assert secrets.trigram_query("x+[^a]yz\\x20W") == [frozenset({"yz ", "z w"})]
+    assert secrets.trigram_query("^a.(foo(bar)?)+") == [frozenset({"foo"})] and secrets.trigram_query("abc|d") is None and secrets.trigram_query("[a\\]]bc") == [frozenset({"]bc"}), frozenset({"abc"})]
+    for bad in ("(a", "a)", "(?=a)", "[a"):
+        with pytest.raises(ValueError):
+            secrets.trigram_query(bad)
     by_rule = secrets.trigram_query(secrets.RULES[0].regex)
     assert frozenset({"tok", "oke", "ken"}) in by_rule and frozenset({"api", "pik", "ike", "key"}) in by_rule
 
 
+def test_every_match_holds_a_clause_of_its_query():
+    """Strings drawn from the rules' regexes hold all trigrams of one of the sets that their rule asks for."""
+    rng = random.Random(2)
+
+    def draw(node):
+        kind, *value = node
+        if kind == "one":
+            return rng.choice(sorted(value[0])) if value[0] else rng.choice("Aa0zK9f")
+        if kind == "group":
+            return "".join(map(draw, rng.choice(value[0])))
+        return "" if kind == "edge" else "".join(draw(value[0]) for _ in range(rng.randint(value[1], value[2] if value[2] is not None else value[1] + 3)))
+
+    for rule in secrets.RULES:
+        query = secrets.trigram_query(rule.regex)
+        for _ in range(200):
+            text = draw(secrets.Pattern(rule.regex).tree).lower()
+            assert query is None or any(clause <= secrets.trigrams(text) for clause in query), (rule.kind, text)
+
+
 def test_secrets_of_awkward_rows(awkward, empty):
     assert secrets.scan(empty).count() == 0
     assert secrets.scan(awkward).count() == 6
