@@ -454,7 +454,20 @@ def _(spark, sf):
     return community.communities(vectors.similar_pairs(V.vec_nodes(spark, sf), 0.3))
 
 
-@register("label_communities")
+def _label_rounds(most: int = 60, together: int = 3) -> str:
+    """Label propagation, round by round; rounds after the last change change nothing."""
+    out = ["link AS MATERIALIZED (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs)", "l0 AS MATERIALIZED (SELECT DISTINCT x AS id, x AS community FROM link)"]
+    for t in range(most):
+        one = f" WHERE NOT EXISTS (SELECT 1 FROM link JOIN w{t} o ON o.id = y WHERE x = w{t}.id AND (o.place, o.id) < (w{t}.place, w{t}.id))" if t >= together else ""
+        out += [
+            f"s{t} AS MATERIALIZED (SELECT x, community AS c, count(*) AS n FROM link JOIN l{t} ON id = y GROUP BY 1, 2)",
+            f"w{t} AS MATERIALIZED (SELECT l.id, best, (l.id * 7919 + {t * 104_729} + (l.id % 101) * {t}) % 1000003 AS place FROM l{t} l JOIN (SELECT x, max_by(c, (n, -c)) AS best, max(n) AS most FROM s{t} GROUP BY x) b ON b.x = l.id LEFT JOIN s{t} s ON s.x = l.id AND s.c = l.community WHERE most > coalesce(s.n, 0))",
+            f"l{t + 1} AS MATERIALIZED (SELECT l.id, coalesce(m.best, l.community) AS community FROM l{t} l LEFT JOIN (SELECT * FROM w{t}{one}) m ON m.id = l.id)",
+        ]
+    return ",\n".join(out)
+
+
+@register("label_communities", f"WITH {V.VEC_PAIRS.format(least=0.3)}, {_label_rounds()} SELECT id, community FROM l60")
 def _(spark, sf):
     return community.label_communities(vectors.similar_pairs(V.vec_nodes(spark, sf), 0.3))
 
