@@ -18,10 +18,10 @@ table gives an empty result; extra columns pass through ``fingerprint_texts`` un
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,23 +143,20 @@ def range_bounds(keyed: DataFrame, per_range: int = RANGE_CHARS, most: int = MOS
     return key[order][at], hash_[order][at]
 
 
-def range_of(docs: DataFrame, bounds: tuple[np.ndarray, np.ndarray]) -> Column:
-    """The number of a row's range, by its key and hash; the highest keys are in range 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(bounds)
+def range_of(bounds: tuple[np.ndarray, np.ndarray]) -> Column:
+    """The number of a row's range, by its key and hash; the highest keys are in range 0.  A binary search among the bounds."""
+    many = len(bounds[0])
+    listed = F.from_json(F.lit(json.dumps([{"k": k, "h": h} for k, h in zip(bounds[0].tolist(), bounds[1].tolist())])), "array<struct<k:bigint,h:bigint>>")
 
-    @F.pandas_udf("int")
-    def number(key: pd.Series, hash_: pd.Series) -> pd.Series:
-        keys, hashes = sent.value
-        own, beside = key.to_numpy(np.int64), hash_.to_numpy(np.int64)
-        low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-        # Bounds inside a key that repeats are told by the hash.
-        for k in np.unique(own[low < high]).tolist():
-            mine = np.flatnonzero(own == k)
-            a, b = low[mine[0]], high[mine[0]]
-            low[mine] = a + np.searchsorted(hashes[a:b], beside[mine], "left")
-        return pd.Series(len(keys) - low).astype("int32")
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        bound = F.try_element_at(listed, middle + 1)
+        under = (bound["k"] < F.col("key")) | ((bound["k"] == F.col("key")) & (bound["h"] < F.col("hash")))
+        low = F.when(under, middle + 1).otherwise(state["low"])
+        return F.when(state["low"] < state["high"], F.struct(low.alias("low"), F.when(under, state["high"]).otherwise(middle).alias("high"))).otherwise(state)
 
-    return number(F.col("key"), F.col("hash"))
+    whole = F.struct(F.lit(0).alias("low"), F.lit(many).alias("high"))
+    return (F.lit(many) - F.aggregate(F.sequence(F.lit(1), F.lit(many.bit_length() + 1)), whole, halve)["low"]).cast("int")
 
 
 def with_next(docs: DataFrame, per_range: int = RANGE_CHARS) -> DataFrame:
@@ -167,7 +164,7 @@ def with_next(docs: DataFrame, per_range: int = RANGE_CHARS) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_KEY)).alias("key"), F.xxhash64(text).alias("hash"), "doc_id", text.alias("text"))
     bounds = range_bounds(keyed.select("key", "hash", F.length("text").cast("bigint").alias("chars")), per_range)
-    part = range_of(docs, bounds)
+    part = range_of(bounds)
     # The first row of each range that has any is also sent to the one before; the very first to the last.  They are as few as ranges.
     tops = keyed.select("key", "hash").withColumn("part", part).groupBy("part").agg(F.max(F.struct("key", "hash")).alias("top"))
     filled = sorted((r.part, r.top.key, r.top.hash) for r in tops.collect())
