@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.sources.stages import checkpoint_dir, cut, drop_folder, read_table as table
 
-__all__ = ["BROADCAST_ROWS", "SALTS", "ascii_lower", "beside_text", "checkpoint_dir", "cut", "drop_folder", "join_dimension", "named", "others", "packed", "shards_for", "table", "text_beside", "unpacked"]
+__all__ = ["BROADCAST_ROWS", "SALTS", "ascii_lower", "beside_text", "checkpoint_dir", "cut", "drop_folder", "join_dimension", "named", "others", "packed", "shards_for", "table", "text_beside", "trimmed", "unpacked"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -52,6 +56,31 @@ def beside_text(columns: Iterable[str]) -> list[Column]:
     return [(F.col("text") if c.lower() == "text" else F.col("row").getField(c)).alias(c) for c in columns]
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Return memory that nothing holds any more to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a Python worker that waits for its next task holds little memory beside the executor's."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
 def shards_for(total: int, per_shard: int, least: int = 1) -> int:
     """Number of shards that keeps each near ``per_shard``; grows in proportion to the data, without a cap."""
     return max(least, -(-int(total or 0) // per_shard))

@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from evigraph.llm.common import beside_text, table, text_beside, unpacked
+from evigraph.llm.common import beside_text, table, text_beside, trimmed, unpacked
 
 WINDOW = 13
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 BLOCK_WORDS = 1_000_000
 #: Every byte but 0-9, a-z and those of non-ASCII characters parts words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -180,7 +180,7 @@ def _find(frame: DataFrame, items: list[tuple[str | None, list[bytes]]], window:
                 yield pa.RecordBatch.from_arrays([*columns, *made], names=[*batch.schema.names[:passed], *ADDED.names])
                 texts, total, begun = [], 0, row + 1
 
-    return frame.mapInArrow(run, StructType([*frame.schema.fields[:passed], *ADDED.fields]))
+    return frame.mapInArrow(trimmed(run), StructType([*frame.schema.fields[:passed], *ADDED.fields]))
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from evigraph.llm.common import beside_text, cut, table, text_beside
+from evigraph.llm.common import beside_text, cut, table, text_beside, trimmed
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 16
 #: Pieces of a word that have embeddings: the word itself, and its first and last bytes in these numbers.
@@ -286,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learned(*map(list, zip(*rows))))], pa.binary())], names=["model"])
 
-    found = cut(sample_of(docs, labels, most)).coalesce(1).mapInArrow(run, "model binary").collect()
+    found = cut(sample_of(docs, labels, most)).coalesce(1).mapInArrow(trimmed(run), "model binary").collect()
     if found:
         return pickle.loads(found[0].model)
     none = np.zeros(FILTERS * len(WIDTHS), np.float32)
@@ -306,7 +306,7 @@ def _scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             found = [scores(batch.column(1).slice(at, TOGETHER).to_pylist()) for at in range(0, batch.num_rows, TOGETHER)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:passed], pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())], names=[*batch.schema.names[:passed], "score"])
 
-    return frame.mapInArrow(run, StructType([*frame.schema.fields[:passed], StructField("score", DoubleType())]))
+    return frame.mapInArrow(trimmed(run), StructType([*frame.schema.fields[:passed], StructField("score", DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
