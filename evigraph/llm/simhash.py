@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import BROADCAST_ROWS, cut, join_dimension, packed, table, unpacked
+from evigraph.llm.common import BROADCAST_ROWS, cut, join_dimension, packed, table, trimmed, unpacked
 from evigraph.operators.components import connected_components
 
 BITS, PARTS, PART_BITS, MOST = 64, 4, 16, 3
@@ -126,7 +126,7 @@ def fingerprints(docs: DataFrame, shingle: int, width: int = 1, sets: bool = Fal
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} array<bigint>" if n == "bands" else f"{n} bigint" for n in names)])
-    return docs.select(*(f.name for f in kept), "text").mapInArrow(run, schema)
+    return docs.select(*(f.name for f in kept), "text").mapInArrow(trimmed(run), schema)
 
 
 @lru_cache(maxsize=1)
@@ -324,7 +324,7 @@ def across(members: DataFrame, key: str, edges: DataFrame, block: int, near: Cal
             if found:
                 yield edge_batch(found)
 
-    return every.unionByName(rest).repartition(key, "block", "part").sortWithinPartitions(key, "block", "part").mapInArrow(link, "a bigint, b bigint")
+    return every.unionByName(rest).repartition(key, "block", "part").sortWithinPartitions(key, "block", "part").mapInArrow(trimmed(link), "a bigint, b bigint")
 
 
 #: One fingerprint in so many tells which keys have more than ``CROWD`` members; those are dealt to blocks of that many.
@@ -352,7 +352,7 @@ def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray],
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(some[rows, i]).view(np.int64)) for i in range(shown))], names=["key", *names])
 
     def keyed(some: DataFrame) -> DataFrame:
-        return some.select(*(f"fp{i}" for i in range(width)), *further).mapInArrow(spread, "key bigint, " + ", ".join(f"{n} bigint" for n in names))
+        return some.select(*(f"fp{i}" for i in range(width)), *further).mapInArrow(trimmed(spread), "key bigint, " + ", ".join(f"{n} bigint" for n in names))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows of a key come one after another; what is held is the pieces of the key that reaches into the next batch.
@@ -385,13 +385,13 @@ def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray],
     counted = keyed(distinct.where(F.pmod(F.xxhash64("fp0"), F.lit(sampled)) == 0)).groupBy(F.col("key").alias("hot")).count().where(F.col("count") * sampled > crowd)
     hot = cut(counted.select("hot", F.ceil(F.col("count") * sampled / crowd).cast("int").alias("blocks")))
     if hot.isEmpty():
-        return keyed(distinct).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
+        return keyed(distinct).repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(meet), "a bigint, b bigint").distinct()
     known = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     met = keyed(distinct).join(known, F.col("key") == F.col("hot"), "left")
-    quiet = met.where("hot is null").select("key", *names).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
+    quiet = met.where("hot is null").select("key", *names).repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(meet), "a bigint, b bigint")
     loud = cut(met.where("hot is not null").select("key", *names, F.pmod(F.xxhash64("key", *names), F.col("blocks")).cast("int").alias("block")))
     # A block of a key is a key of its own here.
-    inside = loud.select(F.xxhash64("key", "block").alias("key"), *names).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
+    inside = loud.select(F.xxhash64("key", "block").alias("key"), *names).repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(meet), "a bigint, b bigint")
     edges = cut(quiet.unionByName(inside).distinct())
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,10 +405,15 @@ def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray],
         for one in left:
             yield apart(fps, np.frombuffer(one, np.uint64)) <= most
 
-    members = loud.select("key", "block", *names).mapInArrow(named, "key bigint, block int, id bigint, payload binary")
+    members = loud.select("key", "block", *names).mapInArrow(trimmed(named), "key bigint, block int, id bigint, payload binary")
     return edges.unionByName(across(members, "key", edges, crowd, near)).distinct()
 
 
+def dealt_anew(frame: DataFrame) -> DataFrame:
+    """An aggregate in partitions of its own, so that adaptive execution may split the join with a key that a third of all rows have."""
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)
+
+
 def components_of(prints: DataFrame, first: Column, width: int, keys_of, shown: int, most: int) -> DataFrame:
     """(id, first) for each distinct fingerprint identity of materialised rows with id and fp0...: the smallest ``first`` (an
     aggregate) of its component."""
@@ -417,10 +422,8 @@ def components_of(prints: DataFrame, first: Column, width: int, keys_of, shown:
     firsts = classes.groupBy("id").agg(F.min("first").alias("first"))
     # Fingerprints that no other is near are their own component.
     named = firsts.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("first"))
-    named = named.select("id", "component").join(smallest, "component").select("id", "first")
-    # Dealt out anew, so that adaptive execution may split the join of a fingerprint that a third of all rows have.
-    return named.repartition(prints.sparkSession.sparkContext.defaultParallelism)
+    smallest = dealt_anew(named.groupBy("component").agg(F.min("first").alias("first")))
+    return dealt_anew(named.select("id", "component").join(smallest, "component").select("id", "first"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = MOST) -> DataFrame:
@@ -448,7 +451,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "shingles binary"])
-    return docs.select(*(f.name for f in kept), "text").mapInArrow(run, schema)
+    return docs.select(*(f.name for f in kept), "text").mapInArrow(trimmed(run), schema)
 
 
 def similar_forest(sets: list[np.ndarray], tenths: int = TENTHS) -> list[tuple[int, int]]:
@@ -515,7 +518,7 @@ def similar_pairs(sets: DataFrame) -> DataFrame:
                     yield edge_batch([(rows[x][0], rows[y][0]) for x, y in found])
 
         dealt = members.select("component", "block", "set_id", "shingles").repartition("component", "block").sortWithinPartitions("component", "block")
-        return dealt.mapInArrow(verify, "a bigint, b bigint")
+        return dealt.mapInArrow(trimmed(verify), "a bigint, b bigint")
 
     edges = cut(forests(dealt))
     if totals.where("blocks > 1").isEmpty():
@@ -545,7 +548,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> Dat
     reached = connected_components(near_pairs(classes.select(*names, "bands").distinct(), WIDE, keys_of, WIDE, most))
     # Sets with company: in a component of fingerprints, or with the same fingerprint.
     grouped = classes.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    crowded = grouped.groupBy("component").count().where("count > 1").select("component")
+    crowded = dealt_anew(grouped.groupBy("component").count().where("count > 1").select("component"))
     members = cut(grouped.join(crowded, "component").where("n > 0").select("component", "set_id", "n", F.col("first.digest").alias("of_digest"), F.col("first.doc_id").alias("of_id")))
     # One text of each set, found in place where its id and digest are few enough to be sent along.
     few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
@@ -553,10 +556,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> Dat
     sets = cut(shingle_sets(texts.select("component", "set_id", "n", "text"), shingle).dropDuplicates(["component", "set_id"]))
     linked_sets = connected_components(similar_pairs(sets)).select(F.col("node").alias("set_id"), "component")
     named = classes.groupBy("set_id").agg(F.min("first").alias("first")).join(linked_sets, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("first"))
-    named = named.select("set_id", "component").join(smallest, "component").select("set_id", "first")
-    # Dealt out anew, as in ``components_of``.
-    named = named.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    smallest = dealt_anew(named.groupBy("component").agg(F.min("first").alias("first")))
+    named = dealt_anew(named.select("set_id", "component").join(smallest, "component").select("set_id", "first"))
     return prints.join(named, "set_id").select("doc_id", "digest", "first")
 
 
