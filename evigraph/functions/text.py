@@ -121,7 +121,7 @@ def rebuilt_abstract(index: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spots), lambda s: s["word"]), " ")
 
 
-def _letter_counts(strings: list[str], classes: int = 64) -> np.ndarray:
+def letter_counts(strings: list[str], classes: int = 64) -> np.ndarray:
     """How often each class of letters is in each string."""
     return np.array([np.bincount(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) % classes, minlength=classes) for s in strings], np.int32).reshape(-1, classes)
 
@@ -130,7 +130,7 @@ def likely_matches(new: list[str], existing: list[str], least: float, at_once: i
     """Which pairs share enough letters, in whatever order, for their ratio to pass ``least``; none that does is left out."""
     number: dict[str, int] = {}
     left, right = (np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(strings)) for strings in (new, existing))
-    counts = _letter_counts(list(number))
+    counts = letter_counts(list(number))
     sizes = counts.sum(axis=1)
     out = np.zeros(len(left), bool)
     for at in range(0, len(left), at_once):
