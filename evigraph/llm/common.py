@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evigraph.sources.stages import checkpoint_dir, cut, drop_folder, read_table as table
 
-__all__ = ["BROADCAST_ROWS", "SALTS", "ascii_lower", "beside_text", "checkpoint_dir", "cut", "drop_folder", "join_dimension", "named", "others", "packed", "shards_for", "table", "text_beside", "trimmed", "unpacked"]
+__all__ = ["BROADCAST_ROWS", "SALTS", "ascii_lower", "beside_text", "checkpoint_dir", "cut", "drop_folder", "freed", "join_dimension", "named", "others", "packed", "shards_for", "table", "text_beside", "trimmed", "unpacked"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -56,6 +56,23 @@ def beside_text(columns: Iterable[str]) -> list[Column]:
     return [(F.col("text") if c.lower() == "text" else F.col("row").getField(c)).alias(c) for c in columns]
 
 
+def freed(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``work`` on one group or two, whose memory goes back before the next."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        out = work(rows)
+        give_back()
+        return out
+
+    def two(rows: pa.Table, others: pa.Table) -> pa.Table:
+        out = work(rows, others)
+        give_back()
+        return out
+
+    # Spark goes by the number of parameters.
+    return one if work.__code__.co_argcount == 1 else two
+
+
 try:
     _TRIM = ctypes.CDLL(None).malloc_trim
 except (AttributeError, OSError):  # not glibc

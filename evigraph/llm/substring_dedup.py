@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import SALTS, shards_for, table
+from evigraph.llm.common import SALTS, freed, shards_for, table
 
 LENGTH, GRAM = 50, 20
 GROUP_BYTES = 4_000_000
@@ -351,6 +351,7 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
             out.append((None if doc_id == LAST else doc_id, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans]))
         return _batch(names, out, kinds)
 
+    announce, answer, send, decide, cut_out = map(freed, (announce, answer, send, decide, cut_out))
     per_group = both.groupBy("grp")
     said = per_group.applyInArrow(announce, "shard int, grp int, buckets binary, shared binary")
     answers = said.groupBy("shard").applyInArrow(answer, "grp int, shard int, shared binary")
