@@ -11,14 +11,20 @@ at all.  So a fingerprint has the keys
 * (part, its bits, first half, codeword index), for a first half that differs in at most 2 bits, and
 * (part, its bits, second half's bits), for a first half that differs in all 3.
 
-``near_copies`` links texts whose sets of five-word shingles are similar at 0.8 or more.  That is some 15 differing bits in
-100, too many for a guarantee, so the sets' fingerprints have 256 bits, 11 segments, and meet if a segment shares a codeword
+``near_copies`` links texts whose sets of five-word shingles are similar at 0.8 or more, exactly.  That is some 15 differing bits
+in 100, too many for a guarantee, so the sets' fingerprints have 256 bits, 11 segments, and meet if a segment shares a codeword
 index and some bits of another segment are equal, in any of 22 such pairs; a segment of a pair at 0.8 differs in at most 2 bits
 three times in ten.  There are 6 of those bits or more: their number grows with the logarithm of the fingerprints, so that a
 key has a handful of unrelated members at any size, while the pairs that such keys find grow more alike.  Fingerprints meet as
 well if the smallest hashes of three ranges of hashes are equal, in any of 12 such triples; at 0.8 a triple is equal half the
-time, at every size.  ``WIDE_MOST`` of all 256 bits, six deviations above the mean at 0.8, may differ in what is gone through.
-Components of those are then gone through by the exact Jaccard similarity of their sets, and only links at 0.8 or more stay.
+time, at every size.  ``WIDE_MOST`` of all 256 bits may differ in what is gone through.
+
+That finds most, and which ones depends on the keys and their number; an exact way finds the rest.  Two sets similar at 0.8
+or more are so in one at least of the pieces that ranges of hashes cut them into, and such pieces share one of the first
+n - ceil(0.8 n) + 1 of their hashes, in whatever order.  Pieces meet by those, common hashes last; parities of their hashes,
+112 bits, differ in at most as many bits as the pieces do in hashes, a ninth of both sizes, which parts unlike ones.
+Components of all that met are then gone through by the exact Jaccard similarity of their sets, and only links at 0.8 or more
+stay: all of them, whatever else the table holds.
 
 Fingerprints meet by key and are verified by counting the bits that differ; nothing is capped.  Equal fingerprints are one
 before keys are made.  What is emitted are edges of spanning forests rather than all pairs.  A key or component with many
@@ -33,6 +39,8 @@ smallest id of a component that holds another; an empty table gives an empty res
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from itertools import groupby
@@ -104,28 +112,31 @@ def fingerprint_of(hashes: np.ndarray, width: int = 1) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes)).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int, width: int = 1, sets: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, width: int = 1, sets: bool = False, common: np.ndarray | None = None) -> DataFrame:
     """Columns of ``docs`` but text, with fp0, fp1, ... and id, their identity: one row for each row; texts are read in place and
-    never shuffled.  ``sets`` counts repeated shingles once, and adds set_id, a hash of their set, n, its size, and bands."""
-    names = [*(f"fp{i}" for i in range(width)), "id", *(["set_id", "n", "bands"] if sets else [])]
+    never shuffled.  ``sets`` counts repeated shingles once, and adds set_id, a hash of their set, n, its size, bands, and pieces,
+    in whose keys the hashes in ``common``, sorted, come last."""
+    names = [*(f"fp{i}" for i in range(width)), "id", *(["set_id", "n", "bands", "pieces"] if sets else [])]
+    common = np.empty(0, np.uint64) if common is None else common
     kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, told, bands = np.zeros((batch.num_rows, width), np.uint64), np.zeros((batch.num_rows, 2), np.uint64), []
+            fps, told, bands = np.zeros((batch.num_rows, width), np.uint64), np.zeros((batch.num_rows, 2), np.uint64), ([], [])
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
                 hashes = shingle_hashes(words_of(text.as_py()), shingle)
                 if sets:
                     hashes = np.unique(hashes)
                     told[i] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED), len(hashes)
-                    bands.append(band_keys(hashes))
+                    bands[0].append(band_keys(hashes))
+                    bands[1].append(piece_keys(hashes, common))
                 fps[i] = fingerprint_of(hashes, width)
             columns = [*(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(width)), pa.array(identity(fps))]
             columns += [pa.array(np.ascontiguousarray(told[:, i]).view(np.int64)) for i in range(2 * sets)]
-            columns += [pa.array(bands, pa.list_(pa.int64()))] * sets
+            columns += [pa.array(x, pa.list_(pa.int64())) for x in bands] if sets else []
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} array<bigint>" if n == "bands" else f"{n} bigint" for n in names)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} array<bigint>" if n in ("bands", "pieces") else f"{n} bigint" for n in names)])
     return docs.select(*(f.name for f in kept), "text").mapInArrow(trimmed(run), schema)
 
 
@@ -234,13 +245,84 @@ def band_keys(known: np.ndarray) -> np.ndarray:
     return identity(triples[triples.any(axis=1)]) | np.int64(31)
 
 
+#: Least similarity of a link, in tenths.
+TENTHS = 8
+#: Hashes of a piece at most, about, and by how much more pieces there are from one level to the next; bits of its parities.
+PIECE, FINER, PARITIES = 128, 4, 112
+
+
+def levels_of(n: int) -> list[int]:
+    """Levels at which a set of ``n`` hashes is cut: its own, and that of the smallest set that may be similar."""
+
+    def level(n: int) -> int:
+        k = 0
+        while n > PIECE * FINER**k:
+            k += 1
+        return k
+
+    return sorted({level(n), level(-(-n * TENTHS // 10))})
+
+
+def piece_prefix(n):
+    """How many first hashes of a piece of ``n`` are keys: two that are similar share one of them."""
+    return n + (-n * TENTHS) // 10 + 1
+
+
+def piece_keys(known: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Pieces of a set of sorted hashes one after another: two words, the parities of its hashes and its size in the last 16 bits,
+    then its keys."""
+    out = []
+    place = np.searchsorted(common, known)
+    last = np.zeros(len(known), bool) if not len(common) else common[np.minimum(place, len(common) - 1)] == known
+    for level in levels_of(len(known)) if len(known) else ():
+        pieces = FINER**level
+        # 4 ** level ranges: the first two bits a level.
+        piece = (known >> np.uint64(64 - 2 * level)).astype(np.int64) if level else np.zeros(len(known), np.int64)
+        sizes = np.bincount(piece, minlength=pieces)
+        bits = np.zeros((pieces, 128), np.uint8)
+        bits[:, :PARITIES] = (np.bincount(piece * PARITIES + (known % np.uint64(PARITIES)).astype(np.int64), minlength=pieces * PARITIES) & 1).reshape(pieces, -1)
+        words = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+        words[:, 1] |= sizes.astype(np.uint64)
+        order = np.lexsort((known, last, piece))
+        # A key tells its level by the low bits.
+        keys = (known[order] & ~np.uint64(15)) | np.uint64(level & 15)
+        begin = 0
+        for i, n in enumerate(sizes.tolist()):
+            if n:
+                out += [words[i], keys[begin : begin + piece_prefix(n)]]
+            begin += n
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+
+
+def pieces_of(flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(two words, keys) of each piece that ``piece_keys`` made."""
+    at = 0
+    while at < len(flat):
+        keys = at + 2 + piece_prefix(int(flat[at + 1]) & 0xFFFF)
+        yield flat[at : at + 2], flat[at + 2 : keys]
+        at = keys
+
+
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of rows."""
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges (rows) of a spanning forest over the links of at most ``most`` differing bits.
+def may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two pieces' words leave it open that they are similar at ``TENTHS`` / 10."""
+    size = np.uint64(0xFFFF)
+    n, m = (a[..., 1] & size).astype(np.int64), (b[..., 1] & size).astype(np.int64)
+    differ = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int64) + np.bitwise_count((a[..., 1] ^ b[..., 1]) & ~size)
+    return (10 + TENTHS) * np.maximum(differ, np.abs(n - m)) <= (10 - TENTHS) * (n + m)
+
+
+def alike(a: np.ndarray, b: np.ndarray, most: int | None) -> np.ndarray:
+    """Rows that differ in at most ``most`` bits; None: pieces that may be similar."""
+    return may_be_similar(a, b) if most is None else apart(a, b) <= most
+
+
+def forest(fps: np.ndarray, most: int | None) -> list[tuple[int, int]]:
+    """Edges (rows) of a spanning forest over the links of at most ``most`` differing bits, or of ``alike``.
 
     Smaller fingerprints come first, so that keys with the same members give the same edges."""
     edges, left = [], np.lexsort(fps.T[::-1])
@@ -248,7 +330,7 @@ def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             one = queue.pop(0)
-            near = apart(fps[left], fps[one]) <= most
+            near = alike(fps[left], fps[one], most)
             if near.any():
                 met = left[near]
                 edges += [(one, other) for other in met]
@@ -261,7 +343,7 @@ def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
 SMALL = 16
 
 
-def linked(key: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(key: np.ndarray, fps: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Rows linked within equal keys; ``key`` is sorted."""
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     sizes = np.diff(cuts)
@@ -273,7 +355,7 @@ def linked(key: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.
         few = few[key[few] == key[few + lag]]
         if not len(few):
             break
-        near = few[apart(fps[few], fps[few + lag]) <= most]
+        near = few[alike(fps[few], fps[few + lag], most)]
         left.append(near)
         right.append(near + lag)
     for a, b in zip(cuts[:-1][sizes > SMALL].tolist(), cuts[1:][sizes > SMALL].tolist()):
@@ -331,11 +413,11 @@ def across(members: DataFrame, key: str, edges: DataFrame, block: int, near: Cal
 SAMPLED, CROWD = 64, 8192
 
 
-def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], shown: int, most: int, sampled: int = SAMPLED, crowd: int = CROWD) -> DataFrame:
+def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], shown: int, most: int | None, sampled: int = SAMPLED, crowd: int = CROWD) -> DataFrame:
     """(a, b) edges between identities of distinct fingerprints fp0..., whose components are those of all links.
 
     ``shown`` words of a fingerprint go along with each key, by which links are verified.  Further keys may come as an array
-    beside the fingerprints, bands."""
+    beside the fingerprints, bands.  ``most`` is that of ``alike``."""
     further = ["bands"] if "bands" in distinct.columns else []
     names = [f"fp{i}" for i in range(shown)]
 
@@ -403,7 +485,7 @@ def near_pairs(distinct: DataFrame, width: int, keys_of: Callable[[np.ndarray],
     def near(left: list[bytes], right: list[bytes]) -> Iterator[np.ndarray]:
         fps = np.frombuffer(b"".join(right), np.uint64).reshape(len(right), -1)
         for one in left:
-            yield apart(fps, np.frombuffer(one, np.uint64)) <= most
+            yield alike(fps, np.frombuffer(one, np.uint64), most)
 
     members = loud.select("key", "block", *names).mapInArrow(trimmed(named), "key bigint, block int, id bigint, payload binary")
     return edges.unionByName(across(members, "key", edges, crowd, near)).distinct()
@@ -435,8 +517,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = MOST) -> Data
 
 #: Of 256 bits: 39 differ on average at a similarity of 0.8, half of them between unrelated texts.
 WIDE_MOST = 72
-#: Least similarity of a link, in tenths.
-TENTHS = 8
 #: Sets and shingles that a block of a component holds at most, about.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 
@@ -534,18 +614,77 @@ def similar_pairs(sets: DataFrame) -> DataFrame:
     return edges.unionByName(across(large, "component", edges, BLOCK_SETS, similar_rows)).distinct()
 
 
+#: In so many texts a shingle is common; how many of them are known at most.  That decides by which keys pieces meet, not whether.
+COMMON, COMMON_KNOWN = 1024, 100_000
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of the commonest shingles, as one text in ``SAMPLED`` tells them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(words_of(text.as_py()), shingle)).view(np.int64))], names=["hash"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(trimmed(run), "hash bigint")
+    often = some.groupBy("hash").count().where(F.col("count") * SAMPLED > COMMON).orderBy(F.desc("count"), "hash").limit(COMMON_KNOWN)
+    return np.sort(np.array([r.hash for r in often.select("hash").collect()], np.int64).view(np.uint64))
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nothing refers to any more; the JVM lets go of them at the second time."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def pieces_met(prints: DataFrame) -> DataFrame:
+    """(a, b) edges between identities of fingerprints, of ``fingerprints`` with sets: those of sets similar at ``TENTHS`` / 10
+    or more are connected, all of them."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column(1), []
+            words, keys = [], []
+            for at, one in enumerate(flat):
+                for word, some in pieces_of(one.values.to_numpy()):
+                    ends.append(at)
+                    words.append(word)
+                    keys.append(some)
+            if ends:
+                fps = np.stack(words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ends)), pa.array(np.ascontiguousarray(fps[:, 0])), pa.array(np.ascontiguousarray(fps[:, 1])), pa.array(identity(fps.view(np.uint64))), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp0", "fp1", "piece", "bands"])
+
+    each = prints.where("n > 0").select("id", "pieces").mapInArrow(trimmed(told), "id bigint, fp0 bigint, fp1 bigint, piece bigint, bands array<bigint>")
+    distinct = cut(each.groupBy("piece", "fp0", "fp1").agg(F.min("id").alias("root"), F.any_value("bands").alias("bands")))
+    collect_garbage(prints.sparkSession)
+    roots = distinct.select(F.col("piece").alias("of"), "root")
+    whole = each.select("id", "piece").distinct().join(dealt_anew(roots), F.col("piece") == F.col("of")).select(F.col("id").alias("a"), F.col("root").alias("b"))
+    no_keys = lambda fps: (np.empty(0, np.int64), np.empty(0, np.int64))
+    pairs = near_pairs(distinct.select("fp0", "fp1", "bands"), 2, no_keys, 2, None)
+    pairs = pairs.join(roots.select(F.col("of").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("of").alias("b"), F.col("root").alias("rb")), "b")
+    return cut(whole.unionByName(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).where("a <> b").distinct())
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> DataFrame:
     """(doc_id, digest, first) for each row; components link texts whose sets of shingles are similar at 0.8 or more, and
     first is the row (without an id?, doc_id, digest) that comes first in its component.
 
-    Texts with equal sets are one set.  ``most`` bits bound the search; what it finds is verified by the sets themselves."""
+    Texts with equal sets are one set.  ``most`` bits bound the search by fingerprints, pieces of sets complete it; what they find
+    is verified by the sets themselves."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    prints = cut(fingerprints(keyed, shingle, WIDE, sets=True))
+    prints = cut(fingerprints(keyed, shingle, WIDE, sets=True, common=common_shingles(docs, shingle)))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("digest"))
     names = [f"fp{i}" for i in range(WIDE)]
     classes = cut(prints.groupBy("set_id", "n", "id", "bands", *names).agg(F.min(row).alias("first")))
     keys_of = partial(wide_keys, mate_bits=mate_bits_for(classes.count()))
-    reached = connected_components(near_pairs(classes.select(*names, "bands").distinct(), WIDE, keys_of, WIDE, most))
+    met = cut(near_pairs(classes.select(*names, "bands").distinct(), WIDE, keys_of, WIDE, most))
+    # A search's shuffle goes before the next.
+    collect_garbage(docs.sparkSession)
+    met = met.unionByName(pieces_met(prints))
+    collect_garbage(docs.sparkSession)
+    reached = connected_components(met)
     # Sets with company: in a component of fingerprints, or with the same fingerprint.
     grouped = classes.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     crowded = dealt_anew(grouped.groupBy("component").count().where("count > 1").select("component"))

@@ -683,6 +683,84 @@ def test_texts_just_above_the_similarity_are_found(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(data).collect()} == {i for i, _ in near[::2]}
 
 
+def hard_pairs(each, seed=11):
+    """Pairs of texts, (doc_id, text), similar at 0.8 exactly, whose differing words leave none of the triples of smallest hashes equal."""
+    rng = random.Random(seed)
+    hashes = lambda words: simhash.shingle_hashes([w.encode() for w in words], 5)
+    keys = lambda words: set(simhash.band_keys(np.unique(hashes(words))).tolist())
+    out = []
+    while len(out) < 2 * each:
+        words = [f"w{rng.getrandbits(40)}" for _ in range(364)]
+        other, own = list(words), hashes(words)
+        smallest = {int(h): i for i, h in enumerate(own)}
+        begins = np.searchsorted(np.sort(own), simhash.RANGES)
+        triple = {smallest[int(np.sort(own)[b])]: i // 3 for i, b in enumerate(begins) if b < len(own)}
+        whole = set(triple.values())
+        # 8 words of 364, 5 or more apart: 40 of 360 shingles differ.
+        free = set(range(4, 360))
+        for _ in range(8):
+            at = max(sorted(free), key=lambda i: len({triple.get(j) for j in range(i - 4, i + 1)} & whole))
+            whole -= {triple.get(j) for j in range(at - 4, at + 1)}
+            free -= set(range(at - 4, at + 5))
+            other[at] = f"x{rng.getrandbits(40)}"
+        if not keys(words) & keys(other):
+            out += [(len(out), " ".join(words)), (len(out) + 1, " ".join(other))]
+    return out
+
+
+@pytest.mark.parametrize("bits", [6, 24])
+def test_links_do_not_depend_on_the_number_of_fingerprints(spark, monkeypatch, bits):
+    """Keys of any number of bits, as few or many fingerprints have, give all links."""
+    monkeypatch.setattr(simhash, "mate_bits_for", lambda fingerprints: bits)
+    near = hard_pairs(60)
+    assert brute_jaccard(near[0][1].split(), near[1][1].split()) == 0.8
+    data = spark.createDataFrame([(i, t, None, None, 0) for i, t in near], DOCS)
+    assert {r.doc_id for r in simhash.drop_near_copies(data).collect()} == {i for i, _ in near[::2]}
+
+
+def test_similar_sets_share_a_key_of_a_piece():
+    """Sets of 1 to 3000 hashes, any of them common, cut at one level or two."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+    met, wanted = 0, 0
+    for n in [1, 2, 4, 5, 6, 9, 10, 40, 128, 129, 160, 161, 300, 520, 3000] * 20:
+        one = fresh(n)
+        other = np.unique(np.concatenate((rng.permutation(one)[rng.integers(0, n // 5 + 1) :], fresh(int(rng.integers(0, n // 4 + 1))))))
+        shared = len(np.intersect1d(one, other))
+        if 10 * shared < 8 * (len(one) + len(other) - shared):
+            continue
+        common = np.sort(rng.permutation(one)[: rng.integers(0, n + 1)])
+        pieces = [list(simhash.pieces_of(simhash.piece_keys(x, common))) for x in (one, other)]
+        wanted += 1
+        met += any(np.isin(k, m).any() and simhash.may_be_similar(a.view(np.uint64), b.view(np.uint64)) for a, k in pieces[0] for b, m in pieces[1])
+    assert met == wanted > 100
+
+
+@pytest.mark.parametrize("crowd", [8, 8192])
+def test_pieces_of_many_texts_lose_no_link(spark, monkeypatch, crowd):
+    """A hot line, groups of near copies and short texts: the pieces alone give the groups that all pairs give."""
+    rng = random.Random(12)
+    fresh = lambda k: [f"w{rng.getrandbits(40)}" for _ in range(k)]
+    line, texts = fresh(12), []
+    for size in (4, 8, 30, 200, 700):
+        words = fresh(size)
+        for _ in range(12):
+            words = list(words)
+            for at in rng.sample(range(size), max(1, size // 60)):
+                words[at] = fresh(1)[0]
+            texts.append(words + line * (size > 8))
+    texts += [fresh(20) + line for _ in range(40)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    near = lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+    want = closure(range(len(texts)), near)
+    monkeypatch.setattr(simhash.near_pairs, "__defaults__", (1, crowd))
+    monkeypatch.setattr(simhash, "COMMON", 30)
+    monkeypatch.setattr(simhash, "WIDE_MOST", -1)
+    data = spark.createDataFrame([(i, " ".join(w), None, None, 0) for i, w in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.first.doc_id for r in simhash.near_copies(data, most=-1).collect()}
+    assert got == want
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
     got = simhash.near_duplicates(awkward).collect()
