@@ -41,6 +41,7 @@ from __future__ import annotations
 
 import gc
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from itertools import groupby
@@ -51,8 +52,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import BROADCAST_ROWS, cut, join_dimension, packed, table, trimmed, unpacked
+from evigraph.llm.common import BROADCAST_ROWS, checkpoint_dir, cut, drop_folder, join_dimension, packed, table, trimmed, unpacked
 from evigraph.operators.components import connected_components
+from evigraph.sources.stages import write_stage
 
 BITS, PARTS, PART_BITS, MOST = 64, 4, 16, 3
 SEED = 42
@@ -631,17 +633,20 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.hash for r in often.select("hash").collect()], np.int64).view(np.uint64))
 
 
+#: Collections after which the JVM has let go of a frame that is gone: the third at the latest, as measured, and one more.
+COLLECTIONS = 4
+
+
 def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of frames that nothing refers to any more; the JVM lets go of them at the second time."""
-    for _ in range(2):
+    """Let Spark remove the shuffle files of frames that nothing refers to any more, those of the last query too."""
+    for _ in range(COLLECTIONS):
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.5)
 
 
-def pieces_met(prints: DataFrame) -> DataFrame:
-    """(a, b) edges between identities of fingerprints, of ``fingerprints`` with sets: those of sets similar at ``TENTHS`` / 10
-    or more are connected, all of them."""
+def pieces_told(prints: DataFrame) -> DataFrame:
+    """(id, fp0, fp1, piece, bands) of the pieces of each row: its two words, their identity, its keys."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -656,15 +661,27 @@ def pieces_met(prints: DataFrame) -> DataFrame:
                 fps = np.stack(words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ends)), pa.array(np.ascontiguousarray(fps[:, 0])), pa.array(np.ascontiguousarray(fps[:, 1])), pa.array(identity(fps.view(np.uint64))), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp0", "fp1", "piece", "bands"])
 
-    each = prints.where("n > 0").select("id", "pieces").mapInArrow(trimmed(told), "id bigint, fp0 bigint, fp1 bigint, piece bigint, bands array<bigint>")
-    distinct = cut(each.groupBy("piece", "fp0", "fp1").agg(F.min("id").alias("root"), F.any_value("bands").alias("bands")))
-    collect_garbage(prints.sparkSession)
+    return prints.where("n > 0").select("id", "pieces").mapInArrow(trimmed(told), "id bigint, fp0 bigint, fp1 bigint, piece bigint, bands array<bigint>")
+
+
+def pieces_met(prints: DataFrame, folder: str) -> DataFrame:
+    """(a, b) edges between identities of fingerprints, of ``fingerprints`` with sets: those of sets similar at ``TENTHS`` / 10
+    or more are connected, all of them.
+
+    ``prints`` are the table of that name in ``folder``; it goes before the search, and the table of distinct pieces after it."""
+    spark = prints.sparkSession
+    each = pieces_told(prints)
+    distinct = write_stage(each.groupBy("piece", "fp0", "fp1").agg(F.min("id").alias("root"), F.any_value("bands").alias("bands")), folder, "pieces")
     roots = distinct.select(F.col("piece").alias("of"), "root")
-    whole = each.select("id", "piece").distinct().join(dealt_anew(roots), F.col("piece") == F.col("of")).select(F.col("id").alias("a"), F.col("root").alias("b"))
+    whole = cut(each.select("id", "piece").distinct().join(dealt_anew(roots), F.col("piece") == F.col("of")).select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
+    drop_folder(spark, f"{folder}/prints")
+    collect_garbage(spark)
     no_keys = lambda fps: (np.empty(0, np.int64), np.empty(0, np.int64))
     pairs = near_pairs(distinct.select("fp0", "fp1", "bands"), 2, no_keys, 2, None)
     pairs = pairs.join(roots.select(F.col("of").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("of").alias("b"), F.col("root").alias("rb")), "b")
-    return cut(whole.unionByName(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).where("a <> b").distinct())
+    met = cut(whole.unionByName(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).where("a <> b").distinct())
+    drop_folder(spark, f"{folder}/pieces")
+    return met
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> DataFrame:
@@ -672,18 +689,22 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> Dat
     first is the row (without an id?, doc_id, digest) that comes first in its component.
 
     Texts with equal sets are one set.  ``most`` bits bound the search by fingerprints, pieces of sets complete it; what they find
-    is verified by the sets themselves."""
+    is verified by the sets themselves.  Pieces come first, so that their tables are gone when fingerprints meet."""
+    spark = docs.sparkSession
+    folder = f"{checkpoint_dir(spark)}/near-copies-{uuid.uuid4()}"
     keyed = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    prints = cut(fingerprints(keyed, shingle, WIDE, sets=True, common=common_shingles(docs, shingle)))
+    prints = write_stage(fingerprints(keyed, shingle, WIDE, sets=True, common=common_shingles(docs, shingle)), folder, "prints")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("digest"))
     names = [f"fp{i}" for i in range(WIDE)]
+    rows = cut(prints.select("doc_id", "digest", "set_id"))
     classes = cut(prints.groupBy("set_id", "n", "id", "bands", *names).agg(F.min(row).alias("first")))
-    keys_of = partial(wide_keys, mate_bits=mate_bits_for(classes.count()))
-    met = cut(near_pairs(classes.select(*names, "bands").distinct(), WIDE, keys_of, WIDE, most))
+    met = pieces_met(prints, folder)
     # A search's shuffle goes before the next.
-    collect_garbage(docs.sparkSession)
-    met = met.unionByName(pieces_met(prints))
-    collect_garbage(docs.sparkSession)
+    collect_garbage(spark)
+    keys_of = partial(wide_keys, mate_bits=mate_bits_for(classes.count()))
+    met = cut(met.unionByName(near_pairs(classes.select(*names, "bands").distinct(), WIDE, keys_of, WIDE, most)))
+    collect_garbage(spark)
+    drop_folder(spark, folder)
     reached = connected_components(met)
     # Sets with company: in a component of fingerprints, or with the same fingerprint.
     grouped = classes.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -697,7 +718,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> Dat
     named = classes.groupBy("set_id").agg(F.min("first").alias("first")).join(linked_sets, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = dealt_anew(named.groupBy("component").agg(F.min("first").alias("first")))
     named = dealt_anew(named.select("set_id", "component").join(smallest, "component").select("set_id", "first"))
-    return prints.join(named, "set_id").select("doc_id", "digest", "first")
+    return rows.join(named, "set_id").select("doc_id", "digest", "first")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, most: int = WIDE_MOST) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with awkward rows."""
 
 import hashlib
+import os
 import pickle
 import random
 import re
@@ -13,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from evigraph.llm import chat, decontaminate, fingerprints, mixing, secrets, sharding, simhash, substring_dedup, toxicity, url_filter
+from evigraph.llm.common import checkpoint_dir
 
 WORDS = ["alpha", "beta", "gamma", "delta", "épée", "zeta", "eta", "Theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "omikron", "pi", "rho", "сигма", "tau", "😀"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -761,6 +763,49 @@ def test_pieces_of_many_texts_lose_no_link(spark, monkeypatch, crowd):
     assert got == want
 
 
+def stored(spark):
+    """Bytes in the checkpoint folder."""
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files if not f.endswith(".crc"))
+
+
+def shuffled():
+    """Names of shuffle files on disk."""
+    from pyspark import SparkContext
+
+    files = SparkContext._active_spark_context._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_tables_of_near_copies_go_before_the_next_search(spark, monkeypatch):
+    """Pieces' tables, the largest, aren't there any more when fingerprints meet, and nothing of them is in the end."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.getrandbits(40)}" for _ in range(2000)) for _ in range(60)]
+    none = np.empty(0, np.uint64)
+    keys = sum(simhash.piece_keys(np.unique(simhash.shingle_hashes(simhash.words_of(t), 5)), none).nbytes for t in texts)
+    data = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts * 2)], DOCS).cache()
+    before, at, search = stored(spark), [], simhash.near_pairs
+
+    def watched(distinct, width, keys_of, shown, most, **rest):
+        at.append((width, stored(spark) - before))
+        return search(distinct, width, keys_of, shown, most, **rest)
+
+    monkeypatch.setattr(simhash, "near_pairs", watched)
+    assert simhash.near_copies(data).where("doc_id = first.doc_id").count() == 60
+    (searched,) = [size for width, size in at if width == simhash.WIDE]
+    assert searched < keys
+    assert not [f for f in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if f.startswith("near-copies")]
+
+
+def test_shuffle_files_of_the_last_query_go(spark):
+    for _ in range(6):
+        before = shuffled()
+        simhash.cut(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.min("id")))
+        new = shuffled() - before
+        simhash.collect_garbage(spark)
+        assert new and not new & shuffled()
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
     got = simhash.near_duplicates(awkward).collect()
