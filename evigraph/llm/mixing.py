@@ -19,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import cut, join_dimension, others, packed, table, unpacked
+from evigraph.llm.common import cut, join_dimension, others, packed, shards_for, table, unpacked
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 64
 TINY = 1e-9
+#: Undecided entries that a task settles, about, if that gives more tasks than there are cores.
+SETTLED = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -102,21 +104,24 @@ def round_entries(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, size, p) with 0 < p < 1 and size > 0 to the same rows with p 0 or 1, by a reduction tree.
 
     Blocks are dealt by a hash of the entry, in numbers that follow the source's rows, so a source with a third of all
-    rows has as many more blocks.  Each level leaves one entry a block."""
+    rows has as many more blocks.  Each level leaves one entry a block.  A level's tables have no more tasks than their rows
+    need: each task writes a file, and on a local file system Hadoop starts processes for each to set its permissions."""
+    cores = entries.sparkSession.sparkContext.defaultParallelism
     id_type = entries.schema["doc_id"].dataType.simpleString()
     item_type = ITEM.format(id=id_type)
     done: DataFrame | None = None
     level, open_ = 0, entries.select("doc_id", "source", "size", "p")
     while True:
-        counts = cut(open_.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("s"), F.ceil(F.col("n") / block).alias("blocks")))
-        most = counts.agg(F.max("blocks")).first()[0]
+        counts = open_.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("s"), F.ceil(F.col("n") / block).alias("blocks"))
+        counts = cut(counts.coalesce(cores))
+        most, total = counts.agg(F.max("blocks"), F.sum("blocks")).first()
         if most is None:
             return open_ if done is None else done
         spread = F.pmod(F.xxhash64(F.lit(level), "doc_id", "size"), F.col("blocks"))
         dealt = join_dimension(open_, counts, "source", "s").withColumn("block", spread)
         item = F.struct(F.col("doc_id"), F.col("size"), F.col("p"), _draw(level, "doc_id", "source", "size").alias("u")).cast(item_type)
         blocks = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
-        settled = cut(blocks.select("source", _settle(F.col("items"), item_type).alias("state")))
+        settled = cut(blocks.select("source", _settle(F.col("items"), item_type).alias("state")).coalesce(shards_for(total * block, SETTLED, cores)))
         closed = settled.select("source", F.inline("state.done")).select("doc_id", "source", "size", "p")
         done = closed if done is None else done.unionByName(closed)
         rest = settled.where(F.col("state.open").isNotNull()).select(F.col("state.open.doc_id").alias("doc_id"), "source", F.col("state.open.size").alias("size"), F.col("state.open.p").alias("p"))

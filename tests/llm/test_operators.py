@@ -459,6 +459,26 @@ def test_rounding_is_fair(spark):
     assert abs(sum(r.p * r.size for r in got) - 0.3 * sum(r.size for r in got)) <= 7
 
 
+@pytest.mark.parametrize("settled", [100_000, 100])
+def test_rounding_writes_few_files(spark, monkeypatch, settled):
+    """As many tables as before, in as many files as there are cores or rows ask for, whatever the number of shuffle partitions."""
+    entries = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"), (F.col("id") % 7 + 1).alias("size"), F.lit(0.3).alias("p")).cache()
+    want = {(r.doc_id, r.p) for r in mixing.round_entries(entries, block=16).collect()}
+    monkeypatch.setattr(mixing, "SETTLED", settled, raising=False)
+    tables, cut = [], mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda frame: tables.append(cut(frame)) or tables[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.doc_id, r.p) for r in mixing.round_entries(entries, block=16).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+    files = [t.rdd.getNumPartitions() for t in tables]
+    assert len(files) == 6 and files[0::2] == [4] * 3 and files[1] == (4 if settled > 3000 else 31) and files[-1] == 4
+
+
 # 8
 
 
