@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import constants as C
 from evigraph.functions import text as T
-from evigraph.operators.graph import bundles
+from evigraph.operators.graph import bundles, sent
+from evigraph.sources.stages import cut
 
 
 def evidence_table(patterns: DataFrame) -> DataFrame:
@@ -118,11 +119,22 @@ def graph_links(pairs: DataFrame, nodes: DataFrame, patterns: DataFrame) -> Data
     sides = patterns.where("pattern_type = 'contradiction'").select(F.explode("evidence").alias("e"), "counter_evidence").select(F.col("e.assertion_node_id").alias("x"), F.explode("counter_evidence").alias("c"))
     low, high = key(F.col("x"), F.col("c.assertion_node_id"))
     against = sides.select(low.alias("low_id"), high.alias("high_id"), F.lit(True).alias("is_against")).distinct()
-    name = lambda c: nodes.select(F.col("id").alias(c), F.col("name").alias(f"name_{c}"))
-    low, high = key(F.col("name_a"), F.col("name_b"))
-    low_id, high_id = key(F.col("a").cast("string"), F.col("b").cast("string"))
-    met = pairs.join(name("a"), "a").join(name("b"), "b").withColumns({"low_name": low, "high_name": high, "low_id": low_id, "high_id": high_id})
-    met = met.join(bridges, ["low_name", "high_name"], "left").join(against, ["low_id", "high_id"], "left")
+    # Names go by the least id that has them, so that numbers meet, and pairs move once for both kinds of patterns.
+    known = cut(nodes.select("id", "name").join(nodes.groupBy("name").agg(F.min("id").alias("number")), "name", "left"))
+    names, ids = sent(known.where("id = number")), sent(known)
+    number = lambda c, n: names.select(F.col("name").alias(c), F.col("number").alias(n))
+    one = lambda c, n: ids.select(F.col("id").cast("string").alias(c), F.col("id").alias(n), F.col("number").alias(f"{n}_number"))
+    low, high = key(F.col("x"), F.col("y"))
+    bridges = bridges.join(number("low_name", "x"), "low_name").join(number("high_name", "y"), "high_name").select(low.alias("low"), high.alias("high"), "is_bridge", F.lit(None).alias("ends"))
+    low, high = key(F.col("x_number"), F.col("y_number"))
+    against = against.join(one("low_id", "x"), "low_id").join(one("high_id", "y"), "high_id").select(low.alias("low"), high.alias("high"), F.lit(None).alias("is_bridge"), F.struct(*key(F.col("x"), F.col("y"))).alias("ends"))
+    marks = bridges.union(against).groupBy("low", "high").agg(F.max("is_bridge").alias("is_bridge"), F.collect_set("ends").alias("ends"))
+    name = lambda c: ids.select(F.col("id").alias(c), F.col("number").alias(f"number_{c}"))
+    low, high = key(F.col("number_a"), F.col("number_b"))
+    met = pairs.join(name("a"), "a").join(name("b"), "b").withColumns({"low": low, "high": high})
+    # Ends that are the numbers themselves, as most are, needn't be moved beside them.
+    met = met.select("low", "high", F.nullif("a", "low").alias("a"), F.nullif("b", "high").alias("b"), "edge_type").join(marks, ["low", "high"], "left").withColumns({"a": F.coalesce("a", "low"), "b": F.coalesce("b", "high")})
+    met = met.withColumn("is_against", F.array_contains("ends", F.struct(*key(F.col("a"), F.col("b")))))
     drawn = F.when(F.col("is_against"), colour["contradiction"]).when(F.col("is_bridge"), colour["bridge"]).otherwise(colour["plain"])
     return met.select("a", "b", F.coalesce(T.missing_as_null(F.col("edge_type")), F.lit("co_occurs")).alias("edge_type"), drawn.alias("colour"))
 
