@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import graph, patterns, report, vectors
 from evigraph.plans import views as V
+from evigraph.plans import queries as plans
 from evigraph.plans.queries import ORACLES, QUERIES
 
 EDGE = "edge_ord long, src long, dst long, edge_type string"
@@ -120,3 +121,18 @@ def test_known_similarity_is_kept(spark):
     assert sorted((r.u, r.v, r.similarity) for r in found.collect()) == [(0, 1, 0.5), (0, 5, 0.6)] and not [c for c in found.columns if c.startswith("embedding")]
     best = patterns.capped_bridges(found, nodes=nodes, near=2.0)
     assert [(r.u, r.v) for r in best.collect()] == [(0, 5), (0, 1)]
+
+
+def test_texts_are_turned_in_place(spark, monkeypatch):
+    monkeypatch.setattr(plans, "TEXTS_AT_ONCE", 2)
+    texts = ["a b a", "", None, " a  b ", "b", None, "c\nc c"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    turned = plans.inverted(frame)
+    assert "Exchange" not in physical(turned) and "Join" not in physical(turned)
+    want = {}
+    for i, text in enumerate(texts):
+        want[i] = None if text is None else {}
+        for at, word in enumerate(text.split(" ") if text is not None else ()):
+            want[i].setdefault(word, []).append(at)
+    assert {r.doc_id: r["index"] for r in turned.collect()} == want
+    assert {r.doc_id: r.t for r in turned.select("doc_id", plans.T.rebuilt_abstract(F.col("index")).alias("t")).collect()} == dict(enumerate(texts))
