@@ -1,12 +1,16 @@
 """What keeps queries bounded as their tables grow, at the same results."""
 
+import random
 import re
+from difflib import SequenceMatcher
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evigraph.operators import community, graph, patterns, report, vectors
+from evigraph.functions import text as T
+from evigraph.operators import community, fuzzy, graph, patterns, report, vectors
 from evigraph.plans import views as V
 from evigraph.plans import queries as plans
 from evigraph.plans.queries import ORACLES, QUERIES
@@ -184,3 +188,30 @@ def test_betweenness_of_many_links_is_in_a_file(spark, monkeypatch):
     assert held.keys() == filed.keys() and max(held.values()) > 0 and all(abs(held[k] - filed[k]) < 1e-12 for k in held)
     with pytest.raises(ValueError):
         community.betweenness(links, most=community.MOST_EDGES)
+
+
+def test_no_match_is_longer_than_it_may_reach():
+    """What a matcher may match in a long text is bounded by its rare letters, without looking at all of the rest."""
+    rng = random.Random(0)
+    short = 0
+    for _ in range(150):
+        base = [rng.choice("aaaabbbbccccdddd" + "efghijklmnopqrstuvwxyz") for _ in range(rng.randint(200, 420))]
+        other = list(base)
+        for _ in range(rng.randint(0, 60)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randint(0, 1)] = [rng.choice("abcdxyz")] * rng.randint(0, 1)
+        matcher = SequenceMatcher(None, "".join(other), "".join(base))
+        most = T.reached(matcher, "".join(other))
+        assert sum(m.size for m in matcher.get_matching_blocks()) <= most
+        short += most < len(base)
+    assert short > 10
+
+
+def test_long_texts_meet_only_those_as_long(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "BLOCK", 3)
+    rng = random.Random(1)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (60, 75, 130, 260, 400)]
+    texts = sorted({b[:at] + rng.choice("xyz") + b[at + 1 :] for b in base for at in range(5, 55, 9)} | set(base) | {"", "ab"})
+    got = {(r.x, r.y) for r in fuzzy.candidate_pairs(spark.createDataFrame([(t,) for t in texts], "s string"), [], "s", 0.9).collect()}
+    # Texts of one base differ in two letters at most; others don't share half of their grams.
+    assert got == {(x, y) for x, y in combinations(texts, 2) if len(x) == len(y) > 2}
